@@ -72,7 +72,7 @@ def latest_snapshot(prices: DataFrame) -> DataFrame:
     last = prices.groupBy("product").agg(F.max("date").alias("date"))
     day = prices.join(last, ["product", "date"])
     stats = day.groupBy("product", "date").agg(
-        F.avg("actual_c").alias("_avg_c"),
+        mean_c("actual_c").alias("_avg_c"),
         F.min_by(F.struct("seller", "claimed_c", "actual_c"),
                  F.struct("actual_c", *PRICE_TIE)).alias("_best"),
         F.count(F.lit(1)).alias("quotes"))
@@ -93,3 +93,188 @@ def flag_summary(scored_df: DataFrame) -> DataFrame:
         F.max_by(F.when(F.col("is_manipulation"), F.col("seller")),
                  F.when(F.col("is_manipulation"), F.struct(*ORDER))).alias("manip_seller"),
         F.sum(F.col("is_manipulation").cast("int")).cast("bigint").alias("flagged"))
+
+
+# ---------------------------------------------------------------------------------------
+# Aggregations over scored quotes (the anomaly list and the price series of each product).
+
+def mean_c(c) -> F.Column:
+    """Exact mean of a BIGINT cents column: integer sum / count, one division."""
+    return F.sum(c).cast("double") / F.count(c)
+
+
+def rolling_mean_long(prices: DataFrame, strategy: str = "auto", **kw) -> DataFrame:
+    """WIN-03 + FN-15 (rule part): 14-row rolling mean per product across its sellers and the
+    confirming rule claimed > actual AND actual >= 0.9 x mean14."""
+    from souk.functions.exprs import ROLLING_ROWS_LONG
+    r = rolling_rows(prices, ["product"], list(ORDER), ROLLING_ROWS_LONG, {"roll14_c": "actual_c"},
+                     count_col="roll14_n", strategy=strategy, **kw)
+    return (r.withColumn("rolling_avg_14", r.roll14_c.cast("double") / r.roll14_n / 100)
+             .withColumn("rule_flag", (F.col("claimed_c") > F.col("actual_c")) &
+                         (F.col("actual_c") * FAKE_RATIO_DEN * F.col("roll14_n") >= F.col("roll14_c") * FAKE_RATIO_NUM)))
+
+
+def discounts(prices: DataFrame) -> DataFrame:
+    """FN-13 per quote: discount amount and percent (0 when the list price is 0)."""
+    return prices.select("product", "seller", "date", *PRICE_TIE,
+                         money(F.col("claimed_c") - F.col("actual_c")).alias("discount_amount"),
+                         round_half_even(discount_pct("claimed_c", "actual_c"), 1).alias("discount_pct"))
+
+
+def dates_and_sellers(prices: DataFrame) -> DataFrame:
+    """AGG-14 / SET-03: distinct dates and the sorted distinct sellers of each product."""
+    return prices.groupBy("product").agg(
+        F.countDistinct("date").alias("n_dates"), F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.array_join(F.array_sort(F.collect_set("seller")), ",").alias("sellers"),
+        F.countDistinct("seller").alias("n_sellers"))
+
+
+def cell_quotes(prices: DataFrame) -> DataFrame:
+    """WIN-09: per (product, seller, date) the first and the last quote in tie order (the
+    reference's grid keeps the first, its fill keeps the last)."""
+    return prices.groupBy("product", "seller", "date").agg(
+        F.count(F.lit(1)).alias("n_quotes"),
+        F.min_by("actual_c", F.struct(*PRICE_TIE)).alias("first_c"),
+        F.max_by("actual_c", F.struct(*PRICE_TIE)).alias("last_c"))
+
+
+def grid(prices: DataFrame) -> DataFrame:
+    """JOIN-06 + JOIN-07: each product's distinct dates x its distinct sellers, with the
+    day's first and last quote left-joined (NULL when the seller has no quote that day).
+    The grid is bounded by calendar days x sellers per product, not by the number of rows."""
+    cells = cell_quotes(prices)
+    days = prices.select("product", "date").distinct()
+    sellers = prices.select("product", "seller").distinct()
+    spine = days.join(sellers, "product")
+    return spine.join(cells, ["product", "seller", "date"], "left")
+
+
+def grid_summary(prices: DataFrame) -> DataFrame:
+    g = grid(prices)
+    return g.groupBy("product", "seller").agg(
+        F.count(F.lit(1)).alias("grid_days"),
+        F.count("first_c").alias("quoted_days"),
+        (F.count(F.lit(1)) - F.count("first_c")).alias("empty_cells"),
+        F.sum("first_c").alias("sum_first_c"))
+
+
+def filled_series(prices: DataFrame) -> DataFrame:
+    """JOIN-08 / WIN-05: the grid with each seller's last known price carried forward."""
+    return forward_fill(grid(prices), ["product", "seller"], ["date"], "last_c", "filled_c")
+
+
+def fill_summary(prices: DataFrame) -> DataFrame:
+    f = filled_series(prices)
+    return f.groupBy("product", "seller").agg(
+        F.count("filled_c").alias("filled_cells"),
+        (F.count(F.lit(1)) - F.count("filled_c")).alias("leading_nulls"),
+        F.sum("filled_c").alias("sum_filled_c"),
+        money(F.max_by("filled_c", "date")).alias("last_price"))
+
+
+def pivot_first_price(prices: DataFrame, sellers: list[str]) -> DataFrame:
+    """AGG-15: date x seller grid of the first quote's price, one column per seller.
+    ``sellers`` is the explicit value list (a bounded dimension), so no extra job runs."""
+    cells = cell_quotes(prices).withColumn("price", money("first_c"))
+    return cells.groupBy("product", "date").pivot("seller", sellers).agg(F.first("price"))
+
+
+def anomaly_kpis(scored_df: DataFrame) -> DataFrame:
+    """AGG-16: anomaly count, distinct flagged sellers, mean discount % of the flagged quotes
+    and the share of quotes flagged, per product."""
+    flagged = F.col("is_manipulation")
+    pct = discount_pct("claimed_c", "actual_c")
+    return scored_df.groupBy("product").agg(
+        F.count_if(flagged).alias("anomalies"),
+        F.countDistinct(F.when(flagged, F.col("seller"))).alias("flagged_sellers"),
+        round_half_even(F.avg(F.when(flagged, pct)), 1).alias("avg_flagged_discount_pct"),
+        round_half_even(F.count_if(flagged) / F.count(F.lit(1)) * 100, 2).alias("fake_rate_pct"))
+
+
+def inflation_by_seller(scored_df: DataFrame) -> DataFrame:
+    """AGG-17: mean (claimed - actual) of the flagged quotes per seller, 2 places half-up."""
+    from souk.functions.exprs import round_half_up
+    f = scored_df.filter("is_manipulation")
+    return f.groupBy("product", "seller").agg(
+        round_half_up(mean_c(F.col("claimed_c") - F.col("actual_c")) / 100, 2).alias("avg_inflation"))
+
+
+def anomalies_by_weekday(scored_df: DataFrame) -> DataFrame:
+    """AGG-18: flagged quotes per weekday (Sunday = 0), zero-filled: seven count columns per
+    product, so no weekday spine has to be joined."""
+    wd = weekday_sun0("date")
+    flagged = F.col("is_manipulation")
+    return scored_df.groupBy("product").agg(
+        *[F.count_if(flagged & (wd == i)).alias(f"d{i}") for i in range(7)])
+
+
+def anomaly_days_by_seller(scored_df: DataFrame) -> DataFrame:
+    """AGG-19: flagged quotes per seller."""
+    return scored_df.filter("is_manipulation").groupBy("product", "seller").agg(
+        F.count(F.lit(1)).alias("anomaly_days"))
+
+
+def top_manipulated(scored_df: DataFrame, k: int = 5) -> DataFrame:
+    """AGG-25: the k products with most flagged quotes."""
+    counts = scored_df.groupBy("product").agg(F.count_if("is_manipulation").alias("fake_discounts"))
+    return top_k(counts, [], [F.desc("fake_discounts"), F.asc("product")], k, rank_col="rank")
+
+
+def claimed_vs_actual_trend(prices: DataFrame) -> DataFrame:
+    """AGG-26: monthly mean claimed and actual price per product."""
+    m = F.trunc("date", "month").alias("month")
+    return prices.groupBy("product", m).agg(
+        round_half_even(mean_c("claimed_c") / 100, 2).alias("avg_claimed"),
+        round_half_even(mean_c("actual_c") / 100, 2).alias("avg_actual"),
+        F.count(F.lit(1)).alias("quotes"))
+
+
+def discount_type(scored_col="is_manipulation") -> F.Column:
+    return (F.when(F.col(scored_col), F.lit("fake_discount"))
+             .when(F.col("claimed_c") > F.col("actual_c"), F.lit("real_discount"))
+             .otherwise(F.lit("no_discount")))
+
+
+def type_share(scored_df: DataFrame) -> DataFrame:
+    """AGG-27: share of quotes by manipulation type (three rows)."""
+    by = scored_df.groupBy(discount_type().alias("type")).agg(F.count(F.lit(1)).alias("quotes"))
+    total = Window.partitionBy()  # three rows: the unpartitioned window is tiny
+    return by.withColumn("share_pct", round_half_even(F.col("quotes") / F.sum("quotes").over(total) * 100, 2))
+
+
+def last_n_days(prices: DataFrame, days: int = 30) -> DataFrame:
+    """PRJ-16: quotes within the last ``days`` days of each product's history."""
+    last = prices.groupBy("product").agg(F.max("date").alias("_last"))
+    recent = prices.join(last, "product").filter(F.col("date") > F.date_sub("_last", days))
+    return recent.groupBy("product", "seller").agg(
+        F.count(F.lit(1)).alias("quotes"), round_half_even(mean_c("actual_c") / 100, 2).alias("avg_price"))
+
+
+def above_global_average(prices: DataFrame) -> DataFrame:
+    """JOIN-11: every quote against one global mean (a one-row broadcast)."""
+    g = prices.agg(mean_c("actual_c").alias("_gavg"))
+    j = prices.crossJoin(F.broadcast(g))
+    return j.groupBy("product").agg(
+        F.count_if(F.col("actual_c") > F.col("_gavg")).alias("above_avg"),
+        F.count(F.lit(1)).alias("quotes"))
+
+
+def with_product_names(prices: DataFrame, products: DataFrame) -> DataFrame:
+    """JOIN-01 / JOIN-04: quotes joined to the product catalogue; unmatched quotes drop.
+    The catalogue grows with the data, so the join strategy is left to the planner."""
+    cat = products.select(F.col("id").alias("part_id"), "name", "category")
+    return prices.join(cat, "part_id")
+
+
+def cheapest_quotes(prices: DataFrame, k: int = 10) -> DataFrame:
+    """SORT-03: the k cheapest quotes (TakeOrderedAndProject: partial top-k per task)."""
+    return prices.orderBy(F.asc("actual_c"), *[F.asc(c) for c in ORDER]).limit(k).select(
+        "product", "seller", "date", *PRICE_TIE, money("actual_c").alias("actual_price"))
+
+
+def last_k_quotes(prices: DataFrame, k: int = 3) -> DataFrame:
+    """WIN-07: the k most recent quotes of every series."""
+    order = [F.desc(c) for c in ORDER]
+    return top_k(prices, list(SERIES), order, k, rank_col="rn").select(
+        "product", "seller", "date", *PRICE_TIE, money("actual_c").alias("actual_price"), "rn")
