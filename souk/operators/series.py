@@ -112,8 +112,12 @@ def rolling_rows(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, rank_col: str | None = None) -> DataFrame:
     """First ``k`` rows of each key in ``order`` (WIN-07, WIN-08, AGG-09)."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order)) if keys else Window.orderBy(*_cols(order))
     rn = rank_col or "_rn"
+    if not keys:
+        # Global top-k: TakeOrderedAndProject keeps k rows per task; rank the k survivors.
+        head = df.orderBy(*_cols(order)).limit(k)
+        return head.withColumn(rn, F.row_number().over(Window.orderBy(*_cols(order)))) if rank_col else head
+    w = Window.partitionBy(*keys).orderBy(*_cols(order))
     out = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= k)
     return out if rank_col else out.drop(rn)
 
