@@ -172,9 +172,9 @@ def join_08_forward_fill(spark, sf_dir):
                    ON seller USING first(price) GROUP BY product, date)""", "prices", extra={"cells": CELLS}))
 def agg_15_pivot(spark, sf_dir):
     """AGG-15: date x seller pivot of the first quote's price."""
-    from souk.sources.tables import read
-    # nation is a fixed 25-row dimension: collecting its names is bounded.
-    sellers = sorted(r.n_name for r in read(spark, sf_dir, "nation", "n_name").collect())
+    # Pivot values: the names of nations that have suppliers - at most the 25 rows of the
+    # nation dimension, so collecting them is bounded (and saves Spark's own distinct job).
+    sellers = sorted(r.n_name for r in V.sellers(spark, sf_dir).select("n_name").distinct().collect())
     return P.pivot_first_price(V.prices(spark, sf_dir), sellers)
 
 
