@@ -124,10 +124,24 @@ def money_text(c_cents) -> Column:
     c = col(c_cents)
     sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
     a = F.abs(c)
-    return F.concat(sign, (a / 100).cast("bigint").cast("string"), F.lit("."),
+    return F.concat(sign, ((a - a % 100) / 100).cast("bigint").cast("string"), F.lit("."),
                     F.lpad((a % 100).cast("string"), 2, "0"))
 
 
 def weekday_sun0(d) -> Column:
     """FN-23: JavaScript getDay(): Sunday = 0 .. Saturday = 6."""
     return F.dayofweek(col(d)) - 1
+
+
+def softmax(arr) -> Column:
+    """FN-22: softmax of an ARRAY of logits (max-shifted for stability)."""
+    a = col(arr)
+    m = F.array_max(a)
+    e = F.transform(a, lambda x: F.exp(x.cast("double") - m))
+    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+    return F.transform(e, lambda x: x / total)
+
+
+def argmax(arr) -> Column:
+    """FN-22: 0-based index of the largest element (first on ties)."""
+    return (F.array_position(col(arr), F.array_max(col(arr))) - 1).cast("int")

@@ -112,3 +112,9 @@ def training_set(reviews: DataFrame, detected: DataFrame, brand_pattern: str, id
     any_en = tagged.agg(F.bool_or("_en").alias("_any"))
     kept = tagged.crossJoin(F.broadcast(any_en)).filter(F.col("_en") | ~F.coalesce(F.col("_any"), F.lit(False)))
     return kept.select(id_col, F.col("review_text").alias("text"), label_of_rating("review_rating").alias("label"))
+
+
+def name_of_label_col(c: str):
+    """Class id -> sentiment name (NULL stays NULL)."""
+    from souk.functions.exprs import name_of_label
+    return F.when(F.col(c).isNotNull(), name_of_label(c))

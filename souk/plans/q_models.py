@@ -1 +1,160 @@
-"""Queries (filled in as operators land)."""
+"""Model queries: weak labels and sentences are SQL-checked; fitted models are checked on rows
+and by the tests (planted outliers, accuracy against a majority baseline)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from souk.functions.exprs import argmax, money_text, round_half_even, softmax
+from souk.operators import models as M
+from souk.operators import prices as P
+from souk.operators import text as T
+from souk.plans.q_prices import ROLL7, TIE_SQL
+from souk.plans.registry import register
+from souk.sources import changes as C
+from souk.sources import views as V
+from souk.sources.tables import read
+
+WEAK_SQL = """CASE WHEN claimed_c * 10 * roll_n >= roll_sum_c * 13 AND claimed_c * 10 * roll_n <= roll_sum_c * 20
+                        AND abs(actual_c * roll_n - roll_sum_c) * 50 <= roll_sum_c THEN 1
+                   WHEN actual_c * 10 * roll_n >= roll_sum_c * 5 AND actual_c * 10 * roll_n <= roll_sum_c * 8
+                        AND claimed_c >= actual_c THEN 0
+                   WHEN claimed_c = actual_c AND abs(actual_c * roll_n - roll_sum_c) * 50 <= roll_sum_c THEN 0 END"""
+
+
+@register("ml_09_weak_labels", V.with_views(f"""
+    SELECT product, seller, count(*) FILTER (WHERE wl = 1) AS fake, count(*) FILTER (WHERE wl = 0) AS genuine,
+           count(*) FILTER (WHERE wl IS NULL) AS unlabelled
+    FROM (SELECT *, {WEAK_SQL} AS wl FROM r) GROUP BY product, seller""", "prices", extra={"r": ROLL7}))
+def ml_09_weak_labels(spark, sf_dir):
+    """ML-09: weak fake/genuine labels from price ratios to the rolling mean."""
+    s = P.with_rolling_mean(V.prices(spark, sf_dir)).withColumn("wl", M.weak_label())
+    return s.groupBy("product", "seller").agg(
+        F.count_if(F.col("wl") == 1).alias("fake"), F.count_if(F.col("wl") == 0).alias("genuine"),
+        F.count_if(F.col("wl").isNull()).alias("unlabelled"))
+
+
+def _money_sql(c):
+    return f"CAST(({c}) // 100 AS VARCHAR) || '.' || lpad(CAST(({c}) % 100 AS VARCHAR), 2, '0')"
+
+
+@register("fn_20_price_sentences", V.with_views(f"""
+    SELECT product, seller, {TIE_SQL},
+           'Product: ' || product || '. Seller: ' || seller || '. Historical average price: $' || {_money_sql('avg_c')}
+             || '. Today''s actual selling price: $' || {_money_sql('actual_c')}
+             || '. Claimed original discount price: $' || {_money_sql('claimed_c')} || '.' AS sentence,
+           {_money_sql('claimed_c - actual_c')} AS inflation_text
+    FROM (SELECT *, CAST(round_even(CAST(roll_sum_c AS DOUBLE) / roll_n, 0) AS BIGINT) AS avg_c FROM r)""",
+    "prices", extra={"r": ROLL7}))
+def fn_20_price_sentences(spark, sf_dir):
+    """FN-20 + FN-28: every quote as the model's input sentence (money from cents)."""
+    r = P.with_rolling_mean(V.prices(spark, sf_dir))
+    avg_c = F.rint(F.col("roll_sum_c").cast("double") / F.col("roll_n")).cast("bigint")
+    sentence = F.concat(F.lit("Product: "), "product", F.lit(". Seller: "), "seller",
+                        F.lit(". Historical average price: $"), money_text(avg_c),
+                        F.lit(". Today's actual selling price: $"), money_text("actual_c"),
+                        F.lit(". Claimed original discount price: $"), money_text("claimed_c"), F.lit("."))
+    return r.select("product", "seller", *P.ORDER, sentence.alias("sentence"),
+                    money_text(F.col("claimed_c") - F.col("actual_c")).alias("inflation_text"))
+
+
+@register("fn_22_softmax_argmax", V.with_views("""
+    SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax,
+           round(list_max(p), 6) AS p_max, round(p[2], 6) AS p_class1
+    FROM (SELECT vec_id, embedding,
+                 list_transform(e, lambda x: x / list_sum(e)) AS p
+          FROM (SELECT vec_id, embedding,
+                       list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE))) AS e
+                FROM embeddings))"""))
+def fn_22_softmax_argmax(spark, sf_dir):
+    """FN-22: softmax, arg-max and one class probability over model output vectors."""
+    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    p = softmax("embedding")
+    return e.select("vec_id", argmax("embedding").alias("argmax"), F.round(F.array_max(p), 6).alias("p_max"),
+                    F.round(F.element_at(p, 2), 6).alias("p_class1"))
+
+
+# ------------------------------------------------------------------ fitted models (rows only)
+
+def _sentiment_data(spark, sf_dir):
+    r = V.reviews(spark, sf_dir)
+    lab = r.select("id", F.col("review_text").alias("text"), "review_rating",
+                   T.label_of_rating("review_rating").alias("label"), "product")
+    return T.split(lab, "id", 80)
+
+
+def _sentiment_models(spark, sf_dir):
+    data = _sentiment_data(spark, sf_dir)
+    train = data.filter((F.col("split") == "train") & F.col("label").isNotNull())
+    return data, M.fit_sentiment(train)
+
+
+@register("ml_01_sentiment_scores")
+def ml_01_sentiment_scores(spark, sf_dir):
+    """ML-01 + ML-05: three fitted sentiment slots score every review."""
+    data, models = _sentiment_models(spark, sf_dir)
+    return M.score_sentiment(data, models, keep=("id", "product"))
+
+
+@register("ml_05_sentiment_eval")
+def ml_05_sentiment_eval(spark, sf_dir):
+    """ML-05 + AGG-22: held-out accuracy and weighted F1 of each slot and of the majority class."""
+    data, models = _sentiment_models(spark, sf_dir)
+    test = data.filter((F.col("split") == "test") & F.col("label").isNotNull())
+    scored = M.score_sentiment(test, models, keep=("id", "label"))
+    named = scored.withColumn("truth", T.name_of_label_col("label"))
+    out = None
+    for k in M.MODEL_SLOTS:
+        m = T.accuracy_f1(named, "truth", f"sentiment_{k}").withColumn("model", F.lit(k))
+        out = m if out is None else out.unionByName(m)
+    base = T.accuracy_f1(named.withColumn("maj", F.lit("Positive")), "truth", "maj").withColumn("model", F.lit("majority"))
+    return out.unionByName(base)
+
+
+@register("ml_02_rescore_update")
+def ml_02_rescore_update(spark, sf_dir):
+    """ML-02 + SRC-10: re-score the whole review table and update the label columns by id."""
+    from souk.operators.reviews import with_model_columns
+    data, models = _sentiment_models(spark, sf_dir)
+    table = with_model_columns(V.reviews(spark, sf_dir, with_text=False))
+    new = M.score_sentiment(data, models, keep=("id",))
+    cols = [f"sentiment_{k}" for k in M.MODEL_SLOTS]
+    return C.keyed_update(table, new, ["id"], cols).select("id", "product", "sentiment", *cols)
+
+
+def _price_model(spark, sf_dir):
+    s = M.price_features(P.scored(V.prices(spark, sf_dir)))
+    s = T.split(s.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in V.PRICE_TIE])), "_key", 85)
+    train = s.filter(F.col("split") == "train").withColumn("label", F.col("is_manipulation").cast("int"))
+    return s, M.fit_price_model(train)
+
+
+@register("ml_03_price_model_scores")
+def ml_03_price_model_scores(spark, sf_dir):
+    """ML-03: every quote scored by the fitted fake-discount model (rule fallback)."""
+    s, model = _price_model(spark, sf_dir)
+    out = M.score_price_model(s, model)
+    return out.select("product", "seller", *P.ORDER, F.round("model_prob", 6).alias("model_prob"), "final_flag",
+                      "is_manipulation")
+
+
+@register("ml_06_price_model_eval")
+def ml_06_price_model_eval(spark, sf_dir):
+    """ML-06: held-out (15%) accuracy and F1 of the fake-discount model against the rule labels."""
+    s, model = _price_model(spark, sf_dir)
+    test = M.score_price_model(s.filter(F.col("split") == "test"), model)
+    t = test.select(F.col("is_manipulation").cast("string").alias("truth"), F.col("final_flag").cast("string").alias("pred"))
+    return T.accuracy_f1(t, "truth", "pred")
+
+
+@register("ml_04_isolation_forest")
+def ml_04_isolation_forest(spark, sf_dir):
+    """ML-04 + FN-15: isolation forest over (actual, claimed, 14-row mean), contamination
+    0.10, seed 42; a flagged row is a fake discount when the rule confirms it."""
+    r = P.rolling_mean_long(V.prices(spark, sf_dir))
+    feats = r.withColumn("x_actual", F.col("actual_c").cast("double") / 100) \
+             .withColumn("x_claimed", F.col("claimed_c").cast("double") / 100)
+    f = ["x_actual", "x_claimed", "rolling_avg_14"]
+    out = M.isolation_forest(feats, f, ["product", "seller", *P.ORDER])
+    return out.select("product", "seller", *P.ORDER, round_half_even("if_score", 6).alias("if_score"), "anomaly",
+                      ((F.col("anomaly") == -1) & F.col("rule_flag")).alias("is_manipulation"))
