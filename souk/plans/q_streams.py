@@ -1 +1,25 @@
-"""Queries (filled in as operators land)."""
+"""Streaming queries: each runs its stream to completion (available-now trigger) over the
+input files and returns the sink table. Checked on rows; tests compare with batch."""
+
+from __future__ import annotations
+
+from souk.plans.registry import register
+from souk.streaming import streams as S
+
+
+@register("str_01_review_ingest")
+def str_01_review_ingest(spark, sf_dir):
+    """STR-01: streaming review ingest (parent check, labels, watermark de-dup, append)."""
+    return spark.read.parquet(S.run_review_ingest(spark, sf_dir))
+
+
+@register("str_02_daily_ticks")
+def str_02_daily_ticks(spark, sf_dir):
+    """STR-02: daily tumbling tick aggregates per seller under a 1-day watermark."""
+    return spark.read.parquet(S.run_to_table(S.daily_ticks(S.ticks_stream(spark, sf_dir)), "daily-ticks"))
+
+
+@register("str_02_tick_flags")
+def str_02_tick_flags(spark, sf_dir):
+    """STR-02: stateful 7-tick rolling mean per seller with fake-discount flags."""
+    return spark.read.parquet(S.run_to_table(S.tick_flags(S.ticks_stream(spark, sf_dir)), "tick-flags"))

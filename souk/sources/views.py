@@ -3,7 +3,7 @@
 The input tables hold no reviews or seller quotes, so each domain table is a stand-in view
 derived from them. Every view exists twice: as a DataFrame builder (what the operators use)
 and as SQL text (what ``oracle_sql`` embeds as a CTE for the independent DuckDB check).
-The two must stay in lock-step; ``tests/test_views.py`` compares them.
+The two must stay in lock-step; ``tests/test_oracle.py`` compares every query built on them.
 
 products  <- part
 prices    <- lineitem |x| part |x| supplier |x| nation   (series key: product = brand, seller = nation)
@@ -68,15 +68,13 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
                       cents(unit_net).alias("actual_c")))
 
 
-def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
-    cols = ["doc_id", "lang", "source"] + (["text"] if with_text else [])
-    docs = read(spark, sf_dir, "documents", *cols)
-    lab = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+def reviews_from(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFrame:
+    """The reviews view over any documents frame (batch or stream) and the labels table."""
     rating = (F.when(F.col("toxic") == 1, F.lit(1))
                .when(F.col("quality") == 0, F.lit(3))
                .when(F.col("quality") == 1, F.lit(4) + F.col("doc_id") % 2)
                .otherwise(F.lit(None))).cast("int")
-    out = docs.join(lab, "doc_id", "left").select(
+    out = docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("Brand#"), (F.col("doc_id") % N_REVIEW_PRODUCTS + 1).cast("string")).alias("product"),
         F.col("source").alias("store"),
@@ -88,6 +86,13 @@ def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFra
     return out.withColumn("sentiment", sentiment_of_rating("review_rating"))
 
 
+def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+    cols = ["doc_id", "lang", "source"] + (["text"] if with_text else [])
+    docs = read(spark, sf_dir, "documents", *cols)
+    lab = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return reviews_from(docs, lab, with_text)
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     return ev.select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id"),
