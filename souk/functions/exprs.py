@@ -145,3 +145,15 @@ def softmax(arr) -> Column:
 def argmax(arr) -> Column:
     """FN-22: 0-based index of the largest element (first on ties)."""
     return (F.array_position(col(arr), F.array_max(col(arr))) - 1).cast("int")
+
+
+def py_float_text(c_cents) -> Column:
+    """Python ``str(x)`` of a non-negative money amount given in cents ('1234.0', '1234.5',
+    '1234.56'), built from integers rather than float formatting."""
+    c = col(c_cents)
+    whole = ((c - c % 100) / 100).cast("bigint").cast("string")
+    frac = c % 100
+    tail = (F.when(frac == 0, F.lit("0"))
+             .when(frac % 10 == 0, (frac / 10).cast("bigint").cast("string"))
+             .otherwise(F.lpad(frac.cast("string"), 2, "0")))
+    return F.concat(whole, F.lit("."), tail)

@@ -278,3 +278,66 @@ def last_k_quotes(prices: DataFrame, k: int = 3) -> DataFrame:
     order = [F.desc(c) for c in ORDER]
     return top_k(prices, list(SERIES), order, k, rank_col="rn").select(
         "product", "seller", "date", *PRICE_TIE, money("actual_c").alias("actual_price"), "rn")
+
+
+# The reference's analysis commentary (two branches), verbatim.
+COMMENTARY_FLAGGED = ("{p} ürünü son 30 gün içinde en uygun olarak {s} üzerinde satılmıştır (Fiyat: ${b}). "
+                      "{m} üzerindeki kampanya ise geçmiş fiyat verilerine göre sahte indirim (fiyat manipülasyonu) "
+                      "olarak işaretlenmiştir.")
+COMMENTARY_CLEAN = ("{p} ürünü son 30 gün içinde en uygun olarak {s} üzerinde satılmıştır (Fiyat: ${b}). "
+                    "Tüm satıcı firmalar normal fiyat marjları sergilemiş olup, herhangi bir manipülasyon "
+                    "tespit edilmemiştir.")
+
+
+def _fill(template: str, **cols) -> F.Column:
+    """Render a ``{name}`` template with columns (concat of literal pieces and columns)."""
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w)\}", template):
+        parts.append(F.lit(template[pos:m.start()]))
+        parts.append(cols[m.group(1)])
+        pos = m.end()
+    parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
+
+
+def commentary(scored_df: DataFrame, prices: DataFrame) -> DataFrame:
+    """FN-21: the per-product commentary, from the latest snapshot and the flag summary."""
+    from souk.functions.exprs import py_float_text
+    snap = latest_snapshot(prices).select("product", "best_seller", "best_price",
+                                          F.rint(F.col("best_price") * 100).cast("bigint").alias("_best_c"))
+    flags = flag_summary(scored_df)
+    j = snap.join(flags, "product")
+    args = dict(p=F.col("product"), s=F.col("best_seller"), b=py_float_text("_best_c"))
+    text = F.when(F.col("is_manipulated"), _fill(COMMENTARY_FLAGGED, m=F.col("manip_seller"), **args)) \
+            .otherwise(_fill(COMMENTARY_CLEAN, **args))
+    return j.select("product", text.alias("ai_commentary"))
+
+
+def rule_audit(scored_df: DataFrame) -> DataFrame:
+    """AGG-23: how many quotes the rule flags per product, with their confidence range."""
+    f = scored_df.filter("is_manipulation").withColumn("_conf", round_half_even(checksum_confidence("date", "seller"), 1))
+    return f.groupBy("product").agg(F.count(F.lit(1)).alias("flagged"), F.min("_conf").alias("min_confidence"),
+                                    F.max("_conf").alias("max_confidence"))
+
+
+def nested_result(scored_df: DataFrame, prices: DataFrame) -> DataFrame:
+    """SRC-18: one nested record per product - snapshot stats, the per-seller best deals
+    (bounded by the number of sellers) and a seller -> monthly mean price series map
+    (bounded by sellers x months) - plus its JSON text. The unbounded anomaly list stays a
+    table (PRJ-19) instead of being gathered into one record."""
+    from souk.operators.deals import deal_rows
+    snap = latest_snapshot(prices)
+    deals = deal_rows(scored_df).groupBy("product").agg(
+        F.array_sort(F.collect_list(F.struct("seller", "date", "current_price", "original_price", "discount_pct",
+                                             "ai_recommendation"))).alias("deals"))
+    monthly = prices.groupBy("product", "seller", F.trunc("date", "month").alias("month")).agg(
+        round_half_even(mean_c("actual_c") / 100, 2).alias("p"))
+    series = monthly.groupBy("product", "seller").agg(
+        F.array_sort(F.collect_list(F.struct("month", "p"))).alias("pts"))
+    chart = series.groupBy("product").agg(F.map_from_entries(F.collect_list(F.struct(
+        "seller", F.transform("pts", lambda x: x["p"])))).alias("prices"))
+    out = (snap.join(deals, "product").join(chart, "product")
+               .select("product", F.struct("best_seller", "best_price", "avg_price", "discount_pct").alias("stats"),
+                       "deals", F.struct(F.col("prices")).alias("chart_data")))
+    return out.withColumn("json", F.to_json(F.struct("stats", "deals", "chart_data")))

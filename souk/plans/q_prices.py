@@ -293,3 +293,63 @@ def sort_03_cheapest_quotes(spark, sf_dir):
 def win_07_last_3_quotes(spark, sf_dir):
     """WIN-07: last k rows per series (partial top-k before the shuffle)."""
     return P.last_k_quotes(V.prices(spark, sf_dir), 3)
+
+
+def _py_float_sql(c):
+    return (f"CAST(({c}) // 100 AS VARCHAR) || '.' || CASE WHEN ({c}) % 100 = 0 THEN '0' "
+            f"WHEN ({c}) % 10 = 0 THEN CAST((({c}) % 100) // 10 AS VARCHAR) ELSE lpad(CAST(({c}) % 100 AS VARCHAR), 2, '0') END")
+
+
+def _template_sql(t):
+    import re
+    pieces = re.split(r"(\{\w\})", t.replace("'", "''"))
+    cols = {"{p}": "product", "{s}": "best_seller", "{b}": _py_float_sql("best_c"), "{m}": "manip_seller"}
+    return " || ".join(cols.get(x, f"'{x}'") for x in pieces if x)
+
+
+@register("fn_21_commentary", V.with_views(f"""
+    SELECT product, CASE WHEN is_manipulated THEN {_template_sql(P.COMMENTARY_FLAGGED)}
+                         ELSE {_template_sql(P.COMMENTARY_CLEAN)} END AS ai_commentary
+    FROM (SELECT product, arg_min(seller, (actual_c, order_key, line_no, part_id, supp_id)) AS best_seller,
+                 min(actual_c) AS best_c
+          FROM prices JOIN (SELECT product, max(date) AS date FROM prices GROUP BY product) USING (product, date)
+          GROUP BY product)
+    JOIN (SELECT product, bool_or(is_manipulation) AS is_manipulated,
+                 arg_max(seller, (date, order_key, line_no, part_id, supp_id)) FILTER (WHERE is_manipulation) AS manip_seller
+          FROM s GROUP BY product) USING (product)""", "prices", extra=SCORED_CTES))
+def fn_21_commentary(spark, sf_dir):
+    """FN-21: commentary text by branch (manipulation found or not) for every product."""
+    prices = V.prices(spark, sf_dir)
+    return P.commentary(P.scored(prices), prices)
+
+
+@register("agg_23_rule_audit", V.with_views(f"""
+    SELECT product, count(*) AS flagged, min({CONF_SQL}) AS min_confidence, max({CONF_SQL}) AS max_confidence
+    FROM s WHERE is_manipulation GROUP BY product""", "prices", extra=SCORED_CTES))
+def agg_23_rule_audit(spark, sf_dir):
+    """AGG-23: rule audit - flagged quotes per product with their confidence range."""
+    return P.rule_audit(_scored(spark, sf_dir))
+
+
+@register("src_03_full_scan", V.with_views("SELECT * FROM prices", "prices"))
+def src_03_full_scan(spark, sf_dir):
+    """SRC-03: full scan of the price table (all rows, all columns)."""
+    return V.prices(spark, sf_dir)
+
+
+@register("src_04_one_series", V.with_views(f"""
+    SELECT date, seller, CAST(actual_c AS DOUBLE) / 100 AS actual_price, CAST(claimed_c AS DOUBLE) / 100 AS claimed_price,
+           order_key, line_no, part_id, supp_id
+    FROM prices WHERE product = 'Brand#3' AND seller = 'NATION_3' ORDER BY {TIE_SQL}""", "prices"))
+def src_04_one_series(spark, sf_dir):
+    """SRC-04 + SORT-01: one product and seller, sorted by date (filter pushed to the scan)."""
+    p = V.prices(spark, sf_dir).filter((F.col("product") == "Brand#3") & (F.col("seller") == "NATION_3"))
+    return p.orderBy(*P.ORDER).select("date", "seller", (F.col("actual_c").cast("double") / 100).alias("actual_price"),
+                                      (F.col("claimed_c").cast("double") / 100).alias("claimed_price"), *V.PRICE_TIE)
+
+
+@register("src_18_nested_result")
+def src_18_nested_result(spark, sf_dir):
+    """SRC-18: nested per-product record (stats, per-seller deals, series map) and its JSON."""
+    prices = V.prices(spark, sf_dir)
+    return P.nested_result(P.scored(prices), prices)

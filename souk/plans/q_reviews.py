@@ -37,7 +37,7 @@ def prj_03_review_search(spark, sf_dir):
 @register("agg_03_distribution", V.with_views(f"""
     SELECT product, {DIST_SQL} FROM reviews WHERE review_text ILIKE '%{SEARCH}%' GROUP BY product""", "reviews"))
 def agg_03_distribution(spark, sf_dir):
-    """AGG-02/03/04 + PRJ-04: filtered count, label percentages and mean rating per product
+    """AGG-02 + AGG-03 + AGG-04 + PRJ-04 + FN-12: filtered count, label percentages and mean rating per product
     (every filter but the sentiment one, store 'All Stores')."""
     r = R.search(V.reviews(spark, sf_dir), search=SEARCH, store="All Stores")
     return R.distribution(r)

@@ -107,3 +107,15 @@ def ml_12_truncate(spark, sf_dir):
 def ml_10_training_set(spark, sf_dir):
     """ML-10 + FN-04: the sentiment training set (brand filter, English only, 0/1/2 labels)."""
     return T.training_set(V.reviews(spark, sf_dir), _detected(spark, sf_dir, "id"), BRAND_PATTERN)
+
+
+@register("fn_05_label_names", V.with_views("""
+    SELECT name, count(*) AS reviews FROM (
+      SELECT CASE CASE WHEN review_rating <= 2 THEN 0 WHEN review_rating = 3 THEN 1 WHEN review_rating > 3 THEN 2 END
+                  WHEN 0 THEN 'Negative' WHEN 1 THEN 'Neutral' ELSE 'Positive' END AS name
+      FROM reviews) GROUP BY name""", "reviews"))
+def fn_05_label_names(spark, sf_dir):
+    """FN-04 + FN-05: rating -> class id -> name, unknown ids default to Positive."""
+    from souk.functions.exprs import label_of_rating, name_of_label
+    r = V.reviews(spark, sf_dir, with_text=False)
+    return r.groupBy(name_of_label(label_of_rating("review_rating")).alias("name")).agg(F.count(F.lit(1)).alias("reviews"))
