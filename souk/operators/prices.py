@@ -144,8 +144,10 @@ def grid(prices: DataFrame) -> DataFrame:
     day's first and last quote left-joined (NULL when the seller has no quote that day).
     The grid is bounded by calendar days x sellers per product, not by the number of rows."""
     cells = cell_quotes(prices)
-    days = prices.select("product", "date").distinct()
-    sellers = prices.select("product", "seller").distinct()
+    # Spines come from the aggregated cells (one row per product/seller/day), so the quote
+    # table is scanned once; the identical aggregate exchange is reused by all three.
+    days = cells.select("product", "date").distinct()
+    sellers = cells.select("product", "seller").distinct()
     spine = days.join(sellers, "product")
     return spine.join(cells, ["product", "seller", "date"], "left")
 

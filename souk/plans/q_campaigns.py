@@ -28,7 +28,7 @@ CTES = dict(SCORED_CTES, cw=WINDOWS_SQL, rt=RATES_SQL, t=TAGGED_SQL, c=ROLLUP_SQ
 
 
 def _rollup(spark, sf_dir):
-    return K.campaign_rollup(P.scored(V.prices(spark, sf_dir)))
+    return K.campaign_rollup(P.scored(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir)))
 
 
 @register("join_10_campaign_quotes", V.with_views("""

@@ -61,7 +61,7 @@ def src_01_review_csv_roundtrip(spark, sf_dir):
 def src_02_price_csv_roundtrip(spark, sf_dir):
     """SRC-02 + FN-27 + FN-25: price history written in the reference CSV layout (true list
     price = the part's retail price), read back typed, rule flags scored against truth."""
-    s = P.scored(V.prices(spark, sf_dir))
+    s = P.scored(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir))
     base = V.products(spark, sf_dir).select(F.col("id").alias("part_id"), "base_price")
     layout = s.join(base, "part_id").select(
         "date", F.col("product").alias("product_name"), "seller", money("actual_c").alias("actual_price"),

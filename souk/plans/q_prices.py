@@ -28,7 +28,7 @@ ROLL7 = f"""
 def fake_discounts(spark, sf_dir):
     """FN-14 over WIN-01: quotes whose claimed list price exceeds the selling price while the
     selling price is at least 90% of its 7-row rolling mean (per product and seller)."""
-    return P.fake_discounts(V.prices(spark, sf_dir))
+    return P.fake_discounts(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir))
 
 
 SCORED = f"""
@@ -38,7 +38,7 @@ SCORED_CTES = {"r": ROLL7, "s": SCORED}
 
 
 def _scored(spark, sf_dir):
-    return P.scored(V.prices(spark, sf_dir))
+    return P.scored(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir))
 
 
 @register("win_01_rolling_mean", V.with_views(f"""
@@ -47,7 +47,7 @@ def _scored(spark, sf_dir):
     FROM r""", "prices", extra={"r": ROLL7}))
 def win_01_rolling_mean(spark, sf_dir):
     """WIN-01/WIN-02/WIN-11: 7-row rolling mean (min 1 row) of every series, every quote."""
-    return P.with_rolling_mean(V.prices(spark, sf_dir)).select(
+    return P.with_rolling_mean(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir)).select(
         "product", "seller", *P.ORDER, (F.col("actual_c").cast("double") / 100).alias("actual_price"),
         F.coalesce("rolling_avg", F.col("actual_c").cast("double") / 100).alias("rolling_avg"), "roll_n")
 
@@ -60,7 +60,7 @@ def win_01_rolling_mean(spark, sf_dir):
     "prices"))
 def win_03_rolling14_rule(spark, sf_dir):
     """WIN-03 + FN-15 rule part: 14-row rolling mean per product, confirming rule."""
-    return P.rolling_mean_long(V.prices(spark, sf_dir)).select(
+    return P.rolling_mean_long(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir)).select(
         "product", "seller", *P.ORDER, "rolling_avg_14", "rule_flag")
 
 
@@ -320,7 +320,7 @@ def _template_sql(t):
 def fn_21_commentary(spark, sf_dir):
     """FN-21: commentary text by branch (manipulation found or not) for every product."""
     prices = V.prices(spark, sf_dir)
-    return P.commentary(P.scored(prices), prices)
+    return P.commentary(P.scored(prices, strategy=V.price_strategy(spark, sf_dir)), prices)
 
 
 @register("agg_23_rule_audit", V.with_views(f"""
@@ -352,4 +352,4 @@ def src_04_one_series(spark, sf_dir):
 def src_18_nested_result(spark, sf_dir):
     """SRC-18: nested per-product record (stats, per-seller deals, series map) and its JSON."""
     prices = V.prices(spark, sf_dir)
-    return P.nested_result(P.scored(prices), prices)
+    return P.nested_result(P.scored(prices, strategy=V.price_strategy(spark, sf_dir)), prices)

@@ -87,7 +87,7 @@ def src_09_keyed_update(spark, sf_dir):
     """SRC-09 + JOIN-09: write the analysis flags back onto the price table by composite key."""
     prices = V.prices(spark, sf_dir).withColumn("is_manipulation", F.lit(False)).withColumn("anomaly_score", F.lit(0.0))
     keys = ["product", "seller", *P.ORDER]
-    upd = (P.scored(V.prices(spark, sf_dir)).filter("is_manipulation")
+    upd = (P.scored(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir)).filter("is_manipulation")
              .select(*keys, F.lit(True).alias("is_manipulation"), F.lit(FAKE_FLAG_SCORE).alias("anomaly_score")))
     return C.keyed_update(prices, upd, keys, ["is_manipulation", "anomaly_score"]).select(
         *keys, "is_manipulation", "anomaly_score")
@@ -158,7 +158,7 @@ def src_16_referential_check(spark, sf_dir):
     FROM s WHERE is_manipulation""", "prices", extra=SCORED_CTES))
 def src_05_csv_roundtrip(spark, sf_dir):
     """SRC-05 + SRC-07: write the anomaly list as CSV with a header, read it back typed."""
-    rep = P.anomaly_report(P.scored(V.prices(spark, sf_dir))).drop("confidence")
+    rep = P.anomaly_report(P.scored(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir))).drop("confidence")
     path = C.write_table(rep, C.new_table_path(spark, "anomalies-csv"), fmt="csv", header="true")
     return spark.read.schema(rep.schema).option("header", "true").csv(path)
 
@@ -182,6 +182,6 @@ def src_06_append_partitioned(spark, sf_dir):
 def src_17_materialised_analysis(spark, sf_dir):
     """SRC-17: the analysis is materialised once for every (product, seller), partitioned by
     product; a later request for one product reads one partition."""
-    flagged = P.scored(V.prices(spark, sf_dir)).filter("is_manipulation").select("product", "seller", *V.PRICE_TIE, "date")
+    flagged = P.scored(V.prices(spark, sf_dir), strategy=V.price_strategy(spark, sf_dir)).filter("is_manipulation").select("product", "seller", *V.PRICE_TIE, "date")
     table = C.materialise(flagged, "analysis", partition_by=["product"])
     return table.filter(F.col("product") == "Brand#7").groupBy("product", "seller").agg(F.count(F.lit(1)).alias("flagged"))

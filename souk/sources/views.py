@@ -38,20 +38,59 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A dimension is broadcast only when its row count - read from parquet footers, so the check
+# costs no data scan - is at most this many rows (a few tens of MB for 2-3 narrow columns).
+BROADCAST_MAX_ROWS = 2_000_000
+# Up to this many quote rows in total, no series can be big enough to need the skew-safe
+# path of ``operators.series.rolling_rows``; beyond it the series sizes are measured.
+SMALL_INPUT_ROWS = 2_000_000
+
+
+_ROWS: dict[tuple, int] = {}
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of an input table (answered from parquet metadata), remembered per path
+    and modification time so repeated plans do not re-run the count job."""
+    import os
+    from souk.sources.tables import table_path
+    path = table_path(sf_dir, name)
+    try:
+        stamp = os.stat(path).st_mtime_ns
+    except OSError:            # not a local path (object store): count every time
+        return read(spark, sf_dir, name).count()
+    key = (path, stamp)
+    if key not in _ROWS:
+        _ROWS[key] = read(spark, sf_dir, name).count()
+    return _ROWS[key]
+
+
+def sized_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint behind a checked size; above the bound the planner shuffles instead."""
+    return F.broadcast(df) if rows <= max_rows else df
+
+
+def price_strategy(spark: SparkSession, sf_dir: str) -> str:
+    """Rolling-window strategy for the price series: the plain window when the whole quote
+    table is small, otherwise 'auto' (measure the largest series, split hot ones)."""
+    return "window" if table_rows(spark, sf_dir, "lineitem") <= SMALL_INPUT_ROWS else "auto"
+
+
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -> seller name. nation has 25 rows by definition of the schema, so it is
-    broadcast; supplier grows with the data and is left to the planner."""
+    broadcast; supplier grows with the data, so it is broadcast only below the bound."""
     sup = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     nat = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    return sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey).select(
+    out = sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey).select(
         F.col("s_suppkey"), F.col("n_name"))
+    return sized_broadcast(out, table_rows(spark, sf_dir, "supplier"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per quote: (product, seller, date, tie...) with claimed/actual in BIGINT cents."""
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
               "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
-    part = read(spark, sf_dir, "part", "p_partkey", "p_brand")
+    part = sized_broadcast(read(spark, sf_dir, "part", "p_partkey", "p_brand"), table_rows(spark, sf_dir, "part"))
     sel = sellers(spark, sf_dir)
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     unit_net = F.try_divide(F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_quantity"))
