@@ -29,6 +29,7 @@ from souk.session import checkpoint_dir
 
 DEFAULT_BLOCK_ROWS = 1_000_000
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
+SEGMENT_BROADCAST_ROWS = 2_000_000
 
 
 def _cols(xs) -> list[Column]:
@@ -56,14 +57,20 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence, pos_col: str
     # values; without this, two scans may be coalesced differently by AQE.
     checkpoint_dir(df.sparkSession)
     ranged = ranged.checkpoint(eager=True)
-    # One row per (partition, key): bounded by partitions + keys, whatever the skew.
+    # One row per (partition, key): at most partitions + keys rows, whatever the skew.
     segs = ranged.groupBy("_pid", *keys).agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    segs = segs.select("_pid", *keys, "_first",
+    renamed = {k: f"_seg_{i}" for i, k in enumerate(keys)}
+    segs = segs.select(F.col("_pid").alias("_seg_pid"), *[F.col(k).alias(v) for k, v in renamed.items()], "_first",
                        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = ranged.join(segs, ["_pid", *keys])
+    # Broadcast the offsets only behind a checked size (read from the checkpoint: cheap).
+    if segs.count() <= SEGMENT_BROADCAST_ROWS:
+        segs = F.broadcast(segs)
+    # NULL keys are a group of their own, as in a window: join null-safe.
+    cond = [F.col("_pid") == F.col("_seg_pid")] + [F.col(k).eqNullSafe(F.col(v)) for k, v in renamed.items()]
+    out = ranged.join(segs, cond)
     return (out.withColumn(pos_col, F.col("_rid") - F.col("_first") + 1 + F.col("_before"))
-               .drop("_pid", "_rid", "_first", "_before"))
+               .drop("_pid", "_rid", "_first", "_before", "_seg_pid", *renamed.values()))
 
 
 def max_group_rows(df: DataFrame, keys: Sequence[str]) -> int:

@@ -36,3 +36,13 @@ def test_fake_discount_strategies_agree(spark, sf):
     b = P.fake_discounts(p, strategy="blocked", block_rows=7)
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_blocked_rolling_keeps_null_keys(spark, sf):
+    p = V.prices(spark, sf).withColumn(
+        "seller", F.when(F.col("seller") == "NATION_1", F.lit(None).cast("string")).otherwise(F.col("seller")))
+    a = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, strategy="window")
+    b = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, strategy="blocked", block_rows=10)
+    cols = ["product", "seller", *P.ORDER, "s", "_cnt"]
+    assert b.count() == p.count()
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0
