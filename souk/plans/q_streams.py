@@ -1,11 +1,20 @@
 """Streaming queries: each runs its stream to completion (available-now trigger) over the
-input files and returns the sink table. Checked on rows; tests compare with batch."""
+input files and returns the sink table. The tick queries have SQL twins: the windowed one
+emits exactly the windows the 1-day watermark has closed (end <= max(ts) - 1 day)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from souk.plans.registry import register
 from souk.streaming import streams as S
 
+TICKS_SQL = """
+    SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS seller,
+           CAST(round_even(value * 100, 0) AS BIGINT) AS actual_c,
+           CAST(round_even(value * (100 + COALESCE(TRY_CAST(props ->> '$.k' AS INTEGER), 0)), 0) AS BIGINT) AS claimed_c
+    FROM events"""
+
 
 @register("str_01_review_ingest")
 def str_01_review_ingest(spark, sf_dir):
@@ -13,13 +22,28 @@ def str_01_review_ingest(spark, sf_dir):
     return spark.read.parquet(S.run_review_ingest(spark, sf_dir))
 
 
-@register("str_02_daily_ticks")
+@register("str_02_daily_ticks", f"""
+    WITH t AS ({TICKS_SQL})
+    SELECT CAST(date_trunc('day', ts) AS DATE) AS day, seller, count(*) AS ticks, CAST(sum(actual_c) AS BIGINT) AS sum_c,
+           min(actual_c) AS min_c, max(actual_c) AS max_c
+    FROM t GROUP BY 1, 2
+    HAVING CAST(date_trunc('day', min(ts)) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM t) - INTERVAL 1 DAY""")
 def str_02_daily_ticks(spark, sf_dir):
     """STR-02: daily tumbling tick aggregates per seller under a 1-day watermark."""
-    return spark.read.parquet(S.run_to_table(S.daily_ticks(S.ticks_stream(spark, sf_dir)), "daily-ticks"))
-
-
-@register("str_02_tick_flags")
+    out = spark.read.parquet(S.run_to_table(S.daily_ticks(S.ticks_stream(spark, sf_dir)), "daily-ticks"))
+    return out.withColumn("day", F.col("day").cast("date"))
+
+
+@register("str_02_tick_flags", f"""
+    WITH t AS ({TICKS_SQL}),
+    r AS (SELECT *, SUM(actual_c) OVER w AS roll_sum_c, COUNT(*) OVER w AS roll_n FROM t
+          WINDOW w AS (PARTITION BY seller ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+    SELECT seller, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, actual_c, claimed_c,
+           CAST(roll_sum_c AS BIGINT) AS roll_sum_c, roll_n,
+           (claimed_c > actual_c AND actual_c * 10 * roll_n >= roll_sum_c * 9) AS is_manipulation, false AS late
+    FROM r""")
 def str_02_tick_flags(spark, sf_dir):
     """STR-02: stateful 7-tick rolling mean per seller with fake-discount flags."""
-    return spark.read.parquet(S.run_to_table(S.tick_flags(S.ticks_stream(spark, sf_dir)), "tick-flags"))
+    out = spark.read.parquet(S.run_to_table(S.tick_flags(S.ticks_stream(spark, sf_dir)), "tick-flags"))
+    return out.select("seller", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
+                      "actual_c", "claimed_c", "roll_sum_c", "roll_n", "is_manipulation", "late")
