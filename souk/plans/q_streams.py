@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from souk.plans.registry import register
+from souk.sources import views as V
 from souk.streaming import streams as S
 
 TICKS_SQL = """
@@ -16,7 +17,8 @@ TICKS_SQL = """
     FROM events"""
 
 
-@register("str_01_review_ingest")
+@register("str_01_review_ingest", V.with_views("""
+    SELECT * FROM reviews WHERE product IN (SELECT p_brand FROM part)""", "reviews"))
 def str_01_review_ingest(spark, sf_dir):
     """STR-01: streaming review ingest (parent check, labels, watermark de-dup, append)."""
     return spark.read.parquet(S.run_review_ingest(spark, sf_dir))
