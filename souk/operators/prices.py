@@ -144,10 +144,11 @@ def grid(prices: DataFrame) -> DataFrame:
     day's first and last quote left-joined (NULL when the seller has no quote that day).
     The grid is bounded by calendar days x sellers per product, not by the number of rows."""
     cells = cell_quotes(prices)
-    # Spines come from the aggregated cells (one row per product/seller/day), so the quote
-    # table is scanned once; the identical aggregate exchange is reused by all three.
-    days = cells.select("product", "date").distinct()
-    sellers = cells.select("product", "seller").distinct()
+    # Spines come from the aggregated cells (one row per product/seller/day). Keeping a use of
+    # the quote count stops the optimiser from re-deriving them from the raw quotes, so the
+    # quote table is scanned once and the cells' shuffle is reused by all three branches.
+    days = cells.groupBy("product", "date").agg(F.sum("n_quotes").alias("_q")).filter(F.col("_q") > 0).drop("_q")
+    sellers = cells.groupBy("product", "seller").agg(F.sum("n_quotes").alias("_q")).filter(F.col("_q") > 0).drop("_q")
     spine = days.join(sellers, "product")
     return spine.join(cells, ["product", "seller", "date"], "left")
 
