@@ -81,7 +81,7 @@ def max_group_rows(df: DataFrame, keys: Sequence[str]) -> int:
 
 def rolling_rows(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
                  sums: dict[str, str], count_col: str | None = "_cnt",
-                 strategy: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS,
+                 strategy: str = "auto", block_rows: int | None = None,
                  max_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """Sums over the last ``n`` rows (current included) of each key in ``order``.
 
@@ -89,6 +89,7 @@ def rolling_rows(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
     in the frame (``min(position, n)``), which is what a rolling mean with ``min_periods=1``
     divides by.
     """
+    block_rows = block_rows or DEFAULT_BLOCK_ROWS
     if strategy == "auto":
         strategy = "window" if max_group_rows(df, keys) <= max_rows else "blocked"
     if strategy == "window":
