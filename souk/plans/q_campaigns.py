@@ -13,7 +13,7 @@ WINDOWS_SQL = "SELECT * FROM (VALUES " + ", ".join(
 RATES_SQL = "SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', '{s}', CAST({r} AS DOUBLE))" for c, s, r in K.SELLER_RATES) + ") r(campaign, seller, rate)"
 TAGGED_SQL = f"""
-    SELECT s.*, w.campaign, year(s.date) AS year, COALESCE(r.rate, CAST({K.DEFAULT_RATE} AS DOUBLE)) AS rate
+    SELECT s.*, w.campaign, CAST(year(s.date) AS INTEGER) AS year, COALESCE(r.rate, CAST({K.DEFAULT_RATE} AS DOUBLE)) AS rate
     FROM s JOIN cw w ON month(s.date) = w.month AND day(s.date) BETWEEN w.day_from AND w.day_to
     LEFT JOIN rt r ON r.campaign = w.campaign AND r.seller = s.seller"""
 PCT = "COALESCE(CAST(claimed_c - actual_c AS DOUBLE) / NULLIF(CAST(claimed_c AS DOUBLE), 0) * 100, 0)"
@@ -48,7 +48,7 @@ def agg_21_campaign_rollup(spark, sf_dir):
 
 @register("agg_30_top_campaigns", V.with_views("""
     SELECT product, seller, name, discount_percentage, is_real, quotes, mean_score, rank FROM (
-      SELECT *, row_number() OVER (ORDER BY mean_score DESC, discount_percentage DESC, product, seller, name) AS rank
+      SELECT *, CAST(row_number() OVER (ORDER BY mean_score DESC, discount_percentage DESC, product, seller, name) AS INTEGER) AS rank
       FROM (SELECT *, round_even(mean_score_raw * 10000, 0) / 10000 AS mean_score FROM c))
     WHERE rank <= 10""", "prices", extra=CTES))
 def agg_30_top_campaigns(spark, sf_dir):

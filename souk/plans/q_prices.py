@@ -217,7 +217,7 @@ def agg_19_anomaly_days_by_seller(spark, sf_dir):
 
 @register("agg_25_top_manipulated", V.with_views("""
     SELECT product, fake_discounts, rank FROM (
-      SELECT product, fake_discounts, row_number() OVER (ORDER BY fake_discounts DESC, product) AS rank
+      SELECT product, fake_discounts, CAST(row_number() OVER (ORDER BY fake_discounts DESC, product) AS INTEGER) AS rank
       FROM (SELECT product, count(*) FILTER (WHERE is_manipulation) AS fake_discounts FROM s GROUP BY product))
     WHERE rank <= 5""", "prices", extra=SCORED_CTES))
 def agg_25_top_manipulated(spark, sf_dir):
@@ -287,8 +287,8 @@ def sort_03_cheapest_quotes(spark, sf_dir):
 
 @register("win_07_last_3_quotes", V.with_views(f"""
     SELECT product, seller, {TIE_SQL}, CAST(actual_c AS DOUBLE) / 100 AS actual_price, rn FROM (
-      SELECT *, row_number() OVER (PARTITION BY product, seller ORDER BY date DESC, order_key DESC,
-                                   line_no DESC, part_id DESC, supp_id DESC) AS rn FROM prices)
+      SELECT *, CAST(row_number() OVER (PARTITION BY product, seller ORDER BY date DESC, order_key DESC,
+                                   line_no DESC, part_id DESC, supp_id DESC) AS INTEGER) AS rn FROM prices)
     WHERE rn <= 3""", "prices"))
 def win_07_last_3_quotes(spark, sf_dir):
     """WIN-07: last k rows per series (partial top-k before the shuffle)."""

@@ -68,7 +68,7 @@ def agg_05_model_adjustment(spark, sf_dir):
 
 @register("sort_02_review_page", V.with_views(f"""
     SELECT product, id, review_rating, sentiment, row_num, total, CAST(ceil(CAST(total AS DOUBLE) / {LIMIT}) AS BIGINT) AS total_pages
-    FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY id DESC) AS row_num,
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY id DESC) AS INTEGER) AS row_num,
                  count(*) OVER (PARTITION BY product) AS total FROM reviews)
     WHERE row_num > {(PAGE - 1) * LIMIT} AND row_num <= {PAGE * LIMIT}""", "reviews"))
 def sort_02_review_page(spark, sf_dir):
@@ -83,7 +83,7 @@ def sort_02_review_page(spark, sf_dir):
            CAST(floor(CAST(count(*) FILTER (WHERE sentiment = 'Negative') AS DOUBLE) / count(*) * 100 + 0.5) AS INTEGER) AS negative_pct,
            100 - CAST(floor(CAST(count(*) FILTER (WHERE sentiment = 'Positive') AS DOUBLE) / count(*) * 100 + 0.5) AS INTEGER)
                - CAST(floor(CAST(count(*) FILTER (WHERE sentiment = 'Negative') AS DOUBLE) / count(*) * 100 + 0.5) AS INTEGER) AS neutral_pct
-    FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY id DESC) AS rn FROM reviews) WHERE rn <= {RECENT}
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY id DESC) AS INTEGER) AS rn FROM reviews) WHERE rn <= {RECENT}
     GROUP BY product""", "reviews"))
 def win_08_recent_split(spark, sf_dir):
     """WIN-08 + AGG-07: sentiment split of each product's last 20 reviews."""
@@ -100,7 +100,7 @@ def agg_06_product_summary(spark, sf_dir):
 
 @register("agg_08_top_products", V.with_views("""
     SELECT product, review_count, rank FROM (
-      SELECT product, count(*) AS review_count, row_number() OVER (ORDER BY count(*) DESC, product) AS rank
+      SELECT product, count(*) AS review_count, CAST(row_number() OVER (ORDER BY count(*) DESC, product) AS INTEGER) AS rank
       FROM reviews GROUP BY product) WHERE rank <= 10""", "reviews"))
 def agg_08_top_products(spark, sf_dir):
     """AGG-08: top 10 products by review count."""
@@ -109,7 +109,7 @@ def agg_08_top_products(spark, sf_dir):
 
 @register("agg_09_top_by_keyword", V.with_views(" UNION ALL ".join(f"""
     SELECT * FROM (SELECT '{k}' AS keyword, product, review_count,
-                          row_number() OVER (ORDER BY review_count DESC, product) AS rank
+                          CAST(row_number() OVER (ORDER BY review_count DESC, product) AS INTEGER) AS rank
                    FROM (SELECT product, count(*) AS review_count FROM reviews GROUP BY product)
                    WHERE contains(lower(product), lower('{k}'))) WHERE rank <= 5""" for k in KEYWORDS), "reviews"))
 def agg_09_top_by_keyword(spark, sf_dir):
@@ -147,7 +147,7 @@ STOP_SQL = ", ".join(f"'{w}'" for w in R.KEYWORD_STOP_WORDS)
 
 @register("agg_28_top_keywords", V.with_views(rf"""
     SELECT product, sentiment, word, count, rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY product, sentiment ORDER BY count DESC, word) AS rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY product, sentiment ORDER BY count DESC, word) AS INTEGER) AS rank FROM (
         SELECT product, sentiment, word, count(*) AS count FROM (
           SELECT product, sentiment, unnest(regexp_split_to_array(lower(review_text), '[^\p{{L}}]+')) AS word
           FROM reviews WHERE sentiment IS NOT NULL)
@@ -180,7 +180,7 @@ CATEGORY_SQL = "'group-' || CAST((CAST(regexp_extract(product, '#(\\d+)$', 1) AS
 @register("agg_29_related_products", V.with_views(f"""
     SELECT for_product, rank, product, review_count, overall FROM (
       SELECT m.product AS for_product, l.product, l.review_count, l.overall,
-             row_number() OVER (PARTITION BY m.product ORDER BY l.review_count DESC, l.product) AS rank
+             CAST(row_number() OVER (PARTITION BY m.product ORDER BY l.review_count DESC, l.product) AS INTEGER) AS rank
       FROM s m JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY review_count DESC, product) AS r FROM s) WHERE r <= 5) l
         ON m.category = l.category AND m.product <> l.product)
     WHERE rank <= 4""", "reviews", extra={"o": OVERALL_SQL, "s": f"""
@@ -330,7 +330,7 @@ def prj_08_negative_name_filter(spark, sf_dir):
 
 
 @register("fn_07_image_cycle", V.with_views("""
-    SELECT id, len(string_split(name, ' ')) AS n_images,
+    SELECT id, CAST(len(string_split(name, ' ')) AS INTEGER) AS n_images,
            list_extract(string_split(name, ' '), (7 % len(string_split(name, ' '))) + 1) AS image
     FROM products""", "products"))
 def fn_07_image_cycle(spark, sf_dir):

@@ -83,7 +83,7 @@ def ml_08_split(spark, sf_dir):
 
 
 @register("ml_12_truncate", V.with_views(r"""
-    SELECT doc_id, len(toks) AS n_tokens, array_to_string(toks[1:128], ' ') AS truncated
+    SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(toks[1:128], ' ') AS truncated
     FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS toks FROM documents)"""))
 def ml_12_truncate(spark, sf_dir):
     """ML-12: truncation of every text to its first 128 word tokens."""

@@ -9,6 +9,9 @@ import pytest
 from souk.plans.registry import load_all
 
 QUERIES = load_all()
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+            "boolean": "BOOLEAN", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP",
+            "float": "FLOAT", "decimal": "DECIMAL"}
 WITH_SQL = sorted(k for k, q in QUERIES.items() if q.sql)
 
 
@@ -38,6 +41,9 @@ def test_matches_sql(spark, sf, duck, key):
     res = duck.execute(q.sql)
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]).split("(")[0] for d in res.description}
+    for f in df.schema.fields:
+        assert TYPE_MAP.get(f.dataType.simpleString().split("(")[0]) == dtypes[f.name], f.name
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, res.fetchall())
 
 
