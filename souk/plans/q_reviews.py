@@ -365,3 +365,10 @@ def agg_01_table_counts(spark, sf_dir):
         c = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+@register("sort_02_keyset_page", V.with_views("""
+    SELECT id, product, review_rating FROM reviews WHERE id < 500 ORDER BY id DESC LIMIT 10""", "reviews"))
+def sort_02_keyset_page(spark, sf_dir):
+    """SORT-02 (deep pages): the next 10 reviews after the last id seen (keyset paging)."""
+    return R.keyset_page(V.reviews(spark, sf_dir, with_text=False), 500, 10).select("id", "product", "review_rating")

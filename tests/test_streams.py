@@ -36,3 +36,24 @@ def test_review_ingest_stream_equals_batch(spark, sf):
     want = V.reviews(spark, sf)
     assert got.count() == want.count()
     assert got.select("id", "product", "sentiment").exceptAll(want.select("id", "product", "sentiment")).count() == 0
+
+
+def test_late_ticks_are_reported_not_folded(spark, sf):
+    """Ticks arriving after newer ones of the same seller (a later file holding older
+    events) are marked late and do not change the rolling state."""
+    import os
+    from souk.sources.changes import new_table_path
+    ev = read(spark, sf, "events")
+    cut = ev.agg(F.expr("percentile_approx(ts, 0.5)").alias("m")).first().m
+    d = new_table_path(spark, "late-events")
+    ev.filter(F.col("ts") >= F.lit(cut)).coalesce(1).write.parquet(os.path.join(d, "a"))
+    ev.filter(F.col("ts") < F.lit(cut)).coalesce(1).write.parquet(os.path.join(d, "b"))
+    src = (spark.readStream.schema(S.EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
+                .option("recursiveFileLookup", "true").parquet(d))
+    got = spark.read.parquet(S.run_to_table(S.tick_flags(S.tick_columns(src)), "late-flags"))
+    n_old = ev.filter(F.col("ts") < F.lit(cut)).count()
+    n_new = ev.filter(F.col("ts") >= F.lit(cut)).count()
+    assert got.count() == n_old + n_new
+    # the newer file is processed first (files are taken in modification order)
+    assert got.filter("late").count() == n_old
+    assert got.filter("late AND roll_n IS NOT NULL").count() == 0
