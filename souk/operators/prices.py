@@ -68,21 +68,23 @@ def anomaly_report(scored_df: DataFrame) -> DataFrame:
 
 def latest_snapshot(prices: DataFrame) -> DataFrame:
     """WIN-06 + AGG-12: per product, the quotes on its latest date; mean price, the best
-    (lowest) price and the seller holding it, and that quote's discount %."""
-    last = prices.groupBy("product").agg(F.max("date").alias("date"))
-    day = prices.join(last, ["product", "date"])
-    stats = day.groupBy("product", "date").agg(
-        mean_c("actual_c").alias("_avg_c"),
-        F.min_by(F.struct("seller", "claimed_c", "actual_c"),
-                 F.struct("actual_c", *PRICE_TIE)).alias("_best"),
-        F.count(F.lit(1)).alias("quotes"))
-    return stats.select(
-        "product", F.col("date").alias("latest_date"),
-        F.col("_best.seller").alias("best_seller"),
-        money("_best.actual_c").alias("best_price"),
-        round_half_even(F.col("_avg_c") / 100, 2).alias("avg_price"),
-        round_half_even(discount_pct("_best.claimed_c", "_best.actual_c"), 1).alias("discount_pct"),
-        "quotes")
+    (lowest) price and the seller holding it, and that quote's discount %.
+
+    Two aggregates, no join back: per (product, day) sums and the day's best quote, then per
+    product the latest day (``max_by``). Both are partial aggregates, so no product's quotes
+    are gathered in one task and the quote table is never shuffled whole for a join."""
+    per_day = prices.groupBy("product", "date").agg(
+        F.sum("actual_c").alias("_sum_c"), F.count(F.lit(1)).alias("quotes"),
+        F.min_by(F.struct("seller", "claimed_c", "actual_c"), F.struct("actual_c", *PRICE_TIE)).alias("_best"))
+    last = per_day.groupBy("product").agg(
+        F.max_by(F.struct("date", "_sum_c", "quotes", "_best"), F.col("date")).alias("d"))
+    return last.select(
+        "product", F.col("d.date").alias("latest_date"),
+        F.col("d._best.seller").alias("best_seller"),
+        money("d._best.actual_c").alias("best_price"),
+        round_half_even(F.col("d._sum_c").cast("double") / F.col("d.quotes") / 100, 2).alias("avg_price"),
+        round_half_even(discount_pct("d._best.claimed_c", "d._best.actual_c"), 1).alias("discount_pct"),
+        F.col("d.quotes").alias("quotes"))
 
 
 def flag_summary(scored_df: DataFrame) -> DataFrame:
@@ -247,11 +249,15 @@ def type_share(scored_df: DataFrame) -> DataFrame:
 
 
 def last_n_days(prices: DataFrame, days: int = 30) -> DataFrame:
-    """PRJ-16: quotes within the last ``days`` days of each product's history."""
-    last = prices.groupBy("product").agg(F.max("date").alias("_last"))
-    recent = prices.join(last, "product").filter(F.col("date") > F.date_sub("_last", days))
+    """PRJ-16: quotes within the last ``days`` days of each product's history. Quotes are
+    first summed per (product, seller, day); the product's last day is a window over that
+    small table (bounded by calendar days x sellers), so the quotes are not joined back."""
+    daily = prices.groupBy("product", "seller", "date").agg(F.sum("actual_c").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("product")
+    recent = daily.withColumn("_last", F.max("date").over(w)).filter(F.col("date") > F.date_sub("_last", days))
     return recent.groupBy("product", "seller").agg(
-        F.count(F.lit(1)).alias("quotes"), round_half_even(mean_c("actual_c") / 100, 2).alias("avg_price"))
+        F.sum("_n").alias("quotes"),
+        round_half_even(F.sum("_s").cast("double") / F.sum("_n") / 100, 2).alias("avg_price"))
 
 
 def above_global_average(prices: DataFrame) -> DataFrame:
