@@ -12,7 +12,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -37,10 +36,10 @@ HEADLINE = [
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from souk.session import get_spark
-    scratch = tempfile.mkdtemp(prefix="souk-bench-")
+    from souk.session import checkpoint_dir, get_spark
     spark = get_spark(f"local[{cpus}]", app="souk-bench", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g", "spark.checkpoint.dir": os.path.join(scratch, "ckpt")})
+                      extra={"spark.driver.memory": "16g"})
+    checkpoint_dir(spark)   # the session's spark.checkpoint.dir; a private folder only when unset
     from souk.plans.registry import load_all
     reg = load_all()
     keys = [k for k in HEADLINE if k in reg]
