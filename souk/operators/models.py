@@ -252,3 +252,20 @@ def isolation_forest(df: DataFrame, features: list[str], id_cols: list[str],
     return (scored.crossJoin(F.broadcast(cut))
                   .withColumn("anomaly", F.when(F.col("if_score") >= F.col("_cut"), F.lit(-1)).otherwise(F.lit(1)))
                   .drop("_cut"))
+
+
+# ------------------------------------------------------------------ outside model slot (ML-01/03)
+
+INFERENCE_BATCH = 16   # fixed value: the reference's inference batch size
+
+
+def outside_model(make_predict, text_col: str, classes: int, batch_size: int = INFERENCE_BATCH):
+    """A pluggable slot for a model that lives outside Spark (e.g. an ONNX session): the
+    ``make_predict()`` factory is called once per Python worker and gets numpy batches of
+    ``batch_size`` texts (Arrow batches), returning a (batch, classes) array of logits.
+    Returns a Column of logits; ``functions.exprs.softmax``/``argmax`` turn it into labels."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+    udf = predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size,
+                            input_tensor_shapes=None)
+    return udf(F.col(text_col))

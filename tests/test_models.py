@@ -31,3 +31,44 @@ def test_sentiment_slots_and_fallback(spark, sf):
     ev = {r.model: r for r in load_all()["ml_05_sentiment_eval"].build(spark, sf).collect()}
     assert set(ev) == {"bert", "roberta", "lstm", "majority"}
     assert all(0.0 <= r.accuracy <= 1.0 for r in ev.values())
+
+
+def _keyword_model():
+    """A tiny stand-in for an outside model: logits from word hits (numpy only)."""
+    import numpy as np
+
+    def predict(texts):
+        out = []
+        for t in texts:
+            t = str(t).lower()
+            out.append([t.count(" not "), t.count(" the ") * 0.0, t.count(" is ")])
+        return np.asarray(out, dtype=np.float32)
+    return predict
+
+
+def test_outside_model_slot(spark, sf):
+    from souk.functions.exprs import argmax, softmax
+    from souk.sources import views as V
+    r = V.reviews(spark, sf).select("id", "review_text")
+    logits = M.outside_model(_keyword_model, "review_text", 3)
+    out = r.select("id", logits.alias("logits")).select("id", argmax("logits").alias("cls"),
+                                                        F.array_max(softmax("logits")).alias("p"))
+    rows = out.collect()
+    assert len(rows) == r.count()
+    assert all(0 <= x.cls <= 2 and 0.0 < x.p <= 1.0 for x in rows)
+
+
+def test_accuracy_f1_matches_mllib(spark, sf):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from souk.operators import text as T
+    from souk.sources.tables import read
+    truth = read(spark, sf, "documents", "doc_id", "lang")
+    det = T.detect_language(read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+    j = truth.join(det, "doc_id").fillna({"detected": "none"})
+    ours = T.accuracy_f1(j, "lang", "detected").first()
+    codes = {c: float(i) for i, c in enumerate(["en", "de", "fr", "es", "none"])}
+    m = F.create_map(*[x for k, v in codes.items() for x in (F.lit(k), F.lit(v))])
+    num = j.select(m[F.col("lang")].alias("label"), m[F.col("detected")].alias("prediction"))
+    ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction")
+    assert abs(ev.setMetricName("accuracy").evaluate(num) - ours.accuracy) < 1e-6
+    assert abs(ev.setMetricName("f1").evaluate(num) - ours.weighted_f1) < 1e-6
