@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.exprs import DEAL_PENALTY, discount_pct, money, round_half_even
+from souk.operators.series import arg_best
 from souk.sources.views import PRICE_TIE
 
 # Advice texts, colours and score tiers shown by the reference.
@@ -23,12 +24,10 @@ LOW_TIER = ("Wait / Fake", "Poor Deal")
 
 def best_deals(scored_df: DataFrame) -> DataFrame:
     """WIN-04: each seller's quote with the largest discount %; ties go to the earliest quote."""
-    pct = discount_pct("claimed_c", "actual_c")
-    rows = scored_df.withColumn("_pct", pct)
-    best = rows.groupBy("product", "seller").agg(
-        F.min_by(F.struct("date", *PRICE_TIE, "claimed_c", "actual_c", "_pct", "is_manipulation"),
-                 F.struct((-F.col("_pct")).alias("k"), "date", *PRICE_TIE)).alias("b"))
-    return best.select("product", "seller", "b.*")
+    rows = scored_df.withColumn("_pct", discount_pct("claimed_c", "actual_c"))
+    order = [(-F.col("_pct")).alias("k"), F.col("date"), *[F.col(c) for c in PRICE_TIE]]
+    return arg_best(rows, ["product", "seller"], order,
+                    ["date", *PRICE_TIE, "claimed_c", "actual_c", "_pct", "is_manipulation"])
 
 
 def market(scored_df: DataFrame) -> DataFrame:

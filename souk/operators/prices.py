@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from souk.functions.exprs import (FAKE_FLAG_SCORE, FAKE_RATIO_DEN, FAKE_RATIO_NUM, ROLLING_ROWS,
                                   checksum_confidence, discount_pct, money, round_half_even,
                                   weekday_sun0)
-from souk.operators.series import arg_best, forward_fill, rolling_rows, top_k
+from souk.operators.series import forward_fill, rolling_rows, top_k
 from souk.sources.views import PRICE_TIE, SERIES
 
 ORDER = ("date",) + PRICE_TIE

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from souk.functions.exprs import round_half_up
 from souk.operators import prices as P
 from souk.operators import reviews as R
 from souk.plans.registry import register
