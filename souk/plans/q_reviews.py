@@ -12,6 +12,7 @@ from souk.sources import views as V
 # Fixed query parameters (the endpoint's request arguments).
 SEARCH, SENTIMENT, STORE = "the", "Positive", "src3"
 PAGE, LIMIT, RECENT = 2, 10, 20
+PAGE_RECENT = 500   # the product page asks for the last 500 reviews
 KEYWORDS = ("#1", "#2")
 AVG_RATING_SQL = "COALESCE(CAST(sum(review_rating) AS DOUBLE) / NULLIF(count(review_rating), 0), 0.0::DOUBLE)"
 
@@ -85,10 +86,23 @@ def sort_02_review_page(spark, sf_dir):
     FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY id DESC) AS INTEGER) AS rn FROM reviews) WHERE rn <= {RECENT}
     GROUP BY product""", "reviews"))
 def win_08_recent_split(spark, sf_dir):
-    """WIN-08 + AGG-07: sentiment split of each product's last 20 reviews."""
+    """WIN-08 + AGG-07: sentiment split of each product's last 20 reviews (endpoint default)."""
     return R.recent_split(V.reviews(spark, sf_dir, with_text=False), RECENT)
 
 
+@register("agg_07_page_split_500", V.with_views(f"""
+    SELECT product, count(*) AS reviews,
+           CAST(floor(CAST(count(*) FILTER (WHERE sentiment = 'Positive') AS DOUBLE) / count(*) * 100 + 0.5) AS INTEGER) AS positive_pct,
+           CAST(floor(CAST(count(*) FILTER (WHERE sentiment = 'Negative') AS DOUBLE) / count(*) * 100 + 0.5) AS INTEGER) AS negative_pct,
+           100 - CAST(floor(CAST(count(*) FILTER (WHERE sentiment = 'Positive') AS DOUBLE) / count(*) * 100 + 0.5) AS INTEGER)
+               - CAST(floor(CAST(count(*) FILTER (WHERE sentiment = 'Negative') AS DOUBLE) / count(*) * 100 + 0.5) AS INTEGER) AS neutral_pct
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY id DESC) AS INTEGER) AS rn FROM reviews) WHERE rn <= {PAGE_RECENT}
+    GROUP BY product""", "reviews"))
+def agg_07_page_split_500(spark, sf_dir):
+    """AGG-07 + WIN-08: the product page's split, over each product's last 500 reviews."""
+    return R.recent_split(V.reviews(spark, sf_dir, with_text=False), PAGE_RECENT)
+
+
 @register("agg_06_product_summary", V.with_views(f"""
     SELECT product, {AVG_RATING_SQL} AS avg_rating, count(*) AS total_reviews, {_pct_sql('Positive')} AS pos_percent
     FROM reviews GROUP BY product""", "reviews"))
