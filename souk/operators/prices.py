@@ -66,19 +66,31 @@ def anomaly_report(scored_df: DataFrame) -> DataFrame:
         round_half_even(checksum_confidence("date", "seller"), 1).alias("confidence"))
 
 
+LATEST_BROADCAST_ROWS = 2_000_000
+
+
 def latest_snapshot(prices: DataFrame) -> DataFrame:
     """WIN-06 + AGG-12: per product, the quotes on its latest date; mean price, the best
     (lowest) price and the seller holding it, and that quote's discount %.
 
-    Two aggregates, no join back: per (product, day) sums and the day's best quote, then per
-    product the latest day (``max_by``). Both are partial aggregates, so no product's quotes
-    are gathered in one task and the quote table is never shuffled whole for a join."""
-    per_day = prices.groupBy("product", "date").agg(
-        F.sum("actual_c").alias("_sum_c"), F.count(F.lit(1)).alias("quotes"),
-        F.min_by(F.struct("seller", "claimed_c", "actual_c"), F.struct("actual_c", *PRICE_TIE)).alias("_best"))
-    last = per_day.groupBy("product").agg(
-        F.max_by(F.struct("date", "_sum_c", "quotes", "_best"), F.col("date")).alias("d"))
-    return last.select(
+    The latest date per product is a hash aggregate, checkpointed (it is one row per
+    product) and counted. Within the bound it is broadcast and only the latest day's quotes
+    are aggregated - no shuffle of the quote table. Above it, two aggregates are used
+    instead (per product-day, then ``max_by`` per product), still without a join back."""
+    from souk.session import checkpoint_dir
+    checkpoint_dir(prices.sparkSession)
+    last = prices.groupBy("product").agg(F.max("date").alias("date")).checkpoint(eager=True)
+    best = F.min_by(F.struct("seller", "claimed_c", "actual_c"), F.struct("actual_c", *PRICE_TIE)).alias("_best")
+    if last.count() <= LATEST_BROADCAST_ROWS:
+        day = prices.join(F.broadcast(last), ["product", "date"])
+        d = day.groupBy("product", "date").agg(F.sum("actual_c").alias("_sum_c"), F.count(F.lit(1)).alias("quotes"), best)
+        d = d.select("product", F.struct("date", "_sum_c", "quotes", "_best").alias("d"))
+    else:
+        per_day = prices.groupBy("product", "date").agg(
+            F.sum("actual_c").alias("_sum_c"), F.count(F.lit(1)).alias("quotes"), best)
+        d = per_day.groupBy("product").agg(
+            F.max_by(F.struct("date", "_sum_c", "quotes", "_best"), F.col("date")).alias("d"))
+    return d.select(
         "product", F.col("d.date").alias("latest_date"),
         F.col("d._best.seller").alias("best_seller"),
         money("d._best.actual_c").alias("best_price"),

@@ -21,3 +21,14 @@ def test_blocked_path_matches_sql(spark, sf, duck, key, monkeypatch):
     res = duck.execute(q.sql)
     dcols = [d[0] for d in res.description]
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, res.fetchall())
+
+
+@pytest.mark.parametrize("key", ["agg_12_latest_snapshot", "fn_21_commentary", "fn_29_30_display"])
+def test_snapshot_without_broadcast_matches_sql(spark, sf, duck, key, monkeypatch):
+    from souk.operators import prices
+    monkeypatch.setattr(prices, "LATEST_BROADCAST_ROWS", 0)
+    q = load_all()[key]
+    df = q.build(spark, sf)
+    res = duck.execute(q.sql)
+    dcols = [d[0] for d in res.description]
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, res.fetchall())
