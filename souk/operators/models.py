@@ -246,12 +246,14 @@ def score_isolation_forest(df: DataFrame, forest: list[dict], features: list[str
 def isolation_forest(df: DataFrame, features: list[str], id_cols: list[str],
                      contamination: float = IF_CONTAMINATION) -> DataFrame:
     """ML-04: fit, score every row, flag the top ``contamination`` share (anomaly = -1)."""
+    from souk.session import checkpoint_dir
     forest, psi = fit_isolation_forest(df, features, id_cols)
-    scored = score_isolation_forest(df, forest, features, sample=psi)
-    cut = scored.agg(F.percentile_approx("if_score", 1 - contamination, 10000).alias("_cut"))
-    return (scored.crossJoin(F.broadcast(cut))
-                  .withColumn("anomaly", F.when(F.col("if_score") >= F.col("_cut"), F.lit(-1)).otherwise(F.lit(1)))
-                  .drop("_cut"))
+    # Scores are used twice (threshold and output): materialise them once in the shared
+    # checkpoint folder instead of running the Python scoring pass twice.
+    checkpoint_dir(df.sparkSession)
+    scored = score_isolation_forest(df, forest, features, sample=psi).checkpoint(eager=True)
+    cut = scored.agg(F.percentile_approx("if_score", 1 - contamination, 10000).alias("_cut")).scalar()
+    return scored.withColumn("anomaly", F.when(F.col("if_score") >= cut, F.lit(-1)).otherwise(F.lit(1)))
 
 
 # ------------------------------------------------------------------ outside model slot (ML-01/03)

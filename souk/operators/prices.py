@@ -273,11 +273,12 @@ def last_n_days(prices: DataFrame, days: int = 30) -> DataFrame:
 
 
 def above_global_average(prices: DataFrame) -> DataFrame:
-    """JOIN-11: every quote against one global mean (a one-row broadcast)."""
-    g = prices.agg(mean_c("actual_c").alias("_gavg"))
-    j = prices.crossJoin(F.broadcast(g))
+    """JOIN-11: every quote against one global mean (a scalar subquery: computed once,
+    its single value shipped to every task)."""
+    g = prices.agg(mean_c("actual_c").alias("_gavg")).scalar()
+    j = prices.withColumn("_above", F.col("actual_c") > g)
     return j.groupBy("product").agg(
-        F.count_if(F.col("actual_c") > F.col("_gavg")).alias("above_avg"),
+        F.count_if("_above").alias("above_avg"),
         F.count(F.lit(1)).alias("quotes"))
 
 

@@ -105,12 +105,12 @@ def truncate_tokens(df: DataFrame, text_col: str, max_tokens: int = 128) -> Data
 def training_set(reviews: DataFrame, detected: DataFrame, brand_pattern: str, id_col: str = "id") -> DataFrame:
     """ML-10: rated reviews with text, brand filter, English only ('keep' policy of ML-11),
     label 0/1/2. If no English review is left, the brand-filtered rows are used instead
-    (the fallback is a one-row flag broadcast to every row)."""
+    (the fallback flag is a scalar subquery)."""
     base = (reviews.dropna(subset=["review_text", "review_rating"])
                    .filter(rlike_ci("product", brand_pattern)))
     tagged = base.join(detected, id_col, "left").withColumn("_en", F.coalesce(F.col("detected") == "en", F.lit(False)))
-    any_en = tagged.agg(F.bool_or("_en").alias("_any"))
-    kept = tagged.crossJoin(F.broadcast(any_en)).filter(F.col("_en") | ~F.coalesce(F.col("_any"), F.lit(False)))
+    any_en = tagged.agg(F.bool_or("_en").alias("_any")).scalar()
+    kept = tagged.withColumn("_any", any_en).filter(F.col("_en") | ~F.coalesce(F.col("_any"), F.lit(False)))
     return kept.select(id_col, F.col("review_text").alias("text"), label_of_rating("review_rating").alias("label"))
 
 
