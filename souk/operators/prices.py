@@ -256,8 +256,8 @@ def discount_type(scored_col="is_manipulation") -> F.Column:
 def type_share(scored_df: DataFrame) -> DataFrame:
     """AGG-27: share of quotes by manipulation type (three rows)."""
     by = scored_df.groupBy(discount_type().alias("type")).agg(F.count(F.lit(1)).alias("quotes"))
-    total = Window.partitionBy()  # three rows: the unpartitioned window is tiny
-    return by.withColumn("share_pct", round_half_even(F.col("quotes") / F.sum("quotes").over(total) * 100, 2))
+    total = by.agg(F.sum("quotes")).scalar()     # over the three aggregated rows
+    return by.withColumn("share_pct", round_half_even(F.col("quotes") / total * 100, 2))
 
 
 def last_n_days(prices: DataFrame, days: int = 30) -> DataFrame:
