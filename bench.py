@@ -37,8 +37,14 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from souk.session import checkpoint_dir, get_spark
+    # Driver heap: at most 16 GB and never more than 60% of this machine's memory.
+    try:
+        mem_gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2 ** 30
+    except (ValueError, OSError, AttributeError):
+        mem_gb = 8.0
+    heap = max(1, min(16, int(mem_gb * 0.6)))
     spark = get_spark(f"local[{cpus}]", app="souk-bench", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g"})
+                      extra={"spark.driver.memory": f"{heap}g"})
     checkpoint_dir(spark)   # the session's spark.checkpoint.dir; a private folder only when unset
     from souk.plans.registry import load_all
     reg = load_all()
