@@ -225,13 +225,17 @@ def _path_lengths(X: np.ndarray, tree: dict) -> np.ndarray:
 def score_isolation_forest(df: DataFrame, forest: list[dict], features: list[str], sample: int = IF_SAMPLE,
                            out: str = "if_score") -> DataFrame:
     """Anomaly score 2^(-E[h(x)] / c(sample)) for every row (Arrow batches)."""
-    bc = df.sparkSession.sparkContext.broadcast(forest)
+    try:
+        bc = df.sparkSession.sparkContext.broadcast(forest)   # bounded: trees x (2 x sample - 1) nodes
+        get_forest = lambda: bc.value
+    except Exception:  # noqa: BLE001 - Spark Connect: ship the (small) forest with the function
+        get_forest = lambda: forest
     cn = float(_c(sample))
     from pyspark.sql.types import DoubleType, StructField, StructType
     schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType())])
 
     def run(batches):
-        trees = bc.value
+        trees = get_forest()
         for pdf in batches:
             X = pdf[features].to_numpy(dtype="float64")
             ok = ~np.isnan(X).any(axis=1)

@@ -50,14 +50,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set by the platform (a shared file system path).
     Only when it is unset - local tests - a private scratch folder is created.
     """
+    try:
+        sc = spark.sparkContext          # classic sessions; Spark Connect has none
+    except Exception:                    # noqa: BLE001
+        sc = None
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="souk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
