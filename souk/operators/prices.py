@@ -158,12 +158,15 @@ def grid(prices: DataFrame) -> DataFrame:
     day's first and last quote left-joined (NULL when the seller has no quote that day).
     The grid is bounded by calendar days x sellers per product, not by the number of rows."""
     cells = cell_quotes(prices)
-    # Spines come from the aggregated cells (one row per product/seller/day). Keeping a use of
-    # the quote count stops the optimiser from re-deriving them from the raw quotes, so the
-    # quote table is scanned once and the cells' shuffle is reused by all three branches.
-    days = cells.groupBy("product", "date").agg(F.sum("n_quotes").alias("_q")).filter(F.col("_q") > 0).drop("_q")
-    sellers = cells.groupBy("product", "seller").agg(F.sum("n_quotes").alias("_q")).filter(F.col("_q") > 0).drop("_q")
-    spine = days.join(sellers, "product")
+    # Spine: per product, the set of its days (bounded by the calendar) and of its sellers
+    # (bounded by the seller dimension), both collected from the aggregated cells in one
+    # aggregate and exploded - no join between the two. Keeping a use of the quote count
+    # stops the optimiser from re-deriving the sets from the raw quotes.
+    sets = cells.groupBy("product").agg(
+        F.collect_set("date").alias("_days"), F.collect_set("seller").alias("_sellers"), F.sum("n_quotes").alias("_q"))
+    spine = (sets.filter(F.col("_q") > 0)
+                 .select("product", F.explode("_sellers").alias("seller"), "_days")
+                 .select("product", "seller", F.explode("_days").alias("date")))
     return spine.join(cells, ["product", "seller", "date"], "left")
 
 
