@@ -366,3 +366,29 @@ def nested_result(scored_df: DataFrame, prices: DataFrame) -> DataFrame:
                .select("product", F.struct("best_seller", "best_price", "avg_price", "discount_pct").alias("stats"),
                        "deals", F.struct(F.col("prices")).alias("chart_data")))
     return out.withColumn("json", F.to_json(F.struct("stats", "deals", "chart_data")))
+
+
+def calendar_spine(prices: DataFrame) -> DataFrame:
+    """JOIN-06 (calendar form): every consecutive day from each product's first to its last
+    quote, for each of its sellers (``sequence`` + ``explode``; bounded by calendar days x
+    sellers per product, not by rows)."""
+    spans = prices.groupBy("product").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"),
+                                          F.collect_set("seller").alias("_sellers"))
+    return (spans.select("product", F.explode("_sellers").alias("seller"), "_lo", "_hi")
+                 .select("product", "seller", F.explode(F.sequence("_lo", "_hi")).alias("date")))
+
+
+def calendar_coverage(prices: DataFrame) -> DataFrame:
+    """Per (product, seller): calendar days in the product's span, days with a quote, and the
+    longest run of consecutive days without one."""
+    quoted = prices.select("product", "seller", "date").distinct().withColumn("_q", F.lit(1))
+    cal = calendar_spine(prices).join(quoted, ["product", "seller", "date"], "left")
+    w = Window.partitionBy("product", "seller").orderBy("date")
+    runs = (cal.withColumn("_grp", F.sum(F.coalesce("_q", F.lit(0))).over(w))
+               .filter(F.col("_q").isNull())
+               .groupBy("product", "seller", "_grp").agg(F.count(F.lit(1)).alias("_gap")))
+    gaps = runs.groupBy("product", "seller").agg(F.max("_gap").alias("longest_gap"))
+    cov = cal.groupBy("product", "seller").agg(F.count(F.lit(1)).alias("calendar_days"),
+                                               F.count("_q").alias("quoted_days"))
+    return cov.join(gaps, ["product", "seller"], "left").select(
+        "product", "seller", "calendar_days", "quoted_days", F.coalesce("longest_gap", F.lit(0)).alias("longest_gap"))

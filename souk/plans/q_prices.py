@@ -353,3 +353,22 @@ def src_18_nested_result(spark, sf_dir):
     """SRC-18: nested per-product record (stats, per-seller deals, series map) and its JSON."""
     prices = V.prices(spark, sf_dir)
     return P.nested_result(P.scored(prices, strategy=V.price_strategy(spark, sf_dir)), prices)
+
+
+@register("join_06_calendar_spine", V.with_views("""
+    SELECT cov.product, cov.seller, calendar_days, quoted_days, COALESCE(longest_gap, 0) AS longest_gap
+    FROM (SELECT product, seller, count(*) AS calendar_days, count(q) AS quoted_days FROM g GROUP BY 1, 2) cov
+    LEFT JOIN (SELECT product, seller, max(n) AS longest_gap
+               FROM (SELECT product, seller, grp, count(*) AS n FROM g WHERE q IS NULL GROUP BY 1, 2, 3)
+               GROUP BY 1, 2) gaps USING (product, seller)""", "prices", extra={
+    "cal": """SELECT s.product, s.seller, CAST(d.date AS DATE) AS date
+              FROM (SELECT product, min(date) AS lo, max(date) AS hi FROM prices GROUP BY product) p
+              JOIN (SELECT DISTINCT product, seller FROM prices) s USING (product),
+              LATERAL (SELECT unnest(range(p.lo, p.hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS date) d""",
+    "g": """SELECT c.product, c.seller, c.date, q.q,
+                   sum(COALESCE(q.q, 0)) OVER (PARTITION BY c.product, c.seller ORDER BY c.date
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
+            FROM cal c LEFT JOIN (SELECT DISTINCT product, seller, date, 1 AS q FROM prices) q USING (product, seller, date)"""}))
+def join_06_calendar_spine(spark, sf_dir):
+    """JOIN-06: dense calendar spine (consecutive days x sellers x products) and coverage."""
+    return P.calendar_coverage(V.prices(spark, sf_dir))
