@@ -157,3 +157,13 @@ def py_float_text(c_cents) -> Column:
              .when(frac % 10 == 0, (frac / 10).cast("bigint").cast("string"))
              .otherwise(F.lpad(frac.cast("string"), 2, "0")))
     return F.concat(whole, F.lit("."), tail)
+
+
+def utc_instant(ntz) -> Column:
+    """A TIMESTAMP_NTZ wall clock read as UTC, whatever the session time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col(ntz)).cast("timestamp")
+
+
+def utc_wall_clock(ts) -> Column:
+    """The UTC wall clock (TIMESTAMP_NTZ) of a TIMESTAMP instant."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col(ts).cast("timestamp_ntz"))

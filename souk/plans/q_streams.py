@@ -33,7 +33,7 @@ def str_01_review_ingest(spark, sf_dir):
 def str_02_daily_ticks(spark, sf_dir):
     """STR-02: daily tumbling tick aggregates per seller under a 1-day watermark."""
     out = spark.read.parquet(S.run_to_table(S.daily_ticks(S.ticks_stream(spark, sf_dir)), "daily-ticks"))
-    return out.withColumn("day", F.col("day").cast("date"))
+    return out.withColumn("day", S.utc_wall_clock("day").cast("date"))
 
 
 @register("str_02_tick_flags", f"""
@@ -47,5 +47,5 @@ def str_02_daily_ticks(spark, sf_dir):
 def str_02_tick_flags(spark, sf_dir):
     """STR-02: stateful 7-tick rolling mean per seller with fake-discount flags."""
     out = spark.read.parquet(S.run_to_table(S.tick_flags(S.ticks_stream(spark, sf_dir)), "tick-flags"))
-    return out.select("seller", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
+    return out.select("seller", "event_id", F.date_format(S.utc_wall_clock("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
                       "actual_c", "claimed_c", "roll_sum_c", "roll_n", "is_manipulation", "late")

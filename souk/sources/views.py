@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.functions.exprs import cents, sentiment_of_rating
+from souk.functions.exprs import cents, sentiment_of_rating, utc_instant
 from souk.sources.tables import read
 
 # Row tie-break for every ordering of price quotes: unique per lineitem row.
@@ -136,7 +136,7 @@ def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFra
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
-    return ev.select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id"),
+    return ev.select(F.col("event_id"), utc_instant("ts").alias("ts"), F.col("user_id"),
                      F.col("event_type").alias("seller"), F.col("value").alias("price"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from souk.functions.exprs import FAKE_RATIO_DEN, FAKE_RATIO_NUM, ROLLING_ROWS
+from souk.functions.exprs import FAKE_RATIO_DEN, FAKE_RATIO_NUM, ROLLING_ROWS, utc_instant, utc_wall_clock  # noqa: F401
 from souk.sources import views as V
 from souk.sources.changes import new_table_path
 from souk.sources.tables import read
@@ -71,7 +71,7 @@ def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tick_columns(ev: DataFrame) -> DataFrame:
     k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
-    return ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("seller"),
+    return ev.select("event_id", utc_instant("ts").alias("ts"), F.col("event_type").alias("seller"),
                      F.rint(F.col("value") * 100).cast("bigint").alias("actual_c"),
                      F.rint(F.col("value") * (F.lit(100) + k)).cast("bigint").alias("claimed_c"))
 
@@ -84,6 +84,7 @@ def daily_ticks(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
                  .agg(F.count(F.lit(1)).alias("ticks"), F.sum("actual_c").alias("sum_c"),
                       F.min("actual_c").alias("min_c"), F.max("actual_c").alias("max_c"))
                  .select(F.col("w.start").alias("day"), "seller", "ticks", "sum_c", "min_c", "max_c"))
+    # ``day`` is the window start instant; callers read it as a UTC date (``utc_wall_clock``).
 
 
 FLAG_SCHEMA = ("seller string, event_id bigint, ts timestamp, actual_c bigint, claimed_c bigint, "
