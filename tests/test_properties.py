@@ -55,3 +55,18 @@ def test_hot_series_blocked_equals_window(spark, sf):
     # auto picks the blocked path when the largest series exceeds the bound
     c = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n", max_rows=100, block_rows=50)
     assert c.select(cols).exceptAll(a.select(cols)).count() == 0
+
+
+def test_hot_series_is_split_across_tasks(spark, sf):
+    """Range partitioning on (key, order) spreads one series holding a third of the rows over
+    several partitions, where hash partitioning on the key puts it in one."""
+    p = V.prices(spark, sf)
+    is_hot = F.col("order_key") % 3 == 0
+    hot = (p.withColumn("product", F.when(is_hot, F.lit("Brand#HOT")).otherwise(F.col("product")))
+            .withColumn("seller", F.when(is_hot, F.lit("HOT")).otherwise(F.col("seller"))))
+    sort_cols = ["product", "seller", *P.ORDER]
+    in_hot = (F.col("product") == "Brand#HOT") & (F.col("seller") == "HOT")
+    ranged = hot.repartitionByRange(8, *sort_cols).withColumn("_pid", F.spark_partition_id())
+    hashed = hot.repartition(8, "product", "seller").withColumn("_pid", F.spark_partition_id())
+    assert hashed.filter(in_hot).select("_pid").distinct().count() == 1
+    assert ranged.filter(in_hot).select("_pid").distinct().count() >= 2
