@@ -4,6 +4,7 @@ Runs each query over the tables in $BENCH_SF_DIR (default /root/testdata/sf0.1)
 local[$BENCH_CPUS] and prints one JSON line. Each query is forced to completion with the
 ``noop`` sink (the whole plan runs, nothing is collected to the driver). Each query runs
 $BENCH_RUNS times (default 3); the median is reported, and the first (cold) run as well.
+Set $BENCH_EVENTLOG_DIR to write Spark's event log (stage and task times) to that folder.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ def main():
     except (ValueError, OSError, AttributeError):
         mem_gb = 8.0
     heap = max(1, min(16, int(mem_gb * 0.6)))
-    spark = get_spark(f"local[{cpus}]", app="souk-bench", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": f"{heap}g"})
+    extra = {"spark.driver.memory": f"{heap}g"}
+    if os.environ.get("BENCH_EVENTLOG_DIR"):   # stage/task times without the UI
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG_DIR"]})
+    spark = get_spark(f"local[{cpus}]", app="souk-bench", shuffle_partitions=int(cpus) * 2, extra=extra)
     checkpoint_dir(spark)   # the session's spark.checkpoint.dir; a private folder only when unset
     from souk.plans.registry import load_all
     reg = load_all()
