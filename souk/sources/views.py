@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.functions.exprs import cents, sentiment_of_rating, utc_instant
-from souk.sources.tables import read
+from souk.sources import tables as _tables
+from souk.sources.tables import read, spread, table_rows  # noqa: F401
 
 # Row tie-break for every ordering of price quotes: unique per lineitem row.
 PRICE_TIE = ("order_key", "line_no", "part_id", "supp_id")
@@ -41,28 +42,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A dimension is broadcast only when its row count - read from parquet footers, so the check
 # costs no data scan - is at most this many rows (a few tens of MB for 2-3 narrow columns).
 BROADCAST_MAX_ROWS = 2_000_000
-# Up to this many quote rows in total, no series can be big enough to need the skew-safe
-# path of ``operators.series.rolling_rows``; beyond it the series sizes are measured.
-SMALL_INPUT_ROWS = 2_000_000
-
-
-_ROWS: dict[tuple, int] = {}
-
-
-def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Row count of an input table (answered from parquet metadata), remembered per path
-    and modification time so repeated plans do not re-run the count job."""
-    import os
-    from souk.sources.tables import table_path
-    path = table_path(sf_dir, name)
-    try:
-        stamp = os.stat(path).st_mtime_ns
-    except OSError:            # not a local path (object store): count every time
-        return read(spark, sf_dir, name).count()
-    key = (path, stamp)
-    if key not in _ROWS:
-        _ROWS[key] = read(spark, sf_dir, name).count()
-    return _ROWS[key]
+# Up to SMALL_INPUT_ROWS quote rows in total (sources.tables), no series can be big enough to
+# need the skew-safe path of ``operators.series.rolling_rows``.
 
 
 def sized_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -75,7 +56,7 @@ def price_strategy(spark: SparkSession, sf_dir: str) -> str:
     whole quote table is small; otherwise the skew-safe blocked path directly. There are only
     brands x nations series, so at scale each would be far too large for one task, and
     measuring them first would cost a second full pass over the quotes."""
-    return "window" if table_rows(spark, sf_dir, "lineitem") <= SMALL_INPUT_ROWS else "blocked"
+    return "window" if table_rows(spark, sf_dir, "lineitem") <= _tables.SMALL_INPUT_ROWS else "blocked"
 
 
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +71,8 @@ def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per quote: (product, seller, date, tie...) with claimed/actual in BIGINT cents."""
-    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-              "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    li = spread(read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                     "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"), spark, sf_dir, "lineitem")
     part = sized_broadcast(read(spark, sf_dir, "part", "p_partkey", "p_brand"), table_rows(spark, sf_dir, "part"))
     sel = sellers(spark, sf_dir)
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
@@ -129,7 +110,7 @@ def reviews_from(docs: DataFrame, labels: DataFrame, with_text: bool = True) ->
 
 def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     cols = ["doc_id", "lang", "source"] + (["text"] if with_text else [])
-    docs = read(spark, sf_dir, "documents", *cols)
+    docs = spread(read(spark, sf_dir, "documents", *cols), spark, sf_dir, "documents")
     lab = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     return reviews_from(docs, lab, with_text)
 
