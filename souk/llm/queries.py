@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from souk.llm import fingerprints, mixing, rules
+from souk.llm import fingerprints, mixing, quality, rules, simhash, toxicity
 from souk.sources.tables import read
 
 
@@ -12,6 +12,9 @@ def _docs(spark, sf_dir, *columns):
 
 QUERIES = {
     "op3_order_minhash": lambda s, d: fingerprints.fingerprints(_docs(s, d, "doc_id", "text")),
+    "op5_toxicity": lambda s, d: toxicity.toxicity(_docs(s, d, "doc_id", "text"), read(s, d, "labels", "doc_id", "toxic")),
+    "op7_quality_trees": lambda s, d: quality.quality(_docs(s, d, "doc_id", "text"), read(s, d, "labels", "doc_id", "quality")),
+    "op8_simhash_golay": lambda s, d: simhash.near_duplicates(_docs(s, d, "doc_id", "text")),
     "op9_mix_sources": lambda s, d: mixing.mix_report(_docs(s, d, "doc_id", "text", "source")),
     "op10_rule_cascade": lambda s, d: rules.rules_report(_docs(s, d, "doc_id", "text")),
 }
