@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from souk.llm import fingerprints, mixing, quality, rules, simhash, toxicity
+from souk.llm import bpe, fingerprints, mixing, pii, quality, rules, simhash, toxicity, wordpiece
 from souk.sources.tables import read
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _docs(spark, sf_dir, *columns):
     return read(spark, sf_dir, "documents", *columns)
 
 
 QUERIES = {
+    "op1_bpe_transducer": lambda s, d: bpe.encode(_docs(s, d, "doc_id", "text"), vocabulary("word_bpe_49k.json"), with_ids=False),
     "op3_order_minhash": lambda s, d: fingerprints.fingerprints(_docs(s, d, "doc_id", "text")),
+    "op4_longest_match_counts": lambda s, d: wordpiece.count_tokens(
+        _docs(s, d, "doc_id", "text"), wordpiece.read_pieces(vocabulary("byte_bpe_50k.json"))),
     "op5_toxicity": lambda s, d: toxicity.toxicity(_docs(s, d, "doc_id", "text"), read(s, d, "labels", "doc_id", "toxic")),
+    "op6_weak_pii": lambda s, d: pii.personal_data(_docs(s, d, "doc_id", "text")),
     "op7_quality_trees": lambda s, d: quality.quality(_docs(s, d, "doc_id", "text"), read(s, d, "labels", "doc_id", "quality")),
     "op8_simhash_golay": lambda s, d: simhash.near_duplicates(_docs(s, d, "doc_id", "text")),
     "op9_mix_sources": lambda s, d: mixing.mix_report(_docs(s, d, "doc_id", "text", "source")),

@@ -7,6 +7,7 @@ They stay until ``clean_scratch`` is called, because lazily evaluated results re
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
@@ -102,3 +103,36 @@ def words(column: pa.Array, lower: bool = True):
     return codes, bounds, distinct
 
 
+
+
+def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
+    """One file image of named arrays, 64-byte aligned, for ``map_arrays``."""
+    head, at, parts = [], 0, []
+    for name, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        head.append([name, a.dtype.str, list(a.shape), at])
+        raw = a.tobytes()
+        parts.append(raw + bytes(-len(raw) % 64))
+        at += len(parts[-1])
+    top = json.dumps(head).encode()
+    return len(top).to_bytes(8, "little") + top + bytes(-(len(top) + 8) % 64) + b"".join(parts)
+
+
+def map_arrays(path: str) -> dict[str, np.ndarray]:
+    """Memory-map the arrays of ``pack_arrays``: pages are read as they are touched."""
+    raw = np.memmap(path, np.uint8, "r")
+    size = int.from_bytes(raw[:8].tobytes(), "little")
+    head = json.loads(raw[8:8 + size].tobytes())
+    base = 8 + size + -(size + 8) % 64
+    out = {}
+    for name, dtype, shape, at in head:
+        n = int(np.prod(shape)) * np.dtype(dtype).itemsize
+        out[name] = raw[base + at:base + at + n].view(dtype).reshape(shape)
+    return out
+
+
+def gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Concatenate ``values[s:s+n]`` for all (s, n)."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]

@@ -17,7 +17,7 @@ from souk.llm.shared import crc_mod, slices
 
 BUCKET_BITS = 20
 SIZES = (4, 6)
-TRAIN_ROWS = 6000        # at most so many labelled rows fit the model
+TRAIN_ROWS = 5000        # at most so many labelled rows fit the model
 FOLDS = 5                # fold 0 is held out
 FOLD = bytes(32 if i in (9, 10, 11, 12, 13, 32) else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -42,7 +42,7 @@ def ngrams(text: bytes, seen: np.ndarray) -> np.ndarray:
     return h[seen[h] == at].astype(np.int64)
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float = 0.1, decay: float = 1e-5):
+def train(features: list[np.ndarray], labels: np.ndarray, epochs: int = 5, rate: float = 2.0, decay: float = 1e-6):
     """(weights by bucket with the ratios multiplied in, intercept)."""
     size = 1 << BUCKET_BITS
     counts = np.ones((2, size))
