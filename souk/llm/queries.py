@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from souk.llm import bpe, fingerprints, mixing, pii, quality, rules, simhash, toxicity, wordpiece
+from souk.llm import bpe, fingerprints, lm, mixing, pii, quality, rules, simhash, toxicity, wordpiece
 from souk.sources.tables import read
 
 
@@ -18,6 +18,7 @@ def _docs(spark, sf_dir, *columns):
 
 QUERIES = {
     "op1_bpe_transducer": lambda s, d: bpe.encode(_docs(s, d, "doc_id", "text"), vocabulary("word_bpe_49k.json"), with_ids=False),
+    "op2_elias_fano_lm": lambda s, d: lm.score(_docs(s, d, "doc_id", "text")),
     "op3_order_minhash": lambda s, d: fingerprints.fingerprints(_docs(s, d, "doc_id", "text")),
     "op4_longest_match_counts": lambda s, d: wordpiece.count_tokens(
         _docs(s, d, "doc_id", "text"), wordpiece.read_pieces(vocabulary("byte_bpe_50k.json"))),

@@ -120,7 +120,11 @@ def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
 
 def map_arrays(path: str) -> dict[str, np.ndarray]:
     """Memory-map the arrays of ``pack_arrays``: pages are read as they are touched."""
-    raw = np.memmap(path, np.uint8, "r")
+    return read_arrays(np.memmap(path, np.uint8, "r"))
+
+
+def read_arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays of a file image, as views of its bytes."""
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8:8 + size].tobytes())
     base = 8 + size + -(size + 8) % 64
