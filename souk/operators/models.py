@@ -188,17 +188,11 @@ def fit_isolation_forest(df: DataFrame, features: list[str], id_cols: list[str],
     n = base.count()
     psi = max(2, min(sample, n))
     scale = 1 << 31
-    if n <= trees * sample:
-        # Small input: rows are shared between trees; each tree keeps a row with p = psi / n.
-        thr = int(psi / max(n, 1) * scale)
-        member = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                          lambda t: F.pmod(F.xxhash64(F.col("_k"), t), F.lit(scale)) < thr)
-        picked = base.withColumn("tree", F.explode(member))
-    else:
-        # Large input: one Bernoulli sample of about trees x psi rows, dealt to the trees.
-        thr = int(trees * psi / n * scale)
-        picked = (base.filter(F.pmod(F.xxhash64("_k"), F.lit(scale)) < thr)
-                      .withColumn("tree", F.pmod(F.xxhash64(F.col("_k"), F.lit(-1)), F.lit(trees)).cast("int")))
+    # One draw for all sizes: each tree keeps a row with p = psi / n, by a seeded hash.
+    thr = int(psi / max(n, 1) * scale)
+    member = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                      lambda t: F.pmod(F.xxhash64(F.col("_k"), t), F.lit(scale)) < thr)
+    picked = base.withColumn("tree", F.explode(member))
     schema = "tree int, node int, feature int, threshold double, left int, right int, size int"
     nodes = picked.groupBy("tree").applyInPandas(_grow_group(features, seed, psi), schema)
     pdf = nodes.toPandas()                     # bounded: trees x (2 x psi - 1) rows

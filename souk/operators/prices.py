@@ -20,13 +20,11 @@ from souk.sources.views import PRICE_TIE, SERIES
 ORDER = ("date",) + PRICE_TIE
 
 
-def with_rolling_mean(prices: DataFrame, n: int = ROLLING_ROWS, keys=SERIES, strategy: str = "auto",
-                      **kw) -> DataFrame:
+def with_rolling_mean(prices: DataFrame, n: int = ROLLING_ROWS, keys=SERIES) -> DataFrame:
     """WIN-01/02/03: rolling mean of ``actual_c`` over the last ``n`` rows of each series
     (min_periods=1). Adds ``roll_sum_c`` and ``roll_n`` (exact integers) and
     ``rolling_avg`` (DOUBLE, in money units)."""
-    out = rolling_rows(prices, list(keys), list(ORDER), n, {"roll_sum_c": "actual_c"}, count_col="roll_n",
-                       strategy=strategy, **kw)
+    out = rolling_rows(prices, list(keys), list(ORDER), n, {"roll_sum_c": "actual_c"}, count_col="roll_n")
     return out.withColumn("rolling_avg", out.roll_sum_c.cast("double") / out.roll_n / 100)
 
 
@@ -37,9 +35,9 @@ def fake_discount_flag() -> F.Column:
             (F.col("actual_c") * FAKE_RATIO_DEN * F.col("roll_n") >= F.col("roll_sum_c") * FAKE_RATIO_NUM))
 
 
-def scored(prices: DataFrame, strategy: str = "auto", **kw) -> DataFrame:
+def scored(prices: DataFrame) -> DataFrame:
     """Rolling mean + rule flag + score for every quote (the price analysis, all products)."""
-    r = with_rolling_mean(prices, strategy=strategy, **kw)
+    r = with_rolling_mean(prices)
     flag = fake_discount_flag()
     return (r.withColumn("is_manipulation", flag)
              .withColumn("anomaly_score", F.when(flag, F.lit(FAKE_FLAG_SCORE)).otherwise(F.lit(0.0)))
@@ -48,9 +46,9 @@ def scored(prices: DataFrame, strategy: str = "auto", **kw) -> DataFrame:
              .withColumn("claimed_price", money("claimed_c")))
 
 
-def fake_discounts(prices: DataFrame, strategy: str = "auto", **kw) -> DataFrame:
+def fake_discounts(prices: DataFrame) -> DataFrame:
     """The flagship: every quote the fake-discount rule flags, with its rolling mean."""
-    s = scored(prices, strategy=strategy, **kw)
+    s = scored(prices)
     return s.filter("is_manipulation").select(
         "product", "seller", "date", *PRICE_TIE, "actual_price", "claimed_price", "discount_claim",
         "rolling_avg", "anomaly_score")
@@ -66,30 +64,16 @@ def anomaly_report(scored_df: DataFrame) -> DataFrame:
         round_half_even(checksum_confidence("date", "seller"), 1).alias("confidence"))
 
 
-LATEST_BROADCAST_ROWS = 2_000_000
-
-
 def latest_snapshot(prices: DataFrame) -> DataFrame:
     """WIN-06 + AGG-12: per product, the quotes on its latest date; mean price, the best
     (lowest) price and the seller holding it, and that quote's discount %.
 
-    The latest date per product is a hash aggregate, checkpointed (it is one row per
-    product) and counted. Within the bound it is broadcast and only the latest day's quotes
-    are aggregated - no shuffle of the quote table. Above it, two aggregates are used
-    instead (per product-day, then ``max_by`` per product), still without a join back."""
-    from souk.session import checkpoint_dir
-    checkpoint_dir(prices.sparkSession)
-    last = prices.groupBy("product").agg(F.max("date").alias("date")).checkpoint(eager=True)
+    Two aggregates over one scan: per product and day, then ``max_by`` per product."""
     best = F.min_by(F.struct("seller", "claimed_c", "actual_c"), F.struct("actual_c", *PRICE_TIE)).alias("_best")
-    if last.count() <= LATEST_BROADCAST_ROWS:
-        day = prices.join(F.broadcast(last), ["product", "date"])
-        d = day.groupBy("product", "date").agg(F.sum("actual_c").alias("_sum_c"), F.count(F.lit(1)).alias("quotes"), best)
-        d = d.select("product", F.struct("date", "_sum_c", "quotes", "_best").alias("d"))
-    else:
-        per_day = prices.groupBy("product", "date").agg(
-            F.sum("actual_c").alias("_sum_c"), F.count(F.lit(1)).alias("quotes"), best)
-        d = per_day.groupBy("product").agg(
-            F.max_by(F.struct("date", "_sum_c", "quotes", "_best"), F.col("date")).alias("d"))
+    per_day = prices.groupBy("product", "date").agg(
+        F.sum("actual_c").alias("_sum_c"), F.count(F.lit(1)).alias("quotes"), best)
+    d = per_day.groupBy("product").agg(
+        F.max_by(F.struct("date", "_sum_c", "quotes", "_best"), F.col("date")).alias("d"))
     return d.select(
         "product", F.col("d.date").alias("latest_date"),
         F.col("d._best.seller").alias("best_seller"),
@@ -117,12 +101,12 @@ def mean_c(c) -> F.Column:
     return F.sum(c).cast("double") / F.count(c)
 
 
-def rolling_mean_long(prices: DataFrame, strategy: str = "auto", **kw) -> DataFrame:
+def rolling_mean_long(prices: DataFrame) -> DataFrame:
     """WIN-03 + FN-15 (rule part): 14-row rolling mean per product across its sellers and the
     confirming rule claimed > actual AND actual >= 0.9 x mean14."""
     from souk.functions.exprs import ROLLING_ROWS_LONG
     r = rolling_rows(prices, ["product"], list(ORDER), ROLLING_ROWS_LONG, {"roll14_c": "actual_c"},
-                     count_col="roll14_n", strategy=strategy, **kw)
+                     count_col="roll14_n")
     return (r.withColumn("rolling_avg_14", r.roll14_c.cast("double") / r.roll14_n / 100)
              .withColumn("rule_flag", (F.col("claimed_c") > F.col("actual_c")) &
                          (F.col("actual_c") * FAKE_RATIO_DEN * F.col("roll14_n") >= F.col("roll14_c") * FAKE_RATIO_NUM)))

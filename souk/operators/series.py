@@ -5,13 +5,9 @@ A price series is keyed by (product, seller) and ordered by (date, tie). There a
 ``Window.partitionBy(keys)`` would put a whole series into one task. The primitives here
 keep every task bounded:
 
-* ``positions``      1-based row number within a key, computed from a range-partitioned
-                     sort (ranges split hot keys) plus a small per-partition offset table.
-* ``rolling_rows``   last-N-rows sums/counts. Rows are cut into position blocks of at
-                     most ``block_rows`` rows; each block carries the N-1 rows before it
-                     ("halo"), so a window partitioned by (key, block) is exact.
-                     When every key is small (checked with one aggregate) the plain
-                     window is used instead, which needs one shuffle only.
+* ``rolling_rows``   last-N-rows sums/counts. The window is partitioned by (key, calendar
+                     block); each block also gets the N-1 rows before it ("halo"), carried
+                     over from the last rows of earlier blocks, so the result is exact.
 * ``top_k``          ``row_number() <= k``; Spark plans a partial WindowGroupLimit before
                      the shuffle, so a hot key ships at most k rows per map task.
 * ``arg_best``       one row per key by an ordering, as a ``min_by``/``max_by`` aggregate
@@ -25,97 +21,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.session import checkpoint_dir
-
-DEFAULT_BLOCK_ROWS = 1_000_000
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-SEGMENT_BROADCAST_ROWS = 2_000_000
-
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def month(col: str) -> Column:
+    """Default calendar block of a date or timestamp column."""
+    return F.trunc(F.col(col).cast("date"), "month")
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence, pos_col: str = "pos",
-              num_partitions: int | None = None) -> DataFrame:
-    """Add ``pos``: the 1-based position of each row within ``keys`` in ``order``.
-
-    ``keys + order`` must be unique per row (end ``order`` with a tie-break).
-    """
-    n = num_partitions or _partitions(df)
-    sort_cols = _cols(list(keys)) + _cols(order)
-    ranged = (df.repartitionByRange(n, *sort_cols)
-                .sortWithinPartitions(*sort_cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_rid", F.monotonically_increasing_id()))
-    # Partition ids and row ids are physical. Materialise them once in the shared checkpoint
-    # folder so both uses below (and any recomputation after a lost executor) see the same
-    # values; without this, two scans may be coalesced differently by AQE.
-    checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint(eager=True)
-    # One row per (partition, key): at most partitions + keys rows, whatever the skew.
-    segs = ranged.groupBy("_pid", *keys).agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    renamed = {k: f"_seg_{i}" for i, k in enumerate(keys)}
-    segs = segs.select(F.col("_pid").alias("_seg_pid"), *[F.col(k).alias(v) for k, v in renamed.items()], "_first",
-                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # Broadcast the offsets only behind a checked size (read from the checkpoint: cheap).
-    if segs.count() <= SEGMENT_BROADCAST_ROWS:
-        segs = F.broadcast(segs)
-    # NULL keys are a group of their own, as in a window: join null-safe.
-    cond = [F.col("_pid") == F.col("_seg_pid")] + [F.col(k).eqNullSafe(F.col(v)) for k, v in renamed.items()]
-    out = ranged.join(segs, cond)
-    return (out.withColumn(pos_col, F.col("_rid") - F.col("_first") + 1 + F.col("_before"))
-               .drop("_pid", "_rid", "_first", "_before", "_seg_pid", *renamed.values()))
-
-
-def max_group_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Size check: rows in the largest key (one partial aggregate)."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
-    return int(r["m"] or 0)
-
-
-def rolling_rows(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
-                 sums: dict[str, str], count_col: str | None = "_cnt",
-                 strategy: str = "auto", block_rows: int | None = None,
-                 max_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+def rolling_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
+                 sums: dict[str, str], count_col: str | None = "_cnt", block: Column | None = None) -> DataFrame:
     """Sums over the last ``n`` rows (current included) of each key in ``order``.
 
     ``sums`` maps output column -> input column. ``count_col`` receives the number of rows
     in the frame (``min(position, n)``), which is what a rolling mean with ``min_periods=1``
-    divides by.
+    divides by. ``order`` must be unique per row (end it with a tie-break); ``block`` must not
+    fall along ``order`` (default: the month of its first column). One path for all sizes: a task
+    holds one block of one key, and the carried rows of a key are at most n-1 for each block.
     """
-    block_rows = block_rows or DEFAULT_BLOCK_ROWS
-    if strategy == "auto":
-        strategy = "window" if max_group_rows(df, keys) <= max_rows else "blocked"
-    if strategy == "window":
-        w = Window.partitionBy(*keys).orderBy(*_cols(order)).rowsBetween(-(n - 1), 0)
-        out = df
-        for o, c in sums.items():
-            out = out.withColumn(o, F.sum(c).over(w))
-        if count_col:
-            out = out.withColumn(count_col, F.count(F.lit(1)).over(w))
-        return out
-    if strategy != "blocked":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if block_rows < n:
-        raise ValueError("block_rows must be at least n")
-    p = positions(df, keys, order, pos_col="_pos")
-    blk = F.floor((F.col("_pos") - 1) / block_rows)
-    halo = ((F.col("_pos") - 1) % block_rows) >= (block_rows - (n - 1))
-    p = (p.withColumn("_own", blk)
-          .withColumn("_blk", F.explode(F.when(halo, F.array(blk, blk + 1)).otherwise(F.array(blk)))))
-    w = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(-(n - 1), 0)
-    out = p
-    for o, c in sums.items():
-        out = out.withColumn(o, F.sum(c).over(w))
-    if count_col:
-        out = out.withColumn(count_col, F.least(F.col("_pos"), F.lit(n)).cast("bigint"))
-    return out.filter(F.col("_blk") == F.col("_own")).drop("_pos", "_blk", "_own")
+    keys, order = list(keys), list(order)
+    rows = df.withColumn("_blk", month(order[0]) if block is None else block).withColumn("_halo", F.lit(False))
+    if n > 1:
+        inputs = [c for c in dict.fromkeys(sums.values()) if c not in order]
+        newest = Window.partitionBy(*keys, "_blk").orderBy(*[F.col(c).desc() for c in order])
+        last = (rows.select(*keys, "_blk", *order, *inputs)
+                    .withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= n - 1))
+        series = Window.partitionBy(*keys).orderBy(*order)
+        carried = (last.select(*keys, "_r", F.lead("_blk").over(series).alias("_to"),
+                               F.collect_list(F.struct(*order, *inputs)).over(series.rowsBetween(-(n - 2), 0)).alias("_rows"))
+                       .filter((F.col("_r") == 1) & F.col("_to").isNotNull())
+                       .select(*keys, F.col("_to").alias("_blk"), F.explode("_rows").alias("_row"))
+                       .select(*keys, "_blk", "_row.*", F.lit(True).alias("_halo")))
+        rows = rows.unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(-(n - 1), 0)
+    out = rows.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()],
+                      *([F.count(F.lit(1)).over(w).alias(count_col)] if count_col else []))
+    return out.filter(~F.col("_halo")).drop("_blk", "_halo")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, rank_col: str | None = None) -> DataFrame:

@@ -47,8 +47,8 @@ def get_spark(master: str | None = None, app: str = "souk", shuffle_partitions:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the platform (a shared file system path).
-    Only when it is unset - local tests - a private scratch folder is created.
+    On a cluster this must be set by the platform (a shared file system path); unset, this
+    raises there. Only in local mode - tests, the bench - a private scratch folder is made.
     """
     try:
         sc = spark.sparkContext          # classic sessions; Spark Connect has none
@@ -57,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d and sc is not None:
         d = sc.getCheckpointDir()
+    if not d and sc is not None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="souk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

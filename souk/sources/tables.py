@@ -20,41 +20,3 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
 
-
-_ROWS: dict[tuple, int] = {}
-# Inputs up to this many rows count as small (see ``spread``); views use the same bound.
-SMALL_INPUT_ROWS = 2_000_000
-
-
-def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Row count of an input table (answered from parquet metadata), remembered per path
-    and modification time so repeated plans do not re-run the count job."""
-    path = table_path(sf_dir, name)
-    try:
-        stamp = os.stat(path).st_mtime_ns
-    except OSError:            # not a local path (object store): count every time
-        return read(spark, sf_dir, name).count()
-    key = (path, stamp)
-    if key not in _ROWS:
-        _ROWS[key] = read(spark, sf_dir, name).count()
-    return _ROWS[key]
-
-
-def spread(df: DataFrame, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A small input stored in very few row groups is read by one task per row group, which
-    leaves cores idle for everything fused into the scan stage (joins, tokenising, map-side
-    aggregation). Below the small-input bound, such a scan is followed by a round-robin
-    repartition to the session's parallelism (deterministic: Spark sorts before it). Large
-    inputs have many row groups and are never repartitioned here."""
-    cores = spark.sparkContext.defaultParallelism if _has_context(spark) else 8
-    if table_rows(spark, sf_dir, name) <= SMALL_INPUT_ROWS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def _has_context(spark) -> bool:
-    try:
-        spark.sparkContext
-        return True
-    except Exception:  # noqa: BLE001 - Spark Connect
-        return False

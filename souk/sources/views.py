@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.functions.exprs import cents, sentiment_of_rating, utc_instant
-from souk.sources import tables as _tables
-from souk.sources.tables import read, spread, table_rows  # noqa: F401
+from souk.sources.tables import read
 
 # Row tie-break for every ordering of price quotes: unique per lineitem row.
 PRICE_TIE = ("order_key", "line_no", "part_id", "supp_id")
@@ -39,41 +38,21 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# A dimension is broadcast only when its row count - read from parquet footers, so the check
-# costs no data scan - is at most this many rows (a few tens of MB for 2-3 narrow columns).
-BROADCAST_MAX_ROWS = 2_000_000
-# Up to SMALL_INPUT_ROWS quote rows in total (sources.tables), no series can be big enough to
-# need the skew-safe path of ``operators.series.rolling_rows``.
-
-
-def sized_broadcast(df: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a checked size; above the bound the planner shuffles instead."""
-    return F.broadcast(df) if rows <= max_rows else df
-
-
-def price_strategy(spark: SparkSession, sf_dir: str) -> str:
-    """Rolling-window strategy for the price series: the plain window (one shuffle) when the
-    whole quote table is small; otherwise the skew-safe blocked path directly. There are only
-    brands x nations series, so at scale each would be far too large for one task, and
-    measuring them first would cost a second full pass over the quotes."""
-    return "window" if table_rows(spark, sf_dir, "lineitem") <= _tables.SMALL_INPUT_ROWS else "blocked"
-
-
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -> seller name. nation has 25 rows by definition of the schema, so it is
-    broadcast; supplier grows with the data, so it is broadcast only below the bound."""
+    broadcast; supplier grows with the data, so its join is left to the planner, which
+    broadcasts by the byte size it knows (spark.sql.autoBroadcastJoinThreshold, AQE)."""
     sup = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     nat = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    out = sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey).select(
+    return sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey).select(
         F.col("s_suppkey"), F.col("n_name"))
-    return sized_broadcast(out, table_rows(spark, sf_dir, "supplier"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per quote: (product, seller, date, tie...) with claimed/actual in BIGINT cents."""
-    li = spread(read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                     "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"), spark, sf_dir, "lineitem")
-    part = sized_broadcast(read(spark, sf_dir, "part", "p_partkey", "p_brand"), table_rows(spark, sf_dir, "part"))
+    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+              "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    part = read(spark, sf_dir, "part", "p_partkey", "p_brand")
     sel = sellers(spark, sf_dir)
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     unit_net = F.try_divide(F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_quantity"))
@@ -110,7 +89,7 @@ def reviews_from(docs: DataFrame, labels: DataFrame, with_text: bool = True) ->
 
 def reviews(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     cols = ["doc_id", "lang", "source"] + (["text"] if with_text else [])
-    docs = spread(read(spark, sf_dir, "documents", *cols), spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents", *cols)
     lab = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     return reviews_from(docs, lab, with_text)
 

@@ -55,14 +55,13 @@ def test_price_csv_golden(spark):
     p = I.read_prices(spark, PRICE_FILES[0])
     assert p.count() == 180
     assert p.filter("is_manipulation").count() == 21
-    r = rolling_rows(p, ["product_name", "seller"], ["date"], 7, {"s": "actual_c"}, count_col="n", strategy="window")
+    r = rolling_rows(p, ["product_name", "seller"], ["date"], 7, {"s": "actual_c"}, count_col="n", block=F.lit(0))
     flag = (F.col("claimed_c") > F.col("actual_c")) & (F.col("actual_c") * 10 * F.col("n") >= F.col("s") * 9)
     c = {(row.f, row.m): row.k for row in
          r.groupBy(flag.alias("f"), F.col("is_manipulation").alias("m")).agg(F.count("*").alias("k")).collect()}
     assert (c.get((True, True), 0), c.get((True, False), 0), c.get((False, True), 0), c.get((False, False), 0)) == (21, 12, 0, 147)
-    # the blocked (skew-safe) path gives the same flags
-    b = rolling_rows(p, ["product_name", "seller"], ["date"], 7, {"s": "actual_c"}, count_col="n", strategy="blocked",
-                     block_rows=8)
+    # calendar blocks give the same flags
+    b = rolling_rows(p, ["product_name", "seller"], ["date"], 7, {"s": "actual_c"}, count_col="n")
     assert b.filter(flag).count() == 33
     truth = p.withColumn("t", I.truth_label())
     assert truth.filter(F.col("t") != F.col("is_manipulation")).count() == 0

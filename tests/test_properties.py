@@ -13,7 +13,7 @@ from souk.sources import views as V
 
 
 def test_flags_imply_discount(spark, sf):
-    s = P.scored(V.prices(spark, sf), strategy="window")
+    s = P.scored(V.prices(spark, sf))
     assert s.filter("is_manipulation AND claimed_c <= actual_c").count() == 0
 
 
@@ -37,7 +37,7 @@ def test_ranges(spark, sf):
     d = R.distribution(V.reviews(spark, sf, with_text=False))
     for c in ("positive_pct", "neutral_pct", "negative_pct"):
         assert d.filter((F.col(c) < 0) | (F.col(c) > 100)).count() == 0
-    board = D.deal_board(P.scored(V.prices(spark, sf), strategy="window"))
+    board = D.deal_board(P.scored(V.prices(spark, sf)))
     assert board.filter((F.col("deal_score") < -30) | (F.col("deal_score") > 100)).count() == 0
 
 
@@ -47,26 +47,17 @@ def test_hot_series_blocked_equals_window(spark, sf):
     hot = p.withColumn("seller", F.when(F.col("order_key") % 3 == 0, F.lit("HOT")).otherwise(F.col("seller"))) \
            .withColumn("product", F.when(F.col("seller") == "HOT", F.lit("Brand#HOT")).otherwise(F.col("product")))
     keys, order = ["product", "seller"], list(P.ORDER)
-    a = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n", strategy="window")
-    b = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n", strategy="blocked", block_rows=50)
+    a = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n", block=F.lit(0))
+    b = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n")
     cols = keys + order + ["s", "n"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
     assert b.count() == p.count()
-    # auto picks the blocked path when the largest series exceeds the bound
-    c = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n", max_rows=100, block_rows=50)
-    assert c.select(cols).exceptAll(a.select(cols)).count() == 0
 
 
 def test_hot_series_is_split_across_tasks(spark, sf):
-    """Range partitioning on (key, order) spreads one series holding a third of the rows over
-    several partitions, where hash partitioning on the key puts it in one."""
+    """Calendar blocks deal one series holding a third of the rows to many window groups."""
+    from souk.operators.series import month
     p = V.prices(spark, sf)
-    is_hot = F.col("order_key") % 3 == 0
-    hot = (p.withColumn("product", F.when(is_hot, F.lit("Brand#HOT")).otherwise(F.col("product")))
-            .withColumn("seller", F.when(is_hot, F.lit("HOT")).otherwise(F.col("seller"))))
-    sort_cols = ["product", "seller", *P.ORDER]
-    in_hot = (F.col("product") == "Brand#HOT") & (F.col("seller") == "HOT")
-    ranged = hot.repartitionByRange(8, *sort_cols).withColumn("_pid", F.spark_partition_id())
-    hashed = hot.repartition(8, "product", "seller").withColumn("_pid", F.spark_partition_id())
-    assert hashed.filter(in_hot).select("_pid").distinct().count() == 1
-    assert ranged.filter(in_hot).select("_pid").distinct().count() >= 2
+    hot = p.filter(F.col("order_key") % 3 == 0).groupBy(month("date")).count().collect()
+    assert len(hot) > 20
+    assert max(r["count"] for r in hot) < sum(r["count"] for r in hot) / 10

@@ -1,11 +1,11 @@
-"""Every price query through the skew-safe series path (as on a large input), with tiny
-blocks so halos are exercised, must still match its SQL twin."""
+"""Every rolling price query must give the same rows whatever the calendar blocks: with a block
+for each day every halo crosses blocks, with one block for all nothing is carried."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from souk.operators import series
 from souk.plans.registry import load_all
-from souk.sources import views
 from tests.test_oracle import _rows
 
 PRICE_KEYS = sorted(k for k, q in load_all().items()
@@ -13,9 +13,8 @@ PRICE_KEYS = sorted(k for k, q in load_all().items()
 
 
 @pytest.mark.parametrize("key", PRICE_KEYS)
-def test_blocked_path_matches_sql(spark, sf, duck, key, monkeypatch):
-    monkeypatch.setattr(views, "SMALL_INPUT_ROWS", 0)
-    monkeypatch.setattr(series, "DEFAULT_BLOCK_ROWS", 16)
+def test_daily_blocks_match_sql(spark, sf, duck, key, monkeypatch):
+    monkeypatch.setattr(series, "month", lambda c: F.col(c).cast("date"))
     q = load_all()[key]
     df = q.build(spark, sf)
     res = duck.execute(q.sql)
@@ -23,12 +22,21 @@ def test_blocked_path_matches_sql(spark, sf, duck, key, monkeypatch):
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, res.fetchall())
 
 
-@pytest.mark.parametrize("key", ["agg_12_latest_snapshot", "fn_21_commentary", "fn_29_30_display"])
-def test_snapshot_without_broadcast_matches_sql(spark, sf, duck, key, monkeypatch):
-    from souk.operators import prices
-    monkeypatch.setattr(prices, "LATEST_BROADCAST_ROWS", 0)
-    q = load_all()[key]
-    df = q.build(spark, sf)
-    res = duck.execute(q.sql)
-    dcols = [d[0] for d in res.description]
-    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(dcols, res.fetchall())
+def test_shared_folder_is_required_off_local_mode():
+    from souk.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())

@@ -1,48 +1,25 @@
 from pyspark.sql import functions as F
 
 from souk.operators import prices as P
-from souk.operators.series import positions, rolling_rows
+from souk.operators.series import rolling_rows
 from souk.sources import views as V
 
 
-def test_positions_are_dense_and_ordered(spark, sf):
-    p = V.prices(spark, sf)
-    got = positions(p, ["product", "seller"], list(P.ORDER), num_partitions=7)
-    w = (got.groupBy("product", "seller")
-            .agg(F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
-                 F.countDistinct("pos").alias("d")).collect())
-    assert all(r.lo == 1 and r.hi == r.n == r.d for r in w)
-    # position order agrees with the series order
-    from pyspark.sql import Window
-    win = Window.partitionBy("product", "seller").orderBy(*P.ORDER)
-    chk = got.withColumn("rn", F.row_number().over(win)).filter("rn <> pos").count()
-    assert chk == 0
-
-
 def test_blocked_rolling_equals_window(spark, sf):
     p = V.prices(spark, sf)
-    a = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, strategy="window")
-    b = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, strategy="blocked",
-                     block_rows=10)
+    a = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, block=F.lit(0))
+    b = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, block=F.col("date"))
     cols = ["product", "seller", *P.ORDER, "s", "_cnt"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
     assert b.select(cols).exceptAll(a.select(cols)).count() == 0
     assert a.count() == p.count()
 
 
-def test_fake_discount_strategies_agree(spark, sf):
-    p = V.prices(spark, sf)
-    a = P.fake_discounts(p, strategy="window")
-    b = P.fake_discounts(p, strategy="blocked", block_rows=7)
-    assert a.count() > 0
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
 def test_blocked_rolling_keeps_null_keys(spark, sf):
     p = V.prices(spark, sf).withColumn(
         "seller", F.when(F.col("seller") == "NATION_1", F.lit(None).cast("string")).otherwise(F.col("seller")))
-    a = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, strategy="window")
-    b = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, strategy="blocked", block_rows=10)
+    a = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, block=F.lit(0))
+    b = rolling_rows(p, ["product", "seller"], list(P.ORDER), 7, {"s": "actual_c"}, block=F.col("date"))
     cols = ["product", "seller", *P.ORDER, "s", "_cnt"]
     assert b.count() == p.count()
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
