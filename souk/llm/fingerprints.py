@@ -82,9 +82,10 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     there = F.struct(F.when(F.col("b") > 1, F.col("b") - 1).otherwise(F.lit(len(starts))).alias("bucket"), F.lit(True).alias("halo"))
     dealt = (base.withColumn("b", at)
                  .withColumn("to", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))))
-                 .select("to.bucket", "to.halo", "doc_id", "key", "whole")
+                 .select("to.bucket", "to.halo", "doc_id", "whole")
                  .repartition(2 * n, "bucket"))
-    order = Window.partitionBy("bucket").orderBy("halo", "key", "whole")
+    # All columns of the exchange are read by every branch above it, so that it runs only once.
+    order = Window.partitionBy("bucket").orderBy("halo", F.col("doc_id").asc_nulls_last(), "whole")
     return dealt.select("bucket", F.row_number().over(order).alias("place"), "halo", "doc_id", "whole",
                         F.lead("whole").over(order).alias("next"))
 
