@@ -258,7 +258,7 @@ def score(docs: DataFrame, mu: float = MU) -> DataFrame:
         single = np.log10((c + 1) / unigram)
         known = (c > 0) & (c_before > 0)
         alone = ~known
-        local = np.bincount(doc[alone], np.rint(-(np.log10(mu / (c_before[alone] + mu)) + single[alone]) * STEP) / -STEP, len(lengths))
+        local = np.bincount(doc[alone], np.rint(-(np.log10(mu / (c_before[alone] + mu)) + single[alone]) * STEP) / -STEP, len(lengths)).astype(float)
         payload = pack(held=held, tokens=lengths.astype(np.uint32), known=np.bincount(doc[c > 0], minlength=len(lengths)).astype(np.uint32),
                        base=np.add.reduceat(single, starts), score=local)
         rows = [(block, block % pair_shards, payload, ids[0].as_py())]
