@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.shared import gather, map_arrays, pack_arrays, ship, shipped, slices, words
+from souk.llm.shared import gather, map_arrays, pack_arrays, ship, shipped, slices, store, words
 
 LEXICON_WORDS = 30_000
 SLICE = 8 << 20
@@ -229,7 +229,9 @@ def pieces(distinct: list[str], specials: list[str]) -> tuple[list[str], np.ndar
 
 
 def frequent_words(docs: DataFrame, specials: list[str], n: int) -> list[str]:
-    """The ``n`` most frequent words of up to LONG bytes of all texts (ties by text); only they reach the driver."""
+    """The most frequent words of up to LONG bytes of all texts, at most ``n``: those whose count reaches
+    the lowest sixteenth of an octave down to which there are no more. The driver sees a histogram
+    of the counts and these words, however many tasks counted them."""
 
     def counted(batches):
         for batch in batches:
@@ -242,9 +244,16 @@ def frequent_words(docs: DataFrame, specials: list[str], n: int) -> list[str]:
                 total = np.bincount(of, np.repeat(times, np.diff(bounds)), len(found)).astype(np.int64)
                 yield pa.record_batch([pa.array(found, pa.string()), pa.array(total)], names=["word", "n"])
 
-    rows = (docs.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-            .where(f"n > 0 AND NOT startswith(word, '\n') AND octet_length(word) <= {LONG}").orderBy(F.desc("n"), "word").limit(n).collect())
-    return [r["word"] for r in rows]
+    counts = store(docs.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+                   .where(f"n > 0 AND NOT startswith(word, '\n') AND octet_length(word) <= {LONG}"), "words")
+    step = F.floor(F.log2("n") * 16)
+    least, held = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        held += r["words"]
+        if held > n:
+            break
+        least = r["step"]
+    return [] if least is None else [r["word"] for r in counts.where(step >= least).collect()]
 
 
 def build(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> str:
