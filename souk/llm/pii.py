@@ -176,14 +176,21 @@ def train_classifier(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: floa
 
 def fit(candidates: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray | None:
     """The classifier's weights. EM sees the counts of every vote pattern in the corpus (at most
-    kinds x 3**labelers rows); the classifier fits on at most ``train_spans`` spans, the first by
-    a hash. None without any span."""
-    spans = candidates.select(F.explode("judged").alias("s")).select("s.*")
-    patterns = {(r["kind"], r["votes"]): r["n"] for r in spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}
+    kinds x 3**labelers rows); the classifier fits on at most ``train_spans`` spans: those whose
+    hash (of doc_id and the spans of its text) falls under the share that gives nine tenths of
+    that, so no task sends more than its part of them. None without any span."""
+    own_id = "doc_id" if "doc_id" in candidates.columns else "doc.doc_id"
+    spans = candidates.select(F.explode("judged").alias("s"), F.xxhash64(own_id, "judged").alias("row"))
+    patterns = {(r["kind"], r["votes"]): r["n"] for r in spans.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return None
     posterior = expectation_maximisation(patterns)[2]
-    picked = spans.select("kind", "votes", "x").orderBy(F.xxhash64("votes", "x"), "x").limit(train_spans).collect()
+    share = min(1.0, 0.9 * train_spans / sum(patterns.values()))
+    place = F.pmod(F.xxhash64("row", "s.start", "s.kind"), F.lit(1 << 32))
+    picked = spans.where(place < int(share * (1 << 32))).select("s.kind", "s.votes", "s.x").limit(train_spans).collect()
+    picked.sort(key=lambda r: (r["kind"], r["votes"], r["x"]))
+    if not picked:
+        return None
     return train_classifier(np.array([r["x"] for r in picked]), np.array([posterior[r["kind"], r["votes"]] for r in picked]))
 
 
