@@ -1,6 +1,6 @@
 """Streaming queries: each runs its stream to completion (available-now trigger) over the
-input files and returns the sink table. The tick queries have SQL twins: the windowed one
-emits exactly the windows the 1-day watermark has closed (end <= max(ts) - 1 day)."""
+input files and returns the sink table. Their SQL twins are batch queries over
+all rows."""
 
 from __future__ import annotations
 
@@ -20,20 +20,19 @@ TICKS_SQL = """
 @register("str_01_review_ingest", V.with_views("""
     SELECT * FROM reviews WHERE product IN (SELECT p_brand FROM part)""", "reviews"))
 def str_01_review_ingest(spark, sf_dir):
-    """STR-01: streaming review ingest (parent check, labels, watermark de-dup, append)."""
-    return spark.read.parquet(S.run_review_ingest(spark, sf_dir))
+    """STR-01: streaming review ingest (parent check, labels, de-dup by id)."""
+    return spark.read.parquet(S.run_review_ingest(spark, sf_dir)).drop("epoch")
 
 
 @register("str_02_daily_ticks", f"""
     WITH t AS ({TICKS_SQL})
     SELECT CAST(date_trunc('day', ts) AS DATE) AS day, seller, count(*) AS ticks, CAST(sum(actual_c) AS BIGINT) AS sum_c,
            min(actual_c) AS min_c, max(actual_c) AS max_c
-    FROM t GROUP BY 1, 2
-    HAVING CAST(date_trunc('day', min(ts)) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM t) - INTERVAL 1 DAY""")
+    FROM t GROUP BY 1, 2""")
 def str_02_daily_ticks(spark, sf_dir):
-    """STR-02: daily tumbling tick aggregates per seller under a 1-day watermark."""
-    out = spark.read.parquet(S.run_to_table(S.daily_ticks(S.ticks_stream(spark, sf_dir)), "daily-ticks"))
-    return out.withColumn("day", S.utc_wall_clock("day").cast("date"))
+    """STR-02: daily tumbling tick aggregates per seller, every window."""
+    path = S.run_to_table(S.daily_ticks(S.ticks_stream(spark, sf_dir)), "daily-ticks", mode="update")
+    return S.newest_windows(spark.read.parquet(path)).withColumn("day", S.utc_wall_clock("day").cast("date"))
 
 
 @register("str_02_tick_flags", f"""
@@ -42,10 +41,11 @@ def str_02_daily_ticks(spark, sf_dir):
           WINDOW w AS (PARTITION BY seller ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
     SELECT seller, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, actual_c, claimed_c,
            CAST(roll_sum_c AS BIGINT) AS roll_sum_c, roll_n,
-           (claimed_c > actual_c AND actual_c * 10 * roll_n >= roll_sum_c * 9) AS is_manipulation, false AS late
+           (claimed_c > actual_c AND actual_c * 10 * roll_n >= roll_sum_c * 9) AS is_manipulation
     FROM r""")
 def str_02_tick_flags(spark, sf_dir):
-    """STR-02: stateful 7-tick rolling mean per seller with fake-discount flags."""
-    out = spark.read.parquet(S.run_to_table(S.tick_flags(S.ticks_stream(spark, sf_dir)), "tick-flags"))
-    return out.select("seller", "event_id", F.date_format(S.utc_wall_clock("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
-                      "actual_c", "claimed_c", "roll_sum_c", "roll_n", "is_manipulation", "late")
+    """STR-02: 7-tick rolling mean per seller with fake-discount flags over the landed ticks."""
+    landed = spark.read.parquet(S.run_to_table(S.ticks_stream(spark, sf_dir), "ticks"))
+    return S.flags_of_ticks(landed).select(
+        "seller", "event_id", F.date_format(S.utc_wall_clock("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
+        "actual_c", "claimed_c", "roll_sum_c", "roll_n", "is_manipulation")

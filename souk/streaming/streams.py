@@ -1,19 +1,21 @@
 """Structured Streaming jobs (STR-01, STR-02).
 
 STR-01 review ingest: file source -> stream-static joins (labels, parent products) ->
-label -> de-duplicate within an event-time watermark -> ``foreachBatch`` append.
+de-duplication by id -> table.
 
-STR-02 price tick monitor: ticks -> watermark -> daily tumbling aggregates per seller, and
-a 7-tick rolling mean per seller kept in ``applyInPandasWithState`` that flags fake
-discounts with the same integer rule as the batch job. Ticks older than a seller's last
-processed tick are late: they are not folded into the mean and are reported as late.
+STR-02 price tick monitor: ticks -> daily tumbling aggregates per seller (update mode), and ticks
+landed as they arrive, whose 7-tick rolling mean and flag follow time order (``flags_of_ticks``).
+``tick_flags`` flags ticks on arrival by ``applyInPandasWithState``; it reports ticks older than a
+seller's last one as late and does not fold them into the mean.
 
-Checkpoints live under the shared checkpoint folder, so a restarted query resumes.
+Tables have one folder for each epoch. Checkpoints and tables live under the shared checkpoint
+folder or where the caller says; given again, a stopped stream resumes.
 """
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,44 +24,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from souk.functions.exprs import FAKE_RATIO_DEN, FAKE_RATIO_NUM, ROLLING_ROWS, utc_instant, utc_wall_clock  # noqa: F401
+from souk.operators.series import rolling_rows
 from souk.sources import views as V
 from souk.sources.changes import new_table_path
-from souk.sources.tables import read
+from souk.sources.tables import read, table_path
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def _file_stream(spark: SparkSession, sf_dir: str, table: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-                 .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    """The files of a table's dataset as they arrive. The path is written as a pattern, of one name,
+    because a stream takes a plain path for a folder, and a dataset may be one file."""
+    path = table_path(sf_dir, table)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def run_to_table(df: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None, mode: str = "append") -> str:
+    """Run a stream over all that has arrived, into ``out``: one folder for each epoch, written over
+    if the epoch is replayed. The same ``out`` and ``checkpoint`` given again resume the stream."""
+    spark = df.sparkSession
+    out = out or new_table_path(spark, name)
+    checkpoint = checkpoint or new_table_path(spark, f"{name}-ckpt")
+    # No epoch yet is an empty table, too.
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(os.path.join(out, "epoch=-1"))
+
+    def land(batch: DataFrame, epoch: int):
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
+
+    q = (df.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", checkpoint)
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
 
 
 def review_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-01 transformation: validated, labelled, de-duplicated review rows."""
+    """STR-01 transformation: validated, labelled, de-duplicated review rows. The de-duplication
+    keeps the ids seen so far as state (on disk, by id), so no review is late."""
     docs = _file_stream(spark, sf_dir, "documents", DOC_SCHEMA)
     labels = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     rev = V.reviews_from(docs.select("doc_id", "text", "lang", "source"), labels)
-    # Parent check: the product must exist in the catalogue. Distinct brands are at most the
-    # part rows, so the broadcast is behind the same row-count check as other dimensions.
+    # Parent check: the product must exist in the catalogue.
     parents = read(spark, sf_dir, "part", "p_brand").select(F.col("p_brand").alias("product")).distinct()
-    valid = rev.join(parents, "product", "left_semi")
-    return (valid.withColumn("event_ts", F.col("review_date").cast("timestamp"))
-                 .withWatermark("event_ts", "30 days")
-                 .dropDuplicatesWithinWatermark(["id"]))
-
+    return rev.join(parents, "product", "left_semi").dropDuplicates(["id"])
 
-def run_review_ingest(spark: SparkSession, sf_dir: str, out_path: str | None = None) -> str:
-    out_path = out_path or new_table_path(spark, "reviews-stream")
-    ckpt = new_table_path(spark, "reviews-stream-ckpt")
 
-    def append(batch: DataFrame, epoch: int):
-        batch.drop("event_ts").write.mode("append").parquet(out_path)
-
-    q = (review_ingest_stream(spark, sf_dir).writeStream.foreachBatch(append)
-            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out_path
+def run_review_ingest(spark: SparkSession, sf_dir: str, out_path: str | None = None, checkpoint: str | None = None) -> str:
+    return run_to_table(review_ingest_stream(spark, sf_dir), "reviews-stream", out_path, checkpoint)
 
 
 def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,17 +87,32 @@ def tick_columns(ev: DataFrame) -> DataFrame:
                      F.rint(F.col("value") * (F.lit(100) + k)).cast("bigint").alias("claimed_c"))
 
 
-def daily_ticks(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
-    """STR-02 (windowed part): daily tumbling aggregates per seller, emitted when the
-    watermark passes the window end."""
-    return (ticks.withWatermark("ts", delay)
-                 .groupBy(F.window("ts", "1 day").alias("w"), "seller")
+def daily_ticks(ticks: DataFrame) -> DataFrame:
+    """STR-02 (windowed part): daily tumbling aggregates per seller, for update mode: a window is
+    emitted again when ticks reach it, however late. State: one row for each day and seller."""
+    return (ticks.groupBy(F.window("ts", "1 day").alias("w"), "seller")
                  .agg(F.count(F.lit(1)).alias("ticks"), F.sum("actual_c").alias("sum_c"),
                       F.min("actual_c").alias("min_c"), F.max("actual_c").alias("max_c"))
                  .select(F.col("w.start").alias("day"), "seller", "ticks", "sum_c", "min_c", "max_c"))
     # ``day`` is the window start instant; callers read it as a UTC date (``utc_wall_clock``).
 
 
+def newest_windows(table: DataFrame) -> DataFrame:
+    """Each window of a ``daily_ticks`` table as last emitted."""
+    values = ["ticks", "sum_c", "min_c", "max_c"]
+    return (table.groupBy("day", "seller").agg(F.max_by(F.struct(*values), "epoch").alias("v"))
+                 .select("day", "seller", *[f"v.{c}" for c in values]))
+
+
+def flags_of_ticks(ticks: DataFrame) -> DataFrame:
+    """STR-02 (rolling part) over the landed ticks: 7-tick rolling mean per seller in time order and
+    the fake-discount flag, whatever the order of arrival. A task holds one seller's hour."""
+    rolled = rolling_rows(ticks, ["seller"], ["ts", "event_id"], ROLLING_ROWS, {"roll_sum_c": "actual_c"},
+                          count_col="roll_n", block=F.date_trunc("hour", "ts"))
+    return rolled.withColumn("is_manipulation", (F.col("claimed_c") > F.col("actual_c")) & (
+        F.col("actual_c") * FAKE_RATIO_DEN * F.col("roll_n") >= F.col("roll_sum_c") * FAKE_RATIO_NUM))
+
+
 FLAG_SCHEMA = ("seller string, event_id bigint, ts timestamp, actual_c bigint, claimed_c bigint, "
                "roll_sum_c bigint, roll_n bigint, is_manipulation boolean, late boolean")
 STATE_SCHEMA = "recent string, last_ts timestamp, last_id bigint, late bigint"
@@ -118,16 +144,7 @@ def _flag_ticks(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 
 
 def tick_flags(ticks: DataFrame) -> DataFrame:
-    """STR-02 (stateful part): 7-tick rolling mean per seller and the fake-discount flag."""
+    """STR-02 (alerts as ticks arrive): 7-tick rolling mean per seller and the fake-discount flag. A
+    seller's part of a micro-batch meets in one task; ``flags_of_ticks`` is the complete result."""
     return ticks.groupBy("seller").applyInPandasWithState(
         _flag_ticks, FLAG_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_table(df: DataFrame, name: str) -> str:
-    spark = df.sparkSession
-    out = new_table_path(spark, name)
-    ckpt = new_table_path(spark, f"{name}-ckpt")
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-           .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
