@@ -22,10 +22,12 @@ def resolve_keyword(products: DataFrame, keyword: str) -> DataFrame:
 
 def resolve_exact(products: DataFrame, name: str) -> DataFrame:
     """PRJ-13: exact name first, else a case-insensitive substring match; first by id.
-    No row when nothing matches."""
+    No row when nothing matches. The name 'all' is the first product."""
+    if name.strip().lower() == "all":
+        return products.orderBy("id").limit(1).select("id", "name", F.lit(0).alias("match_rank"))
     exact = F.col("name") == F.lit(name)
     cand = products.filter(exact | F.col("name").ilike(f"%{name}%")).withColumn(
         "rk", F.when(exact, 0).otherwise(1))
     return cand.groupBy().agg(F.min_by("id", F.struct("rk", "id")).alias("id"),
                               F.min_by("name", F.struct("rk", "id")).alias("name"),
-                              F.min("rk").alias("match_rank"))
+                              F.min("rk").alias("match_rank")).filter(F.col("match_rank").isNotNull())

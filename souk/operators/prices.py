@@ -154,6 +154,14 @@ def grid(prices: DataFrame) -> DataFrame:
     return spine.join(cells, ["product", "seller", "date"], "left")
 
 
+def aligned_series(prices: DataFrame) -> DataFrame:
+    """SRC-18: per product and seller, the product's dates and the seller's price (NULL without a
+    quote) on each: arrays of equal length, bounded by the calendar."""
+    cells = F.array_sort(F.collect_list(F.struct("date", "first_c"))).alias("cells")
+    return grid(prices).groupBy("product", "seller").agg(cells).select(
+        "product", "seller", F.col("cells.date").alias("dates"), F.col("cells.first_c").alias("series"))
+
+
 def grid_summary(prices: DataFrame) -> DataFrame:
     g = grid(prices)
     return g.groupBy("product", "seller").agg(

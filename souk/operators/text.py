@@ -1,9 +1,7 @@
 """Text jobs (ML-07, ML-08, ML-10, ML-11, ML-12, AGG-22).
 
-Language detection is stop-word voting expressed as a join: whole texts are tokenised,
-tokens meet a small broadcast stop-word table, hits are counted per (document, language)
-with a map-side partial aggregate, and the arg-max is one more aggregate. It stays inside
-Catalyst, scales with the number of tokens, and is checkable in SQL.
+Language detection is stop-word voting as a row expression over the whole text: no shuffle, no
+join, checkable in SQL.
 """
 
 from __future__ import annotations
@@ -26,27 +24,32 @@ LANG_ORDER = tuple(STOP_WORDS)
 SAMPLE_SEED = 42
 
 
-def stop_word_table(spark) -> DataFrame:
-    rows = [(w, lang, i) for i, (lang, ws) in enumerate(STOP_WORDS.items()) for w in ws]
-    return spark.createDataFrame(rows, "word string, lang string, prio int")
+def with_language(df: DataFrame, text_col: str) -> DataFrame:
+    """ML-11: add ``detected``, the language whose stop words are most in the text; NULL when none
+    occurs. The stop words of a text are filtered once, then counted by language."""
+    every = [w for ws in STOP_WORDS.values() for w in ws]
+
+    def hits(words):
+        return F.size(F.filter("_stops", lambda t: t.isin(*words))).alias("hits")
+
+    found = df.withColumn("_stops", F.filter(F.split(F.lower(F.col(text_col)), WORD_SPLIT), lambda t: t.isin(every)))
+    votes = [F.struct(hits(ws), F.lit(-i).alias("prio"), F.lit(lang).alias("lang"))
+             for i, (lang, ws) in enumerate(STOP_WORDS.items())]
+    found = found.withColumn("_best", F.greatest(*votes))
+    return found.withColumn("detected", F.when(F.col("_best.hits") > 0, F.col("_best.lang"))).drop("_stops", "_best")
 
 
 def detect_language(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """ML-11: (id, detected) for every document; NULL when no stop word occurs."""
-    tokens = docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), WORD_SPLIT)).alias("word"))
-    hits = tokens.join(F.broadcast(stop_word_table(docs.sparkSession)), "word")
-    per = hits.groupBy(id_col, "lang", "prio").agg(F.count(F.lit(1)).alias("hits"))
-    best = per.groupBy(id_col).agg(F.max_by("lang", F.struct("hits", (-F.col("prio")).alias("p"))).alias("detected"))
-    return docs.select(id_col).join(best, id_col, "left")
+    """ML-11: (id, detected) for every document."""
+    return with_language(docs.select(id_col, text_col), text_col).select(id_col, "detected")
 
 
-def drop_non_english(reviews: DataFrame, detected: DataFrame, id_col: str = "id", min_len: int = 3) -> DataFrame:
+def drop_non_english(reviews: DataFrame, min_len: int = 3) -> DataFrame:
     """ML-11 'delete' policy + SRC-14: delete reviews detected as another language; short
     texts and undetectable ones are kept."""
     long_enough = F.length(F.regexp_replace("review_text", r"^\s+|\s+$", "")) >= min_len
-    doomed = (reviews.join(detected, id_col).filter(long_enough & F.col("detected").isNotNull()
-                                                    & (F.col("detected") != "en")).select(id_col))
-    return reviews.join(doomed, id_col, "left_anti")
+    doomed = F.coalesce(long_enough & (F.col("detected") != "en"), F.lit(False))
+    return with_language(reviews, "review_text").filter(~doomed).drop("detected")
 
 
 def confusion(truth_pred: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -55,11 +58,12 @@ def confusion(truth_pred: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def accuracy_f1(truth_pred: DataFrame, truth: str, pred: str) -> DataFrame:
     """AGG-22: accuracy and support-weighted F1 from confusion counts (one row)."""
-    c = confusion(truth_pred, truth, pred)
-    tp = c.filter(F.col("truth").eqNullSafe(F.col("pred"))).groupBy(F.col("truth").alias("cls")).agg(F.sum("n").alias("tp"))
-    sup = c.groupBy(F.col("truth").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = c.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    per = sup.join(tp, "cls", "left").join(prd, "cls", "left").fillna(0, ["tp", "predicted"])
+    # Each cell of the confusion table counts once for its true and once for its predicted class.
+    right, n = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.col("n")
+    cell = F.array(F.struct(F.col("truth").alias("cls"), n.alias("support"), right, F.lit(0).cast("bigint").alias("predicted")),
+                   F.struct(F.col("pred").alias("cls"), F.lit(0).cast("bigint").alias("support"), F.lit(0).cast("bigint").alias("tp"), n.alias("predicted")))
+    per = (confusion(truth_pred, truth, pred).select(F.inline(cell)).groupBy("cls")
+           .agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted")))
     p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
@@ -91,24 +95,26 @@ def split(df: DataFrame, id_col: str, train_pct: int = 80, seed: int = SAMPLE_SE
     return df.withColumn("split", F.when(hash_bucket(id_col, seed) < train_pct, F.lit("train")).otherwise(F.lit("test")))
 
 
-def word_tokens(text_col: str):
-    return F.filter(F.split(F.col(text_col), r"\s+"), lambda t: t != "")
+def word_tokens(text):
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
 def truncate_tokens(df: DataFrame, text_col: str, max_tokens: int = 128) -> DataFrame:
-    """ML-12: keep the first ``max_tokens`` word tokens of every text."""
-    toks = word_tokens(text_col)
-    return (df.withColumn("n_tokens", F.size(toks))
-              .withColumn("truncated", F.array_join(F.slice(toks, 1, max_tokens), " ")))
+    """ML-12: every text as consecutive pieces of up to ``max_tokens`` word tokens (one row each, ``part``
+    from 0); the first is the truncated text. A text without words has one empty piece."""
+    cut = df.withColumn("_toks", word_tokens(F.coalesce(F.col(text_col), F.lit("")))).withColumn("n_tokens", F.size("_toks"))
+    last = F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / max_tokens).cast("int")
+    return (cut.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+               .withColumn("truncated", F.array_join(F.slice("_toks", F.col("part") * max_tokens + 1, max_tokens), " ")).drop("_toks"))
 
 
-def training_set(reviews: DataFrame, detected: DataFrame, brand_pattern: str, id_col: str = "id") -> DataFrame:
+def training_set(reviews: DataFrame, brand_pattern: str, id_col: str = "id") -> DataFrame:
     """ML-10: rated reviews with text, brand filter, English only ('keep' policy of ML-11),
     label 0/1/2. If no English review is left, the brand-filtered rows are used instead
     (the fallback flag is a scalar subquery)."""
     base = (reviews.dropna(subset=["review_text", "review_rating"])
                    .filter(rlike_ci("product", brand_pattern)))
-    tagged = base.join(detected, id_col, "left").withColumn("_en", F.coalesce(F.col("detected") == "en", F.lit(False)))
+    tagged = with_language(base, "review_text").withColumn("_en", F.coalesce(F.col("detected") == "en", F.lit(False)))
     any_en = tagged.agg(F.bool_or("_en").alias("_any")).scalar()
     kept = tagged.withColumn("_any", any_en).filter(F.col("_en") | ~F.coalesce(F.col("_any"), F.lit(False)))
     return kept.select(id_col, F.col("review_text").alias("text"), label_of_rating("review_rating").alias("label"))

@@ -77,25 +77,22 @@ def src_02_price_csv_roundtrip(spark, sf_dir):
 @register("set_01_union_sources", V.with_views("""
     SELECT kind, count(*) AS rows, count(product) AS with_product FROM (
       SELECT 'documents' AS kind, product FROM reviews
-      UNION ALL SELECT 'conversations', NULL FROM conversations WHERE role = 'user')
+      UNION ALL SELECT 'conversations', NULL FROM conversations)
     GROUP BY kind""", "reviews"))
 def set_01_union_sources(spark, sf_dir):
     """SET-01: reviews from two sources with different columns in one table."""
     a = V.reviews(spark, sf_dir, with_text=False).select("id", "product", F.lit("documents").alias("kind"))
-    conv = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user")
+    conv = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     b = conv.select(F.col("conv_id").alias("id"), F.col("text").alias("review_text"), F.lit("conversations").alias("kind"))
     u = I.union_sources([a, b])
     return u.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count("product").alias("with_product"))
 
 
 @register("set_02_split_cap_union", V.with_views("""
-    SELECT brand, id FROM (
-      SELECT brand, id, row_number() OVER (PARTITION BY brand ORDER BY id) AS rn FROM (
-        SELECT 'one' AS brand, id FROM reviews WHERE regexp_matches(product, '(?i)brand#1$')
-        UNION ALL SELECT 'two', id FROM reviews WHERE regexp_matches(product, '(?i)brand#2$')))
-    WHERE rn <= 500""", "reviews"))
+    SELECT 'one' AS brand, id FROM reviews WHERE regexp_matches(product, '(?i)brand#1$')
+    UNION ALL SELECT 'two', id FROM reviews WHERE regexp_matches(product, '(?i)brand#2$')""", "reviews"))
 def set_02_split_cap_union(spark, sf_dir):
-    """SET-02: split one source into two brands, keep the first 500 of each, union."""
+    """SET-02: split one source into two brands, whole, and union them."""
     r = V.reviews(spark, sf_dir, with_text=False)
-    out = I.split_brands_capped(r, {"one": "brand#1$", "two": "brand#2$"}, "product", [F.asc("id")], I.BRAND_CAP)
+    out = I.split_brands_capped(r, {"one": "brand#1$", "two": "brand#2$"}, "product", [F.asc("id")])
     return out.select("brand", "id")

@@ -167,15 +167,46 @@ def join_08_forward_fill(spark, sf_dir):
     return P.fill_summary(V.prices(spark, sf_dir))
 
 
-@register("agg_15_pivot", V.with_views("""
-    SELECT * FROM (PIVOT (SELECT product, date, seller, CAST(first_c AS DOUBLE) / 100 AS price FROM cells)
-                   ON seller USING first(price) GROUP BY product, date)""", "prices", extra={"cells": CELLS}))
+# The nation dimension has 25 rows by schema; its names are the pivot's columns.
+PIVOT_SELLERS = [f"NATION_{i}" for i in range(25)]
+
+
+@register("agg_15_pivot", V.with_views("SELECT product, date, " + ", ".join(
+    f"max(CAST(first_c AS DOUBLE) / 100) FILTER (WHERE seller = '{n}') AS {n}" for n in PIVOT_SELLERS)
+    + " FROM cells GROUP BY product, date", "prices", extra={"cells": CELLS}))
 def agg_15_pivot(spark, sf_dir):
     """AGG-15: date x seller pivot of the first quote's price."""
-    # Pivot values: the names of nations that have suppliers - at most the 25 rows of the
-    # nation dimension, so collecting them is bounded (and saves Spark's own distinct job).
-    sellers = sorted(r.n_name for r in V.sellers(spark, sf_dir).select("n_name").distinct().collect())
-    return P.pivot_first_price(V.prices(spark, sf_dir), sellers)
+    return P.pivot_first_price(V.prices(spark, sf_dir), PIVOT_SELLERS)
+
+
+@register("join_07_grid_cells", V.with_views(
+    "SELECT product, seller, date, first_c, last_c FROM grid", "prices", extra={"cells": CELLS, "grid": GRID}))
+def join_07_grid_cells(spark, sf_dir):
+    """JOIN-06 + JOIN-07: every cell of the date x seller grid, NULL where there is no quote."""
+    return P.grid(V.prices(spark, sf_dir)).select("product", "seller", "date", "first_c", "last_c")
+
+
+FILLED = """
+    SELECT *, last_value(last_c IGNORE NULLS) OVER (PARTITION BY product, seller ORDER BY date
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled_c FROM grid"""
+
+
+@register("join_08_filled_cells", V.with_views(
+    "SELECT product, seller, date, last_c, filled_c FROM filled", "prices", extra={"cells": CELLS, "grid": GRID, "filled": FILLED}))
+def join_08_filled_cells(spark, sf_dir):
+    """JOIN-08 + WIN-05: every cell with the last known price carried to it."""
+    return P.filled_series(V.prices(spark, sf_dir)).select("product", "seller", "date", "last_c", "filled_c")
+
+
+@register("src_18_aligned_series", V.with_views("""
+    SELECT product, seller, count(*) AS days, string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY date) AS dates,
+           string_agg(COALESCE(CAST(first_c AS VARCHAR), ''), ',' ORDER BY date) AS prices_c
+    FROM grid GROUP BY product, seller""", "prices", extra={"cells": CELLS, "grid": GRID}))
+def src_18_aligned_series(spark, sf_dir):
+    """SRC-18: the chart series; every seller of a product has one value or none for each of its dates."""
+    day = P.aligned_series(V.prices(spark, sf_dir))
+    return day.select("product", "seller", F.size("dates").cast("bigint").alias("days"), F.array_join(F.transform("dates", lambda d: d.cast("string")), ",").alias("dates"),
+                      F.array_join(F.transform("series", lambda c: F.coalesce(c.cast("string"), F.lit(""))), ",").alias("prices_c"))
 
 
 @register("agg_16_anomaly_kpis", V.with_views("""

@@ -318,13 +318,21 @@ def prj_12_resolve_keyword(spark, sf_dir):
 @register("prj_13_resolve_exact", V.with_views("""
     SELECT arg_min(id, (rk, id)) AS id, arg_min(name, (rk, id)) AS name, min(rk) AS match_rank
     FROM (SELECT id, name, CASE WHEN name = 'blue bolt' THEN 0 ELSE 1 END AS rk FROM products
-          WHERE name = 'blue bolt' OR name ILIKE '%blue bolt%')""", "products"))
+          WHERE name = 'blue bolt' OR name ILIKE '%blue bolt%') HAVING count(*) > 0""", "products"))
 def prj_13_resolve_exact(spark, sf_dir):
     """PRJ-13: exact name, else substring; the first match wins."""
     from souk.operators.catalog import resolve_exact
     return resolve_exact(V.products(spark, sf_dir), "blue bolt")
 
 
+@register("prj_13_resolve_all", V.with_views("""
+    SELECT id, name, 0 AS match_rank FROM products ORDER BY id LIMIT 1""", "products"))
+def prj_13_resolve_all(spark, sf_dir):
+    """PRJ-13: the name 'all' is the first product."""
+    from souk.operators.catalog import resolve_exact
+    return resolve_exact(V.products(spark, sf_dir), "all")
+
+
 @register("prj_14_brand_guard", V.with_views("""
     SELECT category, count(*) AS matching FROM products WHERE contains(lower(name), 'ring') GROUP BY category""", "products"))
 def prj_14_brand_guard(spark, sf_dir):

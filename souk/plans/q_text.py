@@ -22,18 +22,15 @@ DETECT_CTES = {"sw": STOPS_SQL, "det": DETECT_SQL}
 BRAND_PATTERN = r"brand#(1|2)$"
 
 
-def _detected(spark, sf_dir, id_col="doc_id"):
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    d = T.detect_language(docs, "doc_id", "text")
-    return d if id_col == "doc_id" else d.withColumnRenamed("doc_id", id_col)
+def _detected(spark, sf_dir):
+    return T.with_language(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), "text").select("doc_id", "detected", "lang")
 
 
 @register("ml_11_language_detect", V.with_views("""
     SELECT d.doc_id, det.detected, d.lang FROM documents d JOIN det USING (doc_id)""", extra=DETECT_CTES))
 def ml_11_language_detect(spark, sf_dir):
     """ML-11: stop-word language detection over whole texts (NULL = undetectable)."""
-    truth = read(spark, sf_dir, "documents", "doc_id", "lang")
-    return truth.join(_detected(spark, sf_dir), "doc_id").select("doc_id", "detected", "lang")
+    return _detected(spark, sf_dir)
 
 
 @register("agg_22_accuracy_f1", V.with_views("""
@@ -50,8 +47,7 @@ def ml_11_language_detect(spark, sf_dir):
     extra=dict(DETECT_CTES, c="SELECT d.lang AS truth, det.detected AS pred, count(*) AS n FROM documents d JOIN det USING (doc_id) GROUP BY 1, 2")))
 def agg_22_accuracy_f1(spark, sf_dir):
     """AGG-22: accuracy and weighted F1 of the language detector against documents.lang."""
-    truth = read(spark, sf_dir, "documents", "doc_id", "lang")
-    return T.accuracy_f1(truth.join(_detected(spark, sf_dir), "doc_id"), "lang", "detected")
+    return T.accuracy_f1(_detected(spark, sf_dir), "lang", "detected")
 
 
 @register("src_14_delete_non_english", V.with_views(r"""
@@ -60,9 +56,7 @@ def agg_22_accuracy_f1(spark, sf_dir):
                AND det.detected <> 'en')""", "reviews", extra=DETECT_CTES))
 def src_14_delete_non_english(spark, sf_dir):
     """SRC-14 + ML-11 (delete policy): drop reviews detected as non-English."""
-    r = V.reviews(spark, sf_dir)
-    kept = T.drop_non_english(r, _detected(spark, sf_dir, "id"))
-    return kept.select("id", "product", "lang")
+    return T.drop_non_english(V.reviews(spark, sf_dir)).select("id", "product", "lang")
 
 
 @register("ml_07_sample", V.with_views("""
@@ -83,12 +77,14 @@ def ml_08_split(spark, sf_dir):
 
 
 @register("ml_12_truncate", V.with_views(r"""
-    SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(toks[1:128], ' ') AS truncated
-    FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS toks FROM documents)"""))
+    SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(part AS INTEGER) AS part,
+           array_to_string(toks[part * 128 + 1:part * 128 + 128], ' ') AS truncated
+    FROM (SELECT doc_id, toks, unnest(range(0, greatest(len(toks) - 1, 0) // 128 + 1)) AS part
+          FROM (SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '\s+'), lambda t: t <> '') AS toks FROM documents))"""))
 def ml_12_truncate(spark, sf_dir):
-    """ML-12: truncation of every text to its first 128 word tokens."""
+    """ML-12: every text in pieces of 128 word tokens."""
     d = read(spark, sf_dir, "documents", "doc_id", "text")
-    return T.truncate_tokens(d, "text", 128).select("doc_id", "n_tokens", "truncated")
+    return T.truncate_tokens(d, "text", 128).select("doc_id", "n_tokens", "part", "truncated")
 
 
 @register("ml_10_training_set", V.with_views(f"""
@@ -106,7 +102,7 @@ def ml_12_truncate(spark, sf_dir):
     "reviews", extra=DETECT_CTES))
 def ml_10_training_set(spark, sf_dir):
     """ML-10 + FN-04: the sentiment training set (brand filter, English only, 0/1/2 labels)."""
-    return T.training_set(V.reviews(spark, sf_dir), _detected(spark, sf_dir, "id"), BRAND_PATTERN)
+    return T.training_set(V.reviews(spark, sf_dir), BRAND_PATTERN)
 
 
 @register("fn_05_label_names", V.with_views("""

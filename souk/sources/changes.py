@@ -23,14 +23,15 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(fresh, allowMissingColumns=True)
 
 
-def keyed_update(old: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """SRC-09 / SRC-10 + JOIN-09: set ``columns`` from ``updates`` where the key matches;
-    other rows keep their values (left join + coalesce)."""
-    u = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
+def keyed_update(old: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                 order: Sequence[str] = ()) -> DataFrame:
+    """SRC-09 / SRC-10 + JOIN-09: set ``columns`` from ``updates`` where the key matches (to NULL,
+    too); other rows keep their values. Of several updates for one key the last by ``order`` wins
+    (without it, or in a tie, the one of the largest values)."""
+    value = F.struct(*[F.col(c) for c in columns])
+    u = updates.groupBy(*keys).agg(F.max_by(value, F.struct(*[F.col(c) for c in order], *[F.col(c) for c in columns])).alias("_new"))
     j = old.join(u, list(keys), "left")
-    for c in columns:
-        j = j.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c)))
-    return j.drop(*[f"_new_{c}" for c in columns])
+    return j.withColumns({c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in columns}).drop("_new")
 
 
 def rewrite_where(df: DataFrame, pred: Column, values: dict[str, Column]) -> DataFrame:

@@ -24,7 +24,6 @@ REVIEW_SCHEMA = StructType([StructField(c, StringType()) for c in REVIEW_COLUMNS
 PRICE_SCHEMA = ("date DATE, product_name STRING, seller STRING, actual_price DOUBLE, "
                 "claimed_original_price DOUBLE, is_manipulation BOOLEAN, real_old_price DOUBLE")
 DEFAULT_RATING = 4
-BRAND_CAP = 500
 VERIFIED_TEXTS = ("true", "verified purchase")
 DATE_PREFIX = "Reviewed in the United States on "
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -106,15 +105,15 @@ def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def split_brands_capped(df: DataFrame, brand_patterns: dict[str, str], name_col: str, order: Sequence,
-                        cap: int = BRAND_CAP) -> DataFrame:
-    """SET-02: split one source into brands by name pattern, keep the first ``cap`` rows of
-    each in file order (``order``), union them (the cap is the reference's load rule)."""
+                        cap: int | None = None) -> DataFrame:
+    """SET-02: split one source into brands by name pattern and union them; with ``cap``, the
+    first ``cap`` rows of each in file order (``order``)."""
     parts = []
     for brand, pattern in brand_patterns.items():
         b = df.filter(F.coalesce(F.col(name_col).rlike(f"(?i){pattern}"), F.lit(False))).withColumn("brand", F.lit(brand))
         parts.append(b)
     tagged = union_sources(parts)
-    return top_k(tagged, ["brand"], list(order), cap)
+    return tagged if cap is None else top_k(tagged, ["brand"], list(order), cap)
 
 
 def truth_label(claimed_c: str = "claimed_c", actual_c: str = "actual_c", real_old_c: str = "real_old_c") -> Column:

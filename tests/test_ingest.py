@@ -86,3 +86,19 @@ def test_edge_rows(spark):
     n = spark.createDataFrame([(None,)], "r int")
     assert n.select(sentiment_of_rating("r", null_as="Positive").alias("s")).first().s == "Positive"
     assert n.select(sentiment_of_rating("r").alias("s")).first().s is None
+
+
+def test_keyed_update_takes_the_last_of_a_key_and_sets_null(spark):
+    from souk.sources.changes import keyed_update
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, "c", 7)], "k int, s string, v int")
+    new = spark.createDataFrame([(1, 1, "x", 8), (1, 2, "y", 9), (2, 1, None, None)], "k int, at int, s string, v int")
+    got = sorted(tuple(r) for r in keyed_update(old, new, ["k"], ["s", "v"], ["at"]).collect())
+    assert got == [(1, "y", 9), (2, None, None), (3, "c", 7)]
+
+
+def test_resolve_exact_has_no_row_for_an_unknown_name(spark):
+    from souk.operators.catalog import resolve_exact
+    products = spark.createDataFrame([(2, "small bolt"), (1, "ring")], "id int, name string")
+    assert resolve_exact(products, "nothing").count() == 0
+    assert resolve_exact(products, "all").first().id == 1
+    assert resolve_exact(products, "BOLT").first().id == 2
