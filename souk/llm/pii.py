@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,16 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same spans in linear time: possessive repeats from the head of a run, and an e-mail address
+#: from its @, whose local part ``matches`` finds.
+SCAN = BASE | {
+    "email": re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
+}
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 WIDER = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]++)+"),
     "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9.])[0-9]{4}([./–]|\x20{2})[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])"),
     "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w-])"),
@@ -60,7 +70,7 @@ def valid(kind: str, text: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in text.split(".")))
     digits = _digits(text)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -94,23 +104,45 @@ def features(kind: str, text: str, left: str, right: str, given: list[int]) -> l
     return shape + [float(v) for v in given]
 
 
+def matches(kind: str, text: str):
+    """(start, end) of the base pattern's matches: leftmost, not overlapping."""
+    if kind != "email":
+        yield from (m.span() for m in SCAN[kind].finditer(text))
+        return
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start, m = at, SCAN[kind].match(text, at)
+        while m and start > last and text[start - 1] in LOCAL:
+            start -= 1
+        if m and start < at:
+            last = m.end()
+            yield start, last
+        at = text.find("@", at + 1)
+
+
+def apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
+    """Whether each of ``spans`` overlaps none of ``taken``."""
+    starts = sorted(taken)
+    reach = list(accumulate((b for _, b in starts), max))
+    heads = [a for a, _ in starts]
+    return [not (i := bisect_left(heads, b)) or reach[i - 1] <= a for a, b in spans]
+
+
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
     """(base spans, judged spans) of a text: (kind, start, end), and (kind, start, end, base, votes, features).
     Judged are base spans, base matches that fail, and wider matches apart from all base spans."""
     spans, judged = [], []
     for k, kind in enumerate(KINDS):
-        for m in BASE[kind].finditer(text):
-            good = valid(kind, m[0])
+        for a, b in matches(kind, text):
+            good = valid(kind, text[a:b])
             if good:
-                spans.append((k, m.start(), m.end()))
-            elif kind == "card" and len(_digits(m[0])) < 13 or kind == "phone" and len(_digits(m[0])) < 9:
+                spans.append((k, a, b))
+            elif kind == "card" and len(_digits(text[a:b])) < 13 or kind == "phone" and len(_digits(text[a:b])) < 9:
                 continue            # too short to be taken for one
-            judged.append((k, m.start(), m.end(), 1 if good else -1))
-    taken = sorted((a, b) for _, a, b in spans)
-    for k, kind in enumerate(KINDS):
-        for m in WIDER[kind].finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                judged.append((k, m.start(), m.end(), 0))
+            judged.append((k, a, b, 1 if good else -1))
+    wider = [(k, *m.span(), 0) for k, kind in enumerate(KINDS) for m in WIDER[kind].finditer(text)]
+    free = apart([s[1:3] for s in wider], [(a, b) for _, a, b in spans])
+    judged += [s for s, alone in zip(wider, free, strict=True) if alone]
     out = []
     for k, a, b, base in judged:
         left, right = text[max(0, a - 40):a], text[b:b + 20]
@@ -198,11 +230,13 @@ def chosen(base: list[dict], judged: list[dict], weights: np.ndarray | None) ->
     """Base spans and the accepted candidates that touch none before them, by kind and start."""
     spans = [(s["kind"], s["start"], s["end"]) for s in base]
     if weights is not None:
-        taken = [(a, b) for _, a, b in spans]
-        for s in sorted(judged, key=lambda s: (s["start"], s["end"])):
-            if s["base"] != 1 and float(np.dot(weights, s["x"])) >= 0 and not any(a < s["end"] and s["start"] < b for a, b in taken):
+        judged = [s for s in judged if s["base"] != 1 and float(np.dot(weights, s["x"])) >= 0]
+        free = apart([(s["start"], s["end"]) for s in judged], [(a, b) for _, a, b in spans])
+        last = 0
+        for s in sorted((s for s, alone in zip(judged, free, strict=True) if alone), key=lambda s: (s["start"], s["end"])):
+            if s["start"] >= last:
                 spans.append((s["kind"], s["start"], s["end"]))
-                taken.append((s["start"], s["end"]))
+                last = s["end"]
     return sorted(spans)
 
 

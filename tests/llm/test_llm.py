@@ -225,6 +225,23 @@ def test_personal_data(spark, sf, docs):
         assert set(base) <= set(got[i].spans.split(","))
 
 
+def test_personal_data_scan_matches_the_plain_patterns():
+    rng = random.Random(5)
+    odd = [" at ", " dot ", "4111 1111 1111 1111", "10.0.0.1", "+49 301 2345 67", "joe@x.org", "555-123-4567"]
+    for _ in range(3000):
+        t = "".join(rng.choice([*rng.choice(["a@.b-_ ", "0123. 5", "0 1-9+()", "12.:af 5(-)"]), *odd]) for _ in range(rng.randint(0, 30)))
+        for kind in pii.KINDS:
+            assert list(pii.matches(kind, t)) == [m.span() for m in pii.BASE[kind].finditer(t)], t
+
+
+def test_personal_data_long_runs_and_many_spans():
+    assert pii.find("a" * 500_000 + "1") == ([], [])
+    assert pii.find("a@" * 200_000) == ([], [])
+    base, judged = pii.find("555-123-4567 joe@x.org " * 5_000)
+    assert (len(base), len(judged)) == (5_000, 10_000)
+    assert pii.valid("ip", "0" * 6_000 + "1.2.3.4")
+
+
 def test_candidates_are_added_and_redacted(spark):
     rows = [(i, f"write to user{i}@mail.example.com or call +1 (2{i % 10}4) 555-01{i % 10}0 now") for i in range(200)]
     rows += [(900, "contact: jane.doe (at) example (dot) com today, phone (244) 555-4688"), (901, "order 1234567890123456 shipped")]
