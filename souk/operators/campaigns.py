@@ -1,8 +1,9 @@
 """Campaign tagging and roll-ups (JOIN-05, JOIN-10, FN-26, AGG-21, AGG-30, PRJ-17).
 
-Rules are small literal tables (a handful of rows), broadcast by construction. Tagging a
+The campaign windows are a literal table of two rows, broadcast by construction. Tagging a
 quote with its campaign is an equi-join on month plus a day-range filter, so it is a
-broadcast hash join, not a nested loop over the quotes.
+broadcast hash join, not a nested loop over the quotes. What a seller charges in a campaign and
+which sellers serve a category are measured from the quotes.
 """
 
 from __future__ import annotations
@@ -13,47 +14,30 @@ from pyspark.sql import functions as F
 from souk.functions.exprs import discount_pct, round_half_even
 from souk.operators.series import top_k
 
-# The reference's campaign windows (month, first day, last day) ...
+# The reference's campaign windows (month, first day, last day).
 CAMPAIGN_WINDOWS = [("Black Friday", 11, 20, 30), ("Spring Sale", 4, 10, 20)]
-# ... the selling-price rate each seller applies in a campaign (others: DEFAULT_RATE) ...
-SELLER_RATES = [
-    ("Black Friday", "Trendyol", 0.55), ("Black Friday", "Amazon", 0.70), ("Black Friday", "Gratis", 0.60),
-    ("Black Friday", "Watsons", 0.80), ("Black Friday", "Hepsiburada", 0.85),
-    ("Spring Sale", "Amazon", 0.60), ("Spring Sale", "MediaMarkt", 0.75), ("Spring Sale", "Watsons", 0.65),
-    ("Spring Sale", "Gratis", 0.85), ("Spring Sale", "Trendyol", 0.90),
-]
-DEFAULT_RATE = 0.95
-# ... and which sellers list a category (others: DEFAULT_SELLERS), with the one exclusion.
-CATEGORY_SELLERS = [("Cosmetics", ["Gratis", "Watsons"])]
-DEFAULT_SELLERS = ["Amazon", "Trendyol", "Hepsiburada", "MediaMarkt"]
-EXCLUSIVE_SELLER, EXCLUSIVE_CATEGORY = "MediaMarkt", "Electronics"
 
 
 def windows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CAMPAIGN_WINDOWS, "campaign string, month int, day_from int, day_to int")
 
 
-def rates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SELLER_RATES, "campaign string, seller string, rate double")
-
-
 def tag_campaigns(prices: DataFrame) -> DataFrame:
-    """JOIN-10 + FN-26: quotes inside a campaign window, with the campaign name, its year
-    and the seller's campaign rate (default when the seller has none)."""
-    spark = prices.sparkSession
-    w = F.broadcast(windows(spark))
+    """JOIN-10: quotes inside a campaign window, with the campaign name and its year."""
+    w = F.broadcast(windows(prices.sparkSession))
     q = prices.withColumn("_m", F.month("date")).withColumn("_d", F.dayofmonth("date"))
     tagged = q.join(w, (q._m == w.month) & q._d.between(w.day_from, w.day_to)).drop("month", "day_from", "day_to", "_m", "_d")
-    r = F.broadcast(rates(spark))
-    return (tagged.join(r, ["campaign", "seller"], "left")
-                  .withColumn("rate", F.coalesce("rate", F.lit(DEFAULT_RATE)))
-                  .withColumn("year", F.year("date")))
+    return tagged.withColumn("year", F.year("date"))
 
 
 def campaign_quotes(prices: DataFrame) -> DataFrame:
+    """FN-26: quotes of each product, seller and campaign occurrence, and the seasonal rate: the
+    selling price as a share of the claimed one, over all the seller's quotes in it (NULL if
+    those claim nothing)."""
     t = tag_campaigns(prices)
+    rate = F.try_divide(F.sum("actual_c").cast("double"), F.sum("claimed_c").cast("double"))
     return t.groupBy("product", "seller", "campaign", "year").agg(
-        F.count(F.lit(1)).alias("quotes"), F.max("rate").alias("seller_rate"))
+        F.count(F.lit(1)).alias("quotes"), round_half_even(rate, 4).alias("seller_rate"))
 
 
 def campaign_rollup(scored_df: DataFrame) -> DataFrame:
@@ -85,12 +69,11 @@ def filter_campaigns(rollup: DataFrame, name_part: str | None = None, fake_only:
     return out
 
 
-def eligible_sellers(products: DataFrame) -> DataFrame:
-    """JOIN-05: category -> sellers that list it, minus the electronics-only seller."""
-    spark = products.sparkSession
-    rules = spark.createDataFrame(CATEGORY_SELLERS, "category string, sellers array<string>")
-    cats = products.select("category").distinct()
-    j = cats.join(F.broadcast(rules), "category", "left")
-    s = F.coalesce("sellers", F.array(*[F.lit(x) for x in DEFAULT_SELLERS]))
-    out = j.select("category", F.explode(s).alias("seller"))
-    return out.filter((F.col("seller") != EXCLUSIVE_SELLER) | (F.col("category") == EXCLUSIVE_CATEGORY))
+def eligible_sellers(prices: DataFrame, products: DataFrame, exclusive: dict[str, str] | None = None) -> DataFrame:
+    """JOIN-05: category -> sellers that quote a product of it. ``exclusive`` maps a seller to the
+    one category it is eligible in. The quotes are reduced to (product id, seller) before the join."""
+    quoted = prices.select(F.col("part_id").alias("id"), "seller").distinct()
+    out = quoted.join(products.select("id", "category"), "id").select("category", "seller").distinct()
+    for seller, category in (exclusive or {}).items():
+        out = out.filter((F.col("seller") != seller) | (F.col("category") == category))
+    return out

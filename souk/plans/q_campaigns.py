@@ -10,12 +10,9 @@ from souk.sources import views as V
 
 WINDOWS_SQL = "SELECT * FROM (VALUES " + ", ".join(
     f"('{n}', {m}, {a}, {b})" for n, m, a, b in K.CAMPAIGN_WINDOWS) + ") w(campaign, month, day_from, day_to)"
-RATES_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{c}', '{s}', CAST({r} AS DOUBLE))" for c, s, r in K.SELLER_RATES) + ") r(campaign, seller, rate)"
-TAGGED_SQL = f"""
-    SELECT s.*, w.campaign, CAST(year(s.date) AS INTEGER) AS year, COALESCE(r.rate, CAST({K.DEFAULT_RATE} AS DOUBLE)) AS rate
-    FROM s JOIN cw w ON month(s.date) = w.month AND day(s.date) BETWEEN w.day_from AND w.day_to
-    LEFT JOIN rt r ON r.campaign = w.campaign AND r.seller = s.seller"""
+TAGGED_SQL = """
+    SELECT s.*, w.campaign, CAST(year(s.date) AS INTEGER) AS year
+    FROM s JOIN cw w ON month(s.date) = w.month AND day(s.date) BETWEEN w.day_from AND w.day_to"""
 PCT = "COALESCE(CAST(claimed_c - actual_c AS DOUBLE) / NULLIF(CAST(claimed_c AS DOUBLE), 0) * 100, 0)"
 ROLLUP_SQL = f"""
     SELECT product, seller, campaign || ' ' || CAST(year AS VARCHAR) AS name,
@@ -24,7 +21,7 @@ ROLLUP_SQL = f"""
            avg(CASE WHEN is_manipulation THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) AS mean_score_raw,
            count(*) AS quotes
     FROM t GROUP BY product, seller, campaign, year"""
-CTES = dict(SCORED_CTES, cw=WINDOWS_SQL, rt=RATES_SQL, t=TAGGED_SQL, c=ROLLUP_SQL)
+CTES = dict(SCORED_CTES, cw=WINDOWS_SQL, t=TAGGED_SQL, c=ROLLUP_SQL)
 
 
 def _rollup(spark, sf_dir):
@@ -32,10 +29,11 @@ def _rollup(spark, sf_dir):
 
 
 @register("join_10_campaign_quotes", V.with_views("""
-    SELECT product, seller, campaign, year, count(*) AS quotes, max(rate) AS seller_rate
+    SELECT product, seller, campaign, year, count(*) AS quotes,
+           round_even(CAST(sum(actual_c) AS DOUBLE) / NULLIF(CAST(sum(claimed_c) AS DOUBLE), 0) * 10000, 0) / 10000 AS seller_rate
     FROM t GROUP BY product, seller, campaign, year""", "prices", extra=CTES))
 def join_10_campaign_quotes(spark, sf_dir):
-    """JOIN-10 + FN-26: quotes inside campaign windows with the seller's campaign rate."""
+    """JOIN-10 + FN-26: quotes inside campaign windows with the rate the seller applied there."""
     return K.campaign_quotes(V.prices(spark, sf_dir))
 
 
@@ -64,14 +62,12 @@ def prj_17_campaign_filter(spark, sf_dir):
     return K.filter_campaigns(_rollup(spark, sf_dir), "black", fake_only=True).drop("_mean_score")
 
 
+EXCLUSIVE = {"NATION_3": "ECONOMY"}      # this seller serves one category only
+
+
 @register("join_05_eligible_sellers", V.with_views("""
-    SELECT category, seller FROM (
-      SELECT DISTINCT category FROM products) c,
-      (SELECT unnest(['Amazon', 'Trendyol', 'Hepsiburada', 'MediaMarkt']) AS seller) d
-    WHERE c.category <> 'Cosmetics' AND (seller <> 'MediaMarkt' OR category = 'Electronics')
-    UNION ALL
-    SELECT category, seller FROM (SELECT DISTINCT category FROM products WHERE category = 'Cosmetics'),
-      (SELECT unnest(['Gratis', 'Watsons']) AS seller)""", "products"))
+    SELECT DISTINCT p.category, q.seller FROM prices q JOIN products p ON p.id = q.part_id
+    WHERE q.seller <> 'NATION_3' OR p.category = 'ECONOMY'""", "prices", "products"))
 def join_05_eligible_sellers(spark, sf_dir):
-    """JOIN-05: category -> eligible sellers minus the electronics-only exclusion."""
-    return K.eligible_sellers(V.products(spark, sf_dir))
+    """JOIN-05: category -> sellers that quote it, minus the exclusion of a one-category seller."""
+    return K.eligible_sellers(V.prices(spark, sf_dir), V.products(spark, sf_dir), EXCLUSIVE)
