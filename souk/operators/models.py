@@ -69,10 +69,22 @@ def fit_sentiment(train: DataFrame, text_col: str = "text", label_col: str = "la
     return {k: pipes[k].fit(t) for k in slots if k in pipes}
 
 
+def save_models(models: dict[str, PipelineModel], path: str) -> str:
+    """Save each slot's fitted pipeline in a folder of its own under ``path`` (shared storage)."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+    return path
+
+
+def load_models(path: str, slots=MODEL_SLOTS) -> dict[str, PipelineModel]:
+    """The saved slots under ``path``."""
+    return {k: PipelineModel.load(f"{path}/{k}") for k in slots}
+
+
 def score_sentiment(df: DataFrame, models: dict[str, PipelineModel], text_col: str = "text",
                     keep: tuple = ("id",)) -> DataFrame:
     """ML-01: three label columns; a missing slot falls back to the first model's label."""
-    out = df.select(*keep, text_col)
+    out = df.select(*keep, F.coalesce(text_col, F.lit("")).alias(text_col))
     present = [k for k in MODEL_SLOTS if k in models]
     for k in present:
         out = models[k].transform(out)

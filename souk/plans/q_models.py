@@ -11,6 +11,7 @@ from souk.operators import prices as P
 from souk.operators import text as T
 from souk.plans.q_prices import ROLL7, TIE_SQL
 from souk.plans.registry import register
+from souk.session import scratch_path
 from souk.sources import changes as C
 from souk.sources import views as V
 from souk.sources.tables import read
@@ -83,10 +84,31 @@ def _sentiment_data(spark, sf_dir):
     return T.split(lab, "id", 80)
 
 
+def _table_version(spark, sf_dir, *tables) -> str:
+    """A hash of the tables' files (path, length, time of change), from file metadata alone."""
+    out = []
+    for t in tables:
+        files = read(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        out.append(str(files.agg(F.bit_xor(F.xxhash64(*files.columns))).first()[0]))
+    return "_".join(out).replace("-", "n")
+
+
+def saved_sentiment_models(spark, sf_dir) -> str:
+    """Folder of the sentiment slots fitted on these tables. They are fitted and saved once for each
+    state of the tables, under the shared checkpoint folder; every query that scores loads them.
+    A marker file is written last, so a fit that was broken off is done again."""
+    path = scratch_path(spark, f"models/sentiment-{_table_version(spark, sf_dir, 'documents', 'labels')}")
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SAVED")
+    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        train = _sentiment_data(spark, sf_dir).filter((F.col("split") == "train") & F.col("label").isNotNull())
+        M.save_models(M.fit_sentiment(train), path)
+        fs.create(done, True).close()
+    return path
+
+
 def _sentiment_models(spark, sf_dir):
-    data = _sentiment_data(spark, sf_dir)
-    train = data.filter((F.col("split") == "train") & F.col("label").isNotNull())
-    return data, M.fit_sentiment(train)
+    return _sentiment_data(spark, sf_dir), M.load_models(saved_sentiment_models(spark, sf_dir))
 
 
 @register("ml_01_sentiment_scores")
@@ -123,10 +145,11 @@ def ml_02_rescore_update(spark, sf_dir):
 
 
 def _price_model(spark, sf_dir):
-    s = M.price_features(P.scored(V.prices(spark, sf_dir)))
+    """Scored quotes with their weak labels (price ratios, ML-09) and the model fitted on those of the
+    85 % split; the fake-discount rule takes no part in the fit."""
+    s = M.price_features(P.scored(V.prices(spark, sf_dir))).withColumn("label", M.weak_label())
     s = T.split(s.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in V.PRICE_TIE])), "_key", 85)
-    train = s.filter(F.col("split") == "train").withColumn("label", F.col("is_manipulation").cast("int"))
-    return s, M.fit_price_model(train)
+    return s, M.fit_price_model(s.filter((F.col("split") == "train") & F.col("label").isNotNull()))
 
 
 @register("ml_03_price_model_scores")
@@ -140,10 +163,10 @@ def ml_03_price_model_scores(spark, sf_dir):
 
 @register("ml_06_price_model_eval")
 def ml_06_price_model_eval(spark, sf_dir):
-    """ML-06: held-out (15%) accuracy and F1 of the fake-discount model against the rule labels."""
+    """ML-06: accuracy and F1 of the fake-discount model on the held-out (15 %) weak labels."""
     s, model = _price_model(spark, sf_dir)
-    test = M.score_price_model(s.filter(F.col("split") == "test"), model)
-    t = test.select(F.col("is_manipulation").cast("string").alias("truth"), F.col("final_flag").cast("string").alias("pred"))
+    test = M.score_price_model(s.filter((F.col("split") == "test") & F.col("label").isNotNull()), model)
+    t = test.select((F.col("label") == 1).cast("string").alias("truth"), F.col("final_flag").cast("string").alias("pred"))
     return T.accuracy_f1(t, "truth", "pred")
 
 

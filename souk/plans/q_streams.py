@@ -24,6 +24,14 @@ def str_01_review_ingest(spark, sf_dir):
     return spark.read.parquet(S.run_review_ingest(spark, sf_dir)).drop("epoch")
 
 
+@register("str_01_scored_ingest")
+def str_01_scored_ingest(spark, sf_dir):
+    """STR-01 with scoring: the review ingest, each new review labelled by the three saved models."""
+    from souk.plans.q_models import saved_sentiment_models
+    stream = S.scored_ingest_stream(spark, sf_dir, saved_sentiment_models(spark, sf_dir))
+    return spark.read.parquet(S.run_to_table(stream, "reviews-scored")).drop("epoch")
+
+
 @register("str_02_daily_ticks", f"""
     WITH t AS ({TICKS_SQL})
     SELECT CAST(date_trunc('day', ts) AS DATE) AS day, seller, count(*) AS ticks, CAST(sum(actual_c) AS BIGINT) AS sum_c,

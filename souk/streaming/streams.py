@@ -1,7 +1,7 @@
 """Structured Streaming jobs (STR-01, STR-02).
 
 STR-01 review ingest: file source -> stream-static joins (labels, parent products) ->
-de-duplication by id -> table.
+de-duplication by id -> (with ``scored_ingest_stream``) labels of saved models -> table.
 
 STR-02 price tick monitor: ticks -> daily tumbling aggregates per seller (update mode), and ticks
 landed as they arrive, whose 7-tick rolling mean and flag follow time order (``flags_of_ticks``).
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from souk.functions.exprs import FAKE_RATIO_DEN, FAKE_RATIO_NUM, ROLLING_ROWS, utc_instant, utc_wall_clock  # noqa: F401
+from souk.operators.models import load_models, score_sentiment
 from souk.operators.series import rolling_rows
 from souk.sources import views as V
 from souk.sources.changes import new_table_path
@@ -69,6 +70,13 @@ def review_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rev.join(parents, "product", "left_semi").dropDuplicates(["id"])
 
 
+def scored_ingest_stream(spark: SparkSession, sf_dir: str, models_path: str) -> DataFrame:
+    """STR-01 with scoring: every accepted review also gets the label of each saved model slot (a
+    narrow transform of the stream; the models are read, not fitted)."""
+    reviews = review_ingest_stream(spark, sf_dir)
+    return score_sentiment(reviews.withColumn("text", F.col("review_text")), load_models(models_path), keep=tuple(reviews.columns))
+
+
 def run_review_ingest(spark: SparkSession, sf_dir: str, out_path: str | None = None, checkpoint: str | None = None) -> str:
     return run_to_table(review_ingest_stream(spark, sf_dir), "reviews-stream", out_path, checkpoint)
 

@@ -1,3 +1,6 @@
+import glob
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -33,6 +36,16 @@ def test_sentiment_slots_and_fallback(spark, sf):
     assert all(0.0 <= r.accuracy <= 1.0 for r in ev.values())
 
 
+def test_models_are_fitted_once_and_loaded(spark, sf):
+    from souk.plans import q_models as Q
+    path = Q.saved_sentiment_models(spark, sf)
+    before = {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{path.removeprefix('file:')}/*/metadata/part-*")}
+    assert len(before) == 3
+    assert Q.saved_sentiment_models(spark, sf) == path
+    load_all()["ml_02_rescore_update"].build(spark, sf).count()
+    assert before == {p: os.stat(p).st_mtime_ns for p in before}
+
+
 def _keyword_model():
     """A tiny stand-in for an outside model: logits from word hits (numpy only)."""
     import numpy as np

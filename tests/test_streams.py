@@ -62,6 +62,17 @@ def test_review_ingest_stream_equals_batch(spark, sf):
     assert got.select("id", "product", "sentiment").exceptAll(want.select("id", "product", "sentiment")).count() == 0
 
 
+def test_scored_ingest_equals_batch_scores(spark, sf, tmp_path):
+    """New reviews get the labels that a batch run of the same saved models gives them."""
+    from souk.plans.q_models import saved_sentiment_models
+    d, path = split_copy(spark, sf, tmp_path, "documents"), saved_sentiment_models(spark, sf)
+    got = spark.read.parquet(S.run_to_table(S.scored_ingest_stream(spark, d, path), "reviews-scored"))
+    want = load_all()["ml_01_sentiment_scores"].build(spark, sf)
+    labels = ["id", "product", "sentiment_bert", "sentiment_roberta", "sentiment_lstm"]
+    assert got.count() == want.count() > 0
+    assert got.select(labels).exceptAll(want.select(labels)).count() == 0
+
+
 def test_late_ticks_are_reported_not_folded(spark, sf):
     """Ticks arriving after newer ones of the same seller (a later file holding older
     events) are marked late and do not change the rolling state."""
