@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from souk.llm.shared import SPACE, partitions
 
-K, LENGTH, SKETCHES = 2, 2, 16
+K, LENGTH, SKETCHES = 2, 2, 64
+BLOCK = 16               # sketches drawn in one row; more would make one compiled method too long
 PLACE_BITS = 28          # a text holds under 2**28 words; the other 36 bits are hash
 HEX = 8                  # digits of a sketch in the fingerprint
 LAST = (1 << 63) - 1
@@ -36,19 +37,24 @@ def numbered_kmers(text: Column, k: int) -> Column:
 def sketches(rows: DataFrame, keys: list[str], kmer: str = "kmer", length: int = LENGTH, m: int = SKETCHES) -> DataFrame:
     """Fingerprint per group of ``keys`` from exploded packed k-mers (null: no k-mers)."""
     place = (1 << PLACE_BITS) - 1
+    size = min(m, BLOCK)
+    blocks = -(-m // size)
     numbered = rows.withColumn("gram", F.shiftright(kmer, PLACE_BITS))
     numbered = numbered.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys, "gram").orderBy(kmer)))
-    values = [F.when(F.col(kmer).isNotNull(), F.xxhash64("gram", "occurrence", F.lit(j))).alias(f"h{j}") for j in range(m)]
-    drawn = numbered.select(*keys, F.col(kmer).bitwiseAND(F.lit(place)).alias("place"), *values)
+    numbered = numbered.withColumn("block", F.explode(F.array(*[F.lit(b) for b in range(blocks)])))
+    values = [F.when(F.col(kmer).isNotNull(), F.xxhash64("gram", "occurrence", F.col("block") * size + j)).alias(f"h{j}") for j in range(size)]
+    drawn = numbered.select(*keys, "block", F.col(kmer).bitwiseAND(F.lit(place)).alias("place"), *values)
     least = [F.min(F.when(F.pmod(F.col(f"h{j}"), F.lit(length)) == c,
                           F.col(f"h{j}").bitwiseAND(F.lit(~place)).bitwiseOR(F.col("place")))).alias(f"m{j}_{c}")
-             for j in range(m) for c in range(length)]
-    chosen = drawn.groupBy(*keys).agg(*least)
+             for j in range(size) for c in range(length)]
+    chosen = drawn.groupBy(*keys, "block").agg(*least)
     ordered = [F.sort_array(F.array(*[F.struct(F.col(f"m{j}_{c}").bitwiseAND(F.lit(place)).alias("at"),
                                                F.col(f"m{j}_{c}").bitwiseAND(F.lit(~place)).alias("h")) for c in range(length)]))
-               for j in range(m)]
+               for j in range(size)]
     hexed = [F.right(F.lpad(F.hex(F.xxhash64(F.transform(o, lambda x: F.coalesce(x["h"], F.lit(0))))), 16, "0"), F.lit(HEX)) for o in ordered]
-    return chosen.select(*keys, F.concat(*hexed).alias("fingerprint"))
+    parts = chosen.select(*keys, "block", F.concat(*hexed).alias("part"))
+    whole = parts.groupBy(*keys).agg(*[F.max(F.when(F.col("block") == b, F.col("part"))).alias(f"p{b}") for b in range(blocks)])
+    return whole.select(*keys, F.substr(F.concat(*[F.col(f"p{b}") for b in range(blocks)]), F.lit(1), F.lit(HEX * m)).alias("fingerprint"))
 
 
 def likeness(a: str, b: str, m: int = SKETCHES) -> Column:

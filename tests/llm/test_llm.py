@@ -144,6 +144,14 @@ def test_order_minhash(spark, sf, docs):
     assert np.mean([r.near_edited for r in got.values()]) > 10 * np.mean([r.near_next for r in got.values()])
 
 
+def test_edited_texts_are_told_from_unrelated_ones(spark, sf):
+    got = queries.QUERIES["op3_order_minhash"](spark, sf).collect()
+    parts = lambda x: [x[n:n + fingerprints.HEX] for n in range(0, len(x), fingerprints.HEX)]
+    assert all(len(parts(r.fingerprint)) == fingerprints.SKETCHES for r in got)
+    assert all(r.near_edited == np.mean([a == b for a, b in zip(parts(r.fingerprint), parts(r.edited_fingerprint), strict=True)]) for r in got)
+    assert sum(r.near_edited > r.near_next for r in got) >= 0.97 * len(got)
+
+
 def test_order_matters_to_the_fingerprint(spark):
     words = [f"w{i}" for i in range(200)]
     back = " ".join(words[100:] + words[:100])
