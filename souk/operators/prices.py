@@ -187,8 +187,11 @@ def fill_summary(prices: DataFrame) -> DataFrame:
 
 def pivot_first_price(prices: DataFrame, sellers: list[str]) -> DataFrame:
     """AGG-15: date x seller grid of the first quote's price, one column per seller.
-    ``sellers`` is the explicit value list (a bounded dimension), so no extra job runs."""
+    ``sellers`` is the explicit value list (a bounded dimension), so no extra job runs; a quote of
+    any other seller has no column and fails the job."""
+    stranger = F.raise_error(F.concat(F.lit("the pivot has no column for seller "), F.coalesce("seller", F.lit("NULL"))))
     cells = cell_quotes(prices).withColumn("price", money("first_c"))
+    cells = cells.withColumn("seller", F.when(F.col("seller").isin(sellers), F.col("seller")).otherwise(stranger))
     return cells.groupBy("product", "date").pivot("seller", sellers).agg(F.first("price"))
 
 

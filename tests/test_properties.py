@@ -2,6 +2,7 @@
 after the first quote, the split is a partition, percentages and scores stay in range, and
 the skew-safe series path equals the plain window when one series holds a third of the rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from souk.operators import deals as D
@@ -61,3 +62,11 @@ def test_hot_series_is_split_across_tasks(spark, sf):
     hot = p.filter(F.col("order_key") % 3 == 0).groupBy(month("date")).count().collect()
     assert len(hot) > 20
     assert max(r["count"] for r in hot) < sum(r["count"] for r in hot) / 10
+
+
+def test_pivot_fails_on_a_seller_without_a_column(spark, sf):
+    prices = V.prices(spark, sf)
+    sellers = sorted(r["seller"] for r in prices.select("seller").distinct().collect())
+    assert P.pivot_first_price(prices, sellers).columns == ["product", "date", *sellers]
+    with pytest.raises(Exception, match="no column for seller " + sellers[-1]):
+        P.pivot_first_price(prices, sellers[:-1]).collect()
