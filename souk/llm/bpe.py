@@ -230,8 +230,9 @@ def pieces(distinct: list[str], specials: list[str]) -> tuple[list[str], np.ndar
 
 def frequent_words(docs: DataFrame, specials: list[str], n: int) -> list[str]:
     """The most frequent words of up to LONG bytes of all texts, at most ``n``: those whose count reaches
-    the lowest sixteenth of an octave down to which there are no more. The driver sees a histogram
-    of the counts and these words, however many tasks counted them."""
+    the lowest sixteenth of an octave down to which there are no more, and of the next step those of the
+    lowest hashes. The driver sees histograms of the counts and of that step's hashes and these words,
+    however many tasks counted them."""
 
     def counted(batches):
         for batch in batches:
@@ -247,13 +248,27 @@ def frequent_words(docs: DataFrame, specials: list[str], n: int) -> list[str]:
     counts = store(docs.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
                    .where(f"n > 0 AND NOT startswith(word, '\n') AND octet_length(word) <= {LONG}"), "words")
     step = F.floor(F.log2("n") * 16)
-    least, held = None, 0
+    least, over, held, most = None, None, 0, 0
     for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
-        held += r["words"]
-        if held > n:
+        if held + r["words"] > n:
+            over, most = r["step"], r["words"]
             break
+        held += r["words"]
         least = r["step"]
-    return [] if least is None else [r["word"] for r in counts.where(step >= least).collect()]
+    picked = F.lit(False) if least is None else step >= least
+    if over is not None and held < n:
+        # The room left is about 64 of the bins, so the last bin that fits leaves little of it empty.
+        hashed = F.pmod(F.xxhash64("word"), F.lit(1 << 32))
+        width = max(1, (1 << 32) * (n - held) // (64 * most))
+        bins = counts.where((step == over) & (hashed < 128 * width)).groupBy(F.floor(hashed / width).alias("bin")).agg(F.count("*").alias("words"))
+        end = 128
+        for r in bins.orderBy("bin").collect():
+            held += r["words"]
+            if held > n:
+                end = r["bin"]
+                break
+        picked = picked | ((step == over) & (hashed < end * width))
+    return [r["word"] for r in counts.where(picked).collect()]
 
 
 def build(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> str:

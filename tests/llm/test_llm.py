@@ -79,6 +79,14 @@ def test_encoding_equals_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_lexicon_fills_when_all_words_are_equally_frequent(spark):
+    rows = [(i, " ".join("".join(random.Random(i * 100 + j).choices("abcdefghij", k=9)) for j in range(100))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = bpe.frequent_words(docs, [], 10_000)
+    some = bpe.frequent_words(docs, [], 1000)
+    assert 900 <= len(some) <= 1000 and set(some) < set(every) and len(set(some)) == len(some)
+
+
 def test_lexicon_is_minimal_and_exact():
     entries = {w.encode(): np.array([n, n + 1], np.int32) for n, w in enumerate(["tap", "taps", "top", "tops", "a", "stops", "é"])}
     model = bpe.compile_lexicon(entries)
