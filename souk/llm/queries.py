@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from souk.llm import bpe, fingerprints, lm, mixing, pii, quality, rules, simhash, toxicity, wordpiece
+from souk.llm import bpe, divergence, fingerprints, lm, mixing, pii, quality, rules, simhash, toxicity, wordpiece
 from souk.sources.tables import read
 
 
@@ -28,8 +28,10 @@ QUERIES = {
     "op8_simhash_golay": lambda s, d: simhash.near_duplicates(_docs(s, d, "doc_id", "text")),
     "op9_mix_sources": lambda s, d: mixing.mix_report(_docs(s, d, "doc_id", "text", "source")),
     "op10_rule_cascade": lambda s, d: rules.rules_report(_docs(s, d, "doc_id", "text")),
+    "op11_source_divergence": lambda s, d: divergence.audit(_docs(s, d, "text", "lang", "source")),
 }
-SQL = {"op9_mix_sources": mixing.MIX_SQL, "op10_rule_cascade": rules.RULES_SQL}
+SQL = {"op9_mix_sources": mixing.MIX_SQL, "op10_rule_cascade": rules.RULES_SQL,
+       "op11_source_divergence": divergence.AUDIT_SQL}
 
 
 def queries():
