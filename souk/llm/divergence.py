@@ -24,7 +24,7 @@ LEAST_DOCS, SCALE, SMOOTH, TOP = 30, 1_000_000_000, 5, 50
 TILE_TERMS = 2048        # terms of a block, on average
 BLOCK_SOURCES = 24       # sources of a block, on average
 COLUMNS = 1024           # indicator columns of one product, about
-COUNT_BYTES = 16 << 20   # text bytes counted at once
+COUNT_BYTES = 4 << 20    # text bytes counted at once
 
 #: ASCII other than letters becomes a blank, A-Z its lower case; bytes of other characters stay.
 FOLD = np.array([b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
