@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from souk.llm import bpe, divergence, fingerprints, lm, mixing, pii, quality, rules, simhash, toxicity, warc, wordpiece
+from souk.llm import bpe, divergence, fingerprints, lm, mixing, pii, quality, repair, rules, simhash, toxicity, warc, wordpiece
 from souk.sources.tables import read
 
 
@@ -30,6 +30,7 @@ QUERIES = {
     "op10_rule_cascade": lambda s, d: rules.rules_report(_docs(s, d, "doc_id", "text")),
     "op11_source_divergence": lambda s, d: divergence.audit(_docs(s, d, "text", "lang", "source")),
     "op12_warc_round_trip": lambda s, d: warc.round_trip(read(s, d, "pages", "page_id", "url", "html")),
+    "op13_conversation_repair": lambda s, d: repair.damaged_and_repaired(read(s, d, "conversations", "conv_id", "turn", "role", "text")),
 }
 SQL = {"op9_mix_sources": mixing.MIX_SQL, "op10_rule_cascade": rules.RULES_SQL,
        "op11_source_divergence": divergence.AUDIT_SQL, "op12_warc_round_trip": warc.WARC_SQL}
