@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes:
             for i in range(batch.num_rows):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, len(info)
-                    out = store_fs.open_output_stream(f"{base}/{name}")
+                    out = store_fs.open_output_stream(f"{base}/{name}", compression=None)     # members are compressed one by one
                     out.write(info)
                 raw = page_record(*[c[i].as_py() for c in columns], level)
                 out.write(raw)
@@ -227,7 +227,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False, strict: bool
                 store_fs, path = pafs.FileSystem.from_uri(archive)
                 rows: list[dict] = []
                 held = 0
-                with store_fs.open_input_stream(path) as stream:
+                with store_fs.open_input_stream(path, compression=None) as stream:
                     try:
                         for r in read_records(stream, with_payload):
                             if strict and r["problem"]:
