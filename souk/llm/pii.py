@@ -43,7 +43,7 @@ WIDER = {
     "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w-])"),
 }
 #: Texts without any of these have neither base spans nor candidates.
-HINT = r"[0-9]|@|\(dot\)|\[dot\]|\bdot\b"
+HINT = r"[0-9]|@|\(dot\)|\[dot\]|\bdot\b|[A-Fa-f]:[A-Fa-f]"
 DOMAINS = frozenset("com org net edu gov io info biz de fr es it uk eu us ca au nl ch at".split())
 COUNTRIES = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
              "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91")
@@ -196,11 +196,12 @@ def expectation_maximisation(patterns: dict[tuple[int, str], int], rounds: int =
     return prior, given, dict(zip(keys, posterior.tolist(), strict=True))
 
 
-def train_classifier(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
-    """Logistic regression on soft labels."""
+def train_classifier(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
+    """Logistic regression on soft labels; ``weight`` is how often each row stands."""
+    weight = np.ones(len(y)) if weight is None else weight
     w, speed = np.zeros(x.shape[1]), np.ones(x.shape[1]) * 1e-3
     for _ in range(rounds):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(y) + decay * w
+        g = x.T @ (weight * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) / weight.sum() + decay * w
         speed += g * g
         w -= rate * g / np.sqrt(speed)
     return w
@@ -208,9 +209,9 @@ def train_classifier(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: floa
 
 def fit(candidates: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray | None:
     """The classifier's weights. EM sees the counts of every vote pattern in the corpus (at most
-    kinds x 3**labelers rows); the classifier fits on at most ``train_spans`` spans: those whose
-    hash (of doc_id and the spans of its text) falls under the share that gives nine tenths of
-    that, so no task sends more than its part of them. None without any span."""
+    kinds x 3**labelers rows); the classifier fits on about nine tenths of ``train_spans`` spans: those
+    whose hash (of doc_id, the spans of its text and the place) falls under that share. Equal spans of
+    repeated rows share a hash, so they are one row with a weight, and reruns agree. None without any span."""
     own_id = "doc_id" if "doc_id" in candidates.columns else "doc.doc_id"
     spans = candidates.select(F.explode("judged").alias("s"), F.xxhash64(own_id, "judged").alias("row"))
     patterns = {(r["kind"], r["votes"]): r["n"] for r in spans.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()}
@@ -219,11 +220,12 @@ def fit(candidates: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray | N
     posterior = expectation_maximisation(patterns)[2]
     share = min(1.0, 0.9 * train_spans / sum(patterns.values()))
     place = F.pmod(F.xxhash64("row", "s.start", "s.kind"), F.lit(1 << 32))
-    picked = spans.where(place < int(share * (1 << 32))).select("s.kind", "s.votes", "s.x").limit(train_spans).collect()
-    picked.sort(key=lambda r: (r["kind"], r["votes"], r["x"]))
+    same = [F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes"), F.col("s.x").alias("x")]
+    picked = spans.where(place < int(share * (1 << 32))).select("row", "s.start", *same).groupBy("row", "start", "kind", "votes", "x").agg(F.count("*").alias("n")).collect()
+    picked.sort(key=lambda r: (r["kind"], r["votes"], r["x"], r["n"]))
     if not picked:
         return None
-    return train_classifier(np.array([r["x"] for r in picked]), np.array([posterior[r["kind"], r["votes"]] for r in picked]))
+    return train_classifier(np.array([r["x"] for r in picked]), np.array([posterior[r["kind"], r["votes"]] for r in picked]), np.array([float(r["n"]) for r in picked]))
 
 
 def chosen(base: list[dict], judged: list[dict], weights: np.ndarray | None) -> list[tuple[int, int, int]]:

@@ -65,6 +65,8 @@ def compile_automaton(vocabulary: list[bytes]) -> dict[str, np.ndarray]:
 def count_pieces(model: dict[str, np.ndarray], texts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Pieces of each word (a span of bytes); a word that cannot be cut into pieces counts as one."""
     edge, target, fail, popped = (model[k] for k in ("edge", "target", "fail", "popped"))
+    if not len(edge):
+        return np.ones(len(starts), np.int64)        # an empty vocabulary cuts no word
     state, total, broken = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
     live, step = np.flatnonzero(sizes > 0), 0
     while len(live):

@@ -145,9 +145,10 @@ def test_order_minhash(spark, sf, docs):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         by_text[t].add(got[i].fingerprint)
         a, b, f = got[i].fingerprint, got[i].edited_fingerprint, got[docs[(n + 1) % len(docs)][0]].fingerprint
-        parts = lambda x: [x[8 * j:8 * j + 8] for j in range(16)]
-        assert got[i].near_edited == sum(map(str.__eq__, parts(a), parts(b))) / 16
-        assert got[i].near_next == sum(map(str.__eq__, parts(a), parts(f))) / 16
+        size, m = fingerprints.HEX, fingerprints.SKETCHES
+        parts = lambda x: [x[size * j:size * (j + 1)] for j in range(m)]
+        assert got[i].near_edited == sum(map(str.__eq__, parts(a), parts(b))) / m
+        assert got[i].near_next == sum(map(str.__eq__, parts(a), parts(f))) / m
     assert all(len(f) == 1 for f in by_text.values())
     assert np.mean([r.near_edited for r in got.values()]) > 10 * np.mean([r.near_next for r in got.values()])
 
@@ -165,10 +166,22 @@ def test_order_matters_to_the_fingerprint(spark):
     back = " ".join(words[100:] + words[:100])
     rows = [(1, " ".join(words)), (2, " ".join(words[:190] + [f"v{i}" for i in range(10)])), (3, back)]
     f = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    same = lambda a, b: sum(f[a][8 * j:8 * j + 8] == f[b][8 * j:8 * j + 8] for j in range(16))
+    size = fingerprints.HEX
+    same = lambda a, b: sum(f[a][j:j + size] == f[b][j:j + size] for j in range(0, size * fingerprints.SKETCHES, size))
     assert same(1, 2) > same(1, 3)         # the same words in another order are further away than an edit
 
 
+def test_an_empty_vocabulary_leaves_words_whole(spark):
+    docs = spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string")
+    assert {tuple(r) for r in wordpiece.count_tokens(docs, []).collect()} == {(1, 2, 2), (2, 0, 0)}
+
+
+def test_texts_without_a_digit_are_judged_too():
+    import re
+    for text in ("fade:cafe:beef:dead:fade:cafe:beef:dead", "write to joe at site dot org", "a b"):
+        assert bool(re.search(pii.HINT, text)) or pii.find(text) == ([], [])
+
+
 def test_longest_match_counts(spark, sf, docs):
     vocabulary = wordpiece.read_pieces(queries.vocabulary("byte_bpe_50k.json"))
     known, most = set(vocabulary), max(map(len, vocabulary))
