@@ -42,7 +42,7 @@ def analyze_price(spark: SparkSession, sf_dir: str, product: str, store: str | N
     """The price analysis of one product (optionally one seller): flagged quotes with
     confidence, the first-quote grid and the latest-date statistics with commentary."""
     prices = _prices(spark, sf_dir, product, store)
-    scored = P.scored(prices)
+    scored = P.scored(prices, P.price_cuts(spark, sf_dir))
     return {"anomalies": P.anomaly_report(scored).orderBy(F.desc("date"), *[F.desc(c) for c in V.PRICE_TIE]),
             "grid": P.cell_quotes(prices),
             "stats": P.latest_snapshot(prices).join(P.flag_summary(scored), "product"),
@@ -52,7 +52,7 @@ def analyze_price(spark: SparkSession, sf_dir: str, product: str, store: str | N
 def campaign_deals(spark: SparkSession, sf_dir: str, product: str, store: str | None = None) -> dict[str, DataFrame]:
     """The deal board of one product: per-seller best deals, the board and the filled series."""
     prices = _prices(spark, sf_dir, product, store)
-    scored = P.scored(prices)
+    scored = P.scored(prices, P.price_cuts(spark, sf_dir))
     return {"deals": D.deal_rows(scored), "stats": D.deal_board(scored), "chart": P.filled_series(prices)}
 
 

@@ -6,11 +6,10 @@ holding a large share of the quotes does not concentrate in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.exprs import DEAL_PENALTY, discount_pct, money, round_half_even
-from souk.operators.series import arg_best
 from souk.sources.views import PRICE_TIE
 
 # Advice texts, colours and score tiers shown by the reference.
@@ -23,22 +22,20 @@ LOW_TIER = ("Wait / Fake", "Poor Deal")
 
 
 def best_deals(scored_df: DataFrame) -> DataFrame:
-    """WIN-04: each seller's quote with the largest discount %; ties go to the earliest quote."""
+    """WIN-04: each seller's quote with the largest discount %; ties go to the earliest quote. The same
+    aggregate carries the sum and the number of the seller's quotes, which make up the market mean,
+    so the quotes are read once. The least struct is the best deal: its first fields are the order,
+    the others travel with it."""
     rows = scored_df.withColumn("_pct", discount_pct("claimed_c", "actual_c"))
-    order = [(-F.col("_pct")).alias("k"), F.col("date"), *[F.col(c) for c in PRICE_TIE]]
-    return arg_best(rows, ["product", "seller"], order,
-                    ["date", *PRICE_TIE, "claimed_c", "actual_c", "_pct", "is_manipulation"])
+    deal = F.struct((-F.col("_pct")).alias("_k"), "date", *PRICE_TIE, "claimed_c", "actual_c", "_pct", "is_manipulation")
+    best = rows.groupBy("product", "seller").agg(F.min(deal).alias("_best"), F.sum("actual_c").alias("_seller_c"), F.count(F.lit(1)).alias("_seller_n"))
+    return best.select("product", "seller", *[f"_best.{c}" for c in ("date", *PRICE_TIE, "claimed_c", "actual_c", "_pct", "is_manipulation")], "_seller_c", "_seller_n")
 
 
-def market(scored_df: DataFrame) -> DataFrame:
-    """Mean selling price over all quotes of a product (exact: integer sum and count)."""
-    return scored_df.groupBy("product").agg(F.sum("actual_c").alias("_sum_c"), F.count(F.lit(1)).alias("_n"))
-
-
-def advice(current_c: str = "actual_c", flag: str = "is_manipulation"):
+def advice(cur="actual_c", flag="is_manipulation", s="_sum_c", n="_n"):
     """FN-17: ordered advice rules against the market mean (sum/n), in integer arithmetic."""
-    cur, s, n = F.col(current_c), F.col("_sum_c"), F.col("_n")
-    rule = (F.when(F.col(flag), F.array(*map(F.lit, FAKE_ADVICE)))
+    cur, flag, s, n = (F.col(c) if isinstance(c, str) else c for c in (cur, flag, s, n))
+    rule = (F.when(flag, F.array(*map(F.lit, FAKE_ADVICE)))
              .when(cur * n > s, F.array(*map(F.lit, WAIT_ADVICE)))
              .when(cur * 10 * n <= s * 9, F.array(*map(F.lit, BEST_ADVICE)))
              .otherwise(F.array(*map(F.lit, GOOD_ADVICE))))
@@ -47,7 +44,8 @@ def advice(current_c: str = "actual_c", flag: str = "is_manipulation"):
 
 def deal_rows(scored_df: DataFrame) -> DataFrame:
     """Per (product, seller): the best deal with price, list price, discount and advice."""
-    b = best_deals(scored_df).join(market(scored_df), "product")
+    market = Window.partitionBy("product")     # over one row per seller
+    b = best_deals(scored_df).withColumns({"_sum_c": F.sum("_seller_c").over(market), "_n": F.sum("_seller_n").over(market)})
     a = advice()
     return b.select(
         "product", "seller", "date",
@@ -80,13 +78,11 @@ def deal_board(scored_df: DataFrame) -> DataFrame:
                  F.struct("actual_c", (-F.col("_pct")).alias("k"), "date", *PRICE_TIE)).alias("best"),
         F.avg("_pct").alias("_avg_pct"),
         F.bool_or("is_manipulation").alias("has_manipulation"),
-        F.count(F.lit(1)).alias("sellers"))
-    m = market(scored_df)
-    j = per.join(m, "product")
+        F.count(F.lit(1)).alias("sellers"), F.sum("_seller_c").alias("_sum_c"), F.sum("_seller_n").alias("_n"))
     best_c = F.col("best.actual_c").cast("double")
     avg_c = F.col("_sum_c").cast("double") / F.col("_n")
     score = deal_score(best_c, avg_c, F.col("has_manipulation"))
-    j = j.withColumn("_score", score)
+    j = per.withColumn("_score", score)
     rec, badge = score_tier(F.col("_score"))
     return j.select(
         "product",

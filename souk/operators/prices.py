@@ -14,17 +14,41 @@ from pyspark.sql import functions as F
 from souk.functions.exprs import (FAKE_FLAG_SCORE, FAKE_RATIO_DEN, FAKE_RATIO_NUM, ROLLING_ROWS,
                                   checksum_confidence, discount_pct, money, round_half_even,
                                   weekday_sun0)
-from souk.operators.series import forward_fill, rolling_rows, top_k
+from souk.operators import series
+from souk.operators.series import block_cuts, day_counts, forward_fill, rolling_rows, top_k
+from souk.sources.tables import table_path
+from souk.sources.versions import file_state, name_of, reused
 from souk.sources.views import PRICE_TIE, SERIES
+from souk.sources.views import prices as price_view
 
 ORDER = ("date",) + PRICE_TIE
 
 
-def with_rolling_mean(prices: DataFrame, n: int = ROLLING_ROWS, keys=SERIES) -> DataFrame:
+def price_tables(spark, sf_dir: str) -> list[str]:
+    """The files that the price view is made from."""
+    return [table_path(sf_dir, t) for t in ("lineitem", "part", "supplier", "nation")]
+
+
+def price_cuts(spark, sf_dir: str, keys=SERIES) -> DataFrame:
+    """Where the series of a folder's price table are cut into blocks of equal volume: a statistic of
+    the table, counted once for each state of its files and stored (``sources.versions``)."""
+    def count():
+        # Only the place of each quote is read: the price columns are pruned from the scan.
+        return block_cuts(day_counts(price_view(spark, sf_dir), list(keys), list(ORDER)), list(keys))
+    name = f"cuts-{'-'.join(keys)}-{series.BLOCK_ROWS}-{name_of(sf_dir)}"
+    return reused(spark, name, file_state(spark, *price_tables(spark, sf_dir)), count)
+
+
+def scored_quotes(spark, sf_dir: str) -> DataFrame:
+    """``scored`` over the whole price table of a folder."""
+    return scored(price_view(spark, sf_dir), price_cuts(spark, sf_dir))
+
+
+def with_rolling_mean(prices: DataFrame, n: int = ROLLING_ROWS, keys=SERIES, cuts: DataFrame | None = None) -> DataFrame:
     """WIN-01/02/03: rolling mean of ``actual_c`` over the last ``n`` rows of each series
     (min_periods=1). Adds ``roll_sum_c`` and ``roll_n`` (exact integers) and
-    ``rolling_avg`` (DOUBLE, in money units)."""
-    out = rolling_rows(prices, list(keys), list(ORDER), n, {"roll_sum_c": "actual_c"}, count_col="roll_n")
+    ``rolling_avg`` (DOUBLE, in money units). ``cuts``: see ``rolling_rows``."""
+    out = rolling_rows(prices, list(keys), list(ORDER), n, {"roll_sum_c": "actual_c"}, count_col="roll_n", cuts=cuts)
     return out.withColumn("rolling_avg", out.roll_sum_c.cast("double") / out.roll_n / 100)
 
 
@@ -35,9 +59,9 @@ def fake_discount_flag() -> F.Column:
             (F.col("actual_c") * FAKE_RATIO_DEN * F.col("roll_n") >= F.col("roll_sum_c") * FAKE_RATIO_NUM))
 
 
-def scored(prices: DataFrame) -> DataFrame:
+def scored(prices: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """Rolling mean + rule flag + score for every quote (the price analysis, all products)."""
-    r = with_rolling_mean(prices)
+    r = with_rolling_mean(prices, cuts=cuts)
     flag = fake_discount_flag()
     return (r.withColumn("is_manipulation", flag)
              .withColumn("anomaly_score", F.when(flag, F.lit(FAKE_FLAG_SCORE)).otherwise(F.lit(0.0)))
@@ -46,10 +70,9 @@ def scored(prices: DataFrame) -> DataFrame:
              .withColumn("claimed_price", money("claimed_c")))
 
 
-def fake_discounts(prices: DataFrame) -> DataFrame:
+def fake_discounts(scored_df: DataFrame) -> DataFrame:
     """The flagship: every quote the fake-discount rule flags, with its rolling mean."""
-    s = scored(prices)
-    return s.filter("is_manipulation").select(
+    return scored_df.filter("is_manipulation").select(
         "product", "seller", "date", *PRICE_TIE, "actual_price", "claimed_price", "discount_claim",
         "rolling_avg", "anomaly_score")
 
@@ -101,12 +124,12 @@ def mean_c(c) -> F.Column:
     return F.sum(c).cast("double") / F.count(c)
 
 
-def rolling_mean_long(prices: DataFrame) -> DataFrame:
+def rolling_mean_long(prices: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """WIN-03 + FN-15 (rule part): 14-row rolling mean per product across its sellers and the
     confirming rule claimed > actual AND actual >= 0.9 x mean14."""
     from souk.functions.exprs import ROLLING_ROWS_LONG
     r = rolling_rows(prices, ["product"], list(ORDER), ROLLING_ROWS_LONG, {"roll14_c": "actual_c"},
-                     count_col="roll14_n")
+                     count_col="roll14_n", cuts=cuts)
     return (r.withColumn("rolling_avg_14", r.roll14_c.cast("double") / r.roll14_n / 100)
              .withColumn("rule_flag", (F.col("claimed_c") > F.col("actual_c")) &
                          (F.col("actual_c") * FAKE_RATIO_DEN * F.col("roll14_n") >= F.col("roll14_c") * FAKE_RATIO_NUM)))
@@ -341,26 +364,52 @@ def rule_audit(scored_df: DataFrame) -> DataFrame:
                                     F.max("_conf").alias("max_confidence"))
 
 
-def nested_result(scored_df: DataFrame, prices: DataFrame) -> DataFrame:
-    """SRC-18: one nested record per product - snapshot stats, the per-seller best deals
-    (bounded by the number of sellers) and a seller -> monthly mean price series map
-    (bounded by sellers x months) - plus its JSON text. The unbounded anomaly list stays a
-    table (PRJ-19) instead of being gathered into one record."""
-    from souk.operators.deals import deal_rows
-    snap = latest_snapshot(prices)
-    deals = deal_rows(scored_df).groupBy("product").agg(
-        F.array_sort(F.collect_list(F.struct("seller", "date", "current_price", "original_price", "discount_pct",
-                                             "ai_recommendation"))).alias("deals"))
-    monthly = prices.groupBy("product", "seller", F.trunc("date", "month").alias("month")).agg(
-        round_half_even(mean_c("actual_c") / 100, 2).alias("p"))
-    series = monthly.groupBy("product", "seller").agg(
-        F.array_sort(F.collect_list(F.struct("month", "p"))).alias("pts"))
-    chart = series.groupBy("product").agg(F.map_from_entries(F.collect_list(F.struct(
-        "seller", F.transform("pts", lambda x: x["p"])))).alias("prices"))
-    out = (snap.join(deals, "product").join(chart, "product")
-               .select("product", F.struct("best_seller", "best_price", "avg_price", "discount_pct").alias("stats"),
-                       "deals", F.struct(F.col("prices")).alias("chart_data")))
-    return out.withColumn("json", F.to_json(F.struct("stats", "deals", "chart_data")))
+def nested_result(scored_df: DataFrame) -> DataFrame:
+    """SRC-18: one nested record per product, and its JSON text: the latest snapshot (``stats``), each
+    seller's best deal with its advice, and the chart, which has the product's ``dates`` once and for
+    each seller a series of that length (NULL on days without a quote). The flagged quotes are
+    unbounded, so the record has their number and the day of the last one; the list itself is the
+    anomaly report (PRJ-19), under the same product.
+
+    One pass over the quotes makes cells (product, seller, day); days and then products are made of
+    cells, so everything collected is bounded by calendar days x sellers.
+    """
+    from souk.operators.deals import advice
+    rows = scored_df.withColumn("_pct", discount_pct("claimed_c", "actual_c"))
+    deal = F.struct((-F.col("_pct")).alias("k"), "date", *PRICE_TIE, "claimed_c", "actual_c", "_pct", "is_manipulation")
+    cells = rows.groupBy("product", "seller", "date").agg(
+        F.min(F.struct(*PRICE_TIE, "actual_c")).alias("_first"), F.min(deal).alias("_deal"),
+        F.min(F.struct("actual_c", *PRICE_TIE, "claimed_c")).alias("_low"),
+        F.sum("actual_c").alias("_s"), F.count(F.lit(1)).alias("_n"), F.count_if("is_manipulation").alias("_flagged"))
+    series = Window.partitionBy("product", "seller")
+    cells = cells.withColumns({"_deal": F.min("_deal").over(series), "_last": F.max("date").over(series)})
+    days = cells.groupBy("product", "date").agg(
+        F.collect_list(F.struct("seller", F.col("_first.actual_c").alias("c"))).alias("quotes"),
+        F.collect_list(F.when(F.col("date") == F.col("_last"), F.struct("seller", "_deal"))).alias("deals"),
+        F.min(F.struct("_low", "seller")).alias("low"), F.sum("_s").alias("s"), F.sum("_n").alias("n"), F.sum("_flagged").alias("flagged"))
+    one = days.groupBy("product").agg(
+        F.array_sort(F.collect_list(F.struct("date", "quotes"))).alias("days"), F.array_sort(F.flatten(F.collect_list("deals"))).alias("deals"),
+        F.max(F.struct("date", "low", "s", "n")).alias("at"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("flagged").alias("flagged"),
+        F.max(F.when(F.col("flagged") > 0, F.col("date"))).alias("last_flagged"))
+    sellers = F.transform("deals", lambda d: d["seller"])
+    by_seller = F.transform("days", lambda d: F.map_from_entries(d["quotes"]))
+    mapped = one.select("*", sellers.alias("sellers"), by_seller.alias("maps"))
+    claimed, best = F.col("at.low._low.claimed_c"), F.col("at.low._low.actual_c")
+    stats = F.struct(F.col("at.date").cast("string").alias("latest_date"), F.col("at.low.seller").alias("best_seller"), money(best).alias("best_price"),
+                     round_half_even(F.col("at.s").cast("double") / F.col("at.n") / 100, 2).alias("avg_price"),
+                     round_half_even(discount_pct(claimed, best), 1).alias("discount_pct"))
+
+    def shown(d):
+        q = d["_deal"]
+        a = advice(q["actual_c"], q["is_manipulation"], F.col("s"), F.col("n"))
+        return F.struct(d["seller"].alias("seller"), q["date"].cast("string").alias("date"), money(q["actual_c"]).alias("current_price"),
+                        money(q["claimed_c"]).alias("original_price"), round_half_even(q["_pct"], 1).alias("discount_pct"), a[0].alias("ai_recommendation"))
+
+    chart = F.struct(F.transform("days", lambda d: d["date"].cast("string")).alias("dates"), F.map_from_arrays("sellers", F.transform(
+        "sellers", lambda x: F.transform("maps", lambda m: money(F.try_element_at(m, x))))).alias("prices"))
+    flagged = F.struct(F.col("flagged").alias("count"), F.col("last_flagged").cast("string").alias("last_date"))
+    out = mapped.select("product", stats.alias("stats"), F.transform("deals", shown).alias("deals"), flagged.alias("anomalies"), chart.alias("chart_data"))
+    return out.withColumn("json", F.to_json(F.struct("stats", "deals", "anomalies", "chart_data")))
 
 
 def calendar_spine(prices: DataFrame) -> DataFrame:
@@ -375,15 +424,15 @@ def calendar_spine(prices: DataFrame) -> DataFrame:
 
 def calendar_coverage(prices: DataFrame) -> DataFrame:
     """Per (product, seller): calendar days in the product's span, days with a quote, and the
-    longest run of consecutive days without one."""
-    quoted = prices.select("product", "seller", "date").distinct().withColumn("_q", F.lit(1))
-    cal = calendar_spine(prices).join(quoted, ["product", "seller", "date"], "left")
-    w = Window.partitionBy("product", "seller").orderBy("date")
-    runs = (cal.withColumn("_grp", F.sum(F.coalesce("_q", F.lit(0))).over(w))
-               .filter(F.col("_q").isNull())
-               .groupBy("product", "seller", "_grp").agg(F.count(F.lit(1)).alias("_gap")))
-    gaps = runs.groupBy("product", "seller").agg(F.max("_gap").alias("longest_gap"))
-    cov = cal.groupBy("product", "seller").agg(F.count(F.lit(1)).alias("calendar_days"),
-                                               F.count("_q").alias("quoted_days"))
-    return cov.join(gaps, ["product", "seller"], "left").select(
-        "product", "seller", "calendar_days", "quoted_days", F.coalesce("longest_gap", F.lit(0)).alias("longest_gap"))
+    longest run of consecutive days without one. Gaps are the steps between a seller's distinct days
+    (and to the ends of the span), so no spine is built."""
+    days = prices.select("product", "seller", "date").distinct()
+    along = Window.partitionBy("product", "seller").orderBy("date")
+    span = Window.partitionBy("product")
+    stepped = days.withColumns({"_lo": F.min("date").over(span), "_hi": F.max("date").over(span)}).withColumn(
+        "_gap", F.date_diff("date", F.lag("date").over(along)) - 1)
+    seller = stepped.groupBy("product", "seller").agg(
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("date").alias("_from"), F.max("date").alias("_to"),
+        F.count(F.lit(1)).alias("quoted_days"), F.max("_gap").alias("_gap"))
+    return seller.select("product", "seller", (F.date_diff("_hi", "_lo") + 1).cast("bigint").alias("calendar_days"), "quoted_days",
+                         F.greatest(F.coalesce("_gap", F.lit(0)), F.date_diff("_from", "_lo"), F.date_diff("_hi", "_to")).cast("bigint").alias("longest_gap"))

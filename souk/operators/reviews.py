@@ -29,12 +29,30 @@ KEYWORD_STOP_WORDS = ("the", "and", "for", "with", "that", "this", "was", "are",
 WORD_SPLIT = r"[^\p{L}]+"
 
 
+# Fixed values of the stand-in tables: (divisor, remainder, label) of the ids where a slot's stored
+# label is not the rating's. The slots must differ, or a wrong choice of column would go unseen.
+STORED_LABELS = {"bert": None, "roberta": (7, 3, "Neutral"), "lstm": (11, 5, "Negative")}
+
+
+def stored_label_sql(model: str) -> str:
+    """The stored label of a model slot (the same text in both SQL dialects)."""
+    if STORED_LABELS[model] is None:
+        return "sentiment"
+    n, r, label = STORED_LABELS[model]
+    return f"CASE WHEN id % {n} = {r} THEN '{label}' ELSE sentiment END"
+
+
 def with_model_columns(reviews: DataFrame) -> DataFrame:
-    """The three stored label columns. Like the reference's loader, all three start as the
-    rating-derived label; model scoring (operators.models) overwrites them."""
-    return (reviews.withColumn("sentiment_bert", F.col("sentiment"))
-                   .withColumn("sentiment_roberta", F.col("sentiment"))
-                   .withColumn("sentiment_lstm", F.col("sentiment")))
+    """The three stored label columns: the rating's label, but for the ids of ``STORED_LABELS``; model
+    scoring (operators.models) overwrites them."""
+    return reviews.withColumns({f"sentiment_{m}": F.expr(stored_label_sql(m)) for m in STORED_LABELS})
+
+
+def counts_by_model(reviews: DataFrame) -> DataFrame:
+    """PRJ-11 + AGG-10: count per model name, product and label, the column chosen by the name."""
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(label_column(m)).alias("sentiment")) for m in MODEL_COLUMNS]))
+    return (reviews.select("product", named.alias("_m")).select("_m.model", "product", "_m.sentiment").filter("sentiment IS NOT NULL")
+                   .groupBy("model", "product", "sentiment").agg(F.count(F.lit(1)).alias("count")))
 
 
 def label_column(model_type: str) -> str:
@@ -221,3 +239,26 @@ def profile(df: DataFrame) -> DataFrame:
     """PRJ-18: row count and NULL count per column in one pass (one row)."""
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in df.columns])
+
+
+def column_profile(df: DataFrame, sketches: bool = False) -> DataFrame:
+    """PRJ-18: one row per column, from a single pass: column, type, rows, nulls, min, max (as text) and
+    mean (numbers only). ``sketches`` adds the mergeable ones: approx_distinct (HyperLogLog++, 2 %
+    standard error) and approx_quartiles (numbers only, rank error 1/10000)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = {c: t.typeName() in ("byte", "short", "integer", "long", "float", "double") or t.typeName().startswith("decimal") for c, t in types.items()}
+
+    def facts(c):
+        out = [F.lit(c).alias("column"), F.lit(types[c].simpleString()).alias("type"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"),
+               F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"), (F.avg(c) if numeric[c] else F.lit(None)).cast("double").alias("mean")]
+        if sketches:
+            out += [F.approx_count_distinct(c, 0.02).alias("approx_distinct"),
+                    (F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10_000) if numeric[c] else F.lit(None).cast("array<double>")).alias("approx_quartiles")]
+        return F.struct(*out)
+
+    return df.agg(F.array(*[facts(c) for c in df.columns]).alias("_p")).select(F.explode("_p").alias("_c")).select("_c.*")
+
+
+def first_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """PRJ-18: the first rows of a table in a given order (top-k in each task, no sort of the table)."""
+    return df.orderBy(*order).limit(n)

@@ -25,7 +25,7 @@ CTES = dict(SCORED_CTES, cw=WINDOWS_SQL, t=TAGGED_SQL, c=ROLLUP_SQL)
 
 
 def _rollup(spark, sf_dir):
-    return K.campaign_rollup(P.scored(V.prices(spark, sf_dir)))
+    return K.campaign_rollup(P.scored_quotes(spark, sf_dir))
 
 
 @register("join_10_campaign_quotes", V.with_views("""

@@ -35,7 +35,7 @@ CTES = dict(SCORED_CTES, best=BEST, market=MARKET)
     FROM best b JOIN market m USING (product)""", "prices", extra=CTES))
 def win_04_best_deal_per_seller(spark, sf_dir):
     """WIN-04 + FN-17: each seller's best historical deal with the advice text."""
-    return D.deal_rows(P.scored(V.prices(spark, sf_dir)))
+    return D.deal_rows(P.scored_quotes(spark, sf_dir))
 
 
 @register("agg_20_deal_board", V.with_views("""
@@ -55,4 +55,4 @@ def win_04_best_deal_per_seller(spark, sf_dir):
             FROM best GROUP BY product) JOIN market USING (product))""", "prices", extra=CTES))
 def agg_20_deal_board(spark, sf_dir):
     """AGG-20 + FN-16 + FN-18: the deal board for every product."""
-    return D.deal_board(P.scored(V.prices(spark, sf_dir)))
+    return D.deal_board(P.scored_quotes(spark, sf_dir))

@@ -61,7 +61,7 @@ def src_01_review_csv_roundtrip(spark, sf_dir):
 def src_02_price_csv_roundtrip(spark, sf_dir):
     """SRC-02 + FN-27 + FN-25: price history written in the reference CSV layout (true list
     price = the part's retail price), read back typed, rule flags scored against truth."""
-    s = P.scored(V.prices(spark, sf_dir))
+    s = P.scored_quotes(spark, sf_dir)
     base = V.products(spark, sf_dir).select(F.col("id").alias("part_id"), "base_price")
     layout = s.join(base, "part_id").select(
         "date", F.col("product").alias("product_name"), "seller", money("actual_c").alias("actual_price"),
@@ -88,6 +88,30 @@ def set_01_union_sources(spark, sf_dir):
     return u.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count("product").alias("with_product"))
 
 
+@register("set_01_union_rows", V.with_views("""
+    SELECT 'documents' AS kind, id, product, store, sentiment, NULL::BIGINT AS turn, NULL AS role, md5(review_text) AS text_md5 FROM reviews
+    UNION ALL SELECT 'conversations', conv_id, NULL, NULL, NULL, turn, role, md5(text) FROM conversations""", "reviews"))
+def set_01_union_rows(spark, sf_dir):
+    """SET-01: the union itself: every row of two sources in one table, columns that a source lacks NULL."""
+    a = V.reviews(spark, sf_dir).select(F.lit("documents").alias("kind"), "id", "product", "store", "sentiment", F.md5("review_text").alias("text_md5"))
+    conv = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    b = conv.select(F.lit("conversations").alias("kind"), F.col("conv_id").alias("id"), "turn", "role", F.md5("text").alias("text_md5"))
+    return I.union_sources([a, b])
+
+
+@register("join_04_name_lookup", V.with_views("""
+    SELECT p.date, p.seller, p.order_key, p.line_no, p.supp_id, c.name AS product_name, d.product_id
+    FROM prices p JOIN products c ON p.part_id = c.id
+    JOIN (SELECT name, min(id) AS product_id FROM products WHERE is_active AND NOT contains(name, 'blue') GROUP BY name) d ON d.name = c.name""", "prices", "products"))
+def join_04_name_lookup(spark, sf_dir):
+    """JOIN-04: loaded price rows know their product by name only; a catalogue gives each name one id, and
+    rows whose name is not in it are skipped (here it lacks the names with "blue" and what is inactive)."""
+    catalogue = V.products(spark, sf_dir)
+    loaded = P.with_product_names(V.prices(spark, sf_dir), catalogue).select(
+        "date", "seller", "order_key", "line_no", "supp_id", F.col("name").alias("product_name"))
+    return C.lookup_ids(loaded, catalogue.filter(F.col("is_active") & ~F.col("name").contains("blue")).select("id", "name"), "product_name", "product_id")
+
+
 @register("set_02_split_cap_union", V.with_views("""
     SELECT 'one' AS brand, id FROM reviews WHERE regexp_matches(product, '(?i)brand#1$')
     UNION ALL SELECT 'two', id FROM reviews WHERE regexp_matches(product, '(?i)brand#2$')""", "reviews"))

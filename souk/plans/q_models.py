@@ -29,7 +29,7 @@ WEAK_SQL = """CASE WHEN claimed_c * 10 * roll_n >= roll_sum_c * 13 AND claimed_c
     FROM (SELECT *, {WEAK_SQL} AS wl FROM r) GROUP BY product, seller""", "prices", extra={"r": ROLL7}))
 def ml_09_weak_labels(spark, sf_dir):
     """ML-09: weak fake/genuine labels from price ratios to the rolling mean."""
-    s = P.with_rolling_mean(V.prices(spark, sf_dir)).withColumn("wl", M.weak_label())
+    s = P.with_rolling_mean(V.prices(spark, sf_dir), cuts=P.price_cuts(spark, sf_dir)).withColumn("wl", M.weak_label())
     return s.groupBy("product", "seller").agg(
         F.count_if(F.col("wl") == 1).alias("fake"), F.count_if(F.col("wl") == 0).alias("genuine"),
         F.count_if(F.col("wl").isNull()).alias("unlabelled"))
@@ -49,7 +49,7 @@ def _money_sql(c):
     "prices", extra={"r": ROLL7}))
 def fn_20_price_sentences(spark, sf_dir):
     """FN-20 + FN-28: every quote as the model's input sentence (money from cents)."""
-    r = P.with_rolling_mean(V.prices(spark, sf_dir))
+    r = P.with_rolling_mean(V.prices(spark, sf_dir), cuts=P.price_cuts(spark, sf_dir))
     avg_c = F.rint(F.col("roll_sum_c").cast("double") / F.col("roll_n")).cast("bigint")
     sentence = F.concat(F.lit("Product: "), "product", F.lit(". Seller: "), "seller",
                         F.lit(". Historical average price: $"), money_text(avg_c),
@@ -147,7 +147,7 @@ def ml_02_rescore_update(spark, sf_dir):
 def _price_model(spark, sf_dir):
     """Scored quotes with their weak labels (price ratios, ML-09) and the model fitted on those of the
     85 % split; the fake-discount rule takes no part in the fit."""
-    s = M.price_features(P.scored(V.prices(spark, sf_dir))).withColumn("label", M.weak_label())
+    s = M.price_features(P.scored_quotes(spark, sf_dir)).withColumn("label", M.weak_label())
     s = T.split(s.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in V.PRICE_TIE])), "_key", 85)
     return s, M.fit_price_model(s.filter((F.col("split") == "train") & F.col("label").isNotNull()))
 
@@ -174,7 +174,7 @@ def ml_06_price_model_eval(spark, sf_dir):
 def ml_04_isolation_forest(spark, sf_dir):
     """ML-04 + FN-15: isolation forest over (actual, claimed, 14-row mean), contamination
     0.10, seed 42; a flagged row is a fake discount when the rule confirms it."""
-    r = P.rolling_mean_long(V.prices(spark, sf_dir))
+    r = P.rolling_mean_long(V.prices(spark, sf_dir), P.price_cuts(spark, sf_dir, ["product"]))
     feats = r.withColumn("x_actual", F.col("actual_c").cast("double") / 100) \
              .withColumn("x_claimed", F.col("claimed_c").cast("double") / 100)
     f = ["x_actual", "x_claimed", "rolling_avg_14"]

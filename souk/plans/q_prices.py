@@ -28,7 +28,7 @@ ROLL7 = f"""
 def fake_discounts(spark, sf_dir):
     """FN-14 over WIN-01: quotes whose claimed list price exceeds the selling price while the
     selling price is at least 90% of its 7-row rolling mean (per product and seller)."""
-    return P.fake_discounts(V.prices(spark, sf_dir))
+    return P.fake_discounts(_scored(spark, sf_dir))
 
 
 SCORED = f"""
@@ -38,7 +38,7 @@ SCORED_CTES = {"r": ROLL7, "s": SCORED}
 
 
 def _scored(spark, sf_dir):
-    return P.scored(V.prices(spark, sf_dir))
+    return P.scored_quotes(spark, sf_dir)
 
 
 @register("win_01_rolling_mean", V.with_views(f"""
@@ -47,7 +47,7 @@ def _scored(spark, sf_dir):
     FROM r""", "prices", extra={"r": ROLL7}))
 def win_01_rolling_mean(spark, sf_dir):
     """WIN-01/WIN-02/WIN-11: 7-row rolling mean (min 1 row) of every series, every quote."""
-    return P.with_rolling_mean(V.prices(spark, sf_dir)).select(
+    return P.with_rolling_mean(V.prices(spark, sf_dir).drop("claimed_c"), cuts=P.price_cuts(spark, sf_dir)).select(
         "product", "seller", *P.ORDER, (F.col("actual_c").cast("double") / 100).alias("actual_price"),
         F.coalesce("rolling_avg", F.col("actual_c").cast("double") / 100).alias("rolling_avg"), "roll_n")
 
@@ -60,7 +60,7 @@ def win_01_rolling_mean(spark, sf_dir):
     "prices"))
 def win_03_rolling14_rule(spark, sf_dir):
     """WIN-03 + FN-15 rule part: 14-row rolling mean per product, confirming rule."""
-    return P.rolling_mean_long(V.prices(spark, sf_dir)).select(
+    return P.rolling_mean_long(V.prices(spark, sf_dir), P.price_cuts(spark, sf_dir, ["product"])).select(
         "product", "seller", *P.ORDER, "rolling_avg_14", "rule_flag")
 
 
@@ -350,8 +350,7 @@ def _template_sql(t):
           FROM s GROUP BY product) USING (product)""", "prices", extra=SCORED_CTES))
 def fn_21_commentary(spark, sf_dir):
     """FN-21: commentary text by branch (manipulation found or not) for every product."""
-    prices = V.prices(spark, sf_dir)
-    return P.commentary(P.scored(prices), prices)
+    return P.commentary(_scored(spark, sf_dir), V.prices(spark, sf_dir))
 
 
 @register("agg_23_rule_audit", V.with_views(f"""
@@ -379,11 +378,36 @@ def src_04_one_series(spark, sf_dir):
                                       (F.col("claimed_c").cast("double") / 100).alias("claimed_price"), *V.PRICE_TIE)
 
 
-@register("src_18_nested_result")
+PCT_SQL = "COALESCE(CAST(claimed_c - actual_c AS DOUBLE) / NULLIF(CAST(claimed_c AS DOUBLE), 0) * 100, 0)"
+
+
+@register("src_18_nested_result", V.with_views("""
+    SELECT product, CAST(json_object('stats', stats, 'deals', deals, 'anomalies', anomalies, 'chart_data', chart) AS VARCHAR) AS json
+    FROM snap JOIN dealt USING (product) JOIN flags USING (product) JOIN charts USING (product)""", "prices", extra={
+    **SCORED_CTES, "cells": CELLS, "grid": GRID,
+    "snap": """SELECT product, json_object('latest_date', CAST(date AS VARCHAR), 'best_seller', low.seller, 'best_price', CAST(low.actual_c AS DOUBLE) / 100,
+                      'avg_price', round_even(avg_c, 0) / 100, 'discount_pct', round_even(COALESCE(CAST(low.claimed_c - low.actual_c AS DOUBLE)
+                          / NULLIF(CAST(low.claimed_c AS DOUBLE), 0) * 100, 0) * 10, 0) / 10) AS stats
+               FROM (SELECT product, date, arg_min({'seller': seller, 'actual_c': actual_c, 'claimed_c': claimed_c},
+                                                   (actual_c, order_key, line_no, part_id, supp_id)) AS low,
+                            CAST(sum(actual_c) AS DOUBLE) / count(*) / 100 * 100 AS avg_c
+                     FROM prices JOIN (SELECT product, max(date) AS date FROM prices GROUP BY product) USING (product, date) GROUP BY product, date)""",
+    "dealt": f"""SELECT product, to_json(list({{'seller': seller, 'date': CAST(b.date AS VARCHAR), 'current_price': CAST(b.actual_c AS DOUBLE) / 100,
+                        'original_price': CAST(b.claimed_c AS DOUBLE) / 100, 'discount_pct': round_even(b.pct * 10, 0) / 10,
+                        'ai_recommendation': CASE WHEN b.is_manipulation THEN 'Fake Discount - Do Not Buy' WHEN b.actual_c * n > sum_c THEN 'Wait for Drop'
+                             WHEN b.actual_c * 10 * n <= sum_c * 9 THEN 'Best Buy (Highly Recommended)' ELSE 'Good Deal' END}} ORDER BY seller)) AS deals
+                 FROM (SELECT product, seller, arg_min({{'date': date, 'actual_c': actual_c, 'claimed_c': claimed_c, 'pct': pct, 'is_manipulation': is_manipulation}},
+                                                       (-pct, date, order_key, line_no, part_id, supp_id)) AS b
+                       FROM (SELECT *, {PCT_SQL} AS pct FROM s) GROUP BY product, seller)
+                 JOIN (SELECT product, sum(actual_c) AS sum_c, count(*) AS n FROM s GROUP BY product) USING (product) GROUP BY product""",
+    "flags": """SELECT product, CASE WHEN bool_or(is_manipulation) THEN json_object('count', count(*) FILTER (WHERE is_manipulation),
+                       'last_date', CAST(max(date) FILTER (WHERE is_manipulation) AS VARCHAR)) ELSE json_object('count', 0) END AS anomalies FROM s GROUP BY product""",
+    "charts": """SELECT product, json_object('dates', to_json((SELECT list(DISTINCT CAST(p.date AS VARCHAR) ORDER BY CAST(p.date AS VARCHAR)) FROM prices p WHERE p.product = c.product)),
+                        'prices', to_json(map(list(seller ORDER BY seller), list(v ORDER BY seller)))) AS chart
+                 FROM (SELECT product, seller, list(CAST(first_c AS DOUBLE) / 100 ORDER BY date) AS v FROM grid GROUP BY product, seller) c GROUP BY product"""}))
 def src_18_nested_result(spark, sf_dir):
-    """SRC-18: nested per-product record (stats, per-seller deals, series map) and its JSON."""
-    prices = V.prices(spark, sf_dir)
-    return P.nested_result(P.scored(prices), prices)
+    """SRC-18: nested per-product record (stats, per-seller deals, date-aligned series), as JSON."""
+    return P.nested_result(_scored(spark, sf_dir)).select("product", "json")
 
 
 @register("join_06_calendar_spine", V.with_views("""

@@ -218,6 +218,38 @@ def prj_18_review_profile(spark, sf_dir):
     return R.profile(V.reviews(spark, sf_dir))
 
 
+PROFILED = {"id": "bigint", "product": "string", "store": "string", "review_rating": "int", "review_date": "date", "lang": "string", "sentiment": "string", "n_chars": "int"}
+
+
+@register("prj_18_column_profile", V.with_views(" UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", '{t}' AS type, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, CAST(min({c}) AS VARCHAR) AS min,
+           CAST(max({c}) AS VARCHAR) AS max, {f"avg({c})" if t in ("bigint", "int") else "CAST(NULL AS DOUBLE)"} AS mean FROM r"""
+    for c, t in PROFILED.items()), "reviews", extra={"r": "SELECT *, CAST(length(review_text) AS INTEGER) AS n_chars FROM reviews"}))
+def prj_18_column_profile(spark, sf_dir):
+    """PRJ-18: rows, NULLs, least, largest and mean of every review column in one pass."""
+    r = V.reviews(spark, sf_dir).withColumn("n_chars", F.length("review_text"))
+    return R.column_profile(r.select(*PROFILED))
+
+
+@register("prj_18_first_rows", V.with_views("""
+    SELECT id, product, store, review_rating, review_date, lang, sentiment, review_text FROM reviews ORDER BY id LIMIT 5""", "reviews"))
+def prj_18_first_rows(spark, sf_dir):
+    """PRJ-18: the first five reviews."""
+    return R.first_rows(V.reviews(spark, sf_dir), ["id"]).select("id", "product", "store", "review_rating", "review_date", "lang", "sentiment", "review_text")
+
+
+MODELS_SQL = f"SELECT *, {', '.join(f'{R.stored_label_sql(m)} AS sentiment_{m}' for m in ('bert', 'roberta', 'lstm'))} FROM reviews"
+
+
+@register("prj_11_model_columns", V.with_views(" UNION ALL ".join(
+    f"SELECT '{m}' AS model, product, sentiment_{c} AS sentiment, count(*) AS count FROM m WHERE sentiment_{c} IS NOT NULL GROUP BY product, sentiment_{c}"
+    for m, c in (("bert", "bert"), ("nlptown", "bert"), ("roberta", "roberta"), ("lstm", "lstm"))), "reviews", extra={"m": MODELS_SQL}))
+def prj_11_model_columns(spark, sf_dir):
+    """PRJ-11: the label column is chosen by the model's name (nlptown is an alias of bert); the three
+    stored columns differ, so each name must reach its own. One pass over the reviews."""
+    return R.counts_by_model(R.with_model_columns(V.reviews(spark, sf_dir, with_text=False)))
+
+
 @register("prj_15_text_length_guard", V.with_views(r"""
     SELECT lang, count(*) FILTER (WHERE length(regexp_replace(review_text, '^\s+|\s+$', '', 'g')) >= 3) AS long_enough,
            count(*) FILTER (WHERE length(regexp_replace(review_text, '^\s+|\s+$', '', 'g')) < 3) AS too_short

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.exprs import FAKE_FLAG_SCORE, POSITIVE, cents, sentiment_of_rating
+from souk.operators import campaigns as K
 from souk.operators import prices as P
 from souk.operators.series import top_k
+from souk.plans.q_campaigns import TAGGED_SQL, WINDOWS_SQL
 from souk.plans.q_prices import SCORED_CTES, TIE_SQL
 from souk.plans.registry import register
+from souk.session import scratch_path
 from souk.sources import changes as C
 from souk.sources import views as V
+from souk.sources.versions import KeyedResults, VersionedTable, file_state, name_of
 
 OUT_COLS = ["product", "seller", "date", *V.PRICE_TIE, "claimed_c", "actual_c"]
 # Fixed parameters of the two rewrite jobs (one series; brands left untouched).
@@ -81,7 +88,7 @@ def src_09_keyed_update(spark, sf_dir):
     """SRC-09 + JOIN-09: write the analysis flags back onto the price table by composite key."""
     prices = V.prices(spark, sf_dir).withColumn("is_manipulation", F.lit(False)).withColumn("anomaly_score", F.lit(0.0))
     keys = ["product", "seller", *P.ORDER]
-    upd = (P.scored(V.prices(spark, sf_dir)).filter("is_manipulation")
+    upd = (P.scored_quotes(spark, sf_dir).filter("is_manipulation")
              .select(*keys, F.lit(True).alias("is_manipulation"), F.lit(FAKE_FLAG_SCORE).alias("anomaly_score")))
     return C.keyed_update(prices, upd, keys, ["is_manipulation", "anomaly_score"]).select(
         *keys, "is_manipulation", "anomaly_score")
@@ -95,7 +102,7 @@ def src_09_keyed_update(spark, sf_dir):
 def src_09_update_by_day(spark, sf_dir):
     """SRC-09 + JOIN-09: flags written back by (product, date, seller); of a day's quotes the last wins."""
     prices = V.prices(spark, sf_dir).withColumns({"is_manipulation": F.lit(False), "anomaly_score": F.lit(0.0)})
-    upd = P.scored(V.prices(spark, sf_dir)).withColumn("anomaly_score", F.when(F.col("is_manipulation"), FAKE_FLAG_SCORE).otherwise(0.0))
+    upd = P.scored_quotes(spark, sf_dir).withColumn("anomaly_score", F.when(F.col("is_manipulation"), FAKE_FLAG_SCORE).otherwise(0.0))
     out = C.keyed_update(prices, upd, ["product", "date", "seller"], ["is_manipulation", "anomaly_score"], V.PRICE_TIE)
     return out.select("product", "seller", *P.ORDER, "is_manipulation", "anomaly_score")
 
@@ -145,6 +152,23 @@ def src_15_cascade_delete(spark, sf_dir):
     return left.groupBy("product", "seller").agg(F.count(F.lit(1)).alias("remaining"))
 
 
+CHILDREN = ("prices", "anomalies", "campaign_quotes")
+
+
+@register("src_15_child_tables", V.with_views(" UNION ALL ".join(
+    f"SELECT '{n}' AS child, part_id, order_key, line_no, supp_id, product, seller, date FROM {t} WHERE part_id IN (SELECT id FROM products WHERE is_active)"
+    for n, t in zip(CHILDREN, ("prices", "(SELECT * FROM s WHERE is_manipulation)", "t"), strict=True)), "prices", "products",
+    extra=dict(SCORED_CTES, cw=WINDOWS_SQL, t=TAGGED_SQL)))
+def src_15_child_tables(spark, sf_dir):
+    """SRC-15: delete inactive products; the new state of every child table keyed to a product (quotes,
+    anomalies, campaign quotes), whole. Reviews carry a brand and no product id, so none can be keyed."""
+    doomed = V.products(spark, sf_dir).filter(~F.col("is_active")).select("id")
+    scored = P.scored_quotes(spark, sf_dir)
+    tables = dict(zip(CHILDREN, (V.prices(spark, sf_dir), scored.filter("is_manipulation"), K.tag_campaigns(V.prices(spark, sf_dir))), strict=True))
+    left = C.cascade_delete({n: (t.select("part_id", "order_key", "line_no", "supp_id", "product", "seller", "date"), "part_id") for n, t in tables.items()}, doomed, "id")
+    return reduce(DataFrame.unionByName, [t.withColumn("child", F.lit(n)) for n, t in left.items()])
+
+
 @register("src_16_referential_check", V.with_views("""
     SELECT product, count(*) FILTER (WHERE part_id IN (SELECT id FROM products WHERE is_active)) AS valid,
            count(*) FILTER (WHERE part_id NOT IN (SELECT id FROM products WHERE is_active)) AS orphans
@@ -163,7 +187,7 @@ def src_16_referential_check(spark, sf_dir):
     FROM s WHERE is_manipulation""", "prices", extra=SCORED_CTES))
 def src_05_csv_roundtrip(spark, sf_dir):
     """SRC-05 + SRC-07: write the anomaly list as CSV with a header, read it back typed."""
-    rep = P.anomaly_report(P.scored(V.prices(spark, sf_dir))).drop("confidence")
+    rep = P.anomaly_report(P.scored_quotes(spark, sf_dir)).drop("confidence")
     path = C.write_table(rep, C.new_table_path(spark, "anomalies-csv"), fmt="csv", header="true")
     return spark.read.schema(rep.schema).option("header", "true").csv(path)
 
@@ -182,12 +206,36 @@ def src_06_append_partitioned(spark, sf_dir):
     return back.groupBy(F.col("month").cast("date").alias("month")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register("src_07_truncate_reload", V.with_views("SELECT id, name, category, brand, base_c FROM products WHERE is_active", "products"))
+def src_07_truncate_reload(spark, sf_dir):
+    """SRC-07: a table that exists is emptied and loaded anew, in place: readers see the old content or
+    the new, never a part. Here the whole catalogue is replaced by its active products."""
+    table = VersionedTable(spark, scratch_path(spark, f"tables/catalogue-{name_of(sf_dir)}"))
+    products = V.products(spark, sf_dir).select("id", "name", "category", "brand", "base_c", "is_active")
+    if table.current() is None:
+        table.overwrite(products)
+    table.overwrite(products.filter("is_active").drop("is_active"))
+    table.clean(keep=8)
+    return table.read()
+
+
+def stored_analysis(spark, sf_dir) -> KeyedResults:
+    """The stored anomaly list of a folder's prices, brought up to its files."""
+    store = KeyedResults(spark, scratch_path(spark, f"results/analysis-{name_of(sf_dir)}"), "product")
+
+    def analyse(prices):
+        return P.scored(prices, P.price_cuts(spark, sf_dir)).filter("is_manipulation").select("product", "seller", *V.PRICE_TIE, "date")
+
+    store.refresh(file_state(spark, *P.price_tables(spark, sf_dir)), V.prices(spark, sf_dir), analyse)
+    return store
+
+
 @register("src_17_materialised_analysis", V.with_views("""
     SELECT product, seller, count(*) AS flagged FROM s WHERE is_manipulation AND product = 'Brand#7' GROUP BY product, seller""",
     "prices", extra=SCORED_CTES))
 def src_17_materialised_analysis(spark, sf_dir):
-    """SRC-17: the analysis is materialised once for every (product, seller), partitioned by
-    product; a later request for one product reads one partition."""
-    flagged = P.scored(V.prices(spark, sf_dir)).filter("is_manipulation").select("product", "seller", *V.PRICE_TIE, "date")
-    table = C.materialise(flagged, "analysis", partition_by=["product"])
-    return table.filter(F.col("product") == "Brand#7").groupBy("product", "seller").agg(F.count(F.lit(1)).alias("flagged"))
+    """SRC-17: the analysis is materialised once for every (product, seller) and reused while the price
+    files are the same; changed files recompute the products whose quotes changed. A request for
+    one product reads one partition."""
+    store = stored_analysis(spark, sf_dir)
+    return store.read("Brand#7").groupBy("product", "seller").agg(F.count(F.lit(1)).alias("flagged"))

@@ -1,7 +1,7 @@
 """Table changes as pure functions old -> new (SRC-05..17).
 
-There is no transactional table format in this environment, so each change returns the new
-table state as a DataFrame (joins, not row loops); ``write_table`` persists it to a new path.
+Each change returns the new table state as a DataFrame (joins, not row loops); ``write_table``
+persists it to a new path, ``versions.VersionedTable`` in place of the old table.
 Every change is a set operation over the whole table: the reference's per-row UPDATE loops
 and N+1 queries become one join each.
 """
@@ -26,7 +26,7 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def keyed_update(old: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str],
                  order: Sequence[str] = ()) -> DataFrame:
     """SRC-09 / SRC-10 + JOIN-09: set ``columns`` from ``updates`` where the key matches (to NULL,
-    too); other rows keep their values. Of several updates for one key the last by ``order`` wins
+    too); other rows keep their values. A key that holds a NULL matches nothing, as in SQL. Of several updates for one key the last by ``order`` wins
     (without it, or in a tie, the one of the largest values)."""
     value = F.struct(*[F.col(c) for c in columns])
     u = updates.groupBy(*keys).agg(F.max_by(value, F.struct(*[F.col(c) for c in order], *[F.col(c) for c in columns])).alias("_new"))
@@ -41,6 +41,13 @@ def rewrite_where(df: DataFrame, pred: Column, values: dict[str, Column]) -> Dat
     return df
 
 
+def lookup_ids(rows: DataFrame, names: DataFrame, name: str, out: str) -> DataFrame:
+    """JOIN-04: the id of each row's ``name`` in a dictionary of (id, name); rows whose name is not in it
+    are left out. A name that stands for several ids is that of the least."""
+    ids = names.groupBy(F.col("name").alias("_name")).agg(F.min("id").alias(out))
+    return rows.join(ids, F.col(name) == F.col("_name")).drop("_name")
+
+
 def delete_keys(df: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SRC-14: delete rows whose key is listed (anti join)."""
     return df.join(doomed.select(*keys).distinct(), list(keys), "left_anti")
@@ -80,11 +87,3 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
     return path
-
-
-def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """SRC-17: compute an analysis once for all keys, write it partitioned, read it back; a
-    later lookup of one key prunes to its partition instead of recomputing."""
-    spark = df.sparkSession
-    path = write_table(df, new_table_path(spark, name), partition_by=partition_by)
-    return spark.read.parquet(path)

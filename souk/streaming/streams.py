@@ -115,8 +115,7 @@ def newest_windows(table: DataFrame) -> DataFrame:
 def flags_of_ticks(ticks: DataFrame) -> DataFrame:
     """STR-02 (rolling part) over the landed ticks: 7-tick rolling mean per seller in time order and
     the fake-discount flag, whatever the order of arrival. A task holds one seller's hour."""
-    rolled = rolling_rows(ticks, ["seller"], ["ts", "event_id"], ROLLING_ROWS, {"roll_sum_c": "actual_c"},
-                          count_col="roll_n", block=F.date_trunc("hour", "ts"))
+    rolled = rolling_rows(ticks, ["seller"], ["ts", "event_id"], ROLLING_ROWS, {"roll_sum_c": "actual_c"}, count_col="roll_n")
     return rolled.withColumn("is_manipulation", (F.col("claimed_c") > F.col("actual_c")) & (
         F.col("actual_c") * FAKE_RATIO_DEN * F.col("roll_n") >= F.col("roll_sum_c") * FAKE_RATIO_NUM))
 

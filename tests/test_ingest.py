@@ -55,7 +55,7 @@ def test_price_csv_golden(spark):
     p = I.read_prices(spark, PRICE_FILES[0])
     assert p.count() == 180
     assert p.filter("is_manipulation").count() == 21
-    r = rolling_rows(p, ["product_name", "seller"], ["date"], 7, {"s": "actual_c"}, count_col="n", block=F.lit(0))
+    r = rolling_rows(p, ["product_name", "seller"], ["date"], 7, {"s": "actual_c"}, count_col="n")
     flag = (F.col("claimed_c") > F.col("actual_c")) & (F.col("actual_c") * 10 * F.col("n") >= F.col("s") * 9)
     c = {(row.f, row.m): row.k for row in
          r.groupBy(flag.alias("f"), F.col("is_manipulation").alias("m")).agg(F.count("*").alias("k")).collect()}

@@ -48,7 +48,7 @@ def test_hot_series_blocked_equals_window(spark, sf):
     hot = p.withColumn("seller", F.when(F.col("order_key") % 3 == 0, F.lit("HOT")).otherwise(F.col("seller"))) \
            .withColumn("product", F.when(F.col("seller") == "HOT", F.lit("Brand#HOT")).otherwise(F.col("product")))
     keys, order = ["product", "seller"], list(P.ORDER)
-    a = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n", block=F.lit(0))
+    a = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n")
     b = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n")
     cols = keys + order + ["s", "n"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0

@@ -13,7 +13,7 @@ def test_tick_flags_stream_equals_batch(spark, sf):
     got = spark.read.parquet(S.run_to_table(S.tick_flags(S.ticks_stream(spark, sf)), "t-flags"))
     assert got.filter("late").count() == 0
     batch = S.tick_columns(read(spark, sf, "events"))
-    r = rolling_rows(batch, ["seller"], ["ts", "event_id"], 7, {"roll_sum_c": "actual_c"}, count_col="roll_n", block=F.lit(0))
+    r = rolling_rows(batch, ["seller"], ["ts", "event_id"], 7, {"roll_sum_c": "actual_c"}, count_col="roll_n")
     want = r.withColumn("is_manipulation", (F.col("claimed_c") > F.col("actual_c")) &
                         (F.col("actual_c") * 10 * F.col("roll_n") >= F.col("roll_sum_c") * 9))
     cols = ["seller", "event_id", "roll_sum_c", "roll_n", "is_manipulation"]
