@@ -21,7 +21,7 @@ TICKS_SQL = """
     SELECT * FROM reviews WHERE product IN (SELECT p_brand FROM part)""", "reviews"))
 def str_01_review_ingest(spark, sf_dir):
     """STR-01: streaming review ingest (parent check, labels, de-dup by id)."""
-    return spark.read.parquet(S.run_review_ingest(spark, sf_dir)).drop("epoch")
+    return spark.read.parquet(S.run_review_ingest(spark, sf_dir)).drop("epoch", "id_range")
 
 
 @register("str_01_scored_ingest")
@@ -29,7 +29,7 @@ def str_01_scored_ingest(spark, sf_dir):
     """STR-01 with scoring: the review ingest, each new review labelled by the three saved models."""
     from souk.plans.q_models import saved_sentiment_models
     stream = S.scored_ingest_stream(spark, sf_dir, saved_sentiment_models(spark, sf_dir))
-    return spark.read.parquet(S.run_to_table(stream, "reviews-scored")).drop("epoch")
+    return spark.read.parquet(S.run_to_table(stream, "reviews-scored", unique="id")).drop("epoch", "id_range")
 
 
 @register("str_02_daily_ticks", f"""
@@ -43,17 +43,31 @@ def str_02_daily_ticks(spark, sf_dir):
     return S.newest_windows(spark.read.parquet(path)).withColumn("day", S.utc_wall_clock("day").cast("date"))
 
 
-@register("str_02_tick_flags", f"""
+FLAGS_SQL = f"""
     WITH t AS ({TICKS_SQL}),
     r AS (SELECT *, SUM(actual_c) OVER w AS roll_sum_c, COUNT(*) OVER w AS roll_n FROM t
           WINDOW w AS (PARTITION BY seller ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
     SELECT seller, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, actual_c, claimed_c,
            CAST(roll_sum_c AS BIGINT) AS roll_sum_c, roll_n,
            (claimed_c > actual_c AND actual_c * 10 * roll_n >= roll_sum_c * 9) AS is_manipulation
-    FROM r""")
+    FROM r"""
+
+
+@register("str_02_tick_flags", FLAGS_SQL)
 def str_02_tick_flags(spark, sf_dir):
     """STR-02: 7-tick rolling mean per seller with fake-discount flags over the landed ticks."""
     landed = spark.read.parquet(S.run_to_table(S.ticks_stream(spark, sf_dir), "ticks"))
-    return S.flags_of_ticks(landed).select(
+    return _flag_columns(S.flags_of_ticks(landed))
+
+
+@register("str_02_flags_as_they_change", FLAGS_SQL)
+def str_02_flags_as_they_change(spark, sf_dir):
+    """STR-02: the flags that the stream emits with each micro-batch, as last emitted: late ticks have
+    changed those of the ticks after them."""
+    return _flag_columns(S.newest_flags(spark, S.run_tick_flags(S.ticks_stream(spark, sf_dir))))
+
+
+def _flag_columns(flags):
+    return flags.select(
         "seller", "event_id", F.date_format(S.utc_wall_clock("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
         "actual_c", "claimed_c", "roll_sum_c", "roll_n", "is_manipulation")

@@ -25,6 +25,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def file_state(spark: SparkSession, *paths: str) -> str:
     """A hash of the files under ``paths`` (name, length, time of change). The listing is a Spark
     job over file metadata; no content is read."""

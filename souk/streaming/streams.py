@@ -1,27 +1,26 @@
 """Structured Streaming jobs (STR-01, STR-02).
 
-STR-01 review ingest: file source -> stream-static joins (labels, parent products) ->
-de-duplication by id -> (with ``scored_ingest_stream``) labels of saved models -> table.
+STR-01 review ingest: file source -> stream-static joins (labels, parent products) -> (with
+``scored_ingest_stream``) labels of saved models -> new reviews of each micro-batch, by an anti join
+with the landed table. Nothing is kept as state: the table itself says which ids have come.
 
-STR-02 price tick monitor: ticks -> daily tumbling aggregates per seller (update mode), and ticks
-landed as they arrive, whose 7-tick rolling mean and flag follow time order (``flags_of_ticks``).
-``tick_flags`` flags ticks on arrival by ``applyInPandasWithState``; it reports ticks older than a
-seller's last one as late and does not fold them into the mean.
+STR-02 price tick monitor: ticks -> daily tumbling aggregates per seller (update mode), and 7-tick
+rolling means with flags: ``flags_of_ticks`` over landed ticks, or ``run_tick_flags``, which with each
+micro-batch emits the flags of its ticks and of those whose mean a late tick has changed.
 
-Tables have one folder for each epoch. Checkpoints and tables live under the shared checkpoint
-folder or where the caller says; given again, a stopped stream resumes.
+Tables have one folder for each epoch, written over if the epoch is replayed. The checkpoint lies in the
+table's folder unless the caller says otherwise; a stopped stream resumes, and a table whose
+checkpoint is not there is refused, since its epochs would be written over.
 """
 
 from __future__ import annotations
 
-import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from souk.functions.exprs import FAKE_RATIO_DEN, FAKE_RATIO_NUM, ROLLING_ROWS, utc_instant, utc_wall_clock  # noqa: F401
 from souk.operators.models import load_models, score_sentiment
@@ -29,6 +28,7 @@ from souk.operators.series import rolling_rows
 from souk.sources import views as V
 from souk.sources.changes import new_table_path
 from souk.sources.tables import read, table_path
+from souk.sources.versions import path_exists
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -41,33 +41,86 @@ def _file_stream(spark: SparkSession, sf_dir: str, table: str, schema: str, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_table(df: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None, mode: str = "append") -> str:
+ID_RANGE = 1 << 20      # ids of one partition of a table of unique rows
+RANGES = 1000           # id ranges of a micro-batch up to which the landed table is pruned to them
+
+
+def _with(schema: StructType, **more: str) -> StructType:
+    """A copy of ``schema`` with partition columns."""
+    out = StructType(list(schema.fields))
+    for name, kind in more.items():
+        out.add(name, kind)
+    return out
+
+
+def epoch_path(out: str, epoch: int) -> str:
+    return os.path.join(out, f"epoch={epoch}")
+
+
+def land_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """Write a micro-batch as the folder of its epoch."""
+    def land(batch: DataFrame, epoch: int):
+        batch.write.mode("overwrite").parquet(epoch_path(out, epoch))
+    return land
+
+
+def land_new(out: str, key: str) -> Callable[[DataFrame, int], None]:
+    """Write the rows of a micro-batch whose ``key`` (a whole number) no earlier epoch has, one for each
+    key; rows without a key are left out. The table is partitioned by range of the key, so a batch of
+    new keys reads few of the landed ones."""
+    def land(batch: DataFrame, epoch: int):
+        spark = batch.sparkSession
+        rows = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("id_range", F.floor(F.col(key) / ID_RANGE)).persist()
+        try:
+            landed = spark.read.schema(_with(rows.schema, epoch="integer")).parquet(out).filter(F.col("epoch") < epoch)
+            ranges = [r[0] for r in rows.select("id_range").distinct().limit(RANGES + 1).collect()]
+            if len(ranges) <= RANGES:       # prunes partitions; the anti join decides
+                landed = landed.filter(F.col("id_range").isin(ranges))
+            new = rows.join(landed.select(key), key, "left_anti").select(*rows.columns)
+            new.write.mode("overwrite").partitionBy("id_range").parquet(epoch_path(out, epoch))
+        finally:
+            rows.unpersist()
+    return land
+
+
+def run_to_table(df: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None, mode: str = "append",
+                 unique: str | None = None) -> str:
     """Run a stream over all that has arrived, into ``out``: one folder for each epoch, written over
-    if the epoch is replayed. The same ``out`` and ``checkpoint`` given again resume the stream."""
+    if the epoch is replayed. The same ``out`` given again resumes the stream, with the checkpoint in
+    it (or the one given); a table with epochs and without its checkpoint is refused. With
+    ``unique``, only the first row of each value of that column lands."""
     spark = df.sparkSession
     out = out or new_table_path(spark, name)
-    checkpoint = checkpoint or new_table_path(spark, f"{name}-ckpt")
     # No epoch yet is an empty table, too.
-    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(os.path.join(out, "epoch=-1"))
+    empty = epoch_path(out, -1) + ("/id_range=-1" if unique else "")
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(empty)
+    run_stream(df, out, land_new(out, unique) if unique else land_batch(out), checkpoint, mode)
+    return out
 
-    def land(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
 
-    q = (df.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", checkpoint)
-           .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+def run_stream(df: DataFrame, out: str, land: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append",
+               first: str | None = None):
+    """Run a stream to the end of what has arrived, each micro-batch through ``land``. ``first`` is the
+    folder of the first epoch, whose presence without a checkpoint means that another stream wrote here."""
+    spark = df.sparkSession
+    checkpoint = checkpoint or os.path.join(out, "_checkpoint")
+    if path_exists(spark, first or epoch_path(out, 0)) and not path_exists(spark, checkpoint):
+        raise ValueError(f"{out} holds epochs, but their checkpoint {checkpoint} is not there; they would be written over")
+    query = (df.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", checkpoint)
+               .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
 
 
 def review_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-01 transformation: validated, labelled, de-duplicated review rows. The de-duplication
-    keeps the ids seen so far as state (on disk, by id), so no review is late."""
+    """STR-01 transformation: validated and labelled review rows. Repeated ids go when a micro-batch
+    lands (``unique``), so the stream has no state and no review is late."""
     docs = _file_stream(spark, sf_dir, "documents", DOC_SCHEMA)
     labels = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     rev = V.reviews_from(docs.select("doc_id", "text", "lang", "source"), labels)
     # Parent check: the product must exist in the catalogue.
     parents = read(spark, sf_dir, "part", "p_brand").select(F.col("p_brand").alias("product")).distinct()
-    return rev.join(parents, "product", "left_semi").dropDuplicates(["id"])
+    return rev.join(parents, "product", "left_semi")
 
 
 def scored_ingest_stream(spark: SparkSession, sf_dir: str, models_path: str) -> DataFrame:
@@ -78,7 +131,7 @@ def scored_ingest_stream(spark: SparkSession, sf_dir: str, models_path: str) ->
 
 
 def run_review_ingest(spark: SparkSession, sf_dir: str, out_path: str | None = None, checkpoint: str | None = None) -> str:
-    return run_to_table(review_ingest_stream(spark, sf_dir), "reviews-stream", out_path, checkpoint)
+    return run_to_table(review_ingest_stream(spark, sf_dir), "reviews-stream", out_path, checkpoint, unique="id")
 
 
 def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,38 +173,53 @@ def flags_of_ticks(ticks: DataFrame) -> DataFrame:
         F.col("actual_c") * FAKE_RATIO_DEN * F.col("roll_n") >= F.col("roll_sum_c") * FAKE_RATIO_NUM))
 
 
-FLAG_SCHEMA = ("seller string, event_id bigint, ts timestamp, actual_c bigint, claimed_c bigint, "
-               "roll_sum_c bigint, roll_n bigint, is_manipulation boolean, late boolean")
-STATE_SCHEMA = "recent string, last_ts timestamp, last_id bigint, late bigint"
-
-
-def _flag_ticks(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (seller,) = key
-    if state.exists:
-        recent_s, last_ts, last_id, late = state.get
-        recent = json.loads(recent_s)
-    else:
-        recent, last_ts, last_id, late = [], None, None, 0
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-    rows = []
-    for ts, eid, a, c in zip(pdf["ts"], pdf["event_id"], pdf["actual_c"], pdf["claimed_c"]):
-        is_late = last_ts is not None and (ts, eid) <= (last_ts, last_id)
-        if is_late:
-            late += 1
-            rows.append((seller, eid, ts, a, c, None, None, None, True))
-            continue
-        recent = (recent + [int(a)])[-ROLLING_ROWS:]
-        s, n = sum(recent), len(recent)
-        flag = bool(c > a and a * FAKE_RATIO_DEN * n >= s * FAKE_RATIO_NUM)
-        rows.append((seller, eid, ts, a, c, s, n, flag, False))
-        last_ts, last_id = ts, eid
-    state.update((json.dumps(recent), last_ts, last_id, late))
-    yield pd.DataFrame(rows, columns=["seller", "event_id", "ts", "actual_c", "claimed_c", "roll_sum_c", "roll_n",
-                                      "is_manipulation", "late"])
-
-
-def tick_flags(ticks: DataFrame) -> DataFrame:
-    """STR-02 (alerts as ticks arrive): 7-tick rolling mean per seller and the fake-discount flag. A
-    seller's part of a micro-batch meets in one task; ``flags_of_ticks`` is the complete result."""
-    return ticks.groupBy("seller").applyInPandasWithState(
-        _flag_ticks, FLAG_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+def run_tick_flags(ticks: DataFrame, out: str | None = None) -> str:
+    """STR-02 (flags as ticks arrive), into ``out``: with each micro-batch the flags of its ticks, and
+    again those of up to 6 later ticks of a seller whose mean a late tick has changed. ``newest_flags``
+    of the table equals ``flags_of_ticks`` over all ticks, whatever the order of arrival.
+
+    Ticks land by day. What is affected is found from counts by (seller, hour), which the calendar
+    bounds: the hours that the batch touches, and those that begin within 6 ticks of one. Only these hours and
+    the 6 ticks before them are read again, by their days. Windows over ticks are ``rolling_rows``, so no
+    task holds a seller. A tick without time or seller lands and has no flag.
+    """
+    spark, reach = ticks.sparkSession, ROLLING_ROWS - 1
+    out = out or new_table_path(spark, "tick-flags")
+    hour = F.date_trunc("hour", "ts").alias("hour")
+
+    def land(batch: DataFrame, epoch: int):
+        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(epoch_path(f"{out}/ticks", epoch))
+        counts = batch.filter("ts IS NOT NULL AND seller IS NOT NULL").groupBy("seller", hour).agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(epoch_path(f"{out}/hours", epoch))
+        hours = (spark.read.schema("seller string, hour timestamp, n long, epoch int").parquet(f"{out}/hours").filter(F.col("epoch") <= epoch)
+                 .groupBy("seller", "hour").agg(F.sum("n").alias("n"), F.max("epoch").alias("newest")))
+        along = Window.partitionBy("seller").orderBy("hour")
+        before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+        placed = hours.withColumn("end", F.sum("n").over(along)).withColumns({"start": F.col("end") - F.col("n"), "touched": F.col("newest") == epoch})
+        emit = F.col("touched") | (F.col("start") < F.max(F.when(F.col("touched"), F.col("end"))).over(before) + reach)
+        placed = placed.withColumn("emit", F.coalesce(emit, F.lit(False)))
+        context = F.col("end") > F.min(F.when(F.col("emit"), F.col("start"))).over(after) - reach
+        needed = placed.withColumn("needed", F.col("emit") | F.coalesce(context, F.lit(False))).filter("needed").select(
+            F.col("seller").alias("_seller"), F.col("hour").alias("_hour"), "emit").persist()
+        try:
+            days = [r[0] for r in needed.select(F.to_date("_hour")).distinct().limit(RANGES + 1).collect()]
+            landed = spark.read.schema(_with(batch.schema, day="date", epoch="integer")).parquet(f"{out}/ticks").filter(F.col("epoch") <= epoch)
+            if len(days) <= RANGES:         # prunes partitions; the join decides
+                landed = landed.filter(F.col("day").isin(days))
+            near = landed.join(needed, (F.col("seller") == F.col("_seller")) & (F.date_trunc("hour", "ts") == F.col("_hour"))).drop("_seller", "_hour", "day", "epoch")
+            flags_of_ticks(near).filter("emit").drop("emit").write.mode("overwrite").parquet(epoch_path(f"{out}/flags", epoch))
+        finally:
+            needed.unpersist()
+
+    flagged = flags_of_ticks(spark.createDataFrame([], ticks.schema))
+    flagged.write.mode("overwrite").parquet(epoch_path(f"{out}/flags", -1))
+    run_stream(ticks, out, land, first=epoch_path(f"{out}/ticks", 0))
+    return out
+
+
+def newest_flags(spark: SparkSession, out: str) -> DataFrame:
+    """Each tick's flag as last emitted."""
+    table = spark.read.parquet(f"{out}/flags")
+    values = [c for c in table.columns if c not in ("event_id", "seller", "epoch")]
+    newest = table.groupBy("seller", "event_id").agg(F.max_by(F.struct(*values), "epoch").alias("v"))
+    return newest.select("seller", "event_id", *[f"v.{c}" for c in values])
