@@ -6,10 +6,11 @@ its checkout; here each slot is an MLlib pipeline fitted on the tables (distribu
 transform), plus an isolation forest (not in MLlib) built from Spark pieces:
 
 * trees grow on a seeded sample, one ``applyInPandas`` group per tree (256 rows each),
-* the forest is at most ``trees x (2 x 256 - 1)`` nodes whatever the data size, so it is
-  collected and broadcast,
+* the forest is a node table of at most ``trees x (2 x 256 - 1)`` rows whatever the data size, which is
+  stored, and broadcast to score with,
 * every row is scored in Arrow batches by ``mapInPandas`` (vectorised numpy walk),
-* the anomaly threshold is the contamination quantile of the scores (``percentile_approx``).
+* the anomaly threshold is the contamination quantile of all scores (``percentile_approx``), found
+  and stored with the fit.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.exprs import FAKE_RATIO_DEN, FAKE_RATIO_NUM, name_of_label
@@ -49,11 +50,11 @@ def sentiment_pipelines(text_col: str = "text", label_col: str = "label") -> dic
     transforms chain on one DataFrame (no joins back by id)."""
     lr = Pipeline(stages=[_tokens(text_col, "tok_bert"), HashingTF(inputCol="tok_bert", outputCol="tf_bert", numFeatures=1 << 16),
                           IDF(inputCol="tf_bert", outputCol="x_bert"),
-                          LogisticRegression(featuresCol="x_bert", labelCol=label_col, maxIter=50, regParam=0.01,
+                          LogisticRegression(featuresCol="x_bert", labelCol=label_col, weightCol="weight", maxIter=50, regParam=0.01,
                                              **_out("bert"))])
     nb = Pipeline(stages=[_tokens(text_col, "tok_roberta"),
                           HashingTF(inputCol="tok_roberta", outputCol="x_roberta", numFeatures=1 << 16),
-                          NaiveBayes(featuresCol="x_roberta", labelCol=label_col, smoothing=1.0, **_out("roberta"))])
+                          NaiveBayes(featuresCol="x_roberta", labelCol=label_col, weightCol="weight", smoothing=1.0, **_out("roberta"))])
     width = 1 << 10
     mlp = Pipeline(stages=[_tokens(text_col, "tok_lstm"), HashingTF(inputCol="tok_lstm", outputCol="x_lstm", numFeatures=width),
                            MultilayerPerceptronClassifier(featuresCol="x_lstm", labelCol=label_col, layers=[width, 16, 3],
@@ -65,10 +66,18 @@ def fit_sentiment(train: DataFrame, text_col: str = "text", label_col: str = "la
                   slots=MODEL_SLOTS) -> dict[str, PipelineModel]:
     """ML-05: fit each slot (MLlib fits are distributed over the training rows)."""
     pipes = sentiment_pipelines(text_col, label_col)
-    t = train.select(text_col, F.col(label_col).cast("double").alias(label_col)).dropna()
+    t = class_weights(train.select(text_col, F.col(label_col).cast("double").alias(label_col)).dropna(), label_col)
     return {k: pipes[k].fit(t) for k in slots if k in pipes}
 
 
+def class_weights(train: DataFrame, label_col: str, power: float = 0.5) -> DataFrame:
+    """Adds ``weight``: (rows / (classes x rows of the class)) ** power, so that a class of few rows is not
+    drowned by the largest; one aggregate of as many rows as there are classes."""
+    counts = train.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
+    share = counts.withColumn("weight", F.pow(F.sum("_n").over(Window.partitionBy()) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_n")), F.lit(power)))
+    return train.join(F.broadcast(share.drop("_n")), label_col)
+
+
 def save_models(models: dict[str, PipelineModel], path: str) -> str:
     """Save each slot's fitted pipeline in a folder of its own under ``path`` (shared storage)."""
     for name, model in models.items():
@@ -93,6 +102,27 @@ def score_sentiment(df: DataFrame, models: dict[str, PipelineModel], text_col: s
     return out.select(*keep, *[labels.get(k, first).alias(f"sentiment_{k}") for k in MODEL_SLOTS])
 
 
+# Words whose numbers in a text the fixed models weigh, and each slot's weight of each
+# word for the classes 0, 1, 2, then the classes' offsets.
+FIXED_WORDS = (" the ", " de ", " der ", "license")
+FIXED_WEIGHTS = {"bert": ((1, 0, 2), (3, 1, 0), (0, 2, 1), (9, 0, 0), (0, 3, 2)),
+                 "roberta": ((0, 1, 2), (1, 2, 1), (2, 0, 0), (0, 7, 0), (4, 0, 3)),
+                 "lstm": ((2, 2, 1), (0, 1, 3), (1, 1, 2), (0, 0, 5), (1, 6, 0))}
+
+
+def fixed_class_sql(slot: str, text_col: str = "text") -> str:
+    """The class that a slot's fixed linear model gives a text, as SQL (the same in both dialects)."""
+    number = [f"(length({text_col}) - length(replace({text_col}, '{w}', ''))) / {len(w)}" for w in FIXED_WORDS]
+    score = [" + ".join(f"{w[k]} * {n}" for w, n in zip(FIXED_WEIGHTS[slot], [*number, "1"], strict=True)) for k in range(3)]
+    return f"CASE WHEN {score[0]} >= {score[1]} AND {score[0]} >= {score[2]} THEN 0.0 WHEN {score[1]} >= {score[2]} THEN 1.0 ELSE 2.0 END"
+
+
+def fixed_sentiment(text_col: str = "text") -> dict[str, PipelineModel]:
+    """Slots with given weights instead of fitted ones: they are scored, saved and loaded like any
+    others, and what comes out can be said in SQL."""
+    return {k: PipelineModel([SQLTransformer(statement=f"SELECT *, CAST({fixed_class_sql(k, text_col)} AS DOUBLE) AS pred_{k} FROM __THIS__")]) for k in MODEL_SLOTS}
+
+
 # ------------------------------------------------------------------ price model (ML-03, 06, 09)
 
 def weak_label(sum_c: str = "roll_sum_c", n: str = "roll_n"):
@@ -126,6 +156,24 @@ def fit_price_model(train: DataFrame, label_col: str = "label") -> PipelineModel
     return pipe.fit(t.withColumn(label_col, F.col(label_col).cast("double")))
 
 
+# Offset and weights of FEATURES of a given price model.
+FIXED_PRICE = (-6.0, 2.5, 1.5, 1.75)
+
+
+def fixed_price_sql() -> str:
+    """The probability of class 1 under ``FIXED_PRICE`` (the same text in both dialects)."""
+    terms = " + ".join(f"({w}) * {f}" for w, f in zip(FIXED_PRICE[1:], FEATURES, strict=True))
+    return f"1.0 / (1.0 + exp(-(({FIXED_PRICE[0]}) + {terms})))"
+
+
+def fixed_price_model() -> PipelineModel:
+    """A price model with given weights."""
+    p = fixed_price_sql()
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, CAST({p} AS DOUBLE) AS _p1, CAST(1.0 - {p} AS DOUBLE) AS _p0 FROM __THIS__"),
+                          VectorAssembler(inputCols=["_p0", "_p1"], outputCol="probability", handleInvalid="keep"),
+                          SQLTransformer(statement="SELECT *, CASE WHEN _p1 > 0.5 THEN 1.0D ELSE 0.0D END AS prediction FROM __THIS__")])
+
+
 def score_price_model(df: DataFrame, model: PipelineModel | None) -> DataFrame:
     """ML-03: probability of class 1 (fake) and the flag; rows the model cannot score (and
     every row when no model is given) fall back to the fake-discount rule."""
@@ -190,11 +238,14 @@ def _grow_group(features: list[str], seed: int, sample: int):
     return grow
 
 
-def fit_isolation_forest(df: DataFrame, features: list[str], id_cols: list[str], trees: int = IF_TREES,
-                         sample: int = IF_SAMPLE, seed: int = IF_SEED) -> tuple[list[dict], int]:
-    """Grow the forest; each tree draws about ``min(sample, n)`` rows by a seeded hash (the
-    algorithm's own sub-sampling - scoring later covers every row). Returns the forest and
-    the effective sample size used to normalise path lengths."""
+FOREST = "tree int, node int, feature int, threshold double, left int, right int, size int"
+
+
+def grow_forest(df: DataFrame, features: list[str], id_cols: list[str], trees: int = IF_TREES,
+                sample: int = IF_SAMPLE, seed: int = IF_SEED) -> DataFrame:
+    """The forest as a node table (``FOREST``): at most trees x (2 x sample - 1) rows. Each tree draws about
+    ``min(sample, n)`` rows by a seeded hash (the algorithm's own sub-sampling - scoring later covers
+    every row). The root of each tree tells by its size how many rows it was grown from."""
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
     base = df.select(*features, key.alias("_k")).dropna()
     n = base.count()
@@ -205,13 +256,13 @@ def fit_isolation_forest(df: DataFrame, features: list[str], id_cols: list[str],
     member = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
                       lambda t: F.pmod(F.xxhash64(F.col("_k"), t), F.lit(scale)) < thr)
     picked = base.withColumn("tree", F.explode(member))
-    schema = "tree int, node int, feature int, threshold double, left int, right int, size int"
-    nodes = picked.groupBy("tree").applyInPandas(_grow_group(features, seed, psi), schema)
-    pdf = nodes.toPandas()                     # bounded: trees x (2 x psi - 1) rows
-    forest = []
-    for _, g in pdf.sort_values(["tree", "node"]).groupby("tree"):
-        forest.append({k: g[k].to_numpy() for k in ("feature", "threshold", "left", "right", "size")})
-    return forest, psi
+    return picked.groupBy("tree").applyInPandas(_grow_group(features, seed, psi), FOREST)
+
+
+def trees_of(nodes: DataFrame) -> list[dict]:
+    """The trees of a node table as arrays (bounded: see ``grow_forest``)."""
+    pdf = nodes.toPandas().sort_values(["tree", "node"])
+    return [{k: g[k].to_numpy() for k in ("feature", "threshold", "left", "right", "size")} for _, g in pdf.groupby("tree")]
 
 
 def _path_lengths(X: np.ndarray, tree: dict) -> np.ndarray:
@@ -253,17 +304,18 @@ def score_isolation_forest(df: DataFrame, forest: list[dict], features: list[str
     return df.mapInPandas(run, schema)
 
 
-def isolation_forest(df: DataFrame, features: list[str], id_cols: list[str],
-                     contamination: float = IF_CONTAMINATION) -> DataFrame:
-    """ML-04: fit, score every row, flag the top ``contamination`` share (anomaly = -1)."""
-    from souk.session import checkpoint_dir
-    forest, psi = fit_isolation_forest(df, features, id_cols)
-    # Scores are used twice (threshold and output): materialise them once in the shared
-    # checkpoint folder instead of running the Python scoring pass twice.
-    checkpoint_dir(df.sparkSession)
-    scored = score_isolation_forest(df, forest, features, sample=psi).checkpoint(eager=True)
-    cut = scored.agg(F.percentile_approx("if_score", 1 - contamination, 10000).alias("_cut")).scalar()
-    return scored.withColumn("anomaly", F.when(F.col("if_score") >= cut, F.lit(-1)).otherwise(F.lit(1)))
+def forest_cut(df: DataFrame, nodes: DataFrame, features: list[str], contamination: float = IF_CONTAMINATION, sample: int = IF_SAMPLE) -> DataFrame:
+    """One row (cut): the score that the top ``contamination`` share of all rows reach. Part of the fit,
+    and stored with the nodes, so that flagging a table scores it once."""
+    scored = score_isolation_forest(df.select(*features), trees_of(nodes), features, sample)
+    return scored.agg(F.percentile_approx("if_score", 1 - contamination, 10000).alias("cut"))
+
+
+def flag_anomalies(df: DataFrame, nodes: DataFrame, cut: DataFrame, features: list[str], sample: int = IF_SAMPLE) -> DataFrame:
+    """ML-04 with a stored model: the score of every row and anomaly -1 from the cut on, else 1. Nothing
+    runs while the plan is built but reading the node table."""
+    scored = score_isolation_forest(df, trees_of(nodes), features, sample)
+    return scored.withColumn("anomaly", F.when(F.col("if_score") >= cut.select("cut").scalar(), F.lit(-1)).otherwise(F.lit(1)))
 
 
 # ------------------------------------------------------------------ outside model slot (ML-01/03)

@@ -6,7 +6,9 @@ join, checkable in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.exprs import label_of_rating, rlike_ci
@@ -57,21 +59,34 @@ def confusion(truth_pred: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def accuracy_f1(truth_pred: DataFrame, truth: str, pred: str) -> DataFrame:
-    """AGG-22: accuracy and support-weighted F1 from confusion counts (one row)."""
+    """AGG-22: accuracy and support-weighted F1 (one row)."""
+    return metrics(confusion(truth_pred, truth, pred))
+
+
+def evaluate(rows: DataFrame, truth: str, preds: dict[str, Column]) -> DataFrame:
+    """ML-05 + AGG-22: accuracy and weighted F1 of several predictions of one truth, from one pass over
+    the rows: counts by (model, truth, prediction), then metrics of those few counts."""
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), c.alias("pred")) for k, c in preds.items()])).alias("_p")
+    counts = (rows.select(F.col(truth).alias("truth"), named).groupBy("_p.model", "truth", "_p.pred").agg(F.count(F.lit(1)).alias("n")))
+    return metrics(counts, ["model"])
+
+
+def metrics(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Accuracy and support-weighted F1 of confusion counts (truth, pred, n), for each of ``keys``."""
     # Each cell of the confusion table counts once for its true and once for its predicted class.
     right, n = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.col("n")
     cell = F.array(F.struct(F.col("truth").alias("cls"), n.alias("support"), right, F.lit(0).cast("bigint").alias("predicted")),
                    F.struct(F.col("pred").alias("cls"), F.lit(0).cast("bigint").alias("support"), F.lit(0).cast("bigint").alias("tp"), n.alias("predicted")))
-    per = (confusion(truth_pred, truth, pred).select(F.inline(cell)).groupBy("cls")
+    per = (counts.select(*keys, F.inline(cell)).groupBy(*keys, "cls")
            .agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted")))
     p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
     per = per.withColumn("f1", f1)
     total = F.sum("support")
-    out = per.agg((F.sum("tp") / total).alias("accuracy"), (F.sum(F.col("f1") * F.col("support")) / total).alias("weighted_f1"),
+    out = per.groupBy(*keys).agg((F.sum("tp") / total).alias("accuracy"), (F.sum(F.col("f1") * F.col("support")) / total).alias("weighted_f1"),
                   total.alias("rows"))
-    return out.select(F.round(F.col("accuracy"), 6).alias("accuracy"), F.round(F.col("weighted_f1"), 6).alias("weighted_f1"), "rows")
+    return out.select(*keys, F.round(F.col("accuracy"), 6).alias("accuracy"), F.round(F.col("weighted_f1"), 6).alias("weighted_f1"), "rows")
 
 
 def sample_key(id_col: str, seed: int = SAMPLE_SEED):
@@ -108,13 +123,15 @@ def truncate_tokens(df: DataFrame, text_col: str, max_tokens: int = 128) -> Data
                .withColumn("truncated", F.array_join(F.slice("_toks", F.col("part") * max_tokens + 1, max_tokens), " ")).drop("_toks"))
 
 
-def training_set(reviews: DataFrame, brand_pattern: str, id_col: str = "id") -> DataFrame:
+def training_set(reviews: DataFrame, brand_pattern: str, id_col: str = "id", language: DataFrame | None = None) -> DataFrame:
     """ML-10: rated reviews with text, brand filter, English only ('keep' policy of ML-11),
-    label 0/1/2. If no English review is left, the brand-filtered rows are used instead
-    (the fallback flag is a scalar subquery)."""
+    label 0/1/2. If no English review is left, the brand-filtered rows are used instead.
+    ``language`` (id, detected) is what ``detect_language`` has found, where it is stored; the flag
+    then costs a look at that small table instead of a second detection over the texts."""
     base = (reviews.dropna(subset=["review_text", "review_rating"])
                    .filter(rlike_ci("product", brand_pattern)))
-    tagged = with_language(base, "review_text").withColumn("_en", F.coalesce(F.col("detected") == "en", F.lit(False)))
+    found = with_language(base, "review_text") if language is None else base.join(language.select(F.col(language.columns[0]).alias(id_col), "detected"), id_col, "left")
+    tagged = found.withColumn("_en", F.coalesce(F.col("detected") == "en", F.lit(False)))
     any_en = tagged.agg(F.bool_or("_en").alias("_any")).scalar()
     kept = tagged.withColumn("_any", any_en).filter(F.col("_en") | ~F.coalesce(F.col("_any"), F.lit(False)))
     return kept.select(id_col, F.col("review_text").alias("text"), label_of_rating("review_rating").alias("label"))

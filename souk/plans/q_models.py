@@ -1,5 +1,6 @@
-"""Model queries: weak labels and sentences are SQL-checked; fitted models are checked on rows
-and by the tests (planted outliers, accuracy against a majority baseline)."""
+"""Model queries: weak labels and sentences are SQL-checked, and so is what models of given weights score,
+update and measure; fitted models take the same path and are checked on rows and by the tests (planted
+outliers, F1 against a majority baseline, truth that the model never saw)."""
 
 from __future__ import annotations
 
@@ -9,12 +10,14 @@ from souk.functions.exprs import argmax, money_text, round_half_even, softmax
 from souk.operators import models as M
 from souk.operators import prices as P
 from souk.operators import text as T
-from souk.plans.q_prices import ROLL7, TIE_SQL
+from souk.operators.reviews import with_model_columns
+from souk.plans.q_prices import ROLL7, SCORED_CTES, TIE_SQL
 from souk.plans.registry import register
 from souk.session import scratch_path
 from souk.sources import changes as C
 from souk.sources import views as V
-from souk.sources.tables import read
+from souk.sources.tables import read, table_path
+from souk.sources.versions import file_state, name_of, reused
 
 WEAK_SQL = """CASE WHEN claimed_c * 10 * roll_n >= roll_sum_c * 13 AND claimed_c * 10 * roll_n <= roll_sum_c * 20
                         AND abs(actual_c * roll_n - roll_sum_c) * 50 <= roll_sum_c THEN 1
@@ -75,7 +78,7 @@ def fn_22_softmax_argmax(spark, sf_dir):
                     F.round(F.element_at(p, 2), 6).alias("p_class1"))
 
 
-# ------------------------------------------------------------------ fitted models (rows only)
+# ------------------------------------------------------------------ models: fitted (rows only) and given (SQL)
 
 def _sentiment_data(spark, sf_dir):
     r = V.reviews(spark, sf_dir)
@@ -84,29 +87,29 @@ def _sentiment_data(spark, sf_dir):
     return T.split(lab, "id", 80)
 
 
-def _table_version(spark, sf_dir, *tables) -> str:
-    """A hash of the tables' files (path, length, time of change), from file metadata alone."""
-    out = []
-    for t in tables:
-        files = read(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        out.append(str(files.agg(F.bit_xor(F.xxhash64(*files.columns))).first()[0]))
-    return "_".join(out).replace("-", "n")
-
-
-def saved_sentiment_models(spark, sf_dir) -> str:
-    """Folder of the sentiment slots fitted on these tables. They are fitted and saved once for each
-    state of the tables, under the shared checkpoint folder; every query that scores loads them.
-    A marker file is written last, so a fit that was broken off is done again."""
-    path = scratch_path(spark, f"models/sentiment-{_table_version(spark, sf_dir, 'documents', 'labels')}")
+def _saved(spark, path, fit):
+    """Folder of models, fitted and saved if it is not there: ``fit`` writes into it, a marker file comes
+    last, so a fit that was broken off is done again."""
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SAVED")
     fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(done):
-        train = _sentiment_data(spark, sf_dir).filter((F.col("split") == "train") & F.col("label").isNotNull())
-        M.save_models(M.fit_sentiment(train), path)
+        fit(path)
         fs.create(done, True).close()
     return path
 
 
+def saved_sentiment_models(spark, sf_dir) -> str:
+    """Folder of the sentiment slots fitted on these tables, once for each state of their files, under
+    the shared checkpoint folder; every query that scores loads them."""
+    state = file_state(spark, table_path(sf_dir, "documents"), table_path(sf_dir, "labels"))
+
+    def fit(path):
+        train = _sentiment_data(spark, sf_dir).filter((F.col("split") == "train") & F.col("label").isNotNull())
+        M.save_models(M.fit_sentiment(train), path)
+
+    return _saved(spark, scratch_path(spark, f"models/weighted-sentiment-{state}"), fit)
+
+
 def _sentiment_models(spark, sf_dir):
     return _sentiment_data(spark, sf_dir), M.load_models(saved_sentiment_models(spark, sf_dir))
 
@@ -122,62 +125,161 @@ def ml_01_sentiment_scores(spark, sf_dir):
 def ml_05_sentiment_eval(spark, sf_dir):
     """ML-05 + AGG-22: held-out accuracy and weighted F1 of each slot and of the majority class."""
     data, models = _sentiment_models(spark, sf_dir)
-    test = data.filter((F.col("split") == "test") & F.col("label").isNotNull())
-    scored = M.score_sentiment(test, models, keep=("id", "label"))
-    named = scored.withColumn("truth", T.name_of_label_col("label"))
-    out = None
-    for k in M.MODEL_SLOTS:
-        m = T.accuracy_f1(named, "truth", f"sentiment_{k}").withColumn("model", F.lit(k))
-        out = m if out is None else out.unionByName(m)
-    base = T.accuracy_f1(named.withColumn("maj", F.lit("Positive")), "truth", "maj").withColumn("model", F.lit("majority"))
-    return out.unionByName(base)
+    return _evaluated(data.filter((F.col("split") == "test") & F.col("label").isNotNull()), models)
+
+
+def _evaluated(labelled, models):
+    """Every labelled row scored once; all metrics from the counts of that one pass."""
+    scored = M.score_sentiment(labelled, models, keep=("id", "label")).withColumn("truth", T.name_of_label_col("label"))
+    return T.evaluate(scored, "truth", {**{k: F.col(f"sentiment_{k}") for k in M.MODEL_SLOTS}, "majority": F.lit("Positive")})
 
 
 @register("ml_02_rescore_update")
 def ml_02_rescore_update(spark, sf_dir):
     """ML-02 + SRC-10: re-score the whole review table and update the label columns by id."""
-    from souk.operators.reviews import with_model_columns
-    data, models = _sentiment_models(spark, sf_dir)
+    return _rescored(spark, sf_dir, *_sentiment_models(spark, sf_dir))
+
+
+def _rescored(spark, sf_dir, data, models):
     table = with_model_columns(V.reviews(spark, sf_dir, with_text=False))
     new = M.score_sentiment(data, models, keep=("id",))
     cols = [f"sentiment_{k}" for k in M.MODEL_SLOTS]
     return C.keyed_update(table, new, ["id"], cols).select("id", "product", "sentiment", *cols)
 
 
+FIXED_CLASS = ", ".join(f"CASE {M.fixed_class_sql(k)} WHEN 0.0 THEN 'Negative' WHEN 1.0 THEN 'Neutral' ELSE 'Positive' END AS sentiment_{k}" for k in M.MODEL_SLOTS)
+FIXED_SQL = f"SELECT id, product, sentiment, review_rating, {FIXED_CLASS} FROM (SELECT *, COALESCE(review_text, '') AS text FROM reviews)"
+
+
+@register("ml_01_fixed_model_scores", V.with_views("SELECT id, product, sentiment_bert, sentiment_roberta, sentiment_lstm FROM f", "reviews", extra={"f": FIXED_SQL}))
+def ml_01_fixed_model_scores(spark, sf_dir):
+    """ML-01: three slots of given weights score every review, by the same operator as the fitted ones."""
+    return M.score_sentiment(_sentiment_data(spark, sf_dir), M.fixed_sentiment(), keep=("id", "product"))
+
+
+@register("ml_02_fixed_rescore_update", V.with_views("""
+    SELECT id, product, sentiment, sentiment_bert, sentiment_roberta, sentiment_lstm FROM f""", "reviews", extra={"f": FIXED_SQL}))
+def ml_02_fixed_rescore_update(spark, sf_dir):
+    """ML-02 + SRC-10: the stored label columns, which differ, replaced by id by those of given models."""
+    return _rescored(spark, sf_dir, _sentiment_data(spark, sf_dir), M.fixed_sentiment())
+
+
+def _f1_sql(keys, counts):
+    """Accuracy and weighted F1 from confusion counts (keys, truth, pred, n), as SQL."""
+    return f"""
+    SELECT {keys}, round(sum(tp) / sum(support), 6) AS accuracy, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS rows
+    FROM (SELECT *, CASE WHEN support + predicted > 0 THEN CAST(2 * tp AS DOUBLE) / (support + predicted) ELSE 0 END AS f1
+          FROM (SELECT {keys}, cls, sum(s)::DOUBLE AS support, sum(t)::DOUBLE AS tp, sum(p)::DOUBLE AS predicted
+                FROM (SELECT {keys}, truth AS cls, n AS s, CASE WHEN truth = pred THEN n ELSE 0 END AS t, 0 AS p FROM ({counts})
+                      UNION ALL SELECT {keys}, pred, 0, 0, n FROM ({counts})) GROUP BY ALL)) GROUP BY {keys}"""
+
+
+@register("ml_05_fixed_eval", V.with_views(_f1_sql("model", "SELECT * FROM c"), "reviews", extra={"f": FIXED_SQL, "c": " UNION ALL ".join(f"""
+    SELECT '{k}' AS model, sentiment AS truth, {p} AS pred, count(*) AS n FROM f WHERE review_rating IS NOT NULL GROUP BY ALL"""
+    for k, p in (*((k, f"sentiment_{k}") for k in M.MODEL_SLOTS), ("majority", "'Positive'")))}))
+def ml_05_fixed_eval(spark, sf_dir):
+    """ML-05 + AGG-22: the evaluation of slots of given weights over every labelled review, in one pass."""
+    return _evaluated(_sentiment_data(spark, sf_dir).filter(F.col("label").isNotNull()), M.fixed_sentiment())
+
+
+def _price_rows(spark, sf_dir):
+    """Scored quotes with their features, weak label (price ratios, ML-09), truth (list price, FN-27) and split."""
+    base = V.products(spark, sf_dir).select(F.col("id").alias("part_id"), "base_c")
+    s = M.price_features(P.scored_quotes(spark, sf_dir)).withColumn("label", M.weak_label()).join(base, "part_id")
+    s = s.withColumn("truth", (F.col("claimed_c") > F.col("actual_c")) & (F.col("actual_c") >= F.col("base_c")))
+    return T.split(s.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in V.PRICE_TIE])), "_key", 85)
+
+
+def saved_price_model(spark, sf_dir) -> str:
+    """Folder of the price model fitted on the weak labels of the 85 % split, once for each state of the
+    price files; the fake-discount rule and the truth take no part in the fit."""
+    state = file_state(spark, *P.price_tables(spark, sf_dir))
+
+    def fit(path):
+        train = _price_rows(spark, sf_dir).filter((F.col("split") == "train") & F.col("label").isNotNull())
+        M.save_models({"price": M.fit_price_model(train)}, path)
+
+    return _saved(spark, scratch_path(spark, f"models/price-{state}"), fit)
+
+
 def _price_model(spark, sf_dir):
-    """Scored quotes with their weak labels (price ratios, ML-09) and the model fitted on those of the
-    85 % split; the fake-discount rule takes no part in the fit."""
-    s = M.price_features(P.scored_quotes(spark, sf_dir)).withColumn("label", M.weak_label())
-    s = T.split(s.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in V.PRICE_TIE])), "_key", 85)
-    return s, M.fit_price_model(s.filter((F.col("split") == "train") & F.col("label").isNotNull()))
+    return M.load_models(saved_price_model(spark, sf_dir), ["price"])["price"]
 
 
 @register("ml_03_price_model_scores")
 def ml_03_price_model_scores(spark, sf_dir):
-    """ML-03: every quote scored by the fitted fake-discount model (rule fallback)."""
-    s, model = _price_model(spark, sf_dir)
-    out = M.score_price_model(s, model)
-    return out.select("product", "seller", *P.ORDER, F.round("model_prob", 6).alias("model_prob"), "final_flag",
-                      "is_manipulation")
+    """ML-03: every quote scored by the saved fake-discount model (rule fallback)."""
+    return _scored_by(_price_rows(spark, sf_dir), _price_model(spark, sf_dir))
+
+
+def _scored_by(rows, model):
+    return M.score_price_model(rows, model).select("product", "seller", *P.ORDER, F.round("model_prob", 6).alias("model_prob"), "final_flag", "is_manipulation")
+
+
+@register("ml_03_fixed_model_scores", V.with_views(f"""
+    SELECT product, seller, {TIE_SQL}, round(p, 6) AS model_prob, COALESCE(p > 0.5, is_manipulation) AS final_flag, is_manipulation
+    FROM (SELECT *, {M.fixed_price_sql()} AS p FROM (
+        SELECT *, CAST(actual_c AS DOUBLE) / (CAST(roll_sum_c AS DOUBLE) / roll_n) AS f_actual_avg, CAST(claimed_c AS DOUBLE) / actual_c AS f_claimed_actual,
+               CAST(claimed_c AS DOUBLE) / (CAST(roll_sum_c AS DOUBLE) / roll_n) AS f_claimed_avg FROM s))""", "prices", extra=SCORED_CTES))
+def ml_03_fixed_model_scores(spark, sf_dir):
+    """ML-03: every quote scored by a price model of given weights."""
+    return _scored_by(_price_rows(spark, sf_dir), M.fixed_price_model())
 
 
 @register("ml_06_price_model_eval")
 def ml_06_price_model_eval(spark, sf_dir):
-    """ML-06: accuracy and F1 of the fake-discount model on the held-out (15 %) weak labels."""
-    s, model = _price_model(spark, sf_dir)
-    test = M.score_price_model(s.filter((F.col("split") == "test") & F.col("label").isNotNull()), model)
-    t = test.select((F.col("label") == 1).cast("string").alias("truth"), F.col("final_flag").cast("string").alias("pred"))
-    return T.accuracy_f1(t, "truth", "pred")
+    """ML-06: accuracy and F1 of the saved fake-discount model on the held-out 15 %: against the truth
+    (FN-27, from the list price, which the model never saw), where the rule is judged too, and
+    against the weak labels it was fitted on the other part of."""
+    test = M.score_price_model(_price_rows(spark, sf_dir).filter("split = 'test'"), _price_model(spark, sf_dir))
+    by = {"model": F.col("final_flag").cast("string"), "rule": F.col("is_manipulation").cast("string")}
+    truth = T.evaluate(test.withColumn("t", F.col("truth").cast("string")), "t", by).withColumn("target", F.lit("truth"))
+    weak = T.evaluate(test.filter("label IS NOT NULL").withColumn("t", (F.col("label") == 1).cast("string")), "t", by)
+    return truth.unionByName(weak.withColumn("target", F.lit("weak_label")))
+
+
+FOREST_FEATURES = ["x_actual", "x_claimed", "rolling_avg_14"]
+
+
+def _forest_rows(spark, sf_dir):
+    r = P.rolling_mean_long(V.prices(spark, sf_dir), P.price_cuts(spark, sf_dir, ["product"]))
+    return r.withColumns({"x_actual": F.col("actual_c").cast("double") / 100, "x_claimed": F.col("claimed_c").cast("double") / 100})
 
 
 @register("ml_04_isolation_forest")
 def ml_04_isolation_forest(spark, sf_dir):
     """ML-04 + FN-15: isolation forest over (actual, claimed, 14-row mean), contamination
-    0.10, seed 42; a flagged row is a fake discount when the rule confirms it."""
-    r = P.rolling_mean_long(V.prices(spark, sf_dir), P.price_cuts(spark, sf_dir, ["product"]))
-    feats = r.withColumn("x_actual", F.col("actual_c").cast("double") / 100) \
-             .withColumn("x_claimed", F.col("claimed_c").cast("double") / 100)
-    f = ["x_actual", "x_claimed", "rolling_avg_14"]
-    out = M.isolation_forest(feats, f, ["product", "seller", *P.ORDER])
+    0.10, seed 42; a flagged row is a fake discount when the rule confirms it. The node table and
+    the cut are fitted once for each state of the price files and stored."""
+    rows, state, name = _forest_rows(spark, sf_dir), file_state(spark, *P.price_tables(spark, sf_dir)), name_of(sf_dir)
+    nodes = reused(spark, f"forest-{name}", state, lambda: M.grow_forest(rows, FOREST_FEATURES, ["product", "seller", *P.ORDER]))
+    cut = reused(spark, f"forest-cut-{name}", state, lambda: M.forest_cut(rows, nodes, FOREST_FEATURES))
+    out = M.flag_anomalies(rows, nodes, cut, FOREST_FEATURES)
     return out.select("product", "seller", *P.ORDER, round_half_even("if_score", 6).alias("if_score"), "anomaly",
                       ((F.col("anomaly") == -1) & F.col("rule_flag")).alias("is_manipulation"))
+
+
+# Three small trees (tree, node, feature, threshold, left, right, size); feature -1 is a leaf.
+FIXED_FOREST = [(0, 0, 0, 1200.0, 1, 2, 256), (0, 1, 1, 1000.0, 3, 4, 150), (0, 2, 2, 1300.0, 5, 6, 106), (0, 3, -1, 0.0, -1, -1, 40), (0, 4, -1, 0.0, -1, -1, 110),
+                (0, 5, -1, 0.0, -1, -1, 2), (0, 6, -1, 0.0, -1, -1, 104), (1, 0, 2, 1250.0, 1, 2, 256), (1, 1, -1, 0.0, -1, -1, 1), (1, 2, 0, 1500.0, 3, 4, 255),
+                (1, 3, 1, 1100.0, 5, 6, 200), (1, 4, -1, 0.0, -1, -1, 55), (1, 5, -1, 0.0, -1, -1, 3), (1, 6, -1, 0.0, -1, -1, 197), (2, 0, -1, 0.0, -1, -1, 256)]
+
+
+@register("ml_04_fixed_forest", V.with_views(f"""
+    SELECT product, seller, {TIE_SQL}, round(pow(2, -avg(depth + CASE WHEN size > 2 THEN 2 * (ln(size - 1) + 0.5772156649) - 2.0::DOUBLE * (size - 1) / size
+                                                                       WHEN size = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+                                                       / (2 * (ln(255) + 0.5772156649) - 2.0::DOUBLE * 255 / 256)), 6) AS if_score
+    FROM walk WHERE feature = -1 GROUP BY ALL""", "prices", extra={
+    "x": f"""SELECT product, seller, {TIE_SQL}, [CAST(actual_c AS DOUBLE) / 100, CAST(claimed_c AS DOUBLE) / 100,
+                    CAST(SUM(actual_c) OVER w AS DOUBLE) / COUNT(*) OVER w / 100] AS v FROM prices
+             WINDOW w AS (PARTITION BY product ORDER BY {TIE_SQL} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
+    "nodes": "SELECT * FROM (VALUES " + ", ".join(map(str, FIXED_FOREST)) + ") n(tree, node, feature, threshold, l, r, size)",
+    "walk": """SELECT x.*, n.*, 0 AS depth FROM x JOIN nodes n ON n.node = 0
+               UNION ALL SELECT w.product, w.seller, w.date, w.order_key, w.line_no, w.part_id, w.supp_id, w.v, n.*, w.depth + 1
+               FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = CASE WHEN w.v[w.feature + 1] < w.threshold THEN w.l ELSE w.r END
+               WHERE w.feature >= 0"""}).replace("WITH ", "WITH RECURSIVE ", 1))
+def ml_04_fixed_forest(spark, sf_dir):
+    """ML-04: scores of every quote under a given forest, by the operator that walks the grown ones."""
+    nodes = spark.createDataFrame([(t, n, f, float(x), a, b, size) for t, n, f, x, a, b, size in FIXED_FOREST], M.FOREST)
+    out = M.score_isolation_forest(_forest_rows(spark, sf_dir), M.trees_of(nodes), FOREST_FEATURES)
+    return out.select("product", "seller", *P.ORDER, F.round("if_score", 6).alias("if_score"))

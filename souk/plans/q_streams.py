@@ -6,8 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from souk.operators.models import fixed_sentiment, save_models
+from souk.plans.q_models import FIXED_SQL
 from souk.plans.registry import register
+from souk.session import scratch_path
 from souk.sources import views as V
+from souk.sources.versions import name_of
 from souk.streaming import streams as S
 
 TICKS_SQL = """
@@ -32,6 +36,16 @@ def str_01_scored_ingest(spark, sf_dir):
     return spark.read.parquet(S.run_to_table(stream, "reviews-scored", unique="id")).drop("epoch", "id_range")
 
 
+@register("str_01_fixed_scored_ingest", V.with_views("""
+    SELECT r.*, f.sentiment_bert, f.sentiment_roberta, f.sentiment_lstm FROM reviews r JOIN f ON r.id = f.id
+    WHERE r.product IN (SELECT p_brand FROM part)""", "reviews", extra={"f": FIXED_SQL}))
+def str_01_fixed_scored_ingest(spark, sf_dir):
+    """STR-01 with scoring, by saved models of given weights."""
+    path = scratch_path(spark, f"models/fixed-{name_of(sf_dir)}")
+    save_models(fixed_sentiment(), path)
+    return spark.read.parquet(S.run_to_table(S.scored_ingest_stream(spark, sf_dir, path), "reviews-scored", unique="id")).drop("epoch", "id_range")
+
+
 @register("str_02_daily_ticks", f"""
     WITH t AS ({TICKS_SQL})
     SELECT CAST(date_trunc('day', ts) AS DATE) AS day, seller, count(*) AS ticks, CAST(sum(actual_c) AS BIGINT) AS sum_c,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from souk.operators import text as T
 from souk.plans.registry import register
 from souk.sources import views as V
-from souk.sources.tables import read
+from souk.sources.tables import read, table_path
+from souk.sources.versions import file_state, name_of, reused
 
 STOPS_SQL = "SELECT * FROM (VALUES " + ", ".join(
     f"('{w}', '{lang}', {i})" for i, (lang, ws) in enumerate(T.STOP_WORDS.items()) for w in ws) + ") sw(word, lang, prio)"
@@ -102,7 +103,10 @@ def ml_12_truncate(spark, sf_dir):
     "reviews", extra=DETECT_CTES))
 def ml_10_training_set(spark, sf_dir):
     """ML-10 + FN-04: the sentiment training set (brand filter, English only, 0/1/2 labels)."""
-    return T.training_set(V.reviews(spark, sf_dir), BRAND_PATTERN)
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    state = file_state(spark, table_path(sf_dir, "documents"))
+    language = reused(spark, f"language-{name_of(sf_dir)}", state, lambda: T.detect_language(docs, "doc_id", "text"))
+    return T.training_set(V.reviews(spark, sf_dir), BRAND_PATTERN, language=language)
 
 
 @register("fn_05_label_names", V.with_views("""

@@ -14,7 +14,9 @@ def test_isolation_forest_ranks_planted_outliers(spark):
     planted = np.array([[300.0, 300.0, 250.0], [10.0, 500.0, 400.0], [400.0, 20.0, 350.0]])
     rows = [(i, *map(float, x)) for i, x in enumerate(np.vstack([normal, planted]))]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double")
-    out = M.isolation_forest(df, ["a", "b", "c"], ["id"])
+    nodes = spark.createDataFrame(M.grow_forest(df, ["a", "b", "c"], ["id"]).collect(), M.FOREST)
+    assert nodes.count() <= M.IF_TREES * (2 * M.IF_SAMPLE - 1) and nodes.select("tree").distinct().count() == M.IF_TREES
+    out = M.flag_anomalies(df, nodes, M.forest_cut(df, nodes, ["a", "b", "c"]), ["a", "b", "c"])
     top = [r.id for r in out.orderBy(F.desc("if_score")).limit(3).collect()]
     assert set(top) == {2000, 2001, 2002}
     share = out.filter(F.col("anomaly") == -1).count() / out.count()
@@ -22,8 +24,10 @@ def test_isolation_forest_ranks_planted_outliers(spark):
 
 
 def test_price_model_learns_the_rule(spark, sf):
-    r = load_all()["ml_06_price_model_eval"].build(spark, sf).first()
-    assert r.accuracy >= 0.9
+    rows = {(r.target, r.model): r for r in load_all()["ml_06_price_model_eval"].build(spark, sf).collect()}
+    assert set(rows) == {(t, m) for t in ("truth", "weak_label") for m in ("model", "rule")}
+    assert rows["weak_label", "model"].accuracy >= 0.9
+    assert rows["truth", "model"].rows > rows["weak_label", "model"].rows > 0
 
 
 def test_sentiment_slots_and_fallback(spark, sf):
@@ -33,7 +37,16 @@ def test_sentiment_slots_and_fallback(spark, sf):
     assert vals <= {"Positive", "Neutral", "Negative"}
     ev = {r.model: r for r in load_all()["ml_05_sentiment_eval"].build(spark, sf).collect()}
     assert set(ev) == {"bert", "roberta", "lstm", "majority"}
-    assert all(0.0 <= r.accuracy <= 1.0 for r in ev.values())
+    assert all(0.0 <= r.accuracy <= 1.0 for r in ev.values()) and len({r.rows for r in ev.values()}) == 1
+
+
+def test_fixed_models_are_saved_and_loaded_like_fitted_ones(spark, sf, tmp_path):
+    from souk.sources import views as V
+    reviews = V.reviews(spark, sf).withColumn("text", F.col("review_text"))
+    given = M.fixed_sentiment()
+    loaded = M.load_models(M.save_models(given, str(tmp_path)))
+    a, b = (M.score_sentiment(reviews, m).collect() for m in (given, loaded))
+    assert sorted(a) == sorted(b) and len({tuple(r)[1:] for r in a}) > 3
 
 
 def test_models_are_fitted_once_and_loaded(spark, sf):
