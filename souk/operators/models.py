@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,8 @@ MODEL_SLOTS = ("bert", "roberta", "lstm")
 # ------------------------------------------------------------------ sentiment (ML-01, 02, 05)
 
 def _tokens(text_col: str, out: str) -> RegexTokenizer:
-    return RegexTokenizer(inputCol=text_col, outputCol=out, pattern=r"[^\p{L}]+", gaps=True, toLowercase=True)
+    """Words, and runs of other signs, which tell junk from prose."""
+    return RegexTokenizer(inputCol=text_col, outputCol=out, pattern=r"\p{L}+|[^\p{L}\s]+", gaps=False, toLowercase=True)
 
 
 def _out(slot: str) -> dict:
@@ -49,8 +50,8 @@ def sentiment_pipelines(text_col: str = "text", label_col: str = "label") -> dic
     term counts, a small perceptron on hashed counts. Column names are per slot, so the three
     transforms chain on one DataFrame (no joins back by id)."""
     lr = Pipeline(stages=[_tokens(text_col, "tok_bert"), HashingTF(inputCol="tok_bert", outputCol="tf_bert", numFeatures=1 << 16),
-                          IDF(inputCol="tf_bert", outputCol="x_bert"),
-                          LogisticRegression(featuresCol="x_bert", labelCol=label_col, weightCol="weight", maxIter=50, regParam=0.01,
+                          IDF(inputCol="tf_bert", outputCol="idf_bert", minDocFreq=5), Normalizer(inputCol="idf_bert", outputCol="x_bert", p=1.0),
+                          LogisticRegression(featuresCol="x_bert", labelCol=label_col, weightCol="weight", maxIter=100, regParam=0.003,
                                              **_out("bert"))])
     nb = Pipeline(stages=[_tokens(text_col, "tok_roberta"),
                           HashingTF(inputCol="tok_roberta", outputCol="x_roberta", numFeatures=1 << 16),

@@ -107,7 +107,7 @@ def saved_sentiment_models(spark, sf_dir) -> str:
         train = _sentiment_data(spark, sf_dir).filter((F.col("split") == "train") & F.col("label").isNotNull())
         M.save_models(M.fit_sentiment(train), path)
 
-    return _saved(spark, scratch_path(spark, f"models/weighted-sentiment-{state}"), fit)
+    return _saved(spark, scratch_path(spark, f"models/sentiment-signs-{state}"), fit)
 
 
 def _sentiment_models(spark, sf_dir):
@@ -190,25 +190,26 @@ def _price_rows(spark, sf_dir):
     return T.split(s.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in V.PRICE_TIE])), "_key", 85)
 
 
-def saved_price_model(spark, sf_dir) -> str:
-    """Folder of the price model fitted on the weak labels of the 85 % split, once for each state of the
-    price files; the fake-discount rule and the truth take no part in the fit."""
+def saved_price_models(spark, sf_dir) -> str:
+    """Folder of two price models, each fitted on its labels of the 85 % split, once for each state of the
+    price files: ``truth`` on those of the list price (FN-27), ``weak`` on those of price ratios (ML-09)."""
     state = file_state(spark, *P.price_tables(spark, sf_dir))
 
     def fit(path):
-        train = _price_rows(spark, sf_dir).filter((F.col("split") == "train") & F.col("label").isNotNull())
-        M.save_models({"price": M.fit_price_model(train)}, path)
+        train = _price_rows(spark, sf_dir).filter("split = 'train'")
+        M.save_models({"weak": M.fit_price_model(train.filter("label IS NOT NULL")),
+                       "truth": M.fit_price_model(train.withColumn("label", F.col("truth").cast("int")))}, path)
 
-    return _saved(spark, scratch_path(spark, f"models/price-{state}"), fit)
+    return _saved(spark, scratch_path(spark, f"models/prices-{state}"), fit)
 
 
-def _price_model(spark, sf_dir):
-    return M.load_models(saved_price_model(spark, sf_dir), ["price"])["price"]
+def _price_model(spark, sf_dir, name="truth"):
+    return M.load_models(saved_price_models(spark, sf_dir), [name])[name]
 
 
 @register("ml_03_price_model_scores")
 def ml_03_price_model_scores(spark, sf_dir):
-    """ML-03: every quote scored by the saved fake-discount model (rule fallback)."""
+    """ML-03: every quote scored by the saved fake-discount model of the true labels (rule fallback)."""
     return _scored_by(_price_rows(spark, sf_dir), _price_model(spark, sf_dir))
 
 
@@ -228,11 +229,14 @@ def ml_03_fixed_model_scores(spark, sf_dir):
 
 @register("ml_06_price_model_eval")
 def ml_06_price_model_eval(spark, sf_dir):
-    """ML-06: accuracy and F1 of the saved fake-discount model on the held-out 15 %: against the truth
-    (FN-27, from the list price, which the model never saw), where the rule is judged too, and
-    against the weak labels it was fitted on the other part of."""
-    test = M.score_price_model(_price_rows(spark, sf_dir).filter("split = 'test'"), _price_model(spark, sf_dir))
-    by = {"model": F.col("final_flag").cast("string"), "rule": F.col("is_manipulation").cast("string")}
+    """ML-06: accuracy and F1 on the held-out 15 % of the two saved models, the fake-discount rule and the
+    larger class: against the truth (FN-27, from the list price, which is no feature), and against
+    the weak labels, which are thresholds on the features themselves."""
+    test = _price_rows(spark, sf_dir).filter("split = 'test'")
+    for name in ("truth", "weak"):
+        test = M.score_price_model(test, _price_model(spark, sf_dir, name)).withColumnRenamed("final_flag", f"by_{name}").drop("model_prob")
+    by = {"truth_model": F.col("by_truth").cast("string"), "weak_model": F.col("by_weak").cast("string"), "rule": F.col("is_manipulation").cast("string"),
+          "always": F.lit("true")}
     truth = T.evaluate(test.withColumn("t", F.col("truth").cast("string")), "t", by).withColumn("target", F.lit("truth"))
     weak = T.evaluate(test.filter("label IS NOT NULL").withColumn("t", (F.col("label") == 1).cast("string")), "t", by)
     return truth.unionByName(weak.withColumn("target", F.lit("weak_label")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from souk.operators import models as M
 from souk.plans.registry import load_all
+from tests.conftest import SF01
 
 
 def test_isolation_forest_ranks_planted_outliers(spark):
@@ -25,9 +26,15 @@ def test_isolation_forest_ranks_planted_outliers(spark):
 
 def test_price_model_learns_the_rule(spark, sf):
     rows = {(r.target, r.model): r for r in load_all()["ml_06_price_model_eval"].build(spark, sf).collect()}
-    assert set(rows) == {(t, m) for t in ("truth", "weak_label") for m in ("model", "rule")}
-    assert rows["weak_label", "model"].accuracy >= 0.9
-    assert rows["truth", "model"].rows > rows["weak_label", "model"].rows > 0
+    assert set(rows) == {(t, m) for t in ("truth", "weak_label") for m in ("truth_model", "weak_model", "rule", "always")}
+    assert rows["weak_label", "weak_model"].accuracy >= 0.9
+    assert rows["truth", "truth_model"].weighted_f1 > max(rows["truth", m].weighted_f1 for m in ("rule", "always", "weak_model"))
+    assert rows["truth", "rule"].rows > rows["weak_label", "rule"].rows > 0
+
+
+def test_each_slot_beats_the_majority_class(spark):
+    ev = {r.model: r.weighted_f1 for r in load_all()["ml_05_sentiment_eval"].build(spark, SF01).collect()}
+    assert min(ev[k] for k in M.MODEL_SLOTS) > ev["majority"] + 0.05
 
 
 def test_sentiment_slots_and_fallback(spark, sf):

@@ -70,3 +70,20 @@ def test_pivot_fails_on_a_seller_without_a_column(spark, sf):
     assert P.pivot_first_price(prices, sellers).columns == ["product", "date", *sellers]
     with pytest.raises(Exception, match="no column for seller " + sellers[-1]):
         P.pivot_first_price(prices, sellers[:-1]).collect()
+
+
+def test_profile_sketches_stay_within_their_bounds(spark):
+    from souk.operators.reviews import column_profile, first_rows
+    n = 50_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), (F.col("id") % 1000).cast("string").alias("s"),
+                               F.when(F.col("id") % 4 > 0, F.col("id") / 3).alias("x"))
+    rows = {r["column"]: r for r in column_profile(df, sketches=True).collect()}
+    for c, distinct in (("v", n), ("s", 1000), ("x", n * 3 // 4)):
+        assert abs(rows[c].approx_distinct - distinct) <= 5 * 0.02 * distinct
+    assert all(abs(q - k * n / 4) <= n / 10_000 + 1 for k, q in zip((1, 2, 3), rows["v"].approx_quartiles, strict=True))
+    assert (rows["x"].nulls, rows["x"].rows, rows["v"].min, rows["v"].max, rows["v"]["mean"]) == (n // 4, n, "0", str(n - 1), (n - 1) / 2)
+    assert rows["s"].approx_quartiles is None and rows["s"]["mean"] is None
+    halves = [column_profile(df.where(f"v % 2 = {k}"), sketches=True).where("column = 'v'").first() for k in (0, 1)]
+    assert sum(r.rows for r in halves) == n
+    assert [r.v for r in first_rows(df, ["v"], 3).collect()] == [0, 1, 2]
+    assert column_profile(df.limit(0)).where("rows > 0").count() == 0
