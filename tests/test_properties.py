@@ -3,13 +3,14 @@ after the first quote, the split is a partition, percentages and scores stay in
 the skew-safe series path equals the plain window when one series holds a third of the rows."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from souk.operators import deals as D
 from souk.operators import prices as P
 from souk.operators import reviews as R
 from souk.operators import text as T
-from souk.operators.series import rolling_rows
+from souk.operators.series import block_cuts, day_counts, rolling_rows
 from souk.sources import views as V
 
 
@@ -42,28 +43,22 @@ def test_ranges(spark, sf):
     assert board.filter((F.col("deal_score") < -30) | (F.col("deal_score") > 100)).count() == 0
 
 
-def test_hot_series_blocked_equals_window(spark, sf):
-    """One (product, seller) holding a third of all quotes: the skew-safe path must agree."""
+def test_hot_series_is_split_and_equals_window(spark, sf):
+    """One (product, seller) holding a third of all quotes: cut into many blocks, with the same rows."""
     p = V.prices(spark, sf)
     hot = p.withColumn("seller", F.when(F.col("order_key") % 3 == 0, F.lit("HOT")).otherwise(F.col("seller"))) \
            .withColumn("product", F.when(F.col("seller") == "HOT", F.lit("Brand#HOT")).otherwise(F.col("product")))
     keys, order = ["product", "seller"], list(P.ORDER)
-    a = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n")
-    b = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n")
+    cuts = block_cuts(day_counts(hot, keys, order), keys, 100)
+    assert cuts.where("seller = 'HOT'").agg(F.sum(F.size("_cuts"))).first()[0] >= 15
+    w = Window.partitionBy(*keys).orderBy(*order)
+    a = hot.withColumns({"s": F.sum("actual_c").over(w.rowsBetween(-6, 0)), "n": F.count(F.lit(1)).over(w.rowsBetween(-6, 0))})
+    b = rolling_rows(hot, keys, order, 7, {"s": "actual_c"}, count_col="n", cuts=cuts)
     cols = keys + order + ["s", "n"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
     assert b.count() == p.count()
 
 
-def test_hot_series_is_split_across_tasks(spark, sf):
-    """Calendar blocks deal one series holding a third of the rows to many window groups."""
-    from souk.operators.series import month
-    p = V.prices(spark, sf)
-    hot = p.filter(F.col("order_key") % 3 == 0).groupBy(month("date")).count().collect()
-    assert len(hot) > 20
-    assert max(r["count"] for r in hot) < sum(r["count"] for r in hot) / 10
-
-
 def test_pivot_fails_on_a_seller_without_a_column(spark, sf):
     prices = V.prices(spark, sf)
     sellers = sorted(r["seller"] for r in prices.select("seller").distinct().collect())
