@@ -16,6 +16,7 @@ from souk.operators import deals as D
 from souk.operators import prices as P
 from souk.operators import reviews as R
 from souk.operators.catalog import resolve_exact, resolve_keyword
+from souk.plans.q_tables import stored_analysis
 from souk.sources import views as V
 
 
@@ -46,7 +47,13 @@ def analyze_price(spark: SparkSession, sf_dir: str, product: str, store: str | N
     return {"anomalies": P.anomaly_report(scored).orderBy(F.desc("date"), *[F.desc(c) for c in V.PRICE_TIE]),
             "grid": P.cell_quotes(prices),
             "stats": P.latest_snapshot(prices).join(P.flag_summary(scored), "product"),
-            "commentary": P.commentary(scored, prices)}
+            "commentary": P.commentary(scored)}
+
+
+def stored_anomalies(spark: SparkSession, sf_dir: str, product: str, store: str | None = None) -> DataFrame:
+    """The flagged quotes of one product (optionally one seller) from the stored analysis: nothing is
+    computed while the price files are the same, and one partition is read."""
+    return stored_analysis(spark, sf_dir).read(product).filter(optional_eq("seller", store, sentinel=ALL_STORES))
 
 
 def campaign_deals(spark: SparkSession, sf_dir: str, product: str, store: str | None = None) -> dict[str, DataFrame]:

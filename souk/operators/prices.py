@@ -162,19 +162,19 @@ def cell_quotes(prices: DataFrame) -> DataFrame:
 
 def grid(prices: DataFrame) -> DataFrame:
     """JOIN-06 + JOIN-07: each product's distinct dates x its distinct sellers, with the
-    day's first and last quote left-joined (NULL when the seller has no quote that day).
-    The grid is bounded by calendar days x sellers per product, not by the number of rows."""
-    cells = cell_quotes(prices)
-    # Spine: per product, the set of its days (bounded by the calendar) and of its sellers
-    # (bounded by the seller dimension), both collected from the aggregated cells in one
-    # aggregate and exploded - no join between the two. Keeping a use of the quote count
-    # stops the optimiser from re-deriving the sets from the raw quotes.
-    sets = cells.groupBy("product").agg(
-        F.collect_set("date").alias("_days"), F.collect_set("seller").alias("_sellers"), F.sum("n_quotes").alias("_q"))
-    spine = (sets.filter(F.col("_q") > 0)
-                 .select("product", F.explode("_sellers").alias("seller"), "_days")
-                 .select("product", "seller", F.explode("_days").alias("date")))
-    return spine.join(cells, ["product", "seller", "date"], "left")
+    day's first and last quote (NULL when the seller has no quote that day).
+    The quotes are read once: cells are gathered by day, days by product, and both are dealt out again
+    with the product's sellers. What is gathered is bounded by calendar days x sellers, not by the number
+    of rows. A quote without a seller has no place in the grid."""
+    cells = cell_quotes(prices.filter(F.col("seller").isNotNull()))
+    days = cells.groupBy("product", "date").agg(F.collect_list(F.struct("seller", F.struct("n_quotes", "first_c", "last_c").alias("cell"))).alias("_cells"))
+    whole = days.groupBy("product").agg(
+        F.collect_list(F.struct("date", "_cells")).alias("_days"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform("_cells", lambda c: c["seller"])))).alias("_sellers"))
+    by_day = whole.select("product", "_sellers", F.explode("_days").alias("_d")).select(
+        "product", "_sellers", F.col("_d.date").alias("date"), F.map_from_entries("_d._cells").alias("_map"))
+    return by_day.select("product", "date", "_map", F.explode("_sellers").alias("seller")).select(
+        "product", "seller", "date", F.try_element_at("_map", F.col("seller")).alias("_c")).select("product", "seller", "date", "_c.*")
 
 
 def aligned_series(prices: DataFrame) -> DataFrame:
@@ -344,15 +344,15 @@ def _fill(template: str, **cols) -> F.Column:
     return F.concat(*parts)
 
 
-def commentary(scored_df: DataFrame, prices: DataFrame) -> DataFrame:
-    """FN-21: the per-product commentary, from the latest snapshot and the flag summary."""
+def commentary(scored_df: DataFrame) -> DataFrame:
+    """FN-21: the per-product commentary: the best price of the latest day and the seller of the last
+    flagged quote, from one pass over the quotes (by day, then by product)."""
     from souk.functions.exprs import py_float_text
-    snap = latest_snapshot(prices).select("product", "best_seller", "best_price",
-                                          F.rint(F.col("best_price") * 100).cast("bigint").alias("_best_c"))
-    flags = flag_summary(scored_df)
-    j = snap.join(flags, "product")
-    args = dict(p=F.col("product"), s=F.col("best_seller"), b=py_float_text("_best_c"))
-    text = F.when(F.col("is_manipulated"), _fill(COMMENTARY_FLAGGED, m=F.col("manip_seller"), **args)) \
+    flagged = F.when(F.col("is_manipulation"), F.struct(*ORDER, "seller"))
+    days = scored_df.groupBy("product", "date").agg(F.min(F.struct("actual_c", *PRICE_TIE, "seller")).alias("best"), F.max(flagged).alias("flagged"))
+    j = days.groupBy("product").agg(F.max(F.struct("date", "best")).alias("at"), F.max("flagged").alias("flagged"))
+    args = dict(p=F.col("product"), s=F.col("at.best.seller"), b=py_float_text("at.best.actual_c"))
+    text = F.when(F.col("flagged").isNotNull(), _fill(COMMENTARY_FLAGGED, m=F.col("flagged.seller"), **args)) \
             .otherwise(_fill(COMMENTARY_CLEAN, **args))
     return j.select("product", text.alias("ai_commentary"))
 

@@ -350,7 +350,7 @@ def _template_sql(t):
           FROM s GROUP BY product) USING (product)""", "prices", extra=SCORED_CTES))
 def fn_21_commentary(spark, sf_dir):
     """FN-21: commentary text by branch (manipulation found or not) for every product."""
-    return P.commentary(_scored(spark, sf_dir), V.prices(spark, sf_dir))
+    return P.commentary(_scored(spark, sf_dir))
 
 
 @register("agg_23_rule_audit", V.with_views(f"""

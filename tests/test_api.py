@@ -27,3 +27,10 @@ def test_reviews_page_and_deals(spark, sf):
     d = api.campaign_deals(spark, sf, "Brand#2")
     assert d["stats"].count() == 1 and d["deals"].count() >= 1
     assert api.find_product(spark, sf, keyword="blue").count() == 1
+
+
+def test_stored_anomalies_equal_the_analysis(spark, sf):
+    whole = {tuple(r) for r in api.analyze_price(spark, sf, "Brand#7")["anomalies"].select("seller", "date", "order_key", "line_no").collect()}
+    for store in (None, "NATION_3"):
+        got = [tuple(r) for r in api.stored_anomalies(spark, sf, "Brand#7", store).select("seller", "date", "order_key", "line_no").collect()]
+        assert len(got) == len(set(got)) and set(got) == {r for r in whole if store in (None, r[0])}
