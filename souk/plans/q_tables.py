@@ -210,7 +210,7 @@ def src_06_append_partitioned(spark, sf_dir):
 def src_07_truncate_reload(spark, sf_dir):
     """SRC-07: a table that exists is emptied and loaded anew, in place: readers see the old content or
     the new, never a part. Here the whole catalogue is replaced by its active products."""
-    table = VersionedTable(spark, scratch_path(spark, f"tables/catalogue-{name_of(sf_dir)}"))
+    table = VersionedTable(spark, scratch_path(spark, f"tables/catalogue-{name_of(sf_dir)}-{spark.sparkContext.applicationId}"))
     products = V.products(spark, sf_dir).select("id", "name", "category", "brand", "base_c", "is_active")
     if table.current() is None:
         table.overwrite(products)

@@ -99,9 +99,10 @@ class VersionedTable:
         out.close()
         return n
 
-    def overwrite(self, df: DataFrame, partition_by: Sequence[str] = (), **facts) -> int:
-        """Replace the table by ``df`` (which may read the table itself); returns the commit number."""
-        base = self.base()
+    def overwrite(self, df: DataFrame, partition_by: Sequence[str] = (), base: int | None = None, **facts) -> int:
+        """Replace the table by ``df`` (which may read the table itself); returns the commit number. Fails
+        if anybody has committed since ``base``, which is taken now unless it is given."""
+        base = self.base() if base is None else base
         version = self.write_version(df, partition_by)
         return self.commit(base, version=version, schema=df.schema.json(), **facts)
 
@@ -122,12 +123,17 @@ class VersionedTable:
 
 
 def reused(spark: SparkSession, name: str, state: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored result ``name`` for this state of its inputs, built and written if it is not there."""
+    """The stored result ``name`` for this state of its inputs, built and written if it is not there. If
+    another session commits the same state meanwhile, its result is taken."""
     table = VersionedTable(spark, scratch_path(spark, f"results/{name}"))
-    now = table.current()
-    if now is None or now["state"] != state:
-        table.overwrite(build(), state=state)
-    return table.read()
+    while True:
+        base, now = table.base(), table.current()
+        if now is not None and now["state"] == state:
+            return table.read()
+        try:
+            table.overwrite(build(), base=base, state=state)
+        except ConcurrentWrite:
+            continue
 
 
 class KeyedResults:
@@ -148,11 +154,19 @@ class KeyedResults:
     def refresh(self, state: str, rows: DataFrame, analyse: Callable[[DataFrame], DataFrame]) -> int:
         """Bring the store up to ``rows``, whose files have ``state``; returns how many keys were
         analysed: none if the state is the stored one. ``analyse`` may be given the rows of some keys
-        only and must keep the key column. A key that has gone leaves the index, so it is not read."""
-        now = self.table.current()
+        only and must keep the key column. A key that has gone leaves the index, so it is not read.
+        If another session commits meanwhile, what it has stored counts."""
+        while True:
+            try:
+                return self._refresh(state, rows, analyse)
+            except ConcurrentWrite:
+                continue
+
+    def _refresh(self, state: str, rows: DataFrame, analyse: Callable[[DataFrame], DataFrame]) -> int:
+        base, now = self.table.base(), self.table.current()
         if now is not None and now["state"] == state:
             return 0
-        base, key, made = self.table.base(), self.key, uuid.uuid4().hex
+        key, made = self.key, uuid.uuid4().hex
         marks = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*rows.columns)).alias("mark"),
                                       F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("total"))
         if now is None:

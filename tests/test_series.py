@@ -68,7 +68,7 @@ def final_plan(df):
 
 @pytest.mark.parametrize("bound", [100, 1 << 20])
 @pytest.mark.parametrize("key", ["fake_discounts", "win_01_rolling_mean", "win_03_rolling14_rule", "win_04_best_deal_per_seller",
-                                 "agg_20_deal_board", "src_18_nested_result", "join_06_calendar_spine"])
+                                 "agg_20_deal_board", "src_18_nested_result", "join_06_calendar_spine", "join_08_forward_fill", "fn_21_commentary"])
 def test_quotes_are_scanned_once(spark, sf, monkeypatch, key, bound):
     """Window and carried rows come from one exchange, whether series are cut or not."""
     monkeypatch.setattr(series, "BLOCK_ROWS", bound)

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from souk.session import scratch_path
 from souk.sources.versions import ConcurrentWrite, KeyedResults, VersionedTable, file_state, reused
 
 
@@ -72,6 +73,21 @@ def test_results_are_reused_while_the_files_are_the_same(spark, tmp_path):
     assert len(built) == 2
 
 
+def test_two_sessions_that_build_one_result_end_with_one(spark, tmp_path):
+    name = f"race-{os.path.basename(tmp_path)}-{os.getpid()}"
+
+    def build():
+        if len(built) < 1:
+            built.append(1)
+            reused(spark, name, "s", build)          # the other session is quicker
+        return spark.range(4)
+
+    built = []
+    assert reused(spark, name, "s", build).count() == 4
+    table = VersionedTable(spark, scratch_path(spark, f"results/{name}"))
+    assert [c["n"] for c in table.commits()] == [1]
+
+
 def _partitions_read(df):
     """Partitions that the scan will read, after pruning."""
     return df._jdf.queryExecution().sparkPlan().collectLeaves().apply(0).selectedPartitions().partitionCount()
