@@ -47,10 +47,12 @@ HINT = r"[0-9]|@|\(dot\)|\[dot\]|\bdot\b|[A-Fa-f]:[A-Fa-f]"
 DOMAINS = frozenset("com org net edu gov io info biz de fr es it uk eu us ca au nl ch at".split())
 COUNTRIES = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
              "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91")
-ISSUERS = ("4", "51", "52", "53", "54", "55", "2", "34", "37", "35", "6")
+NETWORKS = ("2", "3", "fc", "fd", "fe8", "fe9", "fea", "feb", "ff")      # first digits of assigned IPv6 networks
+ISSUERS = ("4", "50", "51", "52", "53", "54", "55", "56", "57", "58", "2", "34", "37", "35", "6")
 CUES = {"email": re.compile(r"mail|contact|write|reach|escrib|schreib|contacte", re.I), "ip": re.compile(r"\bip\b|host|server|address|addr|client", re.I),
         "card": re.compile(r"card|visa|master|credit|payment|karte|tarjeta|carte", re.I), "phone": re.compile(r"phone|call|tel|fax|mobile|dial|ruf|llam|appel", re.I)}
 AGAINST = re.compile(r"version|isbn|order|invoice|serial|sku|release|build|chapter|section|\bno\.", re.I)
+WINDOW = 40             # code points before and after a span that its labelers see
 LABELERS = ("regex", "range", "gazetteer", "context", "boundary")
 FEATURES = 24
 TRAIN_SPANS = 20_000     # at most so many spans train the classifier
@@ -77,6 +79,16 @@ def valid(kind: str, text: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
+def told(kind: str, left: str, right: str) -> int:
+    """The context labeler: 1 if the nearest telling word before the span, or else the first after it, is
+    one of the kind's cues, -1 if it speaks against all kinds, 0 if there is none."""
+    last = [max((m.end() for m in words.finditer(left)), default=-1) for words in (CUES[kind], AGAINST)]
+    if max(last) >= 0:
+        return 1 if last[0] >= last[1] else -1
+    first = [m.start() if (m := words.search(right)) else len(right) for words in (CUES[kind], AGAINST)]
+    return 0 if min(first) == len(right) else 1 if first[0] <= first[1] else -1
+
+
 def votes(kind: str, text: str, left: str, right: str, base: int) -> list[int]:
     """The labelers' votes on a span. base: 1 a base span, -1 a base match that fails its check, 0 other."""
     digits = _digits(text)
@@ -84,12 +96,16 @@ def votes(kind: str, text: str, left: str, right: str, base: int) -> list[int]:
         labels = re.split(r"@|\.| ?(?:\(at\)|\[at\]|\bat\b|\(dot\)|\[dot\]|\bdot\b) ?", text)
         ranged, known = all(0 < len(x) <= 63 for x in labels) and labels[-1].isalpha(), labels[-1].lower() in DOMAINS
     elif kind == "ip":
-        ranged, known = ":" in text or valid(kind, text), ":" in text or not text.startswith(("0.", "255."))
+        if ":" in text:         # eight pairs of digits are a hardware address or a key's digest
+            groups = text.lower().split(":")
+            ranged, known = any(len(g) > 2 for g in groups), len(groups[0]) == 4 and groups[0].startswith(NETWORKS)
+        else:
+            ranged, known = valid(kind, text), not text.startswith(("0.", "255."))
     elif kind == "card":
         ranged, known = 13 <= len(digits) <= 19 and luhn(digits), digits.startswith(ISSUERS)
     else:
         ranged, known = 10 <= len(digits) <= 13, digits.startswith(COUNTRIES) if text.startswith("+") else digits[:1] in "23456789"
-    context = 1 if CUES[kind].search(left) else -1 if AGAINST.search(left) else 0
+    context = told(kind, left, right)
     joined = left[-1:].isalnum() or right[:1].isalnum() or left[-1:] in "-_/=\"'" and left != "" or right[:1] in "_/\"'" and right != ""
     return [base, 1 if ranged else -1, 1 if known else -1, context, -1 if joined else 1]
 
@@ -145,7 +161,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple]]:
     judged += [s for s, alone in zip(wider, free, strict=True) if alone]
     out = []
     for k, a, b, base in judged:
-        left, right = text[max(0, a - 40):a], text[b:b + 20]
+        left, right = text[max(0, a - WINDOW):a], text[b:b + WINDOW]
         given = votes(KINDS[k], text[a:b], left, right, base)
         out.append((k, a, b, base, "".join("-0+"[v + 1] for v in given), features(KINDS[k], text[a:b], left, right, given)))
     return spans, out

@@ -415,3 +415,88 @@ def test_pipeline_on_edge_rows(spark, edge, sf):
     empty = edge.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_rules_are_ordered_by_their_own_cost(spark):
+    frame = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(100)], "doc_id long, text string")
+    dear = rules.Rule("dear", "length(regexp_replace(whole, '[^\\\\p{L}]', '')) < 0")
+    half = rules.Rule("half", "pmod(xxhash64(whole), 2) = 0")
+    cheap, never = rules.Rule("cheap", "n_words < 0"), rules.Rule("never", "n_words >= 0")
+    got = rules.order_rules(frame, [dear, never, half, cheap])
+    assert [r.name for r, _, _ in got][0] == "cheap" and got[-1][0].name == "never"
+    cost, rejected = {r.name: c for r, c, _ in got}, {r.name: x for r, _, x in got}
+    assert cost["dear"] > 5 * cost["cheap"] and rejected["cheap"] == rejected["dear"] == 1 and rejected["never"] == 0
+    odd = frame.where("pmod(xxhash64(text), 2) <> 0").count() / 100
+    assert rejected["half"] == pytest.approx(odd)
+    assert [r.name for r, _, _ in rules.order_rules(frame.limit(0), [dear, cheap])] == ["dear", "cheap"]
+
+
+def obfuscated_corpus(n=250, seed=8):
+    """(rows, kind and span of each planted item) : n items of each kind in forms the base patterns miss, and
+    n decoys of each kind of the same shape, each in its own text, half of either beside a telling word."""
+    rng, rows, planted = random.Random(seed), [], set()
+    filler = "tide lamp orchard gravel seven window carpet river stone market evening basket".split()
+
+    def card(good):
+        while True:
+            d = rng.choice(["4", "51", "53", "55", "2221", "6011", "56"])        # first digits that issuers hold
+            d += "".join(rng.choice("0123456789") for _ in range(16 - len(d)))
+            if pii.luhn(d) == good:
+                sep = rng.choice([".", "/", "–", "  "])
+                return sep.join(d[i:i + 4] for i in range(0, 16, 4))
+
+    def mail(good):
+        at, dot = rng.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot ")])
+        last = rng.choice(["com", "org", "net", "de"]) if good else rng.choice(filler)
+        return f"{rng.choice(filler)}{rng.randint(1, 99) if good else ''}{at}{rng.choice(filler)}{dot}{last}"
+
+    def address(good):
+        if good:
+            return ":".join([rng.choice(["2001", "2a02", "fe80", "fd12"])] + [f"{rng.randrange(1 << 16):x}" for _ in range(7)])
+        return ":".join(f"{rng.randrange(256):02x}" for _ in range(8))
+
+    def phone(good):
+        head = f"{rng.choice('23456789' if good else '01')}{rng.randint(10, 99)}"
+        return rng.choice([f"({head}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}", f"{head}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"])
+
+    cues = {"email": "contact:", "ip": "server address", "card": "my visa card", "phone": "please call"}
+    make = {"email": mail, "ip": address, "card": card, "phone": phone}
+    for kind in pii.KINDS:
+        for i in range(2 * n):
+            good = i % 2 == 0
+            words = [rng.choice(filler) for _ in range(12)]
+            told = (cues[kind] if good else rng.choice(["serial", "order", "invoice", "isbn"])) if rng.random() < 0.5 else "and"
+            head, item = " ".join(words[:6]) + f", {told} ", make[kind](good)
+            if good:
+                planted.add((len(rows), f"{kind}:{len(head)}:{len(head) + len(item)}"))
+            rows.append((len(rows), f"{head}{item}, {' '.join(words[6:])}"))
+    rows += [(len(rows) + i, f"write to joe{i}@mail.example.com or +1 (244) 555-{1000 + i} from 10.0.{i % 200}.7") for i in range(n)]
+    return rows, planted
+
+
+def test_added_spans_have_recall_and_precision(spark):
+    rows, planted = obfuscated_corpus()
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    text = dict(rows)
+    base = {(i, f"{k}:{m.start()}:{m.end()}") for i, t in rows for k in pii.KINDS for m in pii.BASE[k].finditer(t) if pii.valid(k, m[0])}
+    added = {(r.doc_id, s) for r in got for s in r.spans.split(",") if s} - base
+    assert not planted & base
+    for kind in pii.KINDS:
+        want, have = ({x for x in part if x[1].startswith(kind)} for part in (planted, added))
+        assert len(want) >= 200
+        right = len(want & have)
+        assert right / len(want) >= 0.9 and right / max(len(have), 1) >= 0.9, (kind, right, len(want), len(have), [text[i] for i, _ in (want ^ have)][:5])
+
+
+def test_labelers_disagree_on_planted_items(spark):
+    rows, planted = obfuscated_corpus()
+    spans = {i for i, _ in planted}
+    votes = collections.Counter((i in spans, v) for i, t in rows for *_, base, v, _ in pii.find(t)[1] if base != 1)
+    for j, name in enumerate(pii.LABELERS):
+        if name in ("range", "gazetteer", "context"):
+            assert {v[j] for _, v in votes} >= {"+", "-"}, name
+    assert len({v for _, v in votes}) >= 8
+    counts = collections.Counter((k, v) for _, t in rows for k, _, _, _, v, _ in pii.find(t)[1])
+    given = pii.expectation_maximisation(counts)[1]
+    context = pii.LABELERS.index("context")
+    assert given[1, context, 2] > 2 * given[0, context, 2] and given[0, context, 0] > 2 * given[1, context, 0]
