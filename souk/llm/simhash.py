@@ -23,6 +23,8 @@ from souk.llm.shared import partitions, slices, store
 SEGMENTS = ((0, 22), (22, 21), (43, 21))        # (shift, bits), each at most 23 bits
 GENERATOR = 0b101011100011                      # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 MAX_BITS = 4
+KEY_ROWS = 85                                   # about so many keys a fingerprint
+PART_ROWS = 4_000_000                           # a task is dealt about so many key rows
 RUN = 64                                        # longer runs of a key are searched, not paired
 
 
@@ -194,7 +196,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fingerprint_groups(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """(fp, root) for every distinct fingerprint of the column ``fp``."""
+    """(fp, root) for every distinct fingerprint of the column ``fp``. Key rows are dealt to as many
+    tasks as their number asks for, sorted there by Spark (which spills), and read run by run, so a
+    task holds one batch and one run of equal keys."""
     if bits > MAX_BITS:
         raise ValueError(f"the keys find links of at most {MAX_BITS} bits")
     spark = fps.sparkSession
@@ -209,12 +213,35 @@ def fingerprint_groups(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 yield pa.record_batch([pa.array(keys), pa.array(own[rows])], names=["key", "fp"])
 
     def linked(batches):
-        held = [(b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)) for b in batches]
-        if held:
-            a, b = links(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]).view(np.uint64), bits)
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        # Rows come sorted by key: a batch is cut before its last run, which may go on in the next.
+        kept_keys, kept_fps = [], []
 
-    keys = distinct.mapInArrow(keyed, "key bigint, fp bigint").repartition(partitions(spark), "key")
+        def flush():
+            a, b = links(np.concatenate(kept_keys), np.concatenate(kept_fps).view(np.uint64), bits)
+            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if kept_keys and (cut or kept_keys[-1][-1] != key[-1]):
+                kept_keys.append(key[:cut])
+                kept_fps.append(fp[:cut])
+                yield flush()
+                kept_keys, kept_fps = [key[cut:]], [fp[cut:]]
+            elif cut:
+                kept_keys, kept_fps = [key[:cut]], [fp[:cut]]
+                yield flush()
+                kept_keys, kept_fps = [key[cut:]], [fp[cut:]]
+            else:
+                kept_keys.append(key)
+                kept_fps.append(fp)
+        if kept_keys:
+            yield flush()
+
+    parts = max(partitions(spark), -(-distinct.count() * KEY_ROWS // PART_ROWS))
+    keys = distinct.mapInArrow(keyed, "key bigint, fp bigint").repartition(parts, "key").sortWithinPartitions("key")
     edges = store(keys.mapInArrow(linked, "a bigint, b bigint"), "links")
     roots = components(edges.distinct())
     return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
