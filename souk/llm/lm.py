@@ -4,8 +4,8 @@ The model is a bigram with Dirichlet smoothing towards the add-one unigram:
 p(w | v) = (c(v w) + mu * p1(w)) / (c(v) + mu), so an unseen pair backs off to
 mu / (c(v) + mu) * p1(w). It grows with the corpus, so no machine holds all of it:
 
-1. Texts become blocks of word codes; the distinct words of each block go to word shards,
-   which number them and return their training counts to the blocks.
+1. Texts become blocks of word codes; the distinct words of each block go to word shards (as
+   many as the bytes of all texts ask for), which number them and return their training counts to the blocks.
 2. Each block sends its distinct known pairs, with their training counts and the places of
    their tokens, to pair shards (by a hash of the pair, so no frequent word makes a hot one).
 3. A pair shard sums the counts, builds its trie in a memory-mapped file - contexts, pointers
@@ -34,6 +34,7 @@ from souk.llm.shared import gather, map_arrays, pack_arrays, partitions, read_ar
 
 MU = 30.0
 BLOCK_BYTES = 12 << 20
+WORD_SHARD_BYTES = 64 << 20  # a word shard is dealt the words of about so many bytes of text
 SHARD_TOKENS = 2_000_000     # a pair shard is dealt about so many tokens' pairs
 FOLDS, HELD = 7, 2
 STEP = 4096                  # quantisation: log10 probabilities in steps of 1/4096, down to -16
@@ -201,11 +202,13 @@ def number_words(blocks: DataFrame, word_shards: int) -> DataFrame:
         parts = [unpack(p) for p in table.column("payload").to_pylist()]
         shard = table.column("shard")[0].as_py()
         sizes = np.concatenate([p["size"] for p in parts])
-        whole = pa.Array.from_buffers(pa.binary(), len(sizes), [
-            None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.py_buffer(np.concatenate([p["text"] for p in parts]))])
+        whole = pa.Array.from_buffers(pa.large_binary(), len(sizes), [
+            None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))), pa.py_buffer(np.concatenate([p["text"] for p in parts]))])
         coded = whole.dictionary_encode()
         code = coded.indices.to_numpy()
         times = np.bincount(code, np.concatenate([p["times"] for p in parts]), len(coded.dictionary)).astype(np.int64)
+        if len(coded.dictionary) * word_shards + shard >= 1 << 32:
+            raise OverflowError("word ids pass 32 bits: two of them make a pair's key")
         ends = np.cumsum([0, *(len(p["size"]) for p in parts)])
         payloads = [pack(first=p["first"], id=(1 + code[a:b].astype(np.int64) * word_shards + shard).astype(np.uint32), times=times[code[a:b]])
                     for p, a, b in zip(parts, ends[:-1], ends[1:], strict=True)]
@@ -226,7 +229,8 @@ def score(docs: DataFrame, mu: float = MU) -> DataFrame:
     columns are not read.
     """
     spark = docs.sparkSession
-    word_shards = max(1, partitions(spark))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    word_shards = max(1, partitions(spark), -(-size // WORD_SHARD_BYTES))
     blocks = store(to_blocks(docs, word_shards), "blocks")
     numbers = store(number_words(blocks, word_shards), "numbers")
     totals = numbers.agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()

@@ -500,3 +500,42 @@ def test_labelers_disagree_on_planted_items(spark):
     given = pii.expectation_maximisation(counts)[1]
     context = pii.LABELERS.index("context")
     assert given[1, context, 2] > 2 * given[0, context, 2] and given[0, context, 0] > 2 * given[1, context, 0]
+
+
+def test_key_runs_that_cross_batches(spark):
+    """Groups found with Arrow batches of 64 key rows, one task, equal those of a brute-force closure."""
+    rng = random.Random(2)
+    seeds = [rng.getrandbits(64) for _ in range(12)]
+    fps = {s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for s in seeds for _ in range(12)}
+    fps |= {seeds[0] ^ (1 << a | 1 << b) for a, b in itertools.combinations(range(43, 64), 2)}        # one long run
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = dict(simhash.fingerprint_groups(spark.createDataFrame([(f,) for f in signed], "fp long")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    root = {f: f for f in signed}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(signed, 2):
+        if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= simhash.MAX_BITS:
+            root[find(a)] = find(b)
+    assert len(got) == len(signed)
+    assert len({(find(f), got[f]) for f in signed}) == len({find(f) for f in signed}) == len(set(got.values()))
+
+
+def test_word_shards_follow_the_bytes(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"alpha beta w{i % 37} gamma x{i}") for i in range(300)], "doc_id long, text string").repartition(3)
+    few = sorted(lm.score(frame).collect())
+    monkeypatch.setattr(lm, "WORD_SHARD_BYTES", 64)
+    many = sorted(lm.score(frame).collect())
+    assert [r[:5] for r in few] == [r[:5] for r in many]
+    assert [r.score for r in few] == pytest.approx([r.score for r in many], abs=1e-3)
