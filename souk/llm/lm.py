@@ -59,20 +59,31 @@ def unpack(raw: bytes) -> dict[str, np.ndarray]:
 
 class EliasFano:
     """A monotone sequence of n values below u: about 2 + log2(u / n) bits each. The low bits are
-    packed; the high bits are unary, a one for each value and a zero for each step."""
+    packed; the high bits are unary, a one for each value and a zero for each step. Both stay
+    packed when queried: samples of the ones and zeros before every ``SAMPLE`` words (an eighth
+    of the high bits) lead to the words that hold the i-th one or zero."""
+
+    SAMPLE = 8               # 64-bit words of high bits from one sample to the next
+    QUERIES = 1 << 15        # looked up in one step
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.width = (int(x) for x in arrays[f"{name}.size"])
-        self.low = arrays[f"{name}.low"]
-        self.high = np.flatnonzero(np.unpackbits(arrays[f"{name}.high"], bitorder="little")) - np.arange(self.n)
+        self.low, self.ones, self.zeros = (arrays[f"{name}.{k}"] for k in ("low", "ones", "zeros"))
+        self.high = arrays[f"{name}.high"].reshape(-1, self.SAMPLE)
+        self.steps = self.high.size * 64 - self.n
 
-    @staticmethod
-    def build(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    @classmethod
+    def build(cls, values: np.ndarray, name: str) -> dict[str, np.ndarray]:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         width = max(0, int(math.log2(max(top // max(n, 1), 1))))
-        bits = np.zeros(n + (top >> width) + 1, np.uint8)
+        span = 64 * cls.SAMPLE
+        bits = np.zeros(-(-(n + (top >> width) + 2) // span) * span, np.uint8)   # the step after the last value is there too
         bits[(values >> width) + np.arange(n)] = 1
+        high = np.packbits(bits, bitorder="little").view(np.uint64)
+        ones = np.cumsum(np.bitwise_count(high).reshape(-1, cls.SAMPLE).sum(axis=1, dtype=np.int64))
+        ones = np.concatenate(([0], ones[:-1]))
+        kind = np.uint32 if len(bits) < 1 << 32 else np.uint64
         low = np.zeros(n * width // 64 + 2, np.uint64)
         if width:
             at = np.arange(n) * width
@@ -81,7 +92,31 @@ class EliasFano:
             np.bitwise_or.at(low, at >> 6, own << shift)
             over = (at & 63) + width > 64
             np.bitwise_or.at(low, (at[over] >> 6) + 1, own[over] >> (np.uint64(64) - shift[over]))
-        return {f"{name}.size": np.array([n, width]), f"{name}.low": low, f"{name}.high": np.packbits(bits, bitorder="little")}
+        return {f"{name}.size": np.array([n, width]), f"{name}.low": low, f"{name}.high": high,
+                f"{name}.ones": ones.astype(kind), f"{name}.zeros": (np.arange(len(ones)) * span - ones).astype(kind)}
+
+    def select(self, i: np.ndarray, one: bool = True) -> np.ndarray:
+        """Places of the i-th ones (or zeros) among the high bits."""
+        samples = self.ones if one else self.zeros
+        out = np.empty(len(i), np.int64)
+        for at in range(0, len(i), self.QUERIES):
+            part = i[at:at + self.QUERIES]
+            group = np.searchsorted(samples, part.astype(samples.dtype), "right") - 1
+            left = part - samples[group].astype(np.int64)
+            near = self.high[group] if one else ~self.high[group]
+            upto = np.cumsum(np.bitwise_count(near), axis=1, dtype=np.int64)
+            k = (upto <= left[:, None]).sum(axis=1)
+            row = np.arange(len(part))
+            left -= np.where(k > 0, upto[row, k - 1], 0)
+            word, place = near[row, k], group * (64 * self.SAMPLE) + k * 64
+            for half in (32, 16, 8, 4, 2, 1):
+                below = np.bitwise_count(word & np.uint64((1 << half) - 1))
+                up = left >= below
+                left -= np.where(up, below, 0)
+                word = np.where(up, word >> np.uint64(half), word)
+                place += np.where(up, half, 0)
+            out[at:at + self.QUERIES] = place
+        return out
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -93,13 +128,15 @@ class EliasFano:
         return ((first | second) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return self.high[i] << self.width | self.lows(i)
+        return (self.select(i) - i) << self.width | self.lows(i)
 
     def search(self, values: np.ndarray, start=None, end=None) -> np.ndarray:
         """Index of the first element not less than each value (within [start, end), if given): the
-        high bits give a bucket, a bisection over the packed low bits the place."""
-        bucket = values >> self.width
-        lo, hi = np.searchsorted(self.high, bucket, "left"), np.searchsorted(self.high, bucket, "right")
+        zeros around its step bound a bucket, a bisection over the packed low bits gives the place."""
+        bucket = np.minimum(values >> self.width, self.steps - 1)
+        lo, hi = np.zeros(len(values), np.int64), self.select(bucket, one=False) - bucket
+        later = np.flatnonzero(bucket)
+        lo[later] = self.select(bucket[later] - 1, one=False) - (bucket[later] - 1)
         if start is not None:
             lo, hi = np.clip(lo, start, end), np.clip(hi, start, end)
         low = values & ((1 << self.width) - 1)

@@ -135,6 +135,27 @@ def test_trie_finds_what_it_holds(tmp_path):
         assert f == (tuple(p) in index) and (not f or q == index[tuple(p)]) and (p[0] not in contexts or b == p[0])
 
 
+@pytest.mark.parametrize("n, top", [(1, 1), (1, 1 << 40), (3, 4), (700, 90), (5000, 1 << 33), (70_000, 1 << 20), (40_000, 300)])
+def test_packed_levels_give_and_find_every_value(n, top):
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.integers(0, top, n))
+    level = lm.EliasFano(lm.EliasFano.build(values, "x"), "x")
+    assert level.get(np.arange(n)).tolist() == values.tolist()
+    asked = np.concatenate((values, values + 1, rng.integers(0, 2 * top, 3000), [0, top, 4 * top]))
+    assert level.search(asked).tolist() == np.searchsorted(values, asked, "left").tolist()
+    start, end = (np.full(len(asked), x) for x in (n // 3, n - n // 4))
+    assert level.search(asked, start, end).tolist() == np.clip(np.searchsorted(values, asked, "left"), start, end).tolist()
+
+
+def test_packed_levels_hold_few_bits_a_value():
+    values = np.cumsum(np.random.default_rng(3).integers(0, 200, 1_000_000))
+    built = lm.EliasFano.build(values, "x")
+    level = lm.EliasFano(built, "x")
+    held = [a for a in vars(level).values() if isinstance(a, np.ndarray)]
+    assert sum(a.nbytes for a in held) * 8 < 10 * len(values)       # 6 low bits, 2 to 3 high bits, samples
+    assert all(any(np.shares_memory(a, b) for b in built.values()) for a in held)     # nothing is unpacked
+
+
 def test_order_minhash(spark, sf, docs):
     got = {r.doc_id: r for r in queries.QUERIES["op3_order_minhash"](spark, sf).collect()}
     by_text = collections.defaultdict(set)
