@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -192,6 +193,44 @@ def test_order_matters_to_the_fingerprint(spark):
     assert same(1, 2) > same(1, 3)         # the same words in another order are further away than an edit
 
 
+def test_likeness_follows_edits_as_that_of_the_two_smallest_kmers(spark):
+    """One minimum from each of two classes, as the operator draws, against the two smallest of one order."""
+    rng, m, trials = random.Random(9), fingerprints.SKETCHES, 24
+
+    def exact(words):
+        seen, kmers, out = collections.Counter(), [], []
+        for at, gram in enumerate(itertools.pairwise(words)):
+            kmers.append((at, *gram, seen[gram]))
+            seen[gram] += 1
+        for j in range(m):
+            least = sorted((xxhash.xxh64_intdigest(f"{a} {b} {n}", j), at) for at, a, b, n in kmers)[:2]
+            out.append([h for h, _ in sorted(least, key=lambda d: d[1])])
+        return out
+
+    texts = {}
+    for t in range(trials):
+        words = [f"w{rng.randrange(60)}" for _ in range(150)]           # few words, so k-mers repeat
+        texts[t, 0] = words
+        for edits in (3, 8, 20, 50):
+            changed = list(words)
+            for at in rng.sample(range(150), edits):
+                changed[at] = f"v{rng.randrange(1000)}"
+            texts[t, edits] = changed
+        texts[t, "moved"] = words[75:] + words[:75]
+    ids = {key: i for i, key in enumerate(texts)}
+    frame = spark.createDataFrame([(ids[k], " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    drawn = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(frame).collect()}
+    size = fingerprints.HEX
+    by_class = {k: [drawn[i][n:n + size] for n in range(0, size * m, size)] for k, i in ids.items()}
+    by_order = {k: exact(w) for k, w in texts.items()}
+    mean = {e: [np.mean([[a == b for a, b in zip(f[t, 0], f[t, e], strict=True)] for t in range(trials)]) for f in (by_class, by_order)]
+            for e in (3, 8, 20, 50, "moved")}
+    for variant in (0, 1):
+        assert mean[3][variant] > mean[8][variant] > mean[20][variant] > mean[50][variant]
+        assert 0.3 < mean["moved"][variant] < 0.7          # the same k-mers in another order
+    assert all(abs(a - b) < 0.05 for a, b in mean.values())
+
+
 def test_an_empty_vocabulary_leaves_words_whole(spark):
     docs = spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string")
     assert {tuple(r) for r in wordpiece.count_tokens(docs, []).collect()} == {(1, 2, 2), (2, 0, 0)}
@@ -249,6 +288,21 @@ def test_classifiers_on_held_out_rows(spark, kind):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+@pytest.mark.parametrize("kind", ["toxic", "quality"])
+def test_fitted_classifiers_on_edge_rows(spark, edge, kind):
+    texts, labels, _ = _labelled(spark, kind)
+    shifted = lambda d: d.withColumn("doc_id", F.col("doc_id") + 1000)
+    odd = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (6, 1), (6, 1), (8, 0), (77, 1)], f"doc_id long, {kind} int")
+    run = toxicity.toxicity if kind == "toxic" else quality.quality
+    rows = run(edge.unionByName(shifted(texts), allowMissingColumns=True), odd.union(shifted(labels))).collect()
+    got = [r for r in rows if r.doc_id is None or r.doc_id < 1000]
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in EDGE)
+    assert all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows}) > 10        # a fitted model, not the empty one
+    score = {i: sorted(r.score for r in got if r.doc_id == i) for i, _ in EDGE}
+    assert score[1] == score[2] and score[1][0] in score[None]          # null and empty texts are one case, whatever the id
+    assert score[4][0] == score[4][1]
+
+
 def test_flat_trees_equal_a_walk_by_hand():
     rng = np.random.default_rng(2)
     x = rng.random((500, 4))
