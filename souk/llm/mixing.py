@@ -80,7 +80,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
+    """doc_id, size, source_size, target, taken for every document. A null text has size 0, null is a
+    source of its own, repeated rows are drawn alike, an empty table gives an empty one."""
     return mix(docs.select("doc_id", "text", "source")).select(
         "doc.doc_id", "size", "source_size", "target", "taken")
 

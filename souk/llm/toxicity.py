@@ -19,6 +19,7 @@ BUCKET_BITS = 20
 SIZES = (4, 6)
 TRAIN_ROWS = 5000        # at most so many labelled rows fit the model
 FOLDS = 5                # fold 0 is held out
+UNTRAINED = -3.0         # log odds of every text if no row is labelled
 FOLD = bytes(32 if i in (9, 10, 11, 12, 13, 32) else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -71,7 +72,8 @@ def train(features: list[np.ndarray], labels: np.ndarray, epochs: int = 5, rate:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Fit on at most ``train_rows`` labelled documents outside fold 0, the first by a hash of
     doc_id. The sample meets in one task; its one result row holds 2**BUCKET_BITS weights.
-    Without a labelled row every score is that of a zero model."""
+    Without a labelled row no text speaks for a rejection: the weights are zero and the
+    intercept is ``UNTRAINED``. A null text is fitted as empty; of repeated ids the least text."""
     sample = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != 0))
               .groupBy("doc_id").agg(F.max("toxic").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
 
     model = rows.orderBy(F.xxhash64("doc_id"), "doc_id").coalesce(1).mapInArrow(fitted, "weights binary, shift double").collect()
     if not model:
-        return np.zeros(1 << BUCKET_BITS, np.float32), 0.0
+        return np.zeros(1 << BUCKET_BITS, np.float32), UNTRAINED
     return np.frombuffer(model[0]["weights"], np.float32), model[0]["shift"]
 
 
@@ -115,14 +117,21 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per document: doc_id, held_out (its fold took no part in the fit), score, predicted."""
+    """Per document: doc_id, held_out (its fold took no part in the fit), score, predicted.
+
+    Null and empty texts get the score of a text without n-grams, a null doc_id hashes as the
+    empty text, repeated rows give repeated results, an empty table an empty one. Texts are read
+    whole, however long. Other columns are not read, nor can their names clash."""
     own = docs.select("doc_id", "text")
     return (scored(own, fit(own, labels)).withColumn("held_out", crc_mod("doc_id", FOLDS) == 0)
             .select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is under ``threshold``, with all their columns."""
+    """The documents whose score is under ``threshold``, with all their columns.
+
+    Null and empty texts are judged like any other, repeated rows stay or go together, and without
+    a labelled row every document stays."""
     model = fit(docs.select("doc_id", "text"), labels)
     rows = docs.select(F.struct("*").alias("doc"), F.col("text").alias("text"))
     return scored(rows, model).where(F.col("score") < threshold).select("doc.*")

@@ -303,6 +303,13 @@ def test_fitted_classifiers_on_edge_rows(spark, edge, kind):
     assert score[4][0] == score[4][1]
 
 
+def test_nothing_is_rejected_without_labels(spark, edge):
+    for labels in ([], [(1, None), (None, 1)]):
+        frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+        assert sorted(map(str, toxicity.clean_documents(edge, frame).collect())) == sorted(map(str, edge.collect()))
+        assert {r.predicted for r in toxicity.toxicity(edge, frame).collect()} == {0}
+
+
 def test_flat_trees_equal_a_walk_by_hand():
     rng = np.random.default_rng(2)
     x = rng.random((500, 4))
