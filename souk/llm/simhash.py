@@ -24,7 +24,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))        # (shift, bits), each at most 23
 GENERATOR = 0b101011100011                      # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 MAX_BITS = 4
 KEY_ROWS = 85                                   # about so many keys a fingerprint
-PART_ROWS = 4_000_000                           # a task is dealt about so many key rows
+PART_ROWS = 1_000_000                           # a task makes and is dealt about so many key rows
+KEYED = 1024                                    # fingerprints whose keys are made at a time
 RUN = 64                                        # longer runs of a key are searched, not paired
 
 
@@ -75,11 +76,14 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def syndromes() -> np.ndarray:
-    """Syndrome of every 23-bit word."""
-    x = np.arange(1 << 23, dtype=np.int32)
-    for i in range(22, 10, -1):
-        x ^= np.where(x >> i & 1, np.int32(GENERATOR << (i - 11)), np.int32(0))
-    return x.astype(np.int16)
+    """Syndrome of every 23-bit word, made block by block: a worker holds the table and little more."""
+    out = np.empty(1 << 23, np.int16)
+    for at in range(0, 1 << 23, 1 << 17):
+        x = np.arange(at, at + (1 << 17), dtype=np.int32)
+        for i in range(22, 10, -1):
+            x ^= (x >> i & 1) * np.int32(GENERATOR << (i - 11))
+        out[at:at + (1 << 17)] = x
+    return out
 
 
 def segment_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +199,22 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def key_rows(fps: DataFrame, parts: int) -> DataFrame:
+    """(key, fp) of every row of ``fps``. There are about KEY_ROWS times as many, so the fingerprints are
+    dealt to ``parts`` tasks first: their few bytes alone would ask for one or two. They are dealt by a
+    hash of the column, since by the column itself they may lie dealt already, and be merged again."""
+
+    def keyed(batches):
+        for batch in batches:
+            all_fps = batch.column("fp").to_numpy(zero_copy_only=False)
+            for at in range(0, len(all_fps), KEYED):
+                own = all_fps[at:at + KEYED]
+                rows, keys = fingerprint_keys(own.view(np.uint64))
+                yield pa.record_batch([pa.array(keys), pa.array(own[rows])], names=["key", "fp"])
+
+    return fps.repartition(parts, F.xxhash64("fp")).mapInArrow(keyed, "key bigint, fp bigint")
+
+
 def fingerprint_groups(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(fp, root) for every distinct fingerprint of the column ``fp``. Key rows are dealt to as many
     tasks as their number asks for, sorted there by Spark (which spills), and read run by run, so a
@@ -204,14 +224,6 @@ def fingerprint_groups(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     spark = fps.sparkSession
     distinct = fps.select("fp").distinct()
 
-    def keyed(batches):
-        for batch in batches:
-            all_fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            for at in range(0, len(all_fps), 4096):
-                own = all_fps[at:at + 4096]
-                rows, keys = fingerprint_keys(own.view(np.uint64))
-                yield pa.record_batch([pa.array(keys), pa.array(own[rows])], names=["key", "fp"])
-
     def linked(batches):
         # Rows come sorted by key: a batch is cut before its last run, which may go on in the next.
         kept_keys, kept_fps = [], []
@@ -241,7 +253,7 @@ def fingerprint_groups(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
             yield flush()
 
     parts = max(partitions(spark), -(-distinct.count() * KEY_ROWS // PART_ROWS))
-    keys = distinct.mapInArrow(keyed, "key bigint, fp bigint").repartition(parts, "key").sortWithinPartitions("key")
+    keys = key_rows(distinct, parts).repartition(parts, "key").sortWithinPartitions("key")
     edges = store(keys.mapInArrow(linked, "a bigint, b bigint"), "links")
     roots = components(edges.distinct())
     return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))

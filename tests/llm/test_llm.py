@@ -621,3 +621,24 @@ def test_word_shards_follow_the_bytes(spark, monkeypatch):
     many = sorted(lm.score(frame).collect())
     assert [r[:5] for r in few] == [r[:5] for r in many]
     assert [r.score for r in few] == pytest.approx([r.score for r in many], abs=1e-3)
+
+
+def test_simhash_keys_are_made_in_many_tasks_with_small_tables(spark):
+    # Before, the few bytes of the fingerprints were merged into one task that wrote all key rows, and each worker built the
+    # syndromes through whole 32-bit temporaries.
+    import tracemalloc
+    simhash.syndromes.cache_clear()
+    tracemalloc.start()
+    table = simhash.syndromes()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20 and table.dtype == np.int16
+    for word in (0, 1, 5, 1 << 22, (1 << 23) - 1, 1234567):
+        x = word
+        for i in range(22, 10, -1):
+            if x >> i & 1:
+                x ^= simhash.GENERATOR << (i - 11)
+        assert table[word] == x
+    distinct = spark.range(4000).select(F.xxhash64("id").alias("fp")).distinct()
+    per_task = simhash.key_rows(distinct, int(spark.conf.get("spark.sql.shuffle.partitions"))).groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == 8 and max(r["count"] for r in per_task) < sum(r["count"] for r in per_task) / 4
