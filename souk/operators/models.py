@@ -266,18 +266,29 @@ def trees_of(nodes: DataFrame) -> list[dict]:
     return [{k: g[k].to_numpy() for k in ("feature", "threshold", "left", "right", "size")} for _, g in pdf.groupby("tree")]
 
 
-def _path_lengths(X: np.ndarray, tree: dict) -> np.ndarray:
-    node = np.zeros(len(X), dtype=np.int64)
-    depth = np.zeros(len(X), dtype=np.float64)
-    feat, thr, left, right, size = tree["feature"], tree["threshold"], tree["left"], tree["right"], tree["size"]
-    active = feat[node] >= 0
-    while active.any():
-        n = node[active]
-        go_left = X[active, feat[n]] < thr[n]
-        node[active] = np.where(go_left, left[n], right[n])
-        depth[active] += 1
-        active = feat[node] >= 0
-    return depth + _c(size[node])
+def _steps(tree: dict) -> tuple:
+    """A tree for ``_path_lengths``: feature and threshold of each node, its two next nodes (a leaf's are
+    itself), the path length of ending there, and the depth of the tree."""
+    leaf, own = tree["feature"] < 0, np.arange(len(tree["feature"]))
+    step = np.stack([np.where(leaf, own, tree["left"]), np.where(leaf, own, tree["right"])], axis=1).astype(np.intp)
+    depth = np.zeros(len(own))
+    level, deep = np.zeros(1, np.intp), 0
+    while len(level):
+        depth[level] = deep
+        level, deep = step[level[~leaf[level]]].ravel(), deep + 1
+    return np.where(leaf, 0, tree["feature"]).astype(np.intp), tree["threshold"], step.ravel(), depth + _c(tree["size"]), deep - 1
+
+
+def _path_lengths(columns: np.ndarray, n: int, tree: tuple) -> np.ndarray:
+    """The path length of each of ``n`` rows, whose features lie one after the other in ``columns``. All rows
+    take as many steps as the tree is deep; one that has reached its leaf stays there."""
+    feature, threshold, step, length, deep = tree
+    offset, rows = feature * n, np.arange(n)
+    node = np.zeros(n, np.intp)
+    for _ in range(deep):
+        right = ~(np.take(columns, np.take(offset, node) + rows) < np.take(threshold, node))
+        node = np.take(step, 2 * node + right)
+    return length[node]
 
 
 def score_isolation_forest(df: DataFrame, forest: list[dict], features: list[str], sample: int = IF_SAMPLE,
@@ -293,13 +304,14 @@ def score_isolation_forest(df: DataFrame, forest: list[dict], features: list[str
     schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType())])
 
     def run(batches):
-        trees = get_forest()
+        trees = [_steps(t) for t in get_forest()]
         for pdf in batches:
             X = pdf[features].to_numpy(dtype="float64")
             ok = ~np.isnan(X).any(axis=1)
             h = np.zeros(len(X))
             if ok.any():
-                h[ok] = np.mean([_path_lengths(X[ok], t) for t in trees], axis=0)
+                columns, n = X[ok].T.ravel(), int(ok.sum())
+                h[ok] = np.mean([_path_lengths(columns, n, t) for t in trees], axis=0)
             s = np.where(ok, np.power(2.0, -h / cn), np.nan)
             yield pdf.assign(**{out: s})
     return df.mapInPandas(run, schema)
@@ -308,14 +320,22 @@ def score_isolation_forest(df: DataFrame, forest: list[dict], features: list[str
 def forest_cut(df: DataFrame, nodes: DataFrame, features: list[str], contamination: float = IF_CONTAMINATION, sample: int = IF_SAMPLE) -> DataFrame:
     """One row (cut): the score that the top ``contamination`` share of all rows reach. Part of the fit,
     and stored with the nodes, so that flagging a table scores it once."""
-    scored = score_isolation_forest(df.select(*features), trees_of(nodes), features, sample)
+    return cut_of(score_isolation_forest(df.select(*features), trees_of(nodes), features, sample), contamination)
+
+
+def cut_of(scored: DataFrame, contamination: float = IF_CONTAMINATION) -> DataFrame:
+    """``forest_cut`` of rows that have their score."""
     return scored.agg(F.percentile_approx("if_score", 1 - contamination, 10000).alias("cut"))
 
 
 def flag_anomalies(df: DataFrame, nodes: DataFrame, cut: DataFrame, features: list[str], sample: int = IF_SAMPLE) -> DataFrame:
     """ML-04 with a stored model: the score of every row and anomaly -1 from the cut on, else 1. Nothing
     runs while the plan is built but reading the node table."""
-    scored = score_isolation_forest(df, trees_of(nodes), features, sample)
+    return flagged(score_isolation_forest(df, trees_of(nodes), features, sample), cut)
+
+
+def flagged(scored: DataFrame, cut: DataFrame) -> DataFrame:
+    """``flag_anomalies`` of rows that have their score."""
     return scored.withColumn("anomaly", F.when(F.col("if_score") >= cut.select("cut").scalar(), F.lit(-1)).otherwise(F.lit(1)))
 
 

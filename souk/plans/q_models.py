@@ -261,12 +261,15 @@ def _forest_rows(spark, sf_dir):
 @register("ml_04_isolation_forest")
 def ml_04_isolation_forest(spark, sf_dir):
     """ML-04 + FN-15: isolation forest over (actual, claimed, 14-row mean), contamination
-    0.10, seed 42; a flagged row is a fake discount when the rule confirms it. The node table and
-    the cut are fitted once for each state of the price files and stored."""
-    rows, state, name = _forest_rows(spark, sf_dir), file_state(spark, *P.price_tables(spark, sf_dir)), name_of(sf_dir)
+    0.10, seed 42; a flagged row is a fake discount when the rule confirms it. The rows, the node table, the
+    scores and the cut are made once for each state of the price files and stored: every row is scored once."""
+    state, name = file_state(spark, *P.price_tables(spark, sf_dir)), name_of(sf_dir)
+    keep = ["product", "seller", *P.ORDER, *FOREST_FEATURES, "rule_flag"]
+    rows = reused(spark, f"forest-rows-{name}", state, lambda: _forest_rows(spark, sf_dir).select(*keep))
     nodes = reused(spark, f"forest-{name}", state, lambda: M.grow_forest(rows, FOREST_FEATURES, ["product", "seller", *P.ORDER]))
-    cut = reused(spark, f"forest-cut-{name}", state, lambda: M.forest_cut(rows, nodes, FOREST_FEATURES))
-    out = M.flag_anomalies(rows, nodes, cut, FOREST_FEATURES)
+    scored = reused(spark, f"forest-scores-{name}", state, lambda: M.score_isolation_forest(rows, M.trees_of(nodes), FOREST_FEATURES).drop(*FOREST_FEATURES))
+    cut = reused(spark, f"forest-cut-{name}", state, lambda: M.cut_of(scored))
+    out = M.flagged(scored, cut)
     return out.select("product", "seller", *P.ORDER, round_half_even("if_score", 6).alias("if_score"), "anomaly",
                       ((F.col("anomaly") == -1) & F.col("rule_flag")).alias("is_manipulation"))
 

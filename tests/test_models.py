@@ -116,3 +116,27 @@ def test_price_rows_are_joined_and_rolled_once(spark, sf):
     made = Q._made_price_rows(spark, sf)
     assert rows.columns == made.columns and rows.exceptAll(made).count() == 0 and made.exceptAll(rows).count() == 0
     assert rows.groupBy("split").count().count() == 2
+
+
+def test_every_row_is_scored_once_and_as_a_plain_walk_scores_it(spark, sf, monkeypatch):
+    """The rows were rolled for each step and scored twice, for the cut and for the flags."""
+    from souk.plans import q_models as Q
+    calls = []
+    score = M.score_isolation_forest
+    monkeypatch.setattr(M, "score_isolation_forest", lambda *a, **k: calls.append(1) or score(*a, **k))
+    monkeypatch.setattr(Q, "name_of", lambda path: "scored-once")
+    out = load_all()["ml_04_isolation_forest"].build(spark, sf)
+    assert len(calls) == 1 and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == Q._forest_rows(spark, sf).count()
+
+    rng = np.random.default_rng(5)
+    X = rng.lognormal(3, 1, size=(400, 3))
+    for seed in range(5):
+        tree = dict(zip(("feature", "threshold", "left", "right", "size"), map(np.array, M._grow(X[:256], np.random.default_rng(seed), 8)), strict=True))
+        want = []
+        for row in X:
+            node = depth = 0
+            while tree["feature"][node] >= 0:
+                node, depth = tree["left" if row[tree["feature"][node]] < tree["threshold"][node] else "right"][node], depth + 1
+            want.append(depth + M._c(tree["size"][node]))
+        assert (M._path_lengths(X.T.ravel(), len(X), M._steps(tree)) == np.array(want)).all()
