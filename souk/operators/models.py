@@ -16,6 +16,7 @@ transform), plus an isolation forest (not in MLlib) built from Spark pieces:
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.exprs import FAKE_RATIO_DEN, FAKE_RATIO_NUM, name_of_label
+from souk.session import scratch_path
 
 # Isolation forest settings of the reference job (contamination 0.10, seed 42)
 # and the standard sub-sample size / tree count of the algorithm.
@@ -45,30 +47,56 @@ def _out(slot: str) -> dict:
     return dict(predictionCol=f"pred_{slot}", rawPredictionCol=f"raw_{slot}", probabilityCol=f"prob_{slot}")
 
 
+WIDE, NARROW = 1 << 16, 1 << 10      # hashed words of the linear models and of the perceptron
+
+
+def _words(slot: str, text_col: str) -> list:
+    """A slot's stages that need no fit: the words of a text and their hashed counts."""
+    out, width = {"bert": ("tf_bert", WIDE), "roberta": ("x_roberta", WIDE), "lstm": ("x_lstm", NARROW)}[slot]
+    return [_tokens(text_col, f"tok_{slot}"), HashingTF(inputCol=f"tok_{slot}", outputCol=out, numFeatures=width)]
+
+
+def _fitted(slot: str, label_col: str) -> list:
+    """A slot's stages after ``_words``."""
+    return {"bert": [IDF(inputCol="tf_bert", outputCol="idf_bert", minDocFreq=5), Normalizer(inputCol="idf_bert", outputCol="x_bert", p=1.0),
+                     LogisticRegression(featuresCol="x_bert", labelCol=label_col, weightCol="weight", maxIter=100, regParam=0.003, **_out("bert"))],
+            "roberta": [NaiveBayes(featuresCol="x_roberta", labelCol=label_col, weightCol="weight", smoothing=1.0, **_out("roberta"))],
+            "lstm": [MultilayerPerceptronClassifier(featuresCol="x_lstm", labelCol=label_col, layers=[NARROW, 16, 3], maxIter=60, seed=IF_SEED,
+                                                    **_out("lstm"))]}[slot]
+
+
 def sentiment_pipelines(text_col: str = "text", label_col: str = "label") -> dict[str, Pipeline]:
     """Three model slots over the same text: logistic regression on TF-IDF, naive Bayes on
     term counts, a small perceptron on hashed counts. Column names are per slot, so the three
     transforms chain on one DataFrame (no joins back by id)."""
-    lr = Pipeline(stages=[_tokens(text_col, "tok_bert"), HashingTF(inputCol="tok_bert", outputCol="tf_bert", numFeatures=1 << 16),
-                          IDF(inputCol="tf_bert", outputCol="idf_bert", minDocFreq=5), Normalizer(inputCol="idf_bert", outputCol="x_bert", p=1.0),
-                          LogisticRegression(featuresCol="x_bert", labelCol=label_col, weightCol="weight", maxIter=100, regParam=0.003,
-                                             **_out("bert"))])
-    nb = Pipeline(stages=[_tokens(text_col, "tok_roberta"),
-                          HashingTF(inputCol="tok_roberta", outputCol="x_roberta", numFeatures=1 << 16),
-                          NaiveBayes(featuresCol="x_roberta", labelCol=label_col, weightCol="weight", smoothing=1.0, **_out("roberta"))])
-    width = 1 << 10
-    mlp = Pipeline(stages=[_tokens(text_col, "tok_lstm"), HashingTF(inputCol="tok_lstm", outputCol="x_lstm", numFeatures=width),
-                           MultilayerPerceptronClassifier(featuresCol="x_lstm", labelCol=label_col, layers=[width, 16, 3],
-                                                          maxIter=60, seed=IF_SEED, **_out("lstm"))])
-    return {"bert": lr, "roberta": nb, "lstm": mlp}
+    return {k: Pipeline(stages=_words(k, text_col) + _fitted(k, label_col)) for k in MODEL_SLOTS}
+
+
+FIT_TASKS = 12      # fixed value: tasks of a pass over the training counts
 
 
 def fit_sentiment(train: DataFrame, text_col: str = "text", label_col: str = "label",
                   slots=MODEL_SLOTS) -> dict[str, PipelineModel]:
-    """ML-05: fit each slot (MLlib fits are distributed over the training rows)."""
-    pipes = sentiment_pipelines(text_col, label_col)
+    """ML-05: fit each slot (MLlib fits are distributed over the training rows).
+
+    The texts are cut into words once, and only labels and hashed counts are kept, in the shared folder. A fit
+    makes some hundred passes; in each, every task sends its result to the driver and a gradient as wide as
+    the model to the task that adds them up. So a pass has a fixed number of tasks, whatever the table's
+    size; MLlib caches their rows in blocks, on disk if need be."""
     t = class_weights(train.select(text_col, F.col(label_col).cast("double").alias(label_col)).dropna(), label_col)
-    return {k: pipes[k].fit(t) for k in slots if k in pipes}
+    slots = [k for k in MODEL_SLOTS if k in slots]
+    counted = PipelineModel([_tokens(text_col, "_tok"), HashingTF(inputCol="_tok", outputCol="_wide", numFeatures=WIDE),
+                             HashingTF(inputCol="_tok", outputCol="_narrow", numFeatures=NARROW)]).transform(t)
+    path = scratch_path(t.sparkSession, f"models/counts-{uuid.uuid4().hex}")
+    counted.select(label_col, "weight", "_wide", "_narrow").write.parquet(path)
+    rows = t.sparkSession.read.parquet(path).coalesce(FIT_TASKS)
+    out = {}
+    for k in slots:
+        words = _words(k, text_col)
+        column = words[-1].getOutputCol()
+        own = rows.select(label_col, "weight", F.col("_narrow" if k == "lstm" else "_wide").alias(column))
+        out[k] = PipelineModel(words + Pipeline(stages=_fitted(k, label_col)).fit(own).stages)
+    return out
 
 
 def class_weights(train: DataFrame, label_col: str, power: float = 0.5) -> DataFrame:

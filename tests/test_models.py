@@ -140,3 +140,20 @@ def test_every_row_is_scored_once_and_as_a_plain_walk_scores_it(spark, sf, monke
                 node, depth = tree["left" if row[tree["feature"][node]] < tree["threshold"][node] else "right"][node], depth + 1
             want.append(depth + M._c(tree["size"][node]))
         assert (M._path_lengths(X.T.ravel(), len(X), M._steps(tree)) == np.array(want)).all()
+
+
+def test_a_fit_sends_no_more_for_more_files(spark, sf):
+    """A pass of a fit had a task, and a result for the driver, for each piece of the input."""
+    from souk.plans import q_models as Q
+    train = Q._sentiment_data(spark, sf).filter("label IS NOT NULL")
+    tasks = []
+    plain = M.Pipeline.fit
+    M.Pipeline.fit = lambda self, rows, *a: tasks.append((rows.rdd.getNumPartitions(), "text" in rows.columns)) or plain(self, rows, *a)
+    try:
+        models = M.fit_sentiment(train.repartition(40), slots=("bert", "roberta"))
+    finally:
+        M.Pipeline.fit = plain
+    assert len(tasks) == 2 and all(n <= M.FIT_TASKS and not texts for n, texts in tasks)
+    whole = M.sentiment_pipelines()["roberta"].fit(M.class_weights(train.select("text", F.col("label").cast("double").alias("label")).dropna(), "label"))
+    a, b = (M.score_sentiment(train, {"roberta": m}).collect() for m in (whole, models["roberta"]))
+    assert sorted(a) == sorted(b)
