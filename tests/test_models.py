@@ -157,3 +157,9 @@ def test_a_fit_sends_no_more_for_more_files(spark, sf):
     whole = M.sentiment_pipelines()["roberta"].fit(M.class_weights(train.select("text", F.col("label").cast("double").alias("label")).dropna(), "label"))
     a, b = (M.score_sentiment(train, {"roberta": m}).collect() for m in (whole, models["roberta"]))
     assert sorted(a) == sorted(b)
+
+
+def test_scoring_quotes_reads_the_stored_rows(spark, sf):
+    """The scores joined and rolled the quotes again, after the fits had."""
+    plan = load_all()["ml_03_fixed_model_scores"].build(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
