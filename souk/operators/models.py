@@ -51,24 +51,28 @@ WIDE, NARROW = 1 << 16, 1 << 10      # hashed words of the linear models and of
 
 
 def _words(slot: str, text_col: str) -> list:
-    """A slot's stages that need no fit: the words of a text and their hashed counts."""
-    out, width = {"bert": ("tf_bert", WIDE), "roberta": ("x_roberta", WIDE), "lstm": ("x_lstm", NARROW)}[slot]
-    return [_tokens(text_col, f"tok_{slot}"), HashingTF(inputCol=f"tok_{slot}", outputCol=out, numFeatures=width)]
+    """A slot's stages that need no fit: the words of a text and their hashed counts. Slots name what
+    they share alike, and ``score_sentiment`` makes it once."""
+    out, width = ("words_narrow", NARROW) if slot == "lstm" else ("words_wide", WIDE)
+    return [_tokens(text_col, "words"), HashingTF(inputCol="words", outputCol=out, numFeatures=width)]
+
+
+WORDS = ("words", "words_wide", "words_narrow")
 
 
 def _fitted(slot: str, label_col: str) -> list:
     """A slot's stages after ``_words``."""
-    return {"bert": [IDF(inputCol="tf_bert", outputCol="idf_bert", minDocFreq=5), Normalizer(inputCol="idf_bert", outputCol="x_bert", p=1.0),
+    return {"bert": [IDF(inputCol="words_wide", outputCol="idf_bert", minDocFreq=5), Normalizer(inputCol="idf_bert", outputCol="x_bert", p=1.0),
                      LogisticRegression(featuresCol="x_bert", labelCol=label_col, weightCol="weight", maxIter=100, regParam=0.003, **_out("bert"))],
-            "roberta": [NaiveBayes(featuresCol="x_roberta", labelCol=label_col, weightCol="weight", smoothing=1.0, **_out("roberta"))],
-            "lstm": [MultilayerPerceptronClassifier(featuresCol="x_lstm", labelCol=label_col, layers=[NARROW, 16, 3], maxIter=60, seed=IF_SEED,
+            "roberta": [NaiveBayes(featuresCol="words_wide", labelCol=label_col, weightCol="weight", smoothing=1.0, **_out("roberta"))],
+            "lstm": [MultilayerPerceptronClassifier(featuresCol="words_narrow", labelCol=label_col, layers=[NARROW, 16, 3], maxIter=60, seed=IF_SEED,
                                                     **_out("lstm"))]}[slot]
 
 
 def sentiment_pipelines(text_col: str = "text", label_col: str = "label") -> dict[str, Pipeline]:
     """Three model slots over the same text: logistic regression on TF-IDF, naive Bayes on
-    term counts, a small perceptron on hashed counts. Column names are per slot, so the three
-    transforms chain on one DataFrame (no joins back by id)."""
+    term counts, a small perceptron on hashed counts. Column names are per slot but for the words that
+    slots share, so the three chain on one DataFrame (``score_sentiment``; no joins back by id)."""
     return {k: Pipeline(stages=_words(k, text_col) + _fitted(k, label_col)) for k in MODEL_SLOTS}
 
 
@@ -85,16 +89,16 @@ def fit_sentiment(train: DataFrame, text_col: str = "text", label_col: str = "la
     size; MLlib caches their rows in blocks, on disk if need be."""
     t = class_weights(train.select(text_col, F.col(label_col).cast("double").alias(label_col)).dropna(), label_col)
     slots = [k for k in MODEL_SLOTS if k in slots]
-    counted = PipelineModel([_tokens(text_col, "_tok"), HashingTF(inputCol="_tok", outputCol="_wide", numFeatures=WIDE),
-                             HashingTF(inputCol="_tok", outputCol="_narrow", numFeatures=NARROW)]).transform(t)
+    counted = t
+    for k in MODEL_SLOTS:
+        counted = _transformed(counted, PipelineModel(_words(k, text_col)))
     path = scratch_path(t.sparkSession, f"models/counts-{uuid.uuid4().hex}")
-    counted.select(label_col, "weight", "_wide", "_narrow").write.parquet(path)
+    counted.select(label_col, "weight", *WORDS[1:]).write.parquet(path)
     rows = t.sparkSession.read.parquet(path).coalesce(FIT_TASKS)
     out = {}
     for k in slots:
         words = _words(k, text_col)
-        column = words[-1].getOutputCol()
-        own = rows.select(label_col, "weight", F.col("_narrow" if k == "lstm" else "_wide").alias(column))
+        own = rows.select(label_col, "weight", words[-1].getOutputCol())
         out[k] = PipelineModel(words + Pipeline(stages=_fitted(k, label_col)).fit(own).stages)
     return out
 
@@ -119,13 +123,23 @@ def load_models(path: str, slots=MODEL_SLOTS) -> dict[str, PipelineModel]:
     return {k: PipelineModel.load(f"{path}/{k}") for k in slots}
 
 
+def _transformed(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """``model.transform`` without the words that another slot has made already."""
+    for stage in model.stages:
+        made = stage.getOutputCol() if stage.hasParam("outputCol") else None
+        if made not in WORDS or made not in df.columns:
+            df = stage.transform(df)
+    return df
+
+
 def score_sentiment(df: DataFrame, models: dict[str, PipelineModel], text_col: str = "text",
                     keep: tuple = ("id",)) -> DataFrame:
-    """ML-01: three label columns; a missing slot falls back to the first model's label."""
+    """ML-01: three label columns; a missing slot falls back to the first model's label. Every text is cut
+    into words once, whatever the number of slots."""
     out = df.select(*keep, F.coalesce(text_col, F.lit("")).alias(text_col))
     present = [k for k in MODEL_SLOTS if k in models]
     for k in present:
-        out = models[k].transform(out)
+        out = _transformed(out, models[k])
     labels = {k: name_of_label(F.col(f"pred_{k}")) for k in present}
     first = labels[present[0]]
     return out.select(*keep, *[labels.get(k, first).alias(f"sentiment_{k}") for k in MODEL_SLOTS])

@@ -107,7 +107,7 @@ def saved_sentiment_models(spark, sf_dir) -> str:
         train = _sentiment_data(spark, sf_dir).filter((F.col("split") == "train") & F.col("label").isNotNull())
         M.save_models(M.fit_sentiment(train), path)
 
-    return _saved(spark, scratch_path(spark, f"models/sentiment-signs-{state}"), fit)
+    return _saved(spark, scratch_path(spark, f"models/sentiment-words-{state}"), fit)
 
 
 def _sentiment_models(spark, sf_dir):

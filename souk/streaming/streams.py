@@ -34,11 +34,13 @@ DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bi
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _file_stream(spark: SparkSession, sf_dir: str, table: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """The files of a table's dataset as they arrive. The path is written as a pattern, of one name,
+def _file_stream(spark: SparkSession, sf_dir: str, table: str, schema: str, files_per_trigger: int = 1, bytes_per_trigger: int | None = None) -> DataFrame:
+    """The files of a table's dataset as they arrive, so many to a micro-batch, or, if that is given, as many
+    as have ``bytes_per_trigger`` together (one at least). The path is written as a pattern, of one name,
     because a stream takes a plain path for a folder, and a dataset may be one file."""
     path = table_path(sf_dir, table)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.schema(schema).option(*limit).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 ID_RANGE = 1 << 20      # ids of one partition of a table of unique rows
@@ -112,10 +114,14 @@ def run_stream(df: DataFrame, out: str, land: Callable[[DataFrame, int], None],
     return query
 
 
-def review_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+BATCH_BYTES = 1 << 30      # fixed value: files of a micro-batch of the review ingest
+
+
+def review_ingest_stream(spark: SparkSession, sf_dir: str, bytes_per_trigger: int | None = None) -> DataFrame:
     """STR-01 transformation: validated and labelled review rows. Repeated ids go when a micro-batch
-    lands (``unique``), so the stream has no state and no review is late."""
-    docs = _file_stream(spark, sf_dir, "documents", DOC_SCHEMA)
+    lands (``unique``), so the stream has no state and no review is late. A micro-batch is a file, whose few
+    row groups leave most of a cluster idle, unless ``bytes_per_trigger`` says more; what lands is the same."""
+    docs = _file_stream(spark, sf_dir, "documents", DOC_SCHEMA, bytes_per_trigger=bytes_per_trigger)
     labels = read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     rev = V.reviews_from(docs.select("doc_id", "text", "lang", "source"), labels)
     # Parent check: the product must exist in the catalogue.
@@ -126,12 +132,12 @@ def review_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_ingest_stream(spark: SparkSession, sf_dir: str, models_path: str) -> DataFrame:
     """STR-01 with scoring: every accepted review also gets the label of each saved model slot (a
     narrow transform of the stream; the models are read, not fitted)."""
-    reviews = review_ingest_stream(spark, sf_dir)
+    reviews = review_ingest_stream(spark, sf_dir, BATCH_BYTES)
     return score_sentiment(reviews.withColumn("text", F.col("review_text")), load_models(models_path), keep=tuple(reviews.columns))
 
 
 def run_review_ingest(spark: SparkSession, sf_dir: str, out_path: str | None = None, checkpoint: str | None = None) -> str:
-    return run_to_table(review_ingest_stream(spark, sf_dir), "reviews-stream", out_path, checkpoint, unique="id")
+    return run_to_table(review_ingest_stream(spark, sf_dir, BATCH_BYTES), "reviews-stream", out_path, checkpoint, unique="id")
 
 
 def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

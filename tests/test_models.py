@@ -163,3 +163,17 @@ def test_scoring_quotes_reads_the_stored_rows(spark, sf):
     """The scores joined and rolled the quotes again, after the fits had."""
     plan = load_all()["ml_03_fixed_model_scores"].build(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_slots_share_the_words_of_a_text(spark, sf, monkeypatch):
+    """Each slot cut every text into words for itself: three times a row."""
+    from souk.plans import q_models as Q
+    data, models = Q._sentiment_models(spark, sf)
+    cuts, plain = [], M.RegexTokenizer.transform
+    monkeypatch.setattr(M.RegexTokenizer, "transform", lambda self, *a: cuts.append(self.getOutputCol()) or plain(self, *a))
+    out = M.score_sentiment(data, models)
+    assert cuts == ["words"]
+    for k in M.MODEL_SLOTS:
+        alone = models[k].transform(data.select("id", F.coalesce("text", F.lit("")).alias("text")))
+        alone = alone.select("id", M.name_of_label(F.col(f"pred_{k}")).alias("label"))
+        assert out.select("id", f"sentiment_{k}").exceptAll(alone).count() == 0 and alone.count() == out.count() > 0

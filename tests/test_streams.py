@@ -60,6 +60,19 @@ def test_scored_ingest_equals_batch_scores(spark, sf, tmp_path):
     assert got.select(labels).exceptAll(want.select(labels)).count() == 0
 
 
+def test_scored_ingest_takes_small_files_together(spark, sf, tmp_path):
+    """Each file was a micro-batch of its own, read by as many tasks as it has row groups."""
+    from souk.operators import models as M
+    d, path = split_copy(spark, sf, tmp_path / "in", "documents", n=12), M.save_models(M.fixed_sentiment(), str(tmp_path / "models"))
+    got = spark.read.parquet(S.run_to_table(S.scored_ingest_stream(spark, d, path), "reviews-scored", unique="id"))
+    assert got.agg(F.max("epoch")).first()[0] == 0
+    want = load_all()["str_01_fixed_scored_ingest"].build(spark, sf)
+    assert got.count() == want.count() > 0 and got.select(want.columns).exceptAll(want).count() == 0
+    few = S._file_stream(spark, d, "documents", S.DOC_SCHEMA, bytes_per_trigger=1)      # less than a file: one at a time
+    query = S.run_stream(few, str(tmp_path / "out"), S.land_batch(str(tmp_path / "out")))
+    assert spark.read.schema(S._with(few.schema, epoch="integer")).parquet(str(tmp_path / "out")).agg(F.max("epoch")).first()[0] == 11, query.recentProgress
+
+
 def files_in_order(spark, path, frame, column, n, newest_first):
     """``frame`` as n files that a stream takes one by one, by ``column``, newest first or last."""
     cuts = frame.approxQuantile(column, [i / n for i in range(1, n)], 0) if n > 1 else []
