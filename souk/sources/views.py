@@ -38,14 +38,14 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier -> seller name. nation has 25 rows by definition of the schema, so it is
-    broadcast; supplier grows with the data, so its join is left to the planner, which
-    broadcasts by the byte size it knows (spark.sql.autoBroadcastJoinThreshold, AQE)."""
+def with_seller(rows: DataFrame, spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """``rows`` with the seller (``n_name``) of the supplier in ``key``. nation has 25 rows by definition of
+    the schema, so it is broadcast; supplier grows with the data, so its join is left to the planner, which
+    broadcasts by the byte size it knows (spark.sql.autoBroadcastJoinThreshold). The rows meet supplier
+    itself, not its join with nation: of a join the planner knows no size but the product of both."""
     sup = read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     nat = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    return sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey).select(
-        F.col("s_suppkey"), F.col("n_name"))
+    return rows.join(sup, rows[key] == sup.s_suppkey).join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey)
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +53,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
               "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     part = read(spark, sf_dir, "part", "p_partkey", "p_brand")
-    sel = sellers(spark, sf_dir)
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     unit_net = F.try_divide(F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_quantity"))
-    return (li.join(part, li.l_partkey == part.p_partkey)
-              .join(sel, li.l_suppkey == sel.s_suppkey)
+    return (with_seller(li.join(part, li.l_partkey == part.p_partkey), spark, sf_dir, "l_suppkey")
               .select(F.col("p_brand").alias("product"),
                       F.col("n_name").alias("seller"),
                       F.col("l_shipdate").cast("date").alias("date"),
