@@ -183,9 +183,9 @@ def ml_05_fixed_eval(spark, sf_dir):
 
 
 def _made_price_rows(spark, sf_dir):
-    """Scored quotes with their features, weak label (price ratios, ML-09), truth (list price, FN-27) and split."""
-    base = V.products(spark, sf_dir).select(F.col("id").alias("part_id"), "base_c")
-    s = M.price_features(P.scored_quotes(spark, sf_dir)).withColumn("label", M.weak_label()).join(base, "part_id")
+    """Scored quotes with their features, weak label (price ratios, ML-09), truth (list price, FN-27) and split.
+    The list price comes with the quote: one join with the products."""
+    s = M.price_features(P.scored(V.prices(spark, sf_dir, base=True), P.price_cuts(spark, sf_dir))).withColumn("label", M.weak_label())
     s = s.withColumn("truth", (F.col("claimed_c") > F.col("actual_c")) & (F.col("actual_c") >= F.col("base_c")))
     s = T.split(s.withColumn("_key", F.concat_ws("|", *[F.col(c).cast("string") for c in V.PRICE_TIE])), "_key", 85)
     return s.select("product", "seller", *P.ORDER, "claimed_c", "actual_c", "roll_sum_c", "roll_n", *M.FEATURES, "is_manipulation", "label", "truth", "split")

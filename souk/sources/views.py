@@ -48,11 +48,12 @@ def with_seller(rows: DataFrame, spark: SparkSession, sf_dir: str, key: str) ->
     return rows.join(sup, rows[key] == sup.s_suppkey).join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey)
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per quote: (product, seller, date, tie...) with claimed/actual in BIGINT cents."""
+def prices(spark: SparkSession, sf_dir: str, base: bool = False) -> DataFrame:
+    """One row per quote: (product, seller, date, tie...) with claimed/actual in BIGINT cents; with ``base``
+    also the product's list price (``base_c``), from the same join."""
     li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
               "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
-    part = read(spark, sf_dir, "part", "p_partkey", "p_brand")
+    part = read(spark, sf_dir, "part", "p_partkey", "p_brand", *(["p_retailprice"] if base else []))
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     unit_net = F.try_divide(F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_quantity"))
     return (with_seller(li.join(part, li.l_partkey == part.p_partkey), spark, sf_dir, "l_suppkey")
@@ -64,7 +65,8 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("l_partkey").alias("part_id"),
                       F.col("l_suppkey").alias("supp_id"),
                       cents(unit).alias("claimed_c"),
-                      cents(unit_net).alias("actual_c")))
+                      cents(unit_net).alias("actual_c"),
+                      *([cents("p_retailprice").alias("base_c")] if base else [])))
 
 
 def reviews_from(docs: DataFrame, labels: DataFrame, with_text: bool = True) -> DataFrame:
